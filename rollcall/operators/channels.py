@@ -20,7 +20,7 @@ def channel_stats(pr: Presence, days: int | None = 7, as_of: int | None = None)
                    .agg(F.count(F.lit(1)).alias("total_visits"),
                         F.countDistinct("client_uid").alias("unique_users"),
                         F.avg("idle_ms").alias("_avg_idle")))
-    return (with_channel_names(per_channel, pr.channels)
+    return (with_channel_names(per_channel, pr)
             .select("channel_id", "channel_name", "total_visits", "unique_users",
                     F.coalesce(F.col("_avg_idle"), F.lit(0.0)).cast("long").alias("avg_idle_ms"))
             .orderBy(F.desc("total_visits"), F.asc("channel_id")))
@@ -72,4 +72,4 @@ def channel_name(pr: Presence, channel_id: int) -> DataFrame:
 
 def channel_name_lookup(pr: Presence, ids: DataFrame) -> DataFrame:
     """Batch form: cached name (NULL when missing) for each distinct id in ``ids``."""
-    return with_channel_names(ids.select("channel_id").distinct(), pr.channels, label=False)
+    return with_channel_names(ids.select("channel_id").distinct(), pr, label=False)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.columns import channel_label
+from rollcall.tables import Presence
 
 # A voice server's channel list is small; above this many rows the join is left
 # to the planner (shuffle join / AQE) instead of being forced to broadcast.
@@ -25,9 +26,17 @@ def channel_names(channels: DataFrame) -> DataFrame:
     return channels.select("channel_id", F.col("channel_name").alias("_raw_name"))
 
 
-def with_channel_names(df: DataFrame, channels: DataFrame, label: bool = True) -> DataFrame:
+def channel_side(pr: Presence) -> DataFrame:
+    """Name side of the join, broadcast when the size check passes (checked once)."""
+    small = pr.memo("channels_small",
+                    lambda: pr.channels.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS)
+    names = channel_names(pr.channels)
+    return F.broadcast(names) if small else names
+
+
+def with_channel_names(df: DataFrame, pr: Presence, label: bool = True) -> DataFrame:
     """Left join names by ``channel_id``; missing or empty names become ``Channel <id>``."""
-    names = bounded_broadcast(channel_names(channels))
+    names = channel_side(pr)
     joined = df.join(names, "channel_id", "left")
     name = channel_label("channel_id", "_raw_name") if label else F.col("_raw_name")
     return joined.withColumn("channel_name", name).drop("_raw_name")

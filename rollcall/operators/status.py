@@ -13,9 +13,8 @@ ACTIVE_IDLE_MINUTES = 5
 
 
 def latest_snapshot_id(pr: Presence) -> int | None:
-    """Largest poll id; a scalar action over the small poll table."""
-    row = pr.snapshots.agg(F.max("snapshot_id").alias("m")).first()
-    return None if row is None or row["m"] is None else int(row["m"])
+    """Largest poll id (the "current" poll)."""
+    return pr.latest_poll()[1]
 
 
 def online_now(pr: Presence, snapshot_id: int | None = None) -> DataFrame:
@@ -24,18 +23,18 @@ def online_now(pr: Presence, snapshot_id: int | None = None) -> DataFrame:
     The poll id is resolved first and used as a literal, so the scan of the
     fact is a pushed filter on one poll (and one date partition).
     """
-    sid = latest_snapshot_id(pr) if snapshot_id is None else int(snapshot_id)
+    _, latest_id, latest_date = pr.latest_poll()
+    sid = latest_id if snapshot_id is None else int(snapshot_id)
     cs = pr.clients
     if sid is None:
         cs = cs.limit(0)
     else:
         cs = cs.filter(F.col("snapshot_id") == F.lit(sid))
-        date_row = pr.snapshots.filter(F.col("snapshot_id") == F.lit(sid)).select("event_date").first()
-        if date_row is not None and "event_date" in cs.columns:
-            cs = cs.filter(F.col("event_date") == F.lit(date_row["event_date"]))
+        if sid == latest_id and latest_date is not None and "event_date" in cs.columns:
+            cs = cs.filter(F.col("event_date") == F.lit(latest_date))
     idle = F.col("idle_ms")
     conn = F.col("connected_time")
-    named = with_channel_names(cs, pr.channels)
+    named = with_channel_names(cs, pr)
     return (named.select(
         "client_uid", "nickname", "channel_id", "channel_name", "idle_ms",
         F.when(idle.isNull() | (idle == 0), F.lit(0.0)).otherwise(round2(idle / 60000.0)).alias("idle_minutes"),

@@ -68,7 +68,7 @@ def favorite_channels(pr: Presence, client_uid: str | None = None, days: int | N
     visits = cs.groupBy("client_uid", "channel_id").agg(F.count(F.lit(1)).alias("visits"))
     w = Window.partitionBy("client_uid").orderBy(F.desc("visits"), F.asc("channel_id"))
     top = visits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return with_channel_names(top, pr.channels).select(
+    return with_channel_names(top, pr).select(
         "client_uid", F.col("rank").cast("int").alias("rank"), "channel_id", "channel_name", "visits")
 
 

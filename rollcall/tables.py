@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,10 +63,18 @@ class Presence:
     clients: DataFrame
     channels: DataFrame
     poll_interval_s: int = DEFAULT_POLL_INTERVAL_S
+    _memo: dict = field(init=False, repr=False, compare=False, default=None)
 
     def __post_init__(self):
         if not 1 <= int(self.poll_interval_s) <= 86400:
             raise ValueError("poll_interval_s out of range")
+        object.__setattr__(self, "_memo", {})
+
+    def memo(self, key: str, compute):
+        """Scalars about these tables (latest poll, dimension size) computed once."""
+        if key not in self._memo:
+            self._memo[key] = compute()
+        return self._memo[key]
 
     @property
     def spark(self) -> SparkSession:
@@ -76,10 +84,24 @@ class Presence:
         return replace(self, poll_interval_s=poll_interval_s)
 
     # -- time range -------------------------------------------------------
+    def latest_poll(self) -> tuple[int | None, int | None, _dt.date | None]:
+        """``(ts, snapshot_id, event_date)`` of the latest poll.
+
+        One scalar action over the poll table (one row per poll, so it grows
+        with time, not with clients), computed once per table set.
+        """
+        def compute():
+            row = (self.snapshots
+                   .agg(F.max_by(F.struct("ts", "snapshot_id", "event_date"), "snapshot_id").alias("m"))
+                   .first())
+            m = None if row is None else row["m"]
+            return (None, None, None) if m is None else (int(m["ts"]), int(m["snapshot_id"]), m["event_date"])
+        return self.memo("latest_poll", compute)
+
     def latest_ts(self) -> int | None:
-        """Largest snapshot time; a scalar action over the (small) poll table."""
-        row = self.snapshots.agg(F.max("ts").alias("m")).first()
-        return None if row is None or row["m"] is None else int(row["m"])
+        """Largest snapshot time (``as_of`` default)."""
+        ts, _, _ = self.latest_poll()
+        return ts
 
     def time_range(self, days: int | None, as_of: int | None = None) -> TimeRange:
         if as_of is None:
