@@ -27,10 +27,13 @@ def read_payload_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _parse(payloads: DataFrame, record) -> DataFrame:
-    parsed = payloads.select("poll_ts", F.from_json("payload", schemas.payload_schema(record)).alias("doc"))
+    parsed = payloads.select("poll_ts", "payload",
+                             F.from_json("payload", schemas.payload_schema(record)).alias("doc"))
     code = F.col("doc.status.code")
-    return parsed.withColumn("_accepted", F.col("doc").isNotNull()
-                             & (F.col("doc.status").isNull() | (F.trim(code).try_cast("long") == 0)))
+    # text that is not a JSON object is rejected like an error status
+    is_object = F.json_object_keys("payload").isNotNull()
+    return parsed.withColumn("_accepted", F.coalesce(
+        is_object & (F.col("doc.status").isNull() | (F.trim(code).try_cast("long") == 0)), F.lit(False)))
 
 
 def rejected_polls(payloads: DataFrame) -> DataFrame:
