@@ -27,8 +27,7 @@ def read_payload_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _parse(payloads: DataFrame, record) -> DataFrame:
-    parsed = payloads.select("poll_ts", "payload",
-                             F.from_json("payload", schemas.payload_schema(record)).alias("doc"))
+    parsed = payloads.select("*", F.from_json("payload", schemas.payload_schema(record)).alias("doc"))
     code = F.col("doc.status.code")
     # text that is not a JSON object is rejected like an error status
     is_object = F.json_object_keys("payload").isNotNull()
@@ -44,22 +43,39 @@ def rejected_polls(payloads: DataFrame) -> DataFrame:
 
 
 def _text_long(c: Column) -> Column:
-    return F.trim(c).try_cast("double").cast("long")
+    """Integer text (or a JSON number such as ``12`` / ``12.0``) to LONG; garbage to NULL."""
+    t = F.trim(c)
+    return F.coalesce(t.try_cast("long"), t.try_cast("double").cast("long"))
 
 
-def client_list_rows(payloads: DataFrame, include_query_clients: bool = False) -> DataFrame:
-    """Accepted polls exploded to one row per client (NULL client for an empty poll)."""
-    # a duplicated poll document must not double the poll: dedupe whole
-    # documents (one per poll) before they are exploded into rows
-    docs = payloads.dropDuplicates(["poll_ts"])
+def client_list_rows(payloads: DataFrame, include_query_clients: bool = False,
+                     dedupe: bool = True) -> DataFrame:
+    """Accepted polls exploded to one row per client (NULL client for an empty poll).
+
+    With ``dedupe`` a poll document delivered twice counts once: whole
+    documents (one per poll) are deduplicated before they are exploded.
+    Streams deduplicate within a watermark instead.
+    """
+    docs = payloads.dropDuplicates(["poll_ts"]) if dedupe else payloads
     parsed = _parse(docs, schemas.CLIENT_RECORD).filter("_accepted")
-    rows = parsed.select("poll_ts", F.posexplode_outer("doc.body").alias("pos", "c"))
+    extra = [c for c in payloads.columns if c not in ("poll_ts", "payload")]
+    rows = parsed.select("poll_ts", *extra, F.posexplode_outer("doc.body").alias("pos", "c"))
     if not include_query_clients:
         ctype = F.coalesce(F.trim(F.col("c.client_type")), F.lit("0"))
         rows = rows.filter(F.col("c").isNull() | (ctype == "0"))
     return rows
 
 
+def poll_counts(payloads: DataFrame, include_query_clients: bool = False) -> DataFrame:
+    """``poll_ts, total_clients`` per accepted document, without exploding it."""
+    parsed = _parse(payloads, schemas.CLIENT_RECORD).filter("_accepted")
+    body = F.coalesce(F.col("doc.body"), F.array())
+    if not include_query_clients:
+        body = F.filter(body, lambda c: F.coalesce(F.trim(c["client_type"]), F.lit("0")) == "0")
+    extra = [c for c in payloads.columns if c not in ("poll_ts", "payload")]
+    return parsed.select("poll_ts", *extra, F.size(body).cast("long").alias("total_clients"))
+
+
 def snapshots_from_rows(rows: DataFrame) -> DataFrame:
     """One snapshot per accepted poll, also when it had no clients."""
     return (rows.groupBy("poll_ts")
@@ -68,7 +84,7 @@ def snapshots_from_rows(rows: DataFrame) -> DataFrame:
                     F.col("total_clients").cast("long"), utc_date("poll_ts").alias("event_date")))
 
 
-def clients_from_rows(rows: DataFrame) -> DataFrame:
+def clients_from_rows(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Client rows with the stored defaults (uid ``unknown``, nickname ``Unknown`` ...)."""
     c = F.col
     return (rows.filter(c("c").isNotNull()).select(
@@ -88,7 +104,7 @@ def clients_from_rows(rows: DataFrame) -> DataFrame:
         flag_value(c("c.client_is_recording")).alias("is_recording"),
         F.coalesce(c("c.client_servergroups"), F.lit("")).alias("server_groups"),
         _text_long(c("c.connection_connected_time")).alias("connected_time"),
-        utc_date("poll_ts").alias("event_date")))
+        utc_date("poll_ts").alias("event_date"), *keep))
 
 
 def channel_updates(payloads: DataFrame) -> DataFrame:
@@ -106,7 +122,8 @@ def channel_updates(payloads: DataFrame) -> DataFrame:
         ((c("poll_ts") * (1 << POSITION_BITS)) + c("pos")).cast("long").alias("_seq"))
 
 
-def ingest_client_payloads(payloads: DataFrame, include_query_clients: bool = False) -> tuple[DataFrame, DataFrame]:
+def ingest_client_payloads(payloads: DataFrame, include_query_clients: bool = False,
+                           dedupe: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(snapshots, clients)`` from client-list payloads."""
-    rows = client_list_rows(payloads, include_query_clients)
+    rows = client_list_rows(payloads, include_query_clients, dedupe)
     return snapshots_from_rows(rows), clients_from_rows(rows)
