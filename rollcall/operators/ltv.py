@@ -12,12 +12,12 @@ regular, the rest casual.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.columns import pct, round2, safe_div
-from rollcall.functions.time import utc_date
-from rollcall.operators.sequence import SLICE_POLLS, sequence_metrics
+from rollcall.operators.sequence import SLICE_POLLS, stitched_slices, user_totals
 from rollcall.tables import Presence, check_limit
 
 MIN_SAMPLES = 5
@@ -31,23 +31,26 @@ def ltv_scores(pr: Presence, days: int | None = None, slice_polls: int = SLICE_P
     p = pr.poll_interval_s
     rng = pr.time_range(days, as_of)
     cs = pr.clients_in(rng)
-    base = sequence_metrics(
+    # One pass over the fact: per (user, slice) summaries, kept for the three
+    # consumers below (totals, distinct channels, normalizers).  Its size is
+    # users x slices; MEMORY_AND_DISK spills, and a lost block is recomputed.
+    stitched = stitched_slices(
         cs, p, slice_polls,
         extra_slice_aggs=[F.max("nickname").alias("_nick"),
                           F.count_if(F.col("is_talking")).alias("_talk"),
                           F.sum("idle_ms").alias("_idle_sum"),
-                          F.count("idle_ms").alias("_idle_n")],
-        extra_user_aggs=[F.max("_nick").alias("nickname"),
-                         F.sum("_talk").cast("long").alias("talking_samples"),
-                         F.sum("_idle_sum").alias("_idle_sum"),
-                         F.sum("_idle_n").alias("_idle_n")],
-        extra_cols=("nickname", "is_talking", "idle_ms"))
-    # distinct days and channels: dedupe first (map-side), then count per user
-    days_active = (cs.select("client_uid", utc_date("ts").alias("_d")).distinct()
-                   .groupBy("client_uid").agg(F.count(F.lit(1)).alias("days_active")))
-    channels = (cs.select("client_uid", "channel_id").distinct()
+                          F.count("idle_ms").alias("_idle_n"),
+                          F.collect_set("channel_id").alias("_channels")],
+        extra_cols=("nickname", "is_talking", "idle_ms")).persist(StorageLevel.MEMORY_AND_DISK)
+    base = user_totals(stitched, [F.max("_nick").alias("nickname"),
+                                  F.sum("_talk").cast("long").alias("talking_samples"),
+                                  F.sum("_idle_sum").alias("_idle_sum"),
+                                  F.sum("_idle_n").alias("_idle_n"),
+                                  F.countDistinct("_day").alias("days_active")])
+    # distinct channels: the per-slice sets (each bounded by one slice's rows), deduplicated per user
+    channels = (stitched.select("client_uid", F.explode("_channels").alias("_ch")).distinct()
                 .groupBy("client_uid").agg(F.count(F.lit(1)).alias("channels_visited")))
-    users = base.join(days_active, "client_uid").join(channels, "client_uid")
+    users = base.join(channels, "client_uid")
     norms = users.agg(F.max("total_samples").alias("_mn"), F.max("days_active").alias("_md"),
                       F.max("talking_samples").alias("_mk"), F.max("channels_visited").alias("_mc"))
     n, d = F.col("total_samples").cast("double"), F.col("days_active").cast("double")

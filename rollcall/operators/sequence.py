@@ -12,7 +12,8 @@ user's whole history in one task, so the history is cut into time slices of
 
 The result is exactly the LAG over the full history; no task holds more than
 one user's rows of one slice, and the second stage is smaller by about the
-slice length.
+slice length.  Slices never cross UTC midnight (a slice is at most a day), so
+per-day counts come from the slice summaries without another pass.
 """
 
 from __future__ import annotations
@@ -31,15 +32,31 @@ def _row_key() -> Column:
     return F.struct(*[F.col(c) for c in _ORDER])
 
 
+DAY_S = 86400
+
+
 def slice_length_s(poll_interval_s: int, slice_polls: int = SLICE_POLLS) -> int:
-    return max(1, int(slice_polls)) * int(poll_interval_s)
+    return min(max(1, int(slice_polls)) * int(poll_interval_s), DAY_S)
+
+
+def slice_id(ts: Column, slice_s: int) -> Column:
+    """Slice number, increasing with time; ``slices_per_day`` slices start at each UTC midnight."""
+    per_day = -(-DAY_S // slice_s)
+    day = F.floor(ts / F.lit(DAY_S))
+    return (day * per_day + F.floor((ts - day * DAY_S) / F.lit(slice_s))).cast("long")
+
+
+def slice_day(slice_col: Column, slice_s: int) -> Column:
+    """Day number (days since 1970-01-01, UTC) of a slice."""
+    per_day = -(-DAY_S // slice_s)
+    return F.floor(slice_col / F.lit(per_day)).cast("long")
 
 
 def _sliced_rows(cs: DataFrame, p: int, slice_s: int, extra: tuple[str, ...] = ()) -> DataFrame:
     """Rows with in-slice predecessor flags: ``_start`` (gap > 2p) and ``_switch``."""
     w = Window.partitionBy("client_uid", "_slice").orderBy(*_ORDER)
     cols = ["client_uid", "ts", "snapshot_id", "id", "channel_id", *extra]
-    rows = cs.select(*cols, F.floor(F.col("ts") / F.lit(slice_s)).cast("long").alias("_slice"))
+    rows = cs.select(*cols, slice_id(F.col("ts"), slice_s).alias("_slice"))
     prev_ts = F.lag("ts").over(w)
     prev_ch = F.lag("channel_id").over(w)
     return (rows
@@ -59,15 +76,11 @@ def _stitch(per_slice: DataFrame, p: int) -> DataFrame:
                         .otherwise(0)))
 
 
-def sequence_metrics(cs: DataFrame, p: int, slice_polls: int = SLICE_POLLS,
-                     extra_slice_aggs: list[Column] | None = None,
-                     extra_user_aggs: list[Column] | None = None,
-                     extra_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Per user: ``total_samples``, ``session_count``, ``channel_switches``, first/last seen.
-
-    ``extra_slice_aggs`` are computed per (user, slice) and must be re-aggregated
-    by ``extra_user_aggs`` (e.g. a per-slice sum summed again per user).
-    """
+def stitched_slices(cs: DataFrame, p: int, slice_polls: int = SLICE_POLLS,
+                    extra_slice_aggs: list[Column] | None = None,
+                    extra_cols: tuple[str, ...] = ()) -> DataFrame:
+    """One row per (user, slice): counts, first/last row, and the boundary flags
+    ``_b_start`` / ``_b_switch`` that the previous slice decides; ``_day`` is its UTC day."""
     slice_s = slice_length_s(p, slice_polls)
     rows = _sliced_rows(cs, p, slice_s, extra_cols)
     key = _row_key()
@@ -80,7 +93,11 @@ def sequence_metrics(cs: DataFrame, p: int, slice_polls: int = SLICE_POLLS,
                       F.sum("_start").alias("_starts"),
                       F.sum("_switch").alias("_switches"),
                       *(extra_slice_aggs or [])))
-    stitched = _stitch(per_slice, p)
+    return _stitch(per_slice, p).withColumn("_day", slice_day(F.col("_slice"), slice_s))
+
+
+def user_totals(stitched: DataFrame, extra_user_aggs: list[Column] | None = None) -> DataFrame:
+    """Per user from stitched slices: samples, sessions, switches, first/last seen."""
     return (stitched.groupBy("client_uid")
             .agg(F.sum("_n").cast("long").alias("total_samples"),
                  F.sum(F.col("_starts") + F.col("_b_start")).cast("long").alias("session_count"),
@@ -90,6 +107,18 @@ def sequence_metrics(cs: DataFrame, p: int, slice_polls: int = SLICE_POLLS,
                  *(extra_user_aggs or [])))
 
 
+def sequence_metrics(cs: DataFrame, p: int, slice_polls: int = SLICE_POLLS,
+                     extra_slice_aggs: list[Column] | None = None,
+                     extra_user_aggs: list[Column] | None = None,
+                     extra_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Per user: ``total_samples``, ``session_count``, ``channel_switches``, first/last seen.
+
+    ``extra_slice_aggs`` are computed per (user, slice) and must be re-aggregated
+    by ``extra_user_aggs`` (e.g. a per-slice sum summed again per user).
+    """
+    return user_totals(stitched_slices(cs, p, slice_polls, extra_slice_aggs, extra_cols), extra_user_aggs)
+
+
 def _nickname_aggs() -> tuple[list[Column], list[Column]]:
     """Latest nickname: latest row within a slice, then the latest slice."""
     return ([latest("nickname").alias("_nick")], [F.max_by("_nick", "_slice").alias("nickname")])

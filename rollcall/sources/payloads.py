@@ -124,6 +124,14 @@ def channel_updates(payloads: DataFrame) -> DataFrame:
 
 def ingest_client_payloads(payloads: DataFrame, include_query_clients: bool = False,
                            dedupe: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``(snapshots, clients)`` from client-list payloads."""
-    rows = client_list_rows(payloads, include_query_clients, dedupe)
-    return snapshots_from_rows(rows), clients_from_rows(rows)
+    """``(snapshots, clients)`` from client-list payloads.
+
+    The snapshot row of a poll is computed from its document alone (client
+    count without exploding), so only the client rows are exploded and
+    nothing is regrouped by poll.
+    """
+    docs = payloads.dropDuplicates(["poll_ts"]) if dedupe else payloads
+    counts = poll_counts(docs, include_query_clients)
+    snapshots = counts.select(F.col("poll_ts").alias("snapshot_id"), F.col("poll_ts").alias("ts"),
+                              "total_clients", utc_date("poll_ts").alias("event_date"))
+    return snapshots, clients_from_rows(client_list_rows(docs, include_query_clients, dedupe=False))
