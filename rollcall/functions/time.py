@@ -38,9 +38,17 @@ def iso_datetime(ts: str | Column = "ts") -> Column:
     return F.date_format(utc_timestamp(ts), "yyyy-MM-dd'T'HH:mm:ss")
 
 
-def duration_text(seconds: str | Column) -> Column:
-    """Short duration label: ``Nm`` under an hour, ``N.Nh`` under a day, else ``N.Nd``."""
-    s = _c(seconds).cast("double")
-    return (F.when(s < 3600, F.format_string("%dm", (s / 60).cast("long")))
-            .when(s < 86400, F.format_string("%.1fh", s / 3600))
-            .otherwise(F.format_string("%.1fd", s / 86400)))
+def datetime_text(ts: str | Column = "ts") -> Column:
+    """``YYYY-MM-DD HH:MM:SS`` (UTC)."""
+    return F.date_format(utc_timestamp(ts), "yyyy-MM-dd HH:mm:ss")
+
+
+def duration_text(hours: str | Column) -> Column:
+    """Duration label from hours: ``<minutes>m`` under an hour, ``<h.h>h`` under a
+    day, else ``<d.d>d``; rounded like Python's number formatting."""
+    from rollcall.functions.columns import round_half_even_exact
+
+    h = _c(hours).cast("double")
+    return (F.when(h < 1, F.format_string("%.0fm", round_half_even_exact(h * 60, 0)))
+            .when(h < 24, F.format_string("%.1fh", round_half_even_exact(h, 1)))
+            .otherwise(F.format_string("%.1fd", round_half_even_exact(h / 24, 1))))

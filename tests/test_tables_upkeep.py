@@ -153,3 +153,34 @@ def test_metrics_snapshot_gauges(spark):
     assert len(visits) == 20 and all(set(x["labels"]) == {"channel_id", "channel_name"} for x in visits)
     g = {x["name"]: x["value"] for x in out if not x["labels"]}
     assert g["ts_users_total"] == 7.0 and g["ts_channels_total"] == 25.0 and g["ts_snapshots_total"] == 5.0
+
+
+def test_sql_store_layout_to_presence(spark):
+    from rollcall.sources.sql_store import presence_from_sql_tables
+    from rollcall.functions.time import duration_text
+
+    snaps = spark.createDataFrame([(1, BASE, 2, "x"), (2, BASE + P, 0, "x")],
+                                  "id long, timestamp long, total_clients long, created_at string")
+    old = spark.createDataFrame([(10, 1, "a", 5, "amy", 3, 100), (11, 1, "b", None, "bob", 4, None),
+                                 (12, 99, "c", None, "orphan", 1, 0)],
+                                "id long, snapshot_id long, client_uid string, client_database_id long, "
+                                "nickname string, channel_id long, idle_ms long")
+    chans = spark.createDataFrame([(3, "Lobby", 0, 0, 2, BASE)],
+                                  "channel_id int, channel_name string, parent_channel_id int, channel_order int, "
+                                  "total_clients int, last_updated long")
+    pr = presence_from_sql_tables(snaps, old, chans, P)
+    got = {r["id"]: r for r in rows(pr.clients)}
+    assert set(got) == {10, 11}                        # the orphan is dropped
+    assert got[10]["ts"] == BASE and got[10]["is_away"] is False and got[10]["server_groups"] is None
+    assert got[10]["event_date"] == dt.date(2024, 1, 1)
+    flags = spark.createDataFrame([(20, 2, "a", "amy", 3, 1, 0, "2", None)],
+                                  "id long, snapshot_id long, client_uid string, nickname string, channel_id long, "
+                                  "is_away int, is_talking int, input_muted string, is_recording int")
+    r = one(presence_from_sql_tables(snaps, flags, chans, P).clients)
+    assert (r["is_away"], r["is_talking"], r["input_muted"], r["is_recording"]) == (True, False, False, False)
+    assert one(users.top_users(pr, None, 10).filter("client_uid = 'a'"))["sample_count"] == 1
+    hours = [0.5 / 60, 59 / 3600, 0.25, 1.0, 23.95, 25.0, 36.0]
+    out = [x[0] for x in spark.createDataFrame([(h,) for h in hours], "h double")
+           .select(duration_text("h")).collect()]
+    want = [f"{h * 60:.0f}m" if h < 1 else f"{h:.1f}h" if h < 24 else f"{h / 24:.1f}d" for h in hours]
+    assert out == want
