@@ -36,6 +36,25 @@ def build_session(master: str | None = None, app: str = "rollcall",
     return spark
 
 
+def cluster_settings(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a large cluster, sized from the bytes a job reads.
+
+    Shuffle partitions are set so each holds about ``target_partition_bytes``
+    before AQE coalesces small ones (never fewer than 2x the cores); scans are
+    split at the same size; AQE splits skewed join partitions.
+    """
+    parts = max(2 * int(cores), int(input_bytes) // int(target_partition_bytes) + 1)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def configure(spark: SparkSession) -> None:
     """Pin the settings the operators rely on in an existing session."""
     spark.conf.set("spark.sql.session.timeZone", SESSION_ZONE)
