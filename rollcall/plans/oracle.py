@@ -441,6 +441,19 @@ def ingest_snapshots():
     return "SELECT ts AS snapshot_id, ts, total_clients FROM sn"
 
 
+def ingest_channel_updates():
+    return f"""SELECT k % 12 + 1 AS channel_id,
+  'room ' || CAST(k % 12 + 1 AS VARCHAR) || '/' || CAST(user_id % 4 AS VARCHAR) AS channel_name,
+  k % 3 AS parent_channel_id, k % 12 AS channel_order, user_id % 7 AS total_clients,
+  tick * {P} AS last_updated,
+  tick * {P} * 1048576 + row_number() OVER (PARTITION BY tick ORDER BY event_id) - 1 AS list_seq
+FROM ev"""
+
+
+def first_seen():
+    return "SELECT client_uid, min(ts) AS first_ts FROM cs GROUP BY client_uid"
+
+
 def conform_layouts(old_days=15):
     cut = f"(SELECT as_of FROM prm) - {old_days * DAY}"
     old = f"ts < {cut}"
@@ -496,4 +509,6 @@ def oracle_sql() -> dict[str, str]:
         "ingest_clients": wrap(ingest_clients()),
         "ingest_snapshots": wrap(ingest_snapshots()),
         "conform_layouts": wrap(conform_layouts(15)),
+        "ingest_channel_updates": wrap(ingest_channel_updates()),
+        "first_seen": wrap(first_seen()),
     }

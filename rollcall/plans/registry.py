@@ -70,6 +70,12 @@ def _ingest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ingested(spark, sf_dir)[0].drop("event_date")
 
 
+def _ingest_channel_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return payloads.channel_updates(events_adapter.channel_payloads(events)).withColumnRenamed("_seq", "list_seq")
+
+
 def _conform_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pr = _presence(spark, sf_dir)
     cutoff = pr.latest_ts() - OLD_LAYOUT_DAYS * DAY_S
@@ -121,4 +127,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ingest_clients": _ingest_clients,
         "ingest_snapshots": _ingest_snapshots,
         "conform_layouts": _conform_layouts,
+        "ingest_channel_updates": _ingest_channel_updates,
+        "first_seen": _q(users.first_seen),
     }

@@ -157,3 +157,17 @@ def client_payloads(pr: Presence) -> DataFrame:
                     F.to_json(F.struct(F.struct(F.lit(0).alias("code"), F.lit("ok").alias("message")).alias("status"),
                                        F.coalesce(c("body"), F.array()).alias("body"))).alias("payload")))
     return docs
+
+
+def channel_payloads(events: DataFrame, poll_interval_s: int = ADAPTER_POLL_INTERVAL_S) -> DataFrame:
+    """Stand-in channel-list documents: each poll's observations as one JSON list (event-id order)."""
+    obs = channel_observations(events, poll_interval_s)
+    c = F.col
+    record = F.struct(c("_seq").alias("_order"), c("channel_id").alias("cid"),
+                      c("parent_channel_id").alias("pid"), c("channel_name"),
+                      c("channel_order").cast("string").alias("channel_order"),
+                      c("total_clients"))
+    lists = obs.groupBy("last_updated").agg(F.array_sort(F.collect_list(record)).alias("body"))
+    return lists.select(c("last_updated").alias("poll_ts"),
+                        F.to_json(F.struct(F.struct(F.lit(0).alias("code")).alias("status"), "body"))
+                        .alias("payload"))
