@@ -21,17 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollcall.functions.columns import latest, round2
+from rollcall.functions.columns import round2
 from rollcall.tables import Presence, check_limit
 
 SLICE_POLLS = 120          # 1 h at 30 s polls
 _ORDER = ("ts", "snapshot_id", "id")
 
 
-def _row_key() -> Column:
-    return F.struct(*[F.col(c) for c in _ORDER])
-
-
 DAY_S = 86400
 
 
@@ -53,17 +49,35 @@ def slice_day(slice_col: Column, slice_s: int) -> Column:
 
 
 def _sliced_rows(cs: DataFrame, p: int, slice_s: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Rows with in-slice predecessor flags: ``_start`` (gap > 2p) and ``_switch``."""
+    """Rows with in-slice predecessor flags.
+
+    ``_start`` (gap > 2p) and ``_switch`` (channel changed) compare with the
+    previous row of the slice; ``_first`` / ``_last`` mark the slice's first
+    and last rows, so per-slice first/last values are plain conditional
+    aggregates (fixed-width, no arg-max over structs).
+    """
     w = Window.partitionBy("client_uid", "_slice").orderBy(*_ORDER)
     cols = ["client_uid", "ts", "snapshot_id", "id", "channel_id", *extra]
     rows = cs.select(*cols, slice_id(F.col("ts"), slice_s).alias("_slice"))
     prev_ts = F.lag("ts").over(w)
     prev_ch = F.lag("channel_id").over(w)
     return (rows
+            .withColumn("_first", prev_ts.isNull())
+            .withColumn("_last", F.lead("id").over(w).isNull())
             .withColumn("_start", F.when(prev_ts.isNotNull() & ((F.col("ts") - prev_ts) > 2 * p), 1).otherwise(0))
             .withColumn("_switch", F.when(prev_ch.isNotNull() & (F.col("channel_id") != prev_ch), 1).otherwise(0)))
 
 
+def on_first(col: str) -> Column:
+    """Value of ``col`` on the slice's first row (an aggregate)."""
+    return F.max(F.when(F.col("_first"), F.col(col)))
+
+
+def on_last(col: str) -> Column:
+    """Value of ``col`` on the slice's last row (an aggregate)."""
+    return F.max(F.when(F.col("_last"), F.col(col)))
+
+
 def _stitch(per_slice: DataFrame, p: int) -> DataFrame:
     """Adds the predecessor of each slice's first row, from the previous slice."""
     w = Window.partitionBy("client_uid").orderBy("_slice")
@@ -83,13 +97,12 @@ def stitched_slices(cs: DataFrame, p: int, slice_polls: int = SLICE_POLLS,
     ``_b_start`` / ``_b_switch`` that the previous slice decides; ``_day`` is its UTC day."""
     slice_s = slice_length_s(p, slice_polls)
     rows = _sliced_rows(cs, p, slice_s, extra_cols)
-    key = _row_key()
     per_slice = (rows.groupBy("client_uid", "_slice")
                  .agg(F.count(F.lit(1)).alias("_n"),
                       F.min("ts").alias("_first_ts"),
                       F.max("ts").alias("_last_ts"),
-                      F.min_by("channel_id", key).alias("_first_ch"),
-                      F.max_by("channel_id", key).alias("_last_ch"),
+                      on_first("channel_id").alias("_first_ch"),
+                      on_last("channel_id").alias("_last_ch"),
                       F.sum("_start").alias("_starts"),
                       F.sum("_switch").alias("_switches"),
                       *(extra_slice_aggs or [])))
@@ -120,8 +133,8 @@ def sequence_metrics(cs: DataFrame, p: int, slice_polls: int = SLICE_POLLS,
 
 
 def _nickname_aggs() -> tuple[list[Column], list[Column]]:
-    """Latest nickname: latest row within a slice, then the latest slice."""
-    return ([latest("nickname").alias("_nick")], [F.max_by("_nick", "_slice").alias("nickname")])
+    """Latest nickname: the slice's last row, then the latest slice."""
+    return ([on_last("nickname").alias("_nick")], [F.max_by("_nick", "_slice").alias("nickname")])
 
 
 def channel_switches(pr: Presence, days: int | None = 7, limit: int = 10,
@@ -180,17 +193,16 @@ def sessions(pr: Presence, days: int | None = 7, slice_polls: int = SLICE_POLLS,
     w_run = (Window.partitionBy("client_uid", "_slice").orderBy(*_ORDER)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = rows.withColumn("_local", F.sum("_start").over(w_run))
-    key = _row_key()
     pieces = (local.groupBy("client_uid", "_slice", "_local")
               .agg(F.min("ts").alias("_start_ts"), F.max("ts").alias("_end_ts"),
                    F.count(F.lit(1)).alias("_n"),
-                   F.min_by("channel_id", key).alias("_first_ch_piece"),
-                   F.max_by("channel_id", key).alias("_last_ch_piece")))
+                   on_first("channel_id").alias("_first_ch_piece"),
+                   on_last("channel_id").alias("_last_ch_piece")))
     per_slice = (pieces.groupBy("client_uid", "_slice")
                  .agg(F.min("_start_ts").alias("_first_ts"), F.max("_end_ts").alias("_last_ts"),
                       F.max("_local").alias("_starts"),
-                      F.min_by("_first_ch_piece", "_local").alias("_first_ch"),
-                      F.max_by("_last_ch_piece", "_local").alias("_last_ch")))
+                      F.max("_first_ch_piece").alias("_first_ch"),
+                      F.max("_last_ch_piece").alias("_last_ch")))
     w_before = (Window.partitionBy("client_uid").orderBy("_slice")
                 .rowsBetween(Window.unboundedPreceding, -1))
     offsets = (_stitch(per_slice, p)
