@@ -13,21 +13,16 @@ from rollcall.tables import Presence
 MAX_BROADCAST_ROWS = 200_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` when it provably has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows of the dimension.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def channel_names(channels: DataFrame) -> DataFrame:
     return channels.select("channel_id", F.col("channel_name").alias("_raw_name"))
 
 
 def channel_side(pr: Presence) -> DataFrame:
-    """Name side of the join, broadcast when the size check passes (checked once)."""
+    """Name side of the join, broadcast when the size check passes.
+
+    The check counts at most ``MAX_BROADCAST_ROWS + 1`` rows of the dimension,
+    once per table set; above the bound the planner (and AQE) pick the join.
+    """
     small = pr.memo("channels_small",
                     lambda: pr.channels.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS)
     names = channel_names(pr.channels)

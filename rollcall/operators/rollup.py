@@ -55,3 +55,15 @@ def write_user_daily(rollup: DataFrame, path: str) -> None:
     (rollup.write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
      .partitionBy("date").parquet(path))
+
+
+def previous_day(as_of: int) -> _dt.date:
+    """The UTC day before ``as_of``: the day a periodic rollup job (re)computes."""
+    return (_dt.datetime.fromtimestamp(int(as_of), _dt.timezone.utc) - _dt.timedelta(days=1)).date()
+
+
+def rollup_previous_day(pr: Presence, as_of: int | None = None) -> DataFrame:
+    """Rollup rows of the day before ``as_of`` (default: the latest poll); upsert them with
+    :func:`write_user_daily`.  Re-running it replaces that day only."""
+    as_of = pr.latest_ts() if as_of is None else as_of
+    return daily_user_rollup(pr, [previous_day(as_of or 0)])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rollcall.functions.columns import latest, pct, round2
 from rollcall.functions.time import weekday_sun0
 from rollcall.operators.dimension import with_channel_names
-from rollcall.tables import Presence, TimeRange, check_limit
+from rollcall.tables import Presence, check_limit
 
 
 def top_users(pr: Presence, days: int | None = 7, limit: int = 10,
@@ -145,6 +145,17 @@ def first_seen(pr: Presence) -> DataFrame:
     return pr.clients.groupBy("client_uid").agg(F.min("ts").alias("first_ts"))
 
 
+def merge_first_seen(first_seen_table: DataFrame, new_clients: DataFrame) -> DataFrame:
+    """Fold newly ingested client rows into the first-seen table (one row per user).
+
+    New rows are pre-aggregated per user before the union, so the shuffle
+    carries at most one row per user from each side.
+    """
+    fresh = new_clients.groupBy("client_uid").agg(F.min("ts").alias("first_ts"))
+    return (first_seen_table.select("client_uid", "first_ts").unionByName(fresh)
+            .groupBy("client_uid").agg(F.min("first_ts").alias("first_ts")))
+
+
 def growth_metrics(pr: Presence, days: int = 7, as_of: int | None = None,
                    first_seen_table: DataFrame | None = None) -> DataFrame:
     """Active, new (first sample ever inside the range) and returning users.
