@@ -10,9 +10,9 @@ user's whole history in one task, so the history is cut into time slices of
 2. one shuffle of the summaries (users x slices rows) on ``client_uid``: LAG
    over slices supplies the predecessor of each slice's first row.
 
-The result is exactly the LAG over the full history; no task holds more than
-one user's rows of one slice, and the second stage is smaller by about the
-slice length.  Slices never cross UTC midnight (a slice is at most a day), so
+The result is exactly the LAG over the full history; no window partition holds
+more than one user's rows of one slice, and the second stage is smaller by
+about the slice length.  Slices never cross UTC midnight (a slice is at most a day), so
 per-day counts come from the slice summaries without another pass.
 """
 

@@ -20,6 +20,7 @@ ONBOARDING_ORIGIN_TICK = 118338        # first poll of 2024-01-01 at 4 h polls
 CHANNEL_COUNT = 12                     # channel ids 1..12
 DIMENSION_NATIONS = 10                 # nations 0..9 become channels 1..10
 BLANK_NAME_NATION = 3                  # this nation's channel gets an empty name
+TICK_CHUNK = 10_000                    # poll ticks generated per grid row
 
 
 def _k() -> F.Column:
@@ -68,13 +69,21 @@ def snapshot_rows(events: DataFrame, clients: DataFrame,
                   poll_interval_s: int = ADAPTER_POLL_INTERVAL_S) -> DataFrame:
     """One row per poll tick between the first and last event, also when empty.
 
-    The tick grid has span / interval rows (a time bound, not a data bound);
-    the client count per tick is a partial aggregate joined onto the grid.
+    The tick grid has span / interval rows (a time bound, not a data bound).
+    It is generated in chunks of ``TICK_CHUNK`` ticks spread over tasks, so no
+    single row or task holds the whole grid.  The client count per tick is a
+    partial aggregate joined onto the grid.
     """
     p = int(poll_interval_s)
     tick = F.floor(F.unix_timestamp(F.col("ts")) / p).cast("long")
     bounds = events.agg(F.min(tick).alias("lo"), F.max(tick).alias("hi"))
-    grid = bounds.select(F.explode(F.sequence("lo", "hi")).alias("snapshot_id"))
+    chunks = (bounds.select("lo", "hi", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                             F.floor((F.col("hi") - F.col("lo")) / TICK_CHUNK)
+                                                             .cast("long"))).alias("_chunk"))
+              .repartition("_chunk"))
+    start = F.col("lo") + F.col("_chunk") * TICK_CHUNK
+    grid = chunks.select(F.explode(F.sequence(start, F.least(F.col("hi"), start + (TICK_CHUNK - 1))))
+                         .alias("snapshot_id"))
     counts = clients.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("total_clients"))
     return (grid.join(counts, "snapshot_id", "left")
             .select("snapshot_id",

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,7 +103,7 @@ def _write_current(batch: DataFrame, batch_id: int, path: str) -> None:
             return
         try:
             stored = batch.sparkSession.read.parquet(path).agg(F.max("snapshot_id").alias("m")).first()["m"]
-        except Exception:  # first batch: nothing stored yet
+        except AnalysisException:  # first batch: nothing stored yet
             stored = None
         if stored is not None and stored >= newest:
             return
@@ -124,19 +125,30 @@ def start_current_presence(spark: SparkSession, landing_dir: str, current_path:
 
 
 def latest_channels(spark: SparkSession, root: str) -> DataFrame:
-    """The newest version of the channel dimension written by :func:`start_channel_upkeep`."""
-    versions = sorted(d for d in os.listdir(root) if d.startswith("v="))
-    if not versions:
+    """The newest version of the channel dimension written by :func:`start_channel_upkeep`.
+
+    Versions are ``v=<batch id>`` directories found by Spark's partition
+    discovery, so any file system Spark reads (HDFS, object stores) works.
+    """
+    with_version = T.StructType(schemas.CHANNELS.fields + [T.StructField("v", T.LongType(), True)])
+    try:
+        versions = spark.read.schema(with_version).parquet(root)
+        newest = versions.agg(F.max("v").alias("m")).first()["m"]
+    except AnalysisException:  # nothing written yet
+        newest = None
+    if newest is None:
         return spark.createDataFrame([], schemas.CHANNELS)
-    return spark.read.schema(schemas.CHANNELS).parquet(os.path.join(root, versions[-1]))
+    return versions.filter(F.col("v") == F.lit(newest)).drop("v")
 
 
 def _upkeep_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     spark = batch.sparkSession
-    current = latest_channels(spark, root) if os.path.isdir(root) else spark.createDataFrame([], schemas.CHANNELS)
+    current = latest_channels(spark, root)
     updates = payloads.channel_updates(batch.select("poll_ts", "payload"))
     merged = upsert_channels(current, updates, seq_col="_seq")
-    merged.coalesce(1).write.mode("overwrite").parquet(os.path.join(root, f"v={batch_id:09d}"))
+    # the read above listed the existing versions when it was created, so
+    # writing a new version directory next to them does not change its input
+    merged.coalesce(1).write.mode("overwrite").parquet(os.path.join(root, f"v={batch_id}"))
 
 
 def start_channel_upkeep(spark: SparkSession, landing_dir: str, dimension_root: str,
