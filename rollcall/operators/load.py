@@ -37,14 +37,11 @@ def daily_activity(pr: Presence, days: int | None = 30, as_of: int | None = None
 def relative_load(df: DataFrame, value: str = "avg_clients", width: int = BAR_WIDTH) -> DataFrame:
     """Adds ``bar`` = ``int(value / max(value) * width)``, 0 when the maximum is 0.
 
-    The maximum is a one-row aggregate broadcast back onto the (already
-    aggregated, at most 24-row) load curve.
+    The maximum is a scalar subquery over the (already aggregated) curve.
     """
-    mx = df.agg(F.max(value).alias("_max"))
-    ratio = F.try_divide(F.col(value).cast("double"), F.col("_max").cast("double")) * width
-    return (df.crossJoin(F.broadcast(mx))
-            .withColumn("bar", F.when(F.col("_max") > 0, ratio.cast("long")).otherwise(F.lit(0)).cast("int"))
-            .drop("_max"))
+    mx = df.agg(F.max(value)).scalar()
+    ratio = F.try_divide(F.col(value).cast("double"), mx.cast("double")) * width
+    return df.withColumn("bar", F.when(mx > 0, ratio.cast("long")).otherwise(F.lit(0)).cast("int"))
 
 
 def peak_times(pr: Presence, days: int | None = 7, limit: int = 10,
@@ -65,9 +62,8 @@ def summary(pr: Presence, days: int | None = 7, as_of: int | None = None) -> Dat
         F.count(F.lit(1)).alias("total_snapshots"),
         round2(F.coalesce(F.avg("total_clients"), F.lit(0.0))).alias("avg_users_online"),
         F.coalesce(F.max("total_clients"), F.lit(0)).cast("long").alias("max_users_online"))
-    users = (pr.clients_in(rng).select("client_uid").distinct()
-             .agg(F.count(F.lit(1)).alias("unique_users")))
-    return polls.crossJoin(F.broadcast(users))
+    users = pr.clients_in(rng).select("client_uid").distinct().agg(F.count(F.lit(1))).scalar()
+    return polls.withColumn("unique_users", users)
 
 
 def dataset_stats(pr: Presence) -> DataFrame:
@@ -75,8 +71,7 @@ def dataset_stats(pr: Presence) -> DataFrame:
     polls = pr.snapshots.agg(F.count(F.lit(1)).alias("snapshot_count"),
                              F.min("ts").alias("first_snapshot_timestamp"),
                              F.max("ts").alias("last_snapshot_timestamp"))
-    rows = pr.clients.agg(F.count(F.lit(1)).alias("client_snapshot_count"))
-    users = pr.clients.select("client_uid").distinct().agg(F.count(F.lit(1)).alias("unique_clients"))
-    return (polls.crossJoin(F.broadcast(rows)).crossJoin(F.broadcast(users))
-            .select("snapshot_count", "client_snapshot_count", "unique_clients",
-                    "first_snapshot_timestamp", "last_snapshot_timestamp"))
+    rows = pr.clients.agg(F.count(F.lit(1))).scalar()
+    users = pr.clients.select("client_uid").distinct().agg(F.count(F.lit(1))).scalar()
+    return polls.select("snapshot_count", rows.alias("client_snapshot_count"), users.alias("unique_clients"),
+                        "first_snapshot_timestamp", "last_snapshot_timestamp")

@@ -51,13 +51,15 @@ def ltv_scores(pr: Presence, days: int | None = None, slice_polls: int = SLICE_P
     channels = (stitched.select("client_uid", F.explode("_channels").alias("_ch")).distinct()
                 .groupBy("client_uid").agg(F.count(F.lit(1)).alias("channels_visited")))
     users = base.join(channels, "client_uid")
-    norms = users.agg(F.max("total_samples").alias("_mn"), F.max("days_active").alias("_md"),
-                      F.max("talking_samples").alias("_mk"), F.max("channels_visited").alias("_mc"))
+    # normalizers: one scalar subquery over the per-user rows (maxima before the n > 5 filter)
+    norms = users.agg(F.struct(F.max("total_samples").alias("mn"), F.max("days_active").alias("md"),
+                               F.max("talking_samples").alias("mk"), F.max("channels_visited").alias("mc"))
+                      ).scalar()
     n, d = F.col("total_samples").cast("double"), F.col("days_active").cast("double")
     k, c = F.col("talking_samples").cast("double"), F.col("channels_visited").cast("double")
-    talk_term = F.when(F.col("_mk") > 0, k / F.col("_mk") * 20).otherwise(F.lit(0.0))
-    raw = ((n / F.col("_mn") * 40) + (d / F.col("_md") * 30)) + talk_term + (c / F.col("_mc") * 10)
-    scored = (users.crossJoin(F.broadcast(norms))
+    talk_term = F.when(norms["mk"] > 0, k / norms["mk"] * 20).otherwise(F.lit(0.0))
+    raw = ((n / norms["mn"] * 40) + (d / norms["md"] * 30)) + talk_term + (c / norms["mc"] * 10)
+    scored = (users
               .filter(F.col("total_samples") > MIN_SAMPLES)
               .withColumn("ltv_score", raw.cast("long")))
     avg_idle = safe_div("_idle_sum", "_idle_n")

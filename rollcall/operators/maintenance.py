@@ -47,9 +47,9 @@ def retain(pr: Presence, as_of: int, days: int) -> tuple[Presence, DataFrame]:
     cutoff = retention_cutoff(as_of, days)
     keep_sn = pr.snapshots.filter(F.col("ts") >= F.lit(cutoff))
     keep_cs = pr.clients.filter(F.col("ts") >= F.lit(cutoff))
+    removed_rows = pr.clients.filter(F.col("ts") < F.lit(cutoff)).agg(F.count(F.lit(1))).scalar()
     removed = (pr.snapshots.filter(F.col("ts") < F.lit(cutoff)).agg(F.count(F.lit(1)).alias("removed_snapshots"))
-               .crossJoin(F.broadcast(pr.clients.filter(F.col("ts") < F.lit(cutoff))
-                                      .agg(F.count(F.lit(1)).alias("removed_client_rows")))))
+               .withColumn("removed_client_rows", removed_rows))
     kept = Presence(keep_sn, keep_cs, pr.channels, pr.poll_interval_s)
     return kept, removed
 
@@ -58,9 +58,10 @@ def retention_report(pr: Presence, days: int, as_of: int | None = None) -> DataF
     """Removed and kept counts for a retention of ``days`` days; one row."""
     as_of = pr.latest_ts() if as_of is None else as_of
     kept, removed = retain(pr, as_of or 0, days)
-    kept_counts = (kept.snapshots.agg(F.count(F.lit(1)).alias("kept_snapshots"))
-                   .crossJoin(F.broadcast(kept.clients.agg(F.count(F.lit(1)).alias("kept_client_rows")))))
-    return removed.crossJoin(F.broadcast(kept_counts))
+    kept_snaps = kept.snapshots.agg(F.count(F.lit(1))).scalar()
+    kept_rows = kept.clients.agg(F.count(F.lit(1))).scalar()
+    return removed.select("removed_snapshots", "removed_client_rows",
+                          kept_snaps.alias("kept_snapshots"), kept_rows.alias("kept_client_rows"))
 
 
 def write_retained(pr: Presence, as_of: int, days: int, new_root: str) -> DataFrame:

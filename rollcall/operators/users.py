@@ -169,9 +169,8 @@ def growth_metrics(pr: Presence, days: int = 7, as_of: int | None = None,
     active = (pr.clients_in(rng).select("client_uid").distinct()
               .agg(F.count(F.lit(1)).alias("total_unique_users")))
     fs = first_seen_table if first_seen_table is not None else first_seen(pr)
-    new = (fs.filter(rng.contains("first_ts"))
-           .agg(F.count(F.lit(1)).alias("new_users")))
-    return (active.crossJoin(F.broadcast(new))
+    new = fs.filter(rng.contains("first_ts")).agg(F.count(F.lit(1)).alias("new_users")).scalar()
+    return (active.withColumn("new_users", new)
             .select(F.col("total_unique_users"), F.col("new_users"),
                     (F.col("total_unique_users") - F.col("new_users")).alias("returning_users"),
                     pct("new_users", "total_unique_users").alias("new_user_percentage")))

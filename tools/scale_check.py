@@ -67,8 +67,7 @@ def main(argv):
                                  "spark.sql.adaptive.coalescePartitions.enabled": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     base = load_adapter(spark, "/root/testdata/sf0.1")
-    copies = spark.range(reps).withColumnRenamed("id", "_copy")
-    cs = base.clients.crossJoin(F.broadcast(copies))
+    cs = base.clients.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     uid = F.concat(F.col("client_uid"), F.lit("_"), F.col("_copy").cast("string"))
     if hot:
         uid = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(uid)
