@@ -10,10 +10,12 @@ user's whole history in one task, so the history is cut into time slices of
 2. one shuffle of the summaries (users x slices rows) on ``client_uid``: LAG
    over slices supplies the predecessor of each slice's first row.
 
-The result is exactly the LAG over the full history; no window partition holds
-more than one user's rows of one slice, and the second stage is smaller by
-about the slice length.  Slices never cross UTC midnight (a slice is at most a day), so
-per-day counts come from the slice summaries without another pass.
+The result is exactly the LAG over the full history.  A window partition holds
+one user's rows of one slice: at most ``slice_polls`` polls times the rows one
+identity has in a poll (bounded by the server's client slots), however much
+history the user has.  The second stage is smaller by about the slice length.
+Slices never cross UTC midnight (a slice is at most a day), so per-day counts
+come from the slice summaries without another pass.
 """
 
 from __future__ import annotations
@@ -25,10 +27,8 @@ from rollcall.functions.columns import round2
 from rollcall.tables import Presence, check_limit
 
 SLICE_POLLS = 120          # 1 h at 30 s polls
-_ORDER = ("ts", "snapshot_id", "id")
-
-
 DAY_S = 86400
+_ORDER = ("ts", "snapshot_id", "id")
 
 
 def slice_length_s(poll_interval_s: int, slice_polls: int = SLICE_POLLS) -> int:
@@ -36,7 +36,7 @@ def slice_length_s(poll_interval_s: int, slice_polls: int = SLICE_POLLS) -> int:
 
 
 def slice_id(ts: Column, slice_s: int) -> Column:
-    """Slice number, increasing with time; ``slices_per_day`` slices start at each UTC midnight."""
+    """Slice number, increasing with time; each UTC day has ``ceil(86400 / slice_s)`` slices."""
     per_day = -(-DAY_S // slice_s)
     day = F.floor(ts / F.lit(DAY_S))
     return (day * per_day + F.floor((ts - day * DAY_S) / F.lit(slice_s))).cast("long")
