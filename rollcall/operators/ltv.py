@@ -25,23 +25,32 @@ POWER_SCORE = 80
 REGULAR_SCORE = 50
 
 
+def _slice_summaries(cs: DataFrame, p: int, slice_polls: int) -> DataFrame:
+    return stitched_slices(
+        cs, p, slice_polls,
+        extra_slice_aggs=[F.max("nickname").alias("_nick"),
+                          F.count_if(F.col("is_talking")).alias("_talk"),
+                          F.sum("idle_ms").alias("_idle_sum"),
+                          F.count("idle_ms").alias("_idle_n"),
+                          F.collect_set("channel_id").alias("_channels")],
+        extra_cols=("nickname", "is_talking", "idle_ms"))
+
+
 def ltv_scores(pr: Presence, days: int | None = None, slice_polls: int = SLICE_POLLS,
                as_of: int | None = None) -> DataFrame:
-    """All scored users (``n > 5``) with every derived column; unordered."""
+    """All scored users (``n > 5``) with every derived column; unordered.
+
+    The per-(user, slice) summaries are persisted so the fact is read once;
+    identical calls (same range) share that cache, and
+    :func:`release_cached_summaries` (or ``spark.catalog.clearCache()``) frees it.
+    """
     p = pr.poll_interval_s
     rng = pr.time_range(days, as_of)
     cs = pr.clients_in(rng)
     # One pass over the fact: per (user, slice) summaries, kept for the three
     # consumers below (totals, distinct channels, normalizers).  Its size is
     # users x slices; MEMORY_AND_DISK spills, and a lost block is recomputed.
-    stitched = stitched_slices(
-        cs, p, slice_polls,
-        extra_slice_aggs=[F.max("nickname").alias("_nick"),
-                          F.count_if(F.col("is_talking")).alias("_talk"),
-                          F.sum("idle_ms").alias("_idle_sum"),
-                          F.count("idle_ms").alias("_idle_n"),
-                          F.collect_set("channel_id").alias("_channels")],
-        extra_cols=("nickname", "is_talking", "idle_ms")).persist(StorageLevel.MEMORY_AND_DISK)
+    stitched = _slice_summaries(cs, p, slice_polls).persist(StorageLevel.MEMORY_AND_DISK)
     base = user_totals(stitched, [F.max("_nick").alias("nickname"),
                                   F.sum("_talk").cast("long").alias("talking_samples"),
                                   F.sum("_idle_sum").alias("_idle_sum"),
@@ -85,6 +94,13 @@ def ltv_scores(pr: Presence, days: int | None = None, slice_polls: int = SLICE_P
         "first_seen", "last_seen")
 
 
+def release_cached_summaries(pr: Presence, days: int | None = None, slice_polls: int = SLICE_POLLS,
+                             as_of: int | None = None) -> None:
+    """Unpersist the slice summaries cached by :func:`ltv_scores` for this range."""
+    rng = pr.time_range(days, as_of)
+    _slice_summaries(pr.clients_in(rng), pr.poll_interval_s, slice_polls).unpersist()
+
+
 def lifetime_value(pr: Presence, days: int | None = None, limit: int = 50,
                    slice_polls: int = SLICE_POLLS, as_of: int | None = None) -> DataFrame:
     """Top ``limit`` users by score (ties by user id)."""

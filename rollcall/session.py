@@ -64,12 +64,14 @@ def configure(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared file
-    system); a local scratch folder is created only when it is unset, as in
-    tests on one machine.
+    This is whatever ``spark.checkpoint.dir`` names (a shared file system on a
+    cluster).  Only a local-mode session without that setting, as in tests,
+    gets a scratch folder of its own; on a cluster the setting is required.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         current = tempfile.mkdtemp(prefix="rollcall-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:

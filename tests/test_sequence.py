@@ -133,3 +133,11 @@ def test_ltv_score_by_hand_and_no_talkers(spark):
     assert s["power_users_percent"] == 50.0 and s["casual_users"] == 0
     top = rows(ltv.lifetime_value(pr, None, 1))
     assert [x["client_uid"] for x in top] == ["a"]
+
+
+def test_ltv_cache_release(spark):
+    r = [client(i, BASE + i * P, uid=f"u{i % 2}", talk=i % 3 == 0) for i in range(40)]
+    pr = presence(spark, r, p=P)
+    before = ltv.ltv_summary(pr).first()["total_users"]
+    ltv.release_cached_summaries(pr)
+    assert ltv.ltv_summary(pr).first()["total_users"] == before == 2
