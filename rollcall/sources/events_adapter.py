@@ -28,6 +28,14 @@ def _k() -> F.Column:
 
 
 def client_rows(events: DataFrame, poll_interval_s: int = ADAPTER_POLL_INTERVAL_S) -> DataFrame:
+    """One fact row per kept event.
+
+    The row filter is part of the fixture's input definition, not a sample:
+    ``k >= (user_id % 10) * 10`` makes activity uneven across users, and
+    ``tick - origin >= (user_id % 30) * 6`` staggers when users first appear
+    (so new versus returning users are meaningful).  Every question then runs
+    over all rows this produces.
+    """
     p = int(poll_interval_s)
     k = F.col("k")
     uid = F.col("user_id")
