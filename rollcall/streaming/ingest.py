@@ -60,6 +60,10 @@ def _write_batch(batch: DataFrame, batch_id: int, root: str, include_query_clien
         snaps, clients = payloads.ingest_client_payloads(batch, include_query_clients, dedupe=False)
         tag = f"batch={batch_id:09d}"
         clients.write.mode("overwrite").partitionBy("event_date").parquet(os.path.join(root, "clients", tag))
+        # per-user first sample of this batch: growth reads this small table, not the history
+        (clients.groupBy("client_uid").agg(F.min("ts").alias("first_ts"))
+         .write.mode("overwrite").parquet(os.path.join(root, "first_seen", tag)))
+        # snapshots last: their presence marks the batch as committed
         snaps.write.mode("overwrite").partitionBy("event_date").parquet(os.path.join(root, "snapshots", tag))
     finally:
         batch.unpersist()
@@ -94,6 +98,21 @@ def committed_presence(spark: SparkSession, table_root: str, channels: DataFrame
     return Presence(sn, cs, channels, poll_interval_s)
 
 
+def committed_first_seen(spark: SparkSession, table_root: str) -> DataFrame:
+    """``client_uid, first_ts`` over committed batches (for :func:`rollcall.operators.users.growth_metrics`).
+
+    Each batch adds at most one row per user; the fold is a partial aggregate.
+    """
+    schema = T.StructType([T.StructField("client_uid", T.StringType()), T.StructField("first_ts", T.LongType()),
+                           T.StructField("batch", T.StringType())])
+    snap_schema = T.StructType(schemas.SNAPSHOTS.fields + [T.StructField("batch", T.StringType(), True)])
+    fs = spark.read.schema(schema).parquet(os.path.join(table_root, "first_seen"))
+    committed = (spark.read.schema(snap_schema).parquet(os.path.join(table_root, "snapshots"))
+                 .select("batch").distinct())
+    return (fs.join(committed, "batch", "left_semi")
+            .groupBy("client_uid").agg(F.min("first_ts").alias("first_ts")))
+
+
 def _write_current(batch: DataFrame, batch_id: int, path: str) -> None:
     """Keep the rows of the newest poll seen so far (a one-poll table)."""
     batch = batch.persist()

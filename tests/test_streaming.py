@@ -8,7 +8,7 @@ from frames import BASE, rows
 from rollcall.operators import sequence, users
 from rollcall.sources import payloads
 from rollcall.streaming import (
-    client_stream, committed_presence, hourly_concurrency, latest_channels, poll_stream, session_stream,
+    client_stream, committed_first_seen, committed_presence, hourly_concurrency, latest_channels, poll_stream, session_stream,
     start_channel_upkeep, start_current_presence, start_presence_ingest,
 )
 from rollcall.tables import Presence
@@ -58,6 +58,11 @@ def test_ingest_in_batches_with_duplicates_and_late_polls(spark, tmp_path):
     sn, cs = payloads.ingest_client_payloads(texts)
     batch = Presence(sn, cs, pr.channels, P)
     assert rows(users.top_users(batch, None, 10)) == rows(users.top_users(pr, None, 10))
+    fs = committed_first_seen(spark, root)
+    assert sorted(rows(fs), key=lambda r: r["client_uid"]) == \
+        sorted(rows(users.first_seen(pr)), key=lambda r: r["client_uid"])
+    as_of = BASE + 5 * P
+    assert rows(users.growth_metrics(pr, 1, as_of, first_seen_table=fs)) == rows(users.growth_metrics(pr, 1, as_of))
 
 
 def test_torn_batch_is_hidden_until_its_snapshots_exist(spark, tmp_path):
