@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Order of client rows inside a user's history: time, then poll, then row id.
 ROW_ORDER = ("ts", "snapshot_id", "id")
 
+# Fixed value: label prefix of a channel without a cached name ("Channel 7").
+CHANNEL_LABEL_PREFIX = "Channel "
+
 
 def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -58,7 +61,7 @@ def channel_label(channel_id: str | Column = "channel_id",
     """The cached name, or ``Channel <id>`` when it is missing or empty."""
     name = _c(channel_name)
     return F.when(name.isNull() | (name == ""),
-                  F.concat(F.lit("Channel "), _c(channel_id).cast("string"))).otherwise(name)
+                  F.concat(F.lit(CHANNEL_LABEL_PREFIX), _c(channel_id).cast("string"))).otherwise(name)
 
 
 def latest(col: str | Column, order: tuple[str, ...] = ROW_ORDER) -> Column:

@@ -20,9 +20,25 @@ from rollcall.functions.columns import pct, round2, safe_div
 from rollcall.operators.sequence import SLICE_POLLS, stitched_slices, user_totals
 from rollcall.tables import Presence, check_limit
 
+# Fixed values of the engagement score: term weights (samples, active days,
+# talking samples, distinct channels), the minimum samples to be scored, and
+# the categories as (code, label, lowest score), highest first.
+WEIGHTS = (40, 30, 20, 10)
 MIN_SAMPLES = 5
-POWER_SCORE = 80
-REGULAR_SCORE = 50
+CATEGORIES = [
+    ("power_user", "Power User", 80),
+    ("regular", "Regular User", 50),
+    ("casual", "Casual User", 0),
+]
+
+
+def _category(score, field: int) -> F.Column:
+    """Code (``field=0``) or label (``field=1``) of the first category whose lowest score is reached."""
+    expr = None
+    for entry in CATEGORIES[:-1]:
+        cond = score >= entry[2]
+        expr = F.when(cond, entry[field]) if expr is None else expr.when(cond, entry[field])
+    return expr.otherwise(CATEGORIES[-1][field])
 
 
 def _slice_summaries(cs: DataFrame, p: int, slice_polls: int) -> DataFrame:
@@ -66,18 +82,17 @@ def ltv_scores(pr: Presence, days: int | None = None, slice_polls: int = SLICE_P
                       ).scalar()
     n, d = F.col("total_samples").cast("double"), F.col("days_active").cast("double")
     k, c = F.col("talking_samples").cast("double"), F.col("channels_visited").cast("double")
-    talk_term = F.when(norms["mk"] > 0, k / norms["mk"] * 20).otherwise(F.lit(0.0))
-    raw = ((n / norms["mn"] * 40) + (d / norms["md"] * 30)) + talk_term + (c / norms["mc"] * 10)
+    w_n, w_d, w_k, w_c = WEIGHTS
+    talk_term = F.when(norms["mk"] > 0, k / norms["mk"] * w_k).otherwise(F.lit(0.0))
+    raw = ((n / norms["mn"] * w_n) + (d / norms["md"] * w_d)) + talk_term + (c / norms["mc"] * w_c)
     scored = (users
               .filter(F.col("total_samples") > MIN_SAMPLES)
               .withColumn("ltv_score", raw.cast("long")))
     avg_idle = safe_div("_idle_sum", "_idle_n")
     hours = F.col("total_samples") * p / 3600.0
     span_days = (F.col("last_seen") - F.col("first_seen")) / 86400.0
-    category = (F.when(F.col("ltv_score") >= POWER_SCORE, "power_user")
-                .when(F.col("ltv_score") >= REGULAR_SCORE, "regular").otherwise("casual"))
-    label = (F.when(F.col("ltv_score") >= POWER_SCORE, "Power User")
-             .when(F.col("ltv_score") >= REGULAR_SCORE, "Regular User").otherwise("Casual User"))
+    category = _category(F.col("ltv_score"), 0)
+    label = _category(F.col("ltv_score"), 1)
     return scored.select(
         "client_uid", "nickname", "ltv_score",
         category.alias("category"), label.alias("category_label"),
@@ -117,9 +132,8 @@ def ltv_summary(pr: Presence, days: int | None = None, slice_polls: int = SLICE_
     agg = scores.agg(
         F.count(F.lit(1)).alias("total_users"),
         F.avg("ltv_score").alias("_avg"),
-        F.count_if(F.col("category") == "power_user").alias("power_users"),
-        F.count_if(F.col("category") == "regular").alias("regular_users"),
-        F.count_if(F.col("category") == "casual").alias("casual_users"))
+        *[F.count_if(F.col("category") == code).alias(f"{name}_users")
+          for (code, _, _), name in zip(CATEGORIES, ("power", "regular", "casual"))])
     return agg.select(
         "total_users",
         F.coalesce(round2("_avg"), F.lit(0.0)).alias("avg_ltv_score"),

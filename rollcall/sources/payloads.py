@@ -18,6 +18,11 @@ from rollcall.functions.time import utc_date
 # Row ids: poll time in the high bits, position in the client list below.
 POSITION_BITS = 20
 
+# Stored defaults for fields missing from a poll record.
+DEFAULT_UID = "unknown"
+DEFAULT_NICKNAME = "Unknown"
+DEFAULT_CHANNEL_NAME = "Unknown Channel"
+
 
 def read_payload_text(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines ``{"poll_ts": ..., "payload": {...}}`` as ``poll_ts, payload`` text."""
@@ -91,9 +96,9 @@ def clients_from_rows(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         ((c("poll_ts") * (1 << POSITION_BITS)) + c("pos")).cast("long").alias("id"),
         c("poll_ts").alias("snapshot_id"),
         c("poll_ts").alias("ts"),
-        F.coalesce(c("c.client_unique_identifier"), F.lit("unknown")).alias("client_uid"),
+        F.coalesce(c("c.client_unique_identifier"), F.lit(DEFAULT_UID)).alias("client_uid"),
         _text_long(c("c.client_database_id")).alias("client_database_id"),
-        F.coalesce(c("c.client_nickname"), F.lit("Unknown")).alias("nickname"),
+        F.coalesce(c("c.client_nickname"), F.lit(DEFAULT_NICKNAME)).alias("nickname"),
         F.coalesce(_text_long(c("c.cid")), F.lit(0)).cast("long").alias("channel_id"),
         _text_long(c("c.client_idle_time")).alias("idle_ms"),
         flag_value(c("c.client_away")).alias("is_away"),
@@ -114,7 +119,7 @@ def channel_updates(payloads: DataFrame) -> DataFrame:
     c = F.col
     return rows.filter(_text_long(c("c.cid")).isNotNull()).select(
         _text_long(c("c.cid")).alias("channel_id"),
-        F.coalesce(c("c.channel_name"), F.lit("Unknown Channel")).alias("channel_name"),
+        F.coalesce(c("c.channel_name"), F.lit(DEFAULT_CHANNEL_NAME)).alias("channel_name"),
         F.coalesce(_text_long(c("c.pid")), F.lit(0)).cast("long").alias("parent_channel_id"),
         F.coalesce(_text_long(c("c.channel_order")), F.lit(0)).cast("long").alias("channel_order"),
         F.coalesce(_text_long(c("c.total_clients")), F.lit(0)).cast("long").alias("total_clients"),
