@@ -18,14 +18,20 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from rollcall.operators import channels, load, ltv, maintenance, metrics, rollup, sequence, status, users  # noqa: E402
 from rollcall.session import build_session  # noqa: E402
 from rollcall.sources.events_adapter import ADAPTER_POLL_INTERVAL_S, load_adapter  # noqa: E402
 from rollcall.sources.parquet import load_presence, write_presence  # noqa: E402
+from rollcall.tables import Presence  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+# Scale experiment only: replicate the presence facts this many times with
+# distinct users per copy (default 1 = the tables as given).
+REPLICATE = int(os.environ.get("BENCH_REPLICATE", "1"))
 
 
 def questions(pr):
@@ -67,7 +73,15 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     root = tempfile.mkdtemp(prefix="rollcall-bench-")
     t = time.perf_counter()
-    write_presence(load_adapter(spark, SF_DIR), root)
+    pr = load_adapter(spark, SF_DIR)
+    if REPLICATE > 1:
+        copy = F.explode(F.sequence(F.lit(0), F.lit(REPLICATE - 1)))
+        cs = (pr.clients.withColumn("_copy", copy)
+              .withColumn("client_uid", F.concat("client_uid", F.lit("_"), F.col("_copy").cast("string")))
+              .withColumn("id", F.col("id") * REPLICATE + F.col("_copy")).drop("_copy"))
+        snaps = pr.snapshots.withColumn("total_clients", F.col("total_clients") * REPLICATE)
+        pr = Presence(snaps, cs, pr.channels, pr.poll_interval_s)
+    write_presence(pr, root)
     ingest = time.perf_counter() - t
     pr = load_presence(spark, root, ADAPTER_POLL_INTERVAL_S)
     out = {"ingest": round(ingest, 3)}
@@ -78,7 +92,7 @@ def main() -> None:
     sf = os.path.basename(SF_DIR.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "sum_of_median_query_seconds", "value": total, "unit": "sec",
                       "queries": out, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
-                      "cpus": int(CPUS)}))
+                      "cpus": int(CPUS), **({"replicate": REPLICATE} if REPLICATE > 1 else {})}))
 
 
 if __name__ == "__main__":

@@ -21,20 +21,26 @@ _FLAGS = ("is_away", "is_talking", "input_muted", "output_muted", "is_recording"
 def daily_user_rollup(pr: Presence, dates: list[_dt.date] | None = None) -> DataFrame:
     """Rows for the given UTC dates (all dates when ``None``).
 
-    Two aggregation levels and no join: (user, day, channel) partial sums,
-    then (user, day) totals with the modal channel taken as an arg-max.
+    Aggregation levels, no join: (user, day, channel, nickname) counts over
+    the rows, then (user, day, channel), then (user, day) totals with the modal
+    channel taken as an arg-max.  The nickname is a grouping key at the first
+    level, so the pass over all rows is a hash aggregate (fixed-width buffers
+    only); the string maximum runs on the reduced rows.
     """
     p = pr.poll_interval_s
     cs = pr.clients
     if dates is not None:
         cs = cs.filter(F.col("event_date").isin(list(dates)))
     cs = cs.withColumn("_day", utc_date("ts"))
-    per_channel = (cs.groupBy("client_uid", "_day", "channel_id")
-                   .agg(F.count(F.lit(1)).alias("_n"),
-                        F.max("nickname").alias("_nick"),
-                        F.sum("idle_ms").alias("_idle_sum"),
-                        F.count("idle_ms").alias("_idle_n"),
-                        *[F.count_if(F.col(f)).alias(f"_{f}") for f in _FLAGS]))
+    per_name = (cs.groupBy("client_uid", "_day", "channel_id", "nickname")
+                .agg(F.count(F.lit(1)).alias("_n"),
+                     F.sum("idle_ms").alias("_idle_sum"),
+                     F.count("idle_ms").alias("_idle_n"),
+                     *[F.count_if(F.col(f)).alias(f"_{f}") for f in _FLAGS]))
+    per_channel = (per_name.groupBy("client_uid", "_day", "channel_id")
+                   .agg(F.sum("_n").alias("_n"), F.max("nickname").alias("_nick"),
+                        F.sum("_idle_sum").alias("_idle_sum"), F.sum("_idle_n").alias("_idle_n"),
+                        *[F.sum(f"_{f}").alias(f"_{f}") for f in _FLAGS]))
     mode_key = F.struct(F.col("_n"), (-F.col("channel_id")).alias("_neg_channel"))
     per_day = (per_channel.groupBy("client_uid", "_day")
                .agg(F.max("_nick").alias("nickname"),
