@@ -185,32 +185,31 @@ def connection_summary(pr: Presence, days: int | None = 7, as_of: int | None = N
 
 def sessions(pr: Presence, days: int | None = 7, slice_polls: int = SLICE_POLLS,
              as_of: int | None = None) -> DataFrame:
-    """One row per session: number (from 1, per user), start, end, samples."""
+    """One row per session: number (from 1, per user), start, end, samples.
+
+    Rows are cut into pieces inside each slice (a piece ends where the gap to
+    the next row exceeds two intervals).  A piece starts a new session exactly
+    when the previous piece of the same user ended more than two intervals
+    earlier (or there is none), so numbering is a running sum over the
+    user's pieces (sessions + slices rows, a time bound), in the partitioning
+    the final grouping reuses: two shuffles, no join.
+    """
     p = pr.poll_interval_s
     rng = pr.time_range(days, as_of)
     slice_s = slice_length_s(p, slice_polls)
     rows = _sliced_rows(pr.clients_in(rng), p, slice_s)
     w_run = (Window.partitionBy("client_uid", "_slice").orderBy(*_ORDER)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = rows.withColumn("_local", F.sum("_start").over(w_run))
-    pieces = (local.groupBy("client_uid", "_slice", "_local")
+    pieces = (rows.withColumn("_local", F.sum("_start").over(w_run))
+              .groupBy("client_uid", "_slice", "_local")
               .agg(F.min("ts").alias("_start_ts"), F.max("ts").alias("_end_ts"),
-                   F.count(F.lit(1)).alias("_n"),
-                   on_first("channel_id").alias("_first_ch_piece"),
-                   on_last("channel_id").alias("_last_ch_piece")))
-    per_slice = (pieces.groupBy("client_uid", "_slice")
-                 .agg(F.min("_start_ts").alias("_first_ts"), F.max("_end_ts").alias("_last_ts"),
-                      F.max("_local").alias("_starts"),
-                      F.max("_first_ch_piece").alias("_first_ch"),
-                      F.max("_last_ch_piece").alias("_last_ch")))
-    w_before = (Window.partitionBy("client_uid").orderBy("_slice")
-                .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (_stitch(per_slice, p)
-               .withColumn("_offset", F.coalesce(F.sum(F.col("_b_start") + F.col("_starts")).over(w_before),
-                                                 F.lit(0)))
-               .select("client_uid", "_slice", "_offset", "_b_start"))
-    numbered = (pieces.join(offsets, ["client_uid", "_slice"])
-                .withColumn("session_no", (F.col("_offset") + F.col("_b_start") + F.col("_local")).cast("long")))
+                   F.count(F.lit(1)).alias("_n")))
+    w_user = Window.partitionBy("client_uid").orderBy("_slice", "_local")
+    prev_end = F.lag("_end_ts").over(w_user)
+    new_session = F.when(prev_end.isNull() | ((F.col("_start_ts") - prev_end) > 2 * p), 1).otherwise(0)
+    numbered = (pieces.withColumn("_new", new_session)
+                .withColumn("session_no", F.sum("_new").over(
+                    w_user.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long")))
     return (numbered.groupBy("client_uid", "session_no")
             .agg(F.min("_start_ts").alias("session_start"), F.max("_end_ts").alias("session_end"),
                  F.sum("_n").cast("long").alias("samples")))
