@@ -220,3 +220,19 @@ def test_dataset_stats_counts_orphans(spark):
     assert out == {"snapshot_count": 1, "client_snapshot_count": 2, "unique_clients": 2,
                    "first_snapshot_timestamp": BASE, "last_snapshot_timestamp": BASE}
     assert pr.committed_clients().count() == 1
+
+
+def test_composite_reports(spark):
+    from rollcall.operators import reports
+
+    r = [client(i, BASE + i * P, uid=f"u{i % 3}", away=i % 2 == 0, msg="afk", rec=i % 5 == 0) for i in range(60)]
+    pr = presence(spark, r)
+    away = reports.away_stats(pr, 7, 10)
+    assert one(away["summary"])["total_samples"] == 60 and len(rows(away["top_away_users"])) == 3
+    mute = reports.mute_stats(pr)
+    assert one(mute["summary"])["recording_percentage"] == 20.0
+    conn = reports.connection_patterns(pr)
+    assert one(conn["summary"])["total_users"] == 3 and len(rows(conn["top_reconnectors"])) == 3
+    ur = reports.user_report(pr, "u1")
+    assert one(ur["profile"])["sample_count"] == 20
+    assert set(reports.overview(pr)) == {"summary", "hourly", "peaks"}
