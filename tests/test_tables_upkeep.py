@@ -184,3 +184,19 @@ def test_sql_store_layout_to_presence(spark):
            .select(duration_text("h")).collect()]
     want = [f"{h * 60:.0f}m" if h < 1 else f"{h:.1f}h" if h < 24 else f"{h / 24:.1f}d" for h in hours]
     assert out == want
+
+
+def test_write_retained_new_version(spark, tmp_path):
+    from rollcall.sources.parquet import load_presence, write_presence
+
+    as_of = BASE + 10 * DAY
+    r = [client(1, BASE), client(2, as_of - DAY, uid="b"), client(3, as_of, uid="c")]
+    old_root, new_root = str(tmp_path / "v1"), str(tmp_path / "v2")
+    write_presence(presence(spark, r), old_root)
+    pr = load_presence(spark, old_root, P)
+    removed = one(maintenance.write_retained(pr, as_of, 7, new_root))
+    assert removed == {"removed_snapshots": 1, "removed_client_rows": 1}
+    kept = load_presence(spark, new_root, P)
+    assert sorted(x["client_uid"] for x in rows(kept.clients)) == ["b", "c"]
+    assert kept.snapshots.count() == 2
+    assert load_presence(spark, old_root, P).clients.count() == 3      # the version read is untouched
