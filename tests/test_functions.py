@@ -38,3 +38,13 @@ def test_group_splitting(spark):
 def test_channel_label(spark):
     df = spark.createDataFrame([(1, "Lobby"), (2, ""), (3, None)], "id long, name string")
     assert [r[0] for r in df.select(channel_label("id", "name")).collect()] == ["Lobby", "Channel 2", "Channel 3"]
+
+
+def test_cluster_settings_size_partitions():
+    from rollcall.session import cluster_settings
+
+    big = cluster_settings(100 * 2**40, cores=8000)          # 100 TiB on 8000 cores
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (256 << 20) + 1
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    small = cluster_settings(10 << 20, cores=8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
