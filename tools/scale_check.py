@@ -28,7 +28,7 @@ from rollcall.tables import Presence
 
 
 def naive_switches(pr: Presence):
-    """Reference shape: LAG over each user's whole history (one task per user)."""
+    """Naive shape for comparison: LAG over each user's whole history (one task per user)."""
     w = Window.partitionBy("client_uid").orderBy("ts", "snapshot_id", "id")
     prev = F.lag("channel_id").over(w)
     return (pr.clients.select("client_uid", "ts", "snapshot_id", "id", "channel_id")
