@@ -141,3 +141,16 @@ def test_ltv_cache_release(spark):
     before = ltv.ltv_summary(pr).first()["total_users"]
     ltv.release_cached_summaries(pr)
     assert ltv.ltv_summary(pr).first()["total_users"] == before == 2
+
+
+def test_one_sample_per_user(spark):
+    pr = presence(spark, [client(1, BASE, uid="a"), client(2, BASE + 5 * P, uid="b")], p=P)
+    m = {r["client_uid"]: r for r in rows(sequence.sequence_metrics(pr.clients, P))}
+    assert all(r["session_count"] == 1 and r["channel_switches"] == 0 for r in m.values())
+    assert rows(sequence.channel_switches(pr, None, 10)) == []
+    assert [r["session_count"] for r in rows(sequence.session_counts(pr, None, 10))] == [1, 1]
+    assert rows(ltv.ltv_scores(pr)) == []                      # n <= 5: not scored
+    assert one(ltv.ltv_summary(pr))["total_users"] == 0
+    six = [client(i, BASE, uid="c", channel=1) for i in range(6)]   # six rows, one poll: span 0
+    s = one(ltv.ltv_scores(presence(spark, six, p=P)))
+    assert s["activity_frequency_percent"] == 0.0 and s["session_count"] == 1
