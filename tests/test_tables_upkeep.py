@@ -200,3 +200,20 @@ def test_write_retained_new_version(spark, tmp_path):
     assert sorted(x["client_uid"] for x in rows(kept.clients)) == ["b", "c"]
     assert kept.snapshots.count() == 2
     assert load_presence(spark, old_root, P).clients.count() == 3      # the version read is untouched
+
+
+def test_daily_maintenance_job(spark, tmp_path):
+    from rollcall import jobs
+    from rollcall.sources.parquet import write_presence
+
+    as_of = BASE + 10 * DAY
+    r = [client(1, BASE), client(2, as_of - DAY, uid="b"), client(3, as_of - DAY + P, uid="b"),
+         client(4, as_of, uid="c")]
+    root, daily, kept = str(tmp_path / "t"), str(tmp_path / "daily"), str(tmp_path / "t2")
+    write_presence(presence(spark, r), root)
+    removed = jobs.daily_maintenance(spark, root, daily, P, as_of, retention_days=7, retained_root=kept)
+    assert one(removed)["removed_client_rows"] == 1
+    back = rows(spark.read.parquet(daily))
+    assert [(x["client_uid"], x["total_samples"]) for x in back] == [("b", 2)]
+    jobs.daily_maintenance(spark, root, daily, P, as_of)          # re-run: same day replaced, not doubled
+    assert spark.read.parquet(daily).count() == 1
