@@ -1,8 +1,8 @@
 """Benchmark: registered questions over presence tables stored as parquet.
 
 The presence tables are derived once from ``$BENCH_SF_DIR`` (events, nation)
-and written as date-partitioned parquet in a fresh scratch folder (that write
-is timed as ``ingest``); every question then reads those tables, as it would
+and written as date-partitioned parquet in a fresh folder under the session's
+checkpoint folder (that write is timed as ``ingest``); every question then reads those tables, as it would
 in production.  Each question is run once to warm up and timed as the median
 of three runs executed with the ``noop`` sink.  Prints one JSON line.
 """
@@ -13,7 +13,7 @@ import json
 import os
 import statistics
 import sys
-import tempfile
+import uuid
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -21,7 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from rollcall.operators import channels, load, ltv, maintenance, metrics, rollup, sequence, status, users  # noqa: E402
-from rollcall.session import build_session  # noqa: E402
+from rollcall.session import build_session, checkpoint_dir  # noqa: E402
 from rollcall.sources.events_adapter import ADAPTER_POLL_INTERVAL_S, load_adapter  # noqa: E402
 from rollcall.sources.parquet import load_presence, write_presence  # noqa: E402
 from rollcall.tables import Presence  # noqa: E402
@@ -71,7 +71,7 @@ def main() -> None:
     spark = build_session(f"local[{CPUS}]", app="rollcall-bench", shuffle_partitions=int(CPUS),
                           extra={"spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
-    root = tempfile.mkdtemp(prefix="rollcall-bench-")
+    root = os.path.join(checkpoint_dir(spark), f"bench-{uuid.uuid4().hex}")
     t = time.perf_counter()
     pr = load_adapter(spark, SF_DIR)
     if REPLICATE > 1:

@@ -1,4 +1,8 @@
-"""Time buckets over integer epoch seconds (session zone must be UTC)."""
+"""UTC time buckets over integer epoch seconds.
+
+Hour, weekday, date and the ISO text are integer arithmetic on the epoch
+seconds, so they do not depend on the session time zone.
+"""
 
 from __future__ import annotations
 
@@ -13,34 +17,52 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+DAY_S = 86400
+EPOCH_WEEKDAY = 4  # 1970-01-01 was a Thursday (0 = Sunday)
+
+
 def utc_timestamp(ts: str | Column = "ts") -> Column:
+    """Epoch seconds as a TIMESTAMP (an instant; event-time windows and watermarks use it)."""
     return F.timestamp_seconds(_c(ts))
 
 
+def _days(ts: str | Column) -> Column:
+    return F.floor(_c(ts) / F.lit(DAY_S))
+
+
 def hour_utc(ts: str | Column = "ts") -> Column:
-    return F.hour(utc_timestamp(ts)).cast("int")
+    return F.pmod(F.floor(_c(ts) / F.lit(3600)), F.lit(24)).cast("int")
 
 
 def weekday_sun0(ts: str | Column = "ts") -> Column:
-    """0 = Sunday .. 6 = Saturday (``dayofweek`` is 1 = Sunday)."""
-    return (F.dayofweek(utc_timestamp(ts)) - 1).cast("int")
+    """0 = Sunday .. 6 = Saturday."""
+    return F.pmod(_days(ts) + EPOCH_WEEKDAY, F.lit(7)).cast("int")
 
 
 def utc_date(ts: str | Column = "ts") -> Column:
-    return F.to_date(utc_timestamp(ts))
+    return F.date_from_unix_date(_days(ts).cast("int"))
 
 
 def day_name(dow: str | Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in DAY_NAMES]), _c(dow) + 1)
 
 
+def _clock(ts: str | Column) -> Column:
+    """``HH:mm:ss`` of the UTC time of day."""
+    secs = F.pmod(_c(ts), F.lit(DAY_S))
+    parts = [F.floor(secs / 3600), F.floor(F.pmod(secs, F.lit(3600)) / 60), F.pmod(secs, F.lit(60))]
+    padded = [F.lpad(x.cast("string"), 2, "0") for x in parts]
+    return F.concat_ws(":", *padded)
+
+
 def iso_datetime(ts: str | Column = "ts") -> Column:
-    return F.date_format(utc_timestamp(ts), "yyyy-MM-dd'T'HH:mm:ss")
+    """``YYYY-MM-DDTHH:MM:SS`` (UTC)."""
+    return F.concat(utc_date(ts).cast("string"), F.lit("T"), _clock(ts))
 
 
 def datetime_text(ts: str | Column = "ts") -> Column:
     """``YYYY-MM-DD HH:MM:SS`` (UTC)."""
-    return F.date_format(utc_timestamp(ts), "yyyy-MM-dd HH:mm:ss")
+    return F.concat(utc_date(ts).cast("string"), F.lit(" "), _clock(ts))
 
 
 def duration_text(hours: str | Column) -> Column:

@@ -24,7 +24,6 @@ def build_session(master: str | None = None, app: str = "rollcall",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.sources.partitionOverwriteMode": "dynamic",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -56,9 +55,14 @@ def cluster_settings(input_bytes: int, cores: int, target_partition_bytes: int =
 
 
 def configure(spark: SparkSession) -> None:
-    """Pin the settings the operators rely on in an existing session."""
+    """Settings for sessions this package creates or is handed.
+
+    The operators themselves do not depend on the session: UTC buckets are
+    epoch arithmetic and writers pass their own options.  Only displayed
+    timestamps (``show()`` of event-time columns) follow the session zone,
+    which is pinned to UTC here.
+    """
     spark.conf.set("spark.sql.session.timeZone", SESSION_ZONE)
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

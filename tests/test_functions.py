@@ -48,3 +48,20 @@ def test_cluster_settings_size_partitions():
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
     small = cluster_settings(10 << 20, cores=8)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_time_buckets_ignore_session_zone(spark):
+    from rollcall.functions.time import datetime_text, utc_date
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.createDataFrame([(1704585600,), (1704585599,), (0,), (1706644800 + 3661,)], "ts long")
+    cols = [hour_utc("ts").alias("h"), weekday_sun0("ts").alias("d"), utc_date("ts").alias("day"),
+            iso_datetime("ts").alias("iso"), datetime_text("ts").alias("txt")]
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Pacific/Chatham")
+        shifted = [tuple(r) for r in df.select(*cols).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    utc = [tuple(r) for r in df.select(*cols).collect()]
+    assert shifted == utc
+    assert utc[0][:2] == (0, 0) and utc[2][3] == "1970-01-01T00:00:00" and utc[3][4] == "2024-01-30 21:01:01"
