@@ -123,3 +123,15 @@ def test_current_presence_and_channel_upkeep(spark, tmp_path):
     run(start_channel_upkeep(spark, chl, dim, str(tmp_path / "ck2")))
     names = {r["channel_id"]: r["channel_name"] for r in rows(latest_channels(spark, dim))}
     assert names == {1: "Hall", 2: "AFK"}
+
+
+def test_poll_later_than_the_watermark_is_dropped(spark, tmp_path):
+    landing, root = str(tmp_path / "landing"), str(tmp_path / "tables")
+    land(landing, "f1.json", [doc(BASE + 3600, [person("a")]), doc(BASE + 3600 + P, [person("a")])])
+    run(start_presence_ingest(spark, landing, root, str(tmp_path / "ck"), lateness="1 minute"))
+    land(landing, "f2.json", [doc(BASE, [person("late")]),                       # an hour behind: dropped
+                              doc(BASE + 3600 + P - 20, [person("b")])])         # within a minute: kept
+    run(start_presence_ingest(spark, landing, root, str(tmp_path / "ck"), lateness="1 minute"))
+    pr = committed_presence(spark, root, poll_interval_s=P)
+    assert sorted(r["ts"] for r in rows(pr.snapshots)) == [BASE + 3600, BASE + 3600 + P - 20, BASE + 3600 + P]
+    assert "late" not in {r["client_uid"] for r in rows(pr.clients)}
