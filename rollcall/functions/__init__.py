@@ -1,14 +1,17 @@
 """Column expressions shared by the operators (all built-in, JVM-side)."""
 
 from rollcall.functions.columns import (
-    channel_label, latest, pct, round2, safe_div, split_groups, trim_groups,
+    CHANNEL_LABEL_PREFIX, ROW_ORDER, channel_label, flag_value, latest, pct, round2, round_half_even_exact,
+    safe_div, split_groups, trim_groups,
 )
 from rollcall.functions.time import (
-    DAY_NAMES, day_name, hour_utc, iso_datetime, utc_date, utc_timestamp, weekday_sun0,
+    DAY_NAMES, datetime_text, day_name, duration_text, hour_utc, iso_datetime, utc_date, utc_timestamp,
+    weekday_sun0,
 )
 
 __all__ = [
-    "channel_label", "latest", "pct", "round2", "safe_div", "split_groups", "trim_groups",
-    "DAY_NAMES", "day_name", "hour_utc", "iso_datetime", "utc_date", "utc_timestamp",
-    "weekday_sun0",
+    "CHANNEL_LABEL_PREFIX", "ROW_ORDER", "channel_label", "flag_value", "latest", "pct", "round2",
+    "round_half_even_exact", "safe_div", "split_groups", "trim_groups",
+    "DAY_NAMES", "datetime_text", "day_name", "duration_text", "hour_utc", "iso_datetime", "utc_date",
+    "utc_timestamp", "weekday_sun0",
 ]
