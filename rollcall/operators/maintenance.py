@@ -16,7 +16,7 @@ def upsert_channels(current: DataFrame, updates: DataFrame, seq_col: str | None
 
     Among rows of one channel the latest ``last_updated`` wins, then an update
     over the current row, then the larger ``seq_col`` (the later position in a
-    channel list).  Written as an arg-max aggregate, so a channel reported in
+    channel list), then the larger row (a deterministic last resort).  Written as an arg-max aggregate, so a channel reported in
     many polls is combined map-side rather than gathered into one task.  The
     caller writes the result to a new path; the table being read is never
     overwritten in place.
@@ -25,7 +25,8 @@ def upsert_channels(current: DataFrame, updates: DataFrame, seq_col: str | None
     cur = current.select(*_CHANNEL_COLS, F.lit(0).alias("_src"), F.lit(0).cast("long").alias("_seq"))
     upd = updates.select(*_CHANNEL_COLS, F.lit(1).alias("_src"), seq.alias("_seq"))
     row = F.struct(*[F.col(c) for c in _CHANNEL_COLS[1:]])
-    rank = F.struct("last_updated", "_src", "_seq")
+    # the row itself breaks any remaining tie, so a recomputed task picks the same row
+    rank = F.struct("last_updated", "_src", "_seq", row.alias("_row"))
     return (cur.unionByName(upd)
             .groupBy("channel_id")
             .agg(F.max_by(row, rank).alias("_row"))

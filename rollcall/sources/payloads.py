@@ -53,6 +53,15 @@ def _text_long(c: Column) -> Column:
     return F.coalesce(t.try_cast("long"), t.try_cast("double").cast("long"))
 
 
+def one_document_per_poll(payloads: DataFrame) -> DataFrame:
+    """One document per ``poll_ts``: copies collapse, and if two producers sent
+    different documents for one poll the longest text wins (ties: the larger
+    text).  The choice is deterministic, so a recomputed task picks the same
+    document."""
+    rank = F.struct(F.length("payload"), F.col("payload"))
+    return payloads.groupBy("poll_ts").agg(F.max_by("payload", rank).alias("payload"))
+
+
 def client_list_rows(payloads: DataFrame, include_query_clients: bool = False,
                      dedupe: bool = True) -> DataFrame:
     """Accepted polls exploded to one row per client (NULL client for an empty poll).
@@ -61,7 +70,7 @@ def client_list_rows(payloads: DataFrame, include_query_clients: bool = False,
     documents (one per poll) are deduplicated before they are exploded.
     Streams deduplicate within a watermark instead.
     """
-    docs = payloads.dropDuplicates(["poll_ts"]) if dedupe else payloads
+    docs = one_document_per_poll(payloads) if dedupe else payloads
     parsed = _parse(docs, schemas.CLIENT_RECORD).filter("_accepted")
     extra = [c for c in payloads.columns if c not in ("poll_ts", "payload")]
     rows = parsed.select("poll_ts", *extra, F.posexplode_outer("doc.body").alias("pos", "c"))
@@ -135,7 +144,7 @@ def ingest_client_payloads(payloads: DataFrame, include_query_clients: bool = Fa
     count without exploding), so only the client rows are exploded and
     nothing is regrouped by poll.
     """
-    docs = payloads.dropDuplicates(["poll_ts"]) if dedupe else payloads
+    docs = one_document_per_poll(payloads) if dedupe else payloads
     counts = poll_counts(docs, include_query_clients)
     snapshots = counts.select(F.col("poll_ts").alias("snapshot_id"), F.col("poll_ts").alias("ts"),
                               "total_clients", utc_date("poll_ts").alias("event_date"))

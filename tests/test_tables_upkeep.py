@@ -94,7 +94,8 @@ def test_client_payload_ingest(spark):
              "connection_connected_time": 60, "client_database_id": "12"},
             {"clid": 2, "client_type": 1, "client_nickname": "query bot"},
             {"clid": 3}]}),
-        (BASE, {"status": ok, "body": [{"clid": 1}]}),                  # same poll delivered twice
+        (BASE, {"status": ok, "body": [{"clid": 1}]}),                  # a shorter second document: loses
+        (BASE + P, {"status": {"code": "0"}, "body": []}),              # an exact copy of a later poll
         (BASE + P, {"status": {"code": "0"}, "body": []}),              # empty poll
         (BASE + 2 * P, {"status": {"code": 1538, "message": "bad"}, "body": [{"clid": 9}]}),
         (BASE + 3 * P, {"body": [{"clid": 4, "client_away": 1.0}]}),    # no status: accepted
