@@ -76,17 +76,20 @@ def ltv_scores(pr: Presence, days: int | None = None, slice_polls: int = SLICE_P
     channels = (stitched.select("client_uid", F.explode("_channels").alias("_ch")).distinct()
                 .groupBy("client_uid").agg(F.count(F.lit(1)).alias("channels_visited")))
     users = base.join(channels, "client_uid")
-    # normalizers: one scalar subquery over the per-user rows (maxima before the n > 5 filter)
+    # normalizers: one scalar subquery over the per-user rows (maxima before the
+    # n > 5 filter), attached once as a column so it is evaluated once
     norms = users.agg(F.struct(F.max("total_samples").alias("mn"), F.max("days_active").alias("md"),
                                F.max("talking_samples").alias("mk"), F.max("channels_visited").alias("mc"))
                       ).scalar()
     n, d = F.col("total_samples").cast("double"), F.col("days_active").cast("double")
     k, c = F.col("talking_samples").cast("double"), F.col("channels_visited").cast("double")
+    mn, md, mk, mc = (F.col(f"_norms.{f}") for f in ("mn", "md", "mk", "mc"))
     w_n, w_d, w_k, w_c = WEIGHTS
-    talk_term = F.when(norms["mk"] > 0, k / norms["mk"] * w_k).otherwise(F.lit(0.0))
-    raw = ((n / norms["mn"] * w_n) + (d / norms["md"] * w_d)) + talk_term + (c / norms["mc"] * w_c)
+    talk_term = F.when(mk > 0, k / mk * w_k).otherwise(F.lit(0.0))
+    raw = ((n / mn * w_n) + (d / md * w_d)) + talk_term + (c / mc * w_c)
     scored = (users
               .filter(F.col("total_samples") > MIN_SAMPLES)
+              .withColumn("_norms", norms)
               .withColumn("ltv_score", raw.cast("long")))
     avg_idle = safe_div("_idle_sum", "_idle_n")
     hours = F.col("total_samples") * p / 3600.0
