@@ -39,9 +39,11 @@ def relative_load(df: DataFrame, value: str = "avg_clients", width: int = BAR_WI
 
     The maximum is a scalar subquery over the (already aggregated) curve.
     """
-    mx = df.agg(F.max(value)).scalar()
+    mx = F.col("_max")
     ratio = F.try_divide(F.col(value).cast("double"), mx.cast("double")) * width
-    return df.withColumn("bar", F.when(mx > 0, ratio.cast("long")).otherwise(F.lit(0)).cast("int"))
+    return (df.withColumn("_max", df.agg(F.max(value)).scalar())
+            .withColumn("bar", F.when(mx > 0, ratio.cast("long")).otherwise(F.lit(0)).cast("int"))
+            .drop("_max"))
 
 
 def peak_times(pr: Presence, days: int | None = 7, limit: int = 10,
