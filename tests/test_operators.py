@@ -236,3 +236,7 @@ def test_composite_reports(spark):
     ur = reports.user_report(pr, "u1")
     assert one(ur["profile"])["sample_count"] == 20
     assert set(reports.overview(pr)) == {"summary", "hourly", "peaks"}
+    assert one(reports.overview(pr, 7)["summary"])["period_days"] == 7
+    eng = reports.engagement(pr)
+    assert one(eng["summary"])["period_days"] is None and one(eng["summary"])["total_users"] == 3
+    assert one(reports.growth(pr, 7)["summary"])["total_unique_users"] == 3
