@@ -24,3 +24,12 @@ def test_cli_questions_run_and_write(spark, tmp_path):
             lines += [json.loads(x) for x in open(tmp_path / "top-users" / name)]
     assert sorted(x["client_uid"] for x in lines) == [f"u{i}" for i in range(6)]
     assert all(x["sample_count"] == 40 for x in lines)
+
+
+def test_write_result_formats(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x")], "a int, b string")
+    for fmt in ("parquet", "csv", "json"):
+        cli.write_result(df, str(tmp_path / fmt), fmt)
+    assert spark.read.parquet(str(tmp_path / "parquet")).collect()[0]["b"] == "x"
+    assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).collect()[0]["a"] == "1"
+    assert spark.read.json(str(tmp_path / "json")).collect()[0]["a"] == 1

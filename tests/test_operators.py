@@ -240,3 +240,13 @@ def test_composite_reports(spark):
     eng = reports.engagement(pr)
     assert one(eng["summary"])["period_days"] is None and one(eng["summary"])["total_users"] == 3
     assert one(reports.growth(pr, 7)["summary"])["total_unique_users"] == 3
+
+
+def test_user_stats_nested(spark):
+    r = [client(i, BASE + i * P, uid="a", channel=1 + (i % 2), idle=1000) for i in range(5)]
+    pr = presence(spark, r, channels=[(1, "Lobby", 0, 0, 0, 0)])
+    out = one(users.user_stats(pr, "a", 30))
+    assert out["sample_count"] == 5 and out["avg_idle_ms"] == 1000
+    assert [(c["channel_id"], c["channel_name"], c["visits"]) for c in out["favorite_channels"]] == \
+        [(1, "Lobby", 3), (2, "Channel 2", 2)]
+    assert out["activity_by_day_of_week"] == {1: 5}          # 2024-01-01 was a Monday

@@ -135,3 +135,16 @@ def test_poll_later_than_the_watermark_is_dropped(spark, tmp_path):
     pr = committed_presence(spark, root, poll_interval_s=P)
     assert sorted(r["ts"] for r in rows(pr.snapshots)) == [BASE + 3600, BASE + 3600 + P - 20, BASE + 3600 + P]
     assert "late" not in {r["client_uid"] for r in rows(pr.clients)}
+
+
+def test_compact_first_seen_job(spark, tmp_path):
+    from rollcall import jobs
+
+    landing, root, out = str(tmp_path / "landing"), str(tmp_path / "tables"), str(tmp_path / "fs")
+    land(landing, "f1.json", [doc(BASE, [person("a")]), doc(BASE + P, [person("a"), person("b")])])
+    run(start_presence_ingest(spark, landing, root, str(tmp_path / "ck")))
+    land(landing, "f2.json", [doc(BASE + 2 * P, [person("b"), person("c")])])
+    run(start_presence_ingest(spark, landing, root, str(tmp_path / "ck")))
+    jobs.compact_first_seen(spark, root, out)
+    got = {r["client_uid"]: r["first_ts"] for r in rows(spark.read.parquet(out))}
+    assert got == {"a": BASE, "b": BASE + P, "c": BASE + 2 * P}
