@@ -74,6 +74,8 @@ def dataset_stats(pr: Presence) -> DataFrame:
                              F.min("ts").alias("first_snapshot_timestamp"),
                              F.max("ts").alias("last_snapshot_timestamp"))
     rows = pr.clients.agg(F.count(F.lit(1))).scalar()
-    users = pr.clients.select("client_uid").distinct().agg(F.count(F.lit(1))).scalar()
+    # one row per user in the first-seen side table, when the table set has one
+    users = (pr.first_seen.agg(F.count(F.lit(1))).scalar() if pr.first_seen is not None
+             else pr.clients.select("client_uid").distinct().agg(F.count(F.lit(1))).scalar())
     return polls.select("snapshot_count", rows.alias("client_snapshot_count"), users.alias("unique_clients"),
                         "first_snapshot_timestamp", "last_snapshot_timestamp")

@@ -160,15 +160,17 @@ def growth_metrics(pr: Presence, days: int = 7, as_of: int | None = None,
                    first_seen_table: DataFrame | None = None) -> DataFrame:
     """Active, new (first sample ever inside the range) and returning users.
 
-    ``first_seen_table`` (``client_uid, first_ts``) lets the scan of the fact
-    stay inside the range; without it the all-time first sample is computed.
+    The all-time first sample comes from ``first_seen_table``, else from the
+    table set's ``first_seen``, else it is computed from every client row; with
+    a side table the scan of the fact stays inside the range.
     """
     if days is None or days < 1:
         raise ValueError("days must be >= 1")
     rng = pr.time_range(days, as_of)
     active = (pr.clients_in(rng).select("client_uid").distinct()
               .agg(F.count(F.lit(1)).alias("total_unique_users")))
-    fs = first_seen_table if first_seen_table is not None else first_seen(pr)
+    fs = first_seen_table if first_seen_table is not None else (
+        pr.first_seen if pr.first_seen is not None else first_seen(pr))
     new = fs.filter(rng.contains("first_ts")).agg(F.count(F.lit(1)).alias("new_users")).scalar()
     return (active.withColumn("new_users", new)
             .select(F.col("total_unique_users"), F.col("new_users"),

@@ -8,12 +8,17 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollcall import schemas
 from rollcall.tables import DEFAULT_POLL_INTERVAL_S, Presence
 
-TABLES = ("snapshots", "clients", "channels")
+TABLES = ("snapshots", "clients", "channels", "first_seen")
+FIRST_SEEN = T.StructType([T.StructField("client_uid", T.StringType(), False),
+                           T.StructField("first_ts", T.LongType(), False)])
 
 
 def load_presence(spark: SparkSession, root: str,
@@ -21,11 +26,17 @@ def load_presence(spark: SparkSession, root: str,
     def read(name, schema):
         return spark.read.schema(schema).parquet(os.path.join(root, name))
 
+    try:
+        first_seen = read("first_seen", FIRST_SEEN)
+        first_seen.schema  # resolves the path now: a table set written without it has none
+    except AnalysisException:
+        first_seen = None
     return Presence(
         snapshots=read("snapshots", schemas.SNAPSHOTS),
         clients=read("clients", schemas.CLIENTS),
         channels=read("channels", schemas.CHANNELS),
         poll_interval_s=poll_interval_s,
+        first_seen=first_seen,
     )
 
 
@@ -46,3 +57,7 @@ def write_presence(pr: Presence, root: str, mode: str = "overwrite",
     (pr.snapshots.repartition("event_date")
      .write.mode(mode).partitionBy("event_date").parquet(os.path.join(root, "snapshots")))
     pr.channels.coalesce(1).write.mode(mode).parquet(os.path.join(root, "channels"))
+    # all-time first sample per user: a partial aggregate, one row per user
+    first = pr.first_seen if pr.first_seen is not None else (
+        pr.clients.groupBy("client_uid").agg(F.min("ts").alias("first_ts")))
+    first.write.mode(mode).parquet(os.path.join(root, "first_seen"))

@@ -95,7 +95,11 @@ def committed_presence(spark: SparkSession, table_root: str, channels: DataFrame
         channels = spark.createDataFrame([], schemas.CHANNELS)
     sn = sn.select(*[f.name for f in schemas.SNAPSHOTS.fields])
     cs = cs.join(sn.select("snapshot_id"), "snapshot_id", "left_semi").select(*[f.name for f in schemas.CLIENTS.fields])
-    return Presence(sn, cs, channels, poll_interval_s)
+    try:
+        first_seen = committed_first_seen(spark, table_root)
+    except AnalysisException:  # tables written without the side table
+        first_seen = None
+    return Presence(sn, cs, channels, poll_interval_s, first_seen=first_seen)
 
 
 def committed_first_seen(spark: SparkSession, table_root: str) -> DataFrame:

@@ -57,12 +57,16 @@ class Presence:
     ``clients`` carries ``ts`` and ``event_date`` of its snapshot, so time
     filters need no join; rows whose snapshot is missing are removed by
     :meth:`committed_clients` where that can happen (streamed appends).
+    ``first_seen`` (``client_uid, first_ts``), when given, is the all-time
+    first sample per user kept next to the facts, so questions about all
+    history (growth, distinct users) read it instead of every client row.
     """
 
     snapshots: DataFrame
     clients: DataFrame
     channels: DataFrame
     poll_interval_s: int = DEFAULT_POLL_INTERVAL_S
+    first_seen: DataFrame | None = None
     _memo: dict = field(init=False, repr=False, compare=False, default=None)
 
     def __post_init__(self):

@@ -76,3 +76,19 @@ def test_ltv_reads_the_fact_once(stored):
     text = plan_text(df)
     assert len(re.findall(r"Location: InMemoryFileIndex [^\n]*clients", text)) == 1
     assert "InMemoryTableScan" in text
+
+
+def test_growth_reads_first_seen_table_not_history(stored):
+    assert stored.first_seen is not None
+    text = plan_text(users.growth_metrics(stored, 7))
+    assert re.search(r"Location: InMemoryFileIndex [^\n]*first_seen", text)
+    client_scans = re.findall(r"Location: InMemoryFileIndex [^\n]*clients", text)
+    assert len(client_scans) == 1                                   # only the range scan
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts,", text)
+
+
+def test_dataset_stats_same_with_side_table(stored):
+    with_table = load.dataset_stats(stored).first()
+    without = load.dataset_stats(stored.__class__(stored.snapshots, stored.clients, stored.channels,
+                                                   stored.poll_interval_s)).first()
+    assert with_table == without
