@@ -9,6 +9,7 @@ from rollcall.functions.columns import round2
 from rollcall.functions.time import day_name, hour_utc, iso_datetime, weekday_sun0
 from rollcall.tables import Presence, check_limit
 
+# Fixed value: width of the relative-load bar.
 BAR_WIDTH = 30
 
 

@@ -28,6 +28,7 @@ CHANNEL_VISITS = "ts_channel_visits"
 CHANNEL_UNIQUE_USERS = "ts_channel_unique_users"
 SNAPSHOTS_TOTAL = "ts_snapshots_total"
 
+# Fixed value: per-channel gauges cover this many most visited channels.
 TOP_CHANNELS = 20
 
 

@@ -9,6 +9,7 @@ from rollcall.functions.columns import latest, pct, round2, split_groups
 from rollcall.operators.dimension import with_channel_names
 from rollcall.tables import Presence, check_limit
 
+# Fixed value: an online user counts as active below this many (rounded) idle minutes.
 ACTIVE_IDLE_MINUTES = 5
 
 
