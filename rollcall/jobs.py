@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.operators import maintenance, rollup
-from rollcall.sources.parquet import load_presence
-from rollcall.streaming.ingest import committed_first_seen
+from rollcall.sources.parquet import load_presence, write_presence
+from rollcall.streaming.ingest import committed_first_seen, committed_presence
 from rollcall.tables import DEFAULT_POLL_INTERVAL_S
 
 
@@ -32,3 +32,10 @@ def daily_maintenance(spark: SparkSession, table_root: str, rollup_path: str,
 def compact_first_seen(spark: SparkSession, ingest_root: str, out_path: str) -> None:
     """Fold the per-batch first-seen rows of a streamed table set into one table."""
     committed_first_seen(spark, ingest_root).write.mode("overwrite").parquet(out_path)
+
+
+def compact_ingested(spark: SparkSession, ingest_root: str, out_root: str,
+                     channels: DataFrame | None = None, poll_interval_s: int = DEFAULT_POLL_INTERVAL_S) -> None:
+    """Rewrite the committed, streamed tables (many small per-batch files) into the
+    clustered layout of :func:`write_presence` at ``out_root`` (a new version)."""
+    write_presence(committed_presence(spark, ingest_root, channels, poll_interval_s), out_root)

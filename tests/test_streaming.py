@@ -148,3 +148,19 @@ def test_compact_first_seen_job(spark, tmp_path):
     jobs.compact_first_seen(spark, root, out)
     got = {r["client_uid"]: r["first_ts"] for r in rows(spark.read.parquet(out))}
     assert got == {"a": BASE, "b": BASE + P, "c": BASE + 2 * P}
+
+
+def test_compact_ingested_tables(spark, tmp_path):
+    from rollcall import jobs
+    from rollcall.sources.parquet import load_presence
+
+    landing, root, out = str(tmp_path / "landing"), str(tmp_path / "tables"), str(tmp_path / "compact")
+    for i in range(3):
+        land(landing, f"f{i}.json", [doc(BASE + i * P, [person("a"), person(f"u{i}")])])
+        run(start_presence_ingest(spark, landing, root, str(tmp_path / "ck")))
+    jobs.compact_ingested(spark, root, out, poll_interval_s=P)
+    pr = load_presence(spark, out, P)
+    assert pr.clients.count() == 6 and pr.snapshots.count() == 3 and pr.first_seen.count() == 4
+    assert rows(users.top_users(pr, None, 10)) == rows(users.top_users(committed_presence(spark, root,
+                                                                                          poll_interval_s=P),
+                                                                       None, 10))
