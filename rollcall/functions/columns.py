@@ -82,5 +82,7 @@ def trim_groups(groups: str | Column = "server_groups") -> Column:
 
 
 def flag_value(raw: str | Column) -> Column:
-    """Payload flag to boolean: true only when the value reads as the number 1."""
-    return F.coalesce(_c(raw).try_cast("double") == 1.0, F.lit(False))
+    """Payload flag to boolean: true only when the value equals 1 (``1``, ``"1"``,
+    ``1.0`` or JSON ``true``, which equals 1 as a number); anything else is false."""
+    text = F.lower(F.trim(_c(raw)))
+    return F.coalesce((text.try_cast("double") == 1.0) | (text == "true"), F.lit(False))

@@ -98,7 +98,8 @@ def test_client_payload_ingest(spark):
         (BASE + P, {"status": {"code": "0"}, "body": []}),              # an exact copy of a later poll
         (BASE + P, {"status": {"code": "0"}, "body": []}),              # empty poll
         (BASE + 2 * P, {"status": {"code": 1538, "message": "bad"}, "body": [{"clid": 9}]}),
-        (BASE + 3 * P, {"body": [{"clid": 4, "client_away": 1.0}]}),    # no status: accepted
+        (BASE + 3 * P, {"body": [{"clid": 4, "client_away": 1.0, "client_is_talker": True,
+                                  "client_input_muted": False, "client_is_recording": 2}]}),  # no status: accepted
         (BASE + 4 * P, "not json"),
     ]
     pf = _payload_frame(spark, docs)
@@ -113,7 +114,8 @@ def test_client_payload_ingest(spark):
     anon = got[f"unknown{BASE}"]
     assert anon["nickname"] == "Unknown" and anon["channel_id"] == 0 and anon["server_groups"] == ""
     assert anon["idle_ms"] is None and anon["is_recording"] is False
-    assert got[f"unknown{BASE + 3 * P}"]["is_away"] is True
+    late = got[f"unknown{BASE + 3 * P}"]
+    assert (late["is_away"], late["is_talking"], late["input_muted"], late["is_recording"]) == (True, True, False, False)
     assert len(got) == 3
     with_query = payloads.ingest_client_payloads(pf, include_query_clients=True)[1]
     assert with_query.count() == 4
