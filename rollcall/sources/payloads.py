@@ -2,7 +2,8 @@
 
 A payload is one JSON document per poll with the poll time ``poll_ts``:
 ``{status: {code, message}, body: [record, ...]}``.  A non-zero status code
-rejects the whole poll; a document without ``status`` is accepted as is.
+rejects the whole poll; a document without ``status`` is accepted as is, and
+a bare list of records is taken as the body.
 Every scalar is read as text and cast on use.
 """
 
@@ -31,7 +32,14 @@ def read_payload_text(spark: SparkSession, path: str) -> DataFrame:
                       F.get_json_object("value", "$.payload").alias("payload"))
 
 
+def _enveloped(payload: Column) -> Column:
+    """A bare JSON list (a response without the status envelope) becomes ``{"body": [...]}``."""
+    return F.when(F.ltrim(payload).startswith("["), F.concat(F.lit('{"body": '), payload, F.lit("}"))) \
+        .otherwise(payload)
+
+
 def _parse(payloads: DataFrame, record) -> DataFrame:
+    payloads = payloads.withColumn("payload", _enveloped(F.col("payload")))
     parsed = payloads.select("*", F.from_json("payload", schemas.payload_schema(record)).alias("doc"))
     code = F.col("doc.status.code")
     # text that is not a JSON object is rejected like an error status

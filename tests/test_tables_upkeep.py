@@ -101,11 +101,12 @@ def test_client_payload_ingest(spark):
         (BASE + 3 * P, {"body": [{"clid": 4, "client_away": 1.0, "client_is_talker": True,
                                   "client_input_muted": False, "client_is_recording": 2}]}),  # no status: accepted
         (BASE + 4 * P, "not json"),
+        (BASE + 5 * P, '[{"clid": 7, "client_unique_identifier": "Z="}]'),   # bare list: the body
     ]
     pf = _payload_frame(spark, docs)
     sn, cs = payloads.ingest_client_payloads(pf)
     polls = {x["ts"]: x["total_clients"] for x in rows(sn)}
-    assert polls == {BASE: 2, BASE + P: 0, BASE + 3 * P: 1}
+    assert polls == {BASE: 2, BASE + P: 0, BASE + 3 * P: 1, BASE + 5 * P: 1}
     got = {x["client_uid"] + str(x["ts"]): x for x in rows(cs)}
     amy = got[f"A={BASE}"]
     assert (amy["channel_id"], amy["idle_ms"], amy["client_database_id"], amy["connected_time"]) == (5, 1500, 12, 60)
@@ -116,9 +117,9 @@ def test_client_payload_ingest(spark):
     assert anon["idle_ms"] is None and anon["is_recording"] is False
     late = got[f"unknown{BASE + 3 * P}"]
     assert (late["is_away"], late["is_talking"], late["input_muted"], late["is_recording"]) == (True, True, False, False)
-    assert len(got) == 3
+    assert len(got) == 4 and f"Z={BASE + 5 * P}" in got
     with_query = payloads.ingest_client_payloads(pf, include_query_clients=True)[1]
-    assert with_query.count() == 4
+    assert with_query.count() == 5
     rej = rows(payloads.rejected_polls(pf))
     assert sorted(x["poll_ts"] for x in rej) == [BASE + 2 * P, BASE + 4 * P]
 
