@@ -18,7 +18,7 @@ from rollcall.tables import Presence
 _FLAGS = ("is_away", "is_talking", "input_muted", "output_muted", "is_recording")
 
 
-def daily_user_rollup(pr: Presence, dates: list[_dt.date] | None = None) -> DataFrame:
+def daily_user_rollup(pr: Presence, dates: list[_dt.date] | None = None, compat: bool = False) -> DataFrame:
     """Rows for the given UTC dates (all dates when ``None``).
 
     Aggregation levels, no join: (user, day, channel, nickname) counts over
@@ -26,12 +26,26 @@ def daily_user_rollup(pr: Presence, dates: list[_dt.date] | None = None) -> Data
     channel taken as an arg-max.  The nickname is a grouping key at the first
     level, so the pass over all rows is a hash aggregate (fixed-width buffers
     only); the string maximum runs on the reduced rows.
+
+    ``compat=True`` reproduces the established store's rollup: a day runs
+    from midnight to the next midnight inclusive (a sample exactly at
+    midnight counts in both days) and the most visited channel is the user's
+    modal channel over all their rows, not that day's.
     """
     p = pr.poll_interval_s
     cs = pr.clients
-    if dates is not None:
-        cs = cs.filter(F.col("event_date").isin(list(dates)))
-    cs = cs.withColumn("_day", utc_date("ts"))
+    if compat:
+        # a sample at midnight also belongs to the day before
+        day = utc_date("ts")
+        at_midnight = F.pmod(F.col("ts"), F.lit(86400)) == 0
+        cs = cs.withColumn("_day", F.explode(F.when(at_midnight, F.array(day, F.date_sub(day, 1)))
+                                             .otherwise(F.array(day))))
+        if dates is not None:
+            cs = cs.filter(F.col("_day").isin(list(dates)))
+    else:
+        if dates is not None:
+            cs = cs.filter(F.col("event_date").isin(list(dates)))
+        cs = cs.withColumn("_day", utc_date("ts"))
     per_name = (cs.groupBy("client_uid", "_day", "channel_id", "nickname")
                 .agg(F.count(F.lit(1)).alias("_n"),
                      F.sum("idle_ms").alias("_idle_sum"),
@@ -49,6 +63,14 @@ def daily_user_rollup(pr: Presence, dates: list[_dt.date] | None = None) -> Data
                     F.sum("_idle_n").alias("_idle_n"),
                     F.max_by("channel_id", mode_key).alias("most_visited_channel_id"),
                     *[F.sum(f"_{f}").cast("long").alias(f"{f}_count") for f in _FLAGS]))
+    if compat:
+        # modal channel over each user's whole history (ties: the smaller id)
+        all_time = (pr.clients.groupBy("client_uid", "channel_id").agg(F.count(F.lit(1)).alias("_n"))
+                    .groupBy("client_uid")
+                    .agg(F.max_by("channel_id", F.struct(F.col("_n"), (-F.col("channel_id")).alias("_neg")))
+                         .alias("_mode")))
+        per_day = (per_day.join(all_time, "client_uid", "left")
+                   .withColumn("most_visited_channel_id", F.col("_mode")).drop("_mode"))
     return per_day.select(
         "client_uid", F.col("_day").alias("date"), "nickname", "total_samples",
         (F.col("total_samples") * p).cast("long").alias("online_seconds"),

@@ -410,6 +410,21 @@ FROM (SELECT client_uid, CAST({UTC} AS DATE) AS d, channel_id, count(*) AS n, ma
 GROUP BY client_uid, d"""
 
 
+def daily_user_rollup_compat():
+    flags = ("is_away", "is_talking", "input_muted", "output_muted", "is_recording")
+    per_day_flags = ", ".join(f"CAST(count(*) FILTER (WHERE {f}) AS BIGINT) AS {f}_count" for f in flags)
+    return f"""SELECT r.client_uid, strftime(r.d, '%Y-%m-%d') AS date, max(r.nickname) AS nickname,
+  CAST(count(*) AS BIGINT) AS total_samples, CAST(count(*) * {P} AS BIGINT) AS online_seconds,
+  avg(r.idle_ms) AS avg_idle_ms, any_value(m.mode) AS most_visited_channel_id, {per_day_flags}
+FROM (SELECT cs.*, CAST({UTC} AS DATE) AS d FROM cs
+      UNION ALL
+      SELECT cs.*, CAST({UTC} AS DATE) - 1 AS d FROM cs WHERE ts % 86400 = 0) r
+LEFT JOIN (SELECT client_uid, arg_max(channel_id, (n, -channel_id)) AS mode
+           FROM (SELECT client_uid, channel_id, count(*) AS n FROM cs GROUP BY 1, 2) c GROUP BY 1) m
+  ON m.client_uid = r.client_uid
+GROUP BY r.client_uid, r.d"""
+
+
 def channel_upsert():
     cols = ("channel_name", "parent_channel_id", "channel_order", "total_clients", "last_updated")
     picks = ", ".join(f"arg_max({c}, (last_updated, src, seq)) AS {c}" for c in cols)
@@ -504,6 +519,7 @@ def oracle_sql() -> dict[str, str]:
         "active_now": wrap(active_now()),
         "metrics_snapshot": wrap(metrics_snapshot(7)),
         "daily_user_rollup": wrap(daily_user_rollup()),
+        "daily_user_rollup_compat": wrap(daily_user_rollup_compat()),
         "channel_upsert": wrap(channel_upsert()),
         "retention_report": wrap(retention_report(7)),
         "ingest_clients": wrap(ingest_clients()),

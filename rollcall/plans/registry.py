@@ -46,8 +46,8 @@ def _metrics_flat(pr: Presence) -> DataFrame:
                     F.col("labels")["channel_name"].alias("label_channel_name"), "value")
 
 
-def _rollup_flat(pr: Presence) -> DataFrame:
-    return rollup.daily_user_rollup(pr).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+def _rollup_flat(pr: Presence, compat: bool = False) -> DataFrame:
+    return rollup.daily_user_rollup(pr, compat=compat).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
 def _channel_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "active_now": _q(status.active_now),
         "metrics_snapshot": _q(_metrics_flat),
         "daily_user_rollup": _q(_rollup_flat),
+        "daily_user_rollup_compat": _q(lambda pr: _rollup_flat(pr, compat=True)),
         "channel_upsert": _channel_upsert,
         "retention_report": _q(lambda pr: maintenance.retention_report(pr, RETENTION_DAYS)),
         "ingest_clients": _ingest_clients,

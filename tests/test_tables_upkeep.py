@@ -221,3 +221,20 @@ def test_daily_maintenance_job(spark, tmp_path):
     assert [(x["client_uid"], x["total_samples"]) for x in back] == [("b", 2)]
     jobs.daily_maintenance(spark, root, daily, P, as_of)          # re-run: same day replaced, not doubled
     assert spark.read.parquet(daily).count() == 1
+
+
+def test_rollup_compat_inclusive_day_and_all_time_mode(spark):
+    midnight = BASE + DAY
+    r = [client(1, midnight - P, uid="a", channel=2),
+         client(2, midnight, uid="a", channel=5),              # counts in both days in compat mode
+         client(3, midnight + P, uid="a", channel=5),
+         client(4, midnight + 2 * P, uid="a", channel=5)]
+    pr = presence(spark, r)
+    out = {x["date"]: x for x in rows(rollup.daily_user_rollup(pr, compat=True))}
+    d0, d1 = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    assert out[d0]["total_samples"] == 2 and out[d1]["total_samples"] == 3
+    assert out[d0]["most_visited_channel_id"] == 5 == out[d1]["most_visited_channel_id"]   # all-time mode
+    plain = {x["date"]: x for x in rows(rollup.daily_user_rollup(pr))}
+    assert plain[d0]["total_samples"] == 1 and plain[d0]["most_visited_channel_id"] == 2
+    only = rows(rollup.daily_user_rollup(pr, [d0], compat=True))
+    assert [x["total_samples"] for x in only] == [2]
