@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.operators import channels, load, ltv, maintenance, metrics, rollup, sequence, status, users
-from rollcall.session import configure
 from rollcall.sources import events_adapter, payloads
 from rollcall.sources.conform import conform_clients
 from rollcall.tables import DAY_S, Presence
@@ -25,7 +24,7 @@ OLD_LAYOUT_DAYS = 15   # rows older than this many days are stored in the first
 
 
 def _presence(spark: SparkSession, sf_dir: str) -> Presence:
-    configure(spark)
+    # no session settings are changed: every time bucket is epoch arithmetic
     return events_adapter.load_adapter(spark, sf_dir)
 
 
@@ -71,7 +70,6 @@ def _ingest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ingest_channel_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return payloads.channel_updates(events_adapter.channel_payloads(events)).withColumnRenamed("_seq", "list_seq")
 
