@@ -33,3 +33,23 @@ def test_write_result_formats(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "parquet")).collect()[0]["b"] == "x"
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).collect()[0]["a"] == "1"
     assert spark.read.json(str(tmp_path / "json")).collect()[0]["a"] == 1
+
+
+def test_written_facts_are_clustered_by_user(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from rollcall.sources.parquet import load_presence
+
+    rs = [client(i, BASE + (i % 50) * 1800, uid=f"u{(i * 7) % 23:02d}") for i in range(600)]
+    root = str(tmp_path / "t")
+    write_presence(presence(spark, rs), root)
+    files = glob.glob(f"{root}/clients/event_date=*/*.parquet")
+    assert files
+    for f in files:
+        t = pq.read_table(f, columns=["client_uid", "ts"]).to_pylist()
+        keys = [(r["client_uid"], r["ts"]) for r in t]
+        assert keys == sorted(keys)                     # sorted runs of users inside each file
+    pr = load_presence(spark, root)
+    assert pr.clients.count() == 600 and pr.first_seen.count() == 23
