@@ -39,3 +39,39 @@ def test_sequences_match_brute_force(spark, hist, slice_polls):
     ses = sorted((r["client_uid"], r["session_no"], r["session_start"], r["session_end"], r["samples"])
                  for r in rows(sequence.sessions(pr, None, slice_polls)))
     assert ses == sorted(x for v in want.values() for x in v["rows"])
+
+
+flag_values = st.one_of(st.none(), st.booleans(), st.integers(-3, 3), st.sampled_from([1.0, 0.5, 2.0]),
+                        st.sampled_from(["1", "0", "1.0", " 1 ", "true", "TRUE", "false", "yes", "", "01"]))
+
+
+def expected_flag(v):
+    """The rule: set exactly when the value equals the number 1 (JSON true equals 1)."""
+    if v is None:
+        return False
+    if isinstance(v, bool):
+        return v
+    if isinstance(v, (int, float)):
+        return v == 1
+    text = v.strip().lower()
+    if text == "true":
+        return True
+    try:
+        return float(text) == 1.0
+    except ValueError:
+        return False
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=st.lists(flag_values, min_size=1, max_size=12))
+def test_payload_flags_follow_the_rule(spark, values):
+    import json
+
+    from rollcall.sources import payloads
+
+    body = [{"clid": i, "client_unique_identifier": f"u{i}", "client_away": v} for i, v in enumerate(values)]
+    texts = spark.createDataFrame([(BASE, json.dumps({"status": {"code": 0}, "body": body}))],
+                                  "poll_ts long, payload string")
+    _, cs = payloads.ingest_client_payloads(texts)
+    got = {r["client_uid"]: r["is_away"] for r in cs.collect()}
+    assert got == {f"u{i}": expected_flag(v) for i, v in enumerate(values)}
