@@ -2,9 +2,10 @@
 
 The presence tables are derived once from ``$BENCH_SF_DIR`` (events, nation)
 and written as date-partitioned parquet in a fresh folder under the session's
-checkpoint folder (that write is timed as ``ingest``, after an untimed warm-up job); every question then reads those tables, as it would
-in production.  Each question is run once to warm up and timed as the median
-of three runs executed with the ``noop`` sink.  Prints one JSON line.
+checkpoint folder (that write is timed as ``ingest``, after an untimed warm-up
+job); every question then reads those tables, as it would in production.  Each
+question is run once to warm up and timed as the median of three runs executed
+with the ``noop`` sink.  Prints one JSON line.
 """
 
 from __future__ import annotations

@@ -16,10 +16,10 @@ def upsert_channels(current: DataFrame, updates: DataFrame, seq_col: str | None
 
     Among rows of one channel the latest ``last_updated`` wins, then an update
     over the current row, then the larger ``seq_col`` (the later position in a
-    channel list), then the larger row (a deterministic last resort).  Written as an arg-max aggregate, so a channel reported in
-    many polls is combined map-side rather than gathered into one task.  The
-    caller writes the result to a new path; the table being read is never
-    overwritten in place.
+    channel list), then the larger row (a deterministic last resort).  Written
+    as an arg-max aggregate, so a channel reported in many polls is combined
+    map-side rather than gathered into one task.  The caller writes the result
+    to a new path; the table being read is never overwritten in place.
     """
     seq = F.col(seq_col).cast("long") if seq_col else F.lit(0).cast("long")
     cur = current.select(*_CHANNEL_COLS, F.lit(0).alias("_src"), F.lit(0).cast("long").alias("_seq"))

@@ -37,7 +37,9 @@ def _gauges(one_row: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     entries = F.array(*[F.struct(F.lit(name).alias("name"), F.col(col).cast("double").alias("value"))
                         for name, col in pairs])
     return (one_row.select(F.explode(entries).alias("g"))
-            .select(F.col("g.name").alias("name"), F.create_map().cast("map<string,string>").alias("labels"), F.col("g.value").alias("value")))
+            .select(F.col("g.name").alias("name"),
+                    F.create_map().cast("map<string,string>").alias("labels"),
+                    F.col("g.value").alias("value")))
 
 
 def metrics_snapshot(pr: Presence, days: int = 7, as_of: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from rollcall.streaming.ingest import (
 from rollcall.streaming.windows import hourly_concurrency, session_stream
 
 __all__ = [
-    "client_stream", "committed_first_seen", "committed_presence", "latest_channels", "poll_stream", "start_channel_upkeep",
+    "client_stream", "committed_first_seen", "committed_presence", "latest_channels", "poll_stream",
+    "start_channel_upkeep",
     "start_current_presence", "start_presence_ingest", "hourly_concurrency", "session_stream",
 ]

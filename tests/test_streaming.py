@@ -8,7 +8,8 @@ from frames import BASE, rows
 from rollcall.operators import sequence, users
 from rollcall.sources import payloads
 from rollcall.streaming import (
-    client_stream, committed_first_seen, committed_presence, hourly_concurrency, latest_channels, poll_stream, session_stream,
+    client_stream, committed_first_seen, committed_presence, hourly_concurrency, latest_channels, poll_stream,
+    session_stream,
     start_channel_upkeep, start_current_presence, start_presence_ingest,
 )
 from rollcall.tables import Presence

@@ -116,7 +116,8 @@ def test_client_payload_ingest(spark):
     assert anon["nickname"] == "Unknown" and anon["channel_id"] == 0 and anon["server_groups"] == ""
     assert anon["idle_ms"] is None and anon["is_recording"] is False
     late = got[f"unknown{BASE + 3 * P}"]
-    assert (late["is_away"], late["is_talking"], late["input_muted"], late["is_recording"]) == (True, True, False, False)
+    flags = (late["is_away"], late["is_talking"], late["input_muted"], late["is_recording"])
+    assert flags == (True, True, False, False)
     assert len(got) == 4 and f"Z={BASE + 5 * P}" in got
     with_query = payloads.ingest_client_payloads(pf, include_query_clients=True)[1]
     assert with_query.count() == 5
