@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from rollcall import schemas
 from rollcall.operators.maintenance import upsert_channels
 from rollcall.session import checkpoint_dir
+from rollcall.functions.time import utc_date
 from rollcall.sources import payloads
 from rollcall.tables import DEFAULT_POLL_INTERVAL_S, Presence
 
@@ -54,17 +55,39 @@ def client_stream(polls: DataFrame, include_query_clients: bool = False) -> Data
     return payloads.clients_from_rows(rows, keep=("poll_time",))
 
 
-def _write_batch(batch: DataFrame, batch_id: int, root: str, include_query_clients: bool) -> None:
+def _committed_snapshot_ids(spark: SparkSession, root: str, dates: DataFrame, exclude_tag: str) -> DataFrame:
+    """Snapshot ids written by other batches on the given dates (a pruned read of the poll table)."""
+    snap_schema = T.StructType(schemas.SNAPSHOTS.fields + [T.StructField("batch", T.StringType(), True)])
+    try:
+        snaps = spark.read.schema(snap_schema).parquet(os.path.join(root, "snapshots"))
+    except AnalysisException:  # first batch: nothing committed yet
+        return spark.createDataFrame([], "snapshot_id long")
+    day_list = [r["event_date"] for r in dates.collect()]  # at most the days one micro-batch spans
+    return (snaps.filter(F.col("event_date").isin(day_list) & (F.col("batch") != exclude_tag))
+            .select("snapshot_id").distinct())
+
+
+def _write_batch(batch: DataFrame, batch_id: int, root: str, include_query_clients: bool,
+                 dedupe: str = "committed") -> None:
     batch = batch.select("poll_ts", "payload").persist()
     try:
-        snaps, clients = payloads.ingest_client_payloads(batch, include_query_clients, dedupe=False)
-        tag = f"batch={batch_id:09d}"
-        clients.write.mode("overwrite").partitionBy("event_date").parquet(os.path.join(root, "clients", tag))
+        tag = f"{batch_id:09d}"
+        docs = batch
+        if dedupe == "committed":
+            # one document per poll in this batch, minus polls another batch already committed
+            docs = payloads.one_document_per_poll(batch)
+            days = docs.select(utc_date("poll_ts").alias("event_date")).distinct()
+            seen = _committed_snapshot_ids(batch.sparkSession, root, days, tag)
+            docs = docs.join(seen.withColumnRenamed("snapshot_id", "poll_ts"), "poll_ts", "left_anti")
+        snaps, clients = payloads.ingest_client_payloads(docs, include_query_clients, dedupe=False)
+        clients.write.mode("overwrite").partitionBy("event_date").parquet(
+            os.path.join(root, "clients", f"batch={tag}"))
         # per-user first sample of this batch: growth reads this small table, not the history
         (clients.groupBy("client_uid").agg(F.min("ts").alias("first_ts"))
-         .write.mode("overwrite").parquet(os.path.join(root, "first_seen", tag)))
+         .write.mode("overwrite").parquet(os.path.join(root, "first_seen", f"batch={tag}")))
         # snapshots last: their presence marks the batch as committed
-        snaps.write.mode("overwrite").partitionBy("event_date").parquet(os.path.join(root, "snapshots", tag))
+        snaps.write.mode("overwrite").partitionBy("event_date").parquet(
+            os.path.join(root, "snapshots", f"batch={tag}"))
     finally:
         batch.unpersist()
 
@@ -72,11 +95,21 @@ def _write_batch(batch: DataFrame, batch_id: int, root: str, include_query_clien
 def start_presence_ingest(spark: SparkSession, landing_dir: str, table_root: str,
                           checkpoint: str | None = None, available_now: bool = True,
                           include_query_clients: bool = False,
-                          lateness: str = DEFAULT_LATENESS) -> StreamingQuery:
-    """Start the ingest query (``availableNow`` drains what has landed, then stops)."""
+                          lateness: str = DEFAULT_LATENESS, dedupe: str = "committed") -> StreamingQuery:
+    """Start the ingest query (``availableNow`` drains what has landed, then stops).
+
+    ``dedupe="committed"`` (default) keeps late polls: each micro-batch keeps
+    one document per poll and drops polls whose snapshot another batch already
+    committed (a pruned read of those days' poll ids), so no streaming state
+    is kept.  ``dedupe="watermark"`` uses ``dropDuplicatesWithinWatermark``
+    instead, which also drops polls later than ``lateness``.
+    """
+    if dedupe not in ("committed", "watermark"):
+        raise ValueError("dedupe must be 'committed' or 'watermark'")
     checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), "presence-ingest")
-    writer = (poll_stream(spark, landing_dir, lateness).writeStream
-              .foreachBatch(lambda df, bid: _write_batch(df, bid, table_root, include_query_clients))
+    polls = poll_stream(spark, landing_dir, lateness, dedupe=(dedupe == "watermark"))
+    writer = (polls.writeStream
+              .foreachBatch(lambda df, bid: _write_batch(df, bid, table_root, include_query_clients, dedupe))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

@@ -129,10 +129,12 @@ def test_current_presence_and_channel_upkeep(spark, tmp_path):
 def test_poll_later_than_the_watermark_is_dropped(spark, tmp_path):
     landing, root = str(tmp_path / "landing"), str(tmp_path / "tables")
     land(landing, "f1.json", [doc(BASE + 3600, [person("a")]), doc(BASE + 3600 + P, [person("a")])])
-    run(start_presence_ingest(spark, landing, root, str(tmp_path / "ck"), lateness="1 minute"))
+    run(start_presence_ingest(spark, landing, root, str(tmp_path / "ck"), lateness="1 minute",
+                              dedupe="watermark"))
     land(landing, "f2.json", [doc(BASE, [person("late")]),                       # an hour behind: dropped
                               doc(BASE + 3600 + P - 20, [person("b")])])         # within a minute: kept
-    run(start_presence_ingest(spark, landing, root, str(tmp_path / "ck"), lateness="1 minute"))
+    run(start_presence_ingest(spark, landing, root, str(tmp_path / "ck"), lateness="1 minute",
+                              dedupe="watermark"))
     pr = committed_presence(spark, root, poll_interval_s=P)
     assert sorted(r["ts"] for r in rows(pr.snapshots)) == [BASE + 3600, BASE + 3600 + P - 20, BASE + 3600 + P]
     assert "late" not in {r["client_uid"] for r in rows(pr.clients)}
@@ -165,3 +167,31 @@ def test_compact_ingested_tables(spark, tmp_path):
     assert rows(users.top_users(pr, None, 10)) == rows(users.top_users(committed_presence(spark, root,
                                                                                           poll_interval_s=P),
                                                                        None, 10))
+
+
+
+def test_committed_dedupe_keeps_late_polls_and_drops_repeats(spark, tmp_path):
+    landing, root = str(tmp_path / "landing"), str(tmp_path / "tables")
+    land(landing, "f1.json", [doc(BASE + 3600, [person("a")]), doc(BASE + 3600 + P, [person("a")])])
+    run(start_presence_ingest(spark, landing, root, str(tmp_path / "ck"), lateness="1 minute"))
+    land(landing, "f2.json", [doc(BASE, [person("late")]),                       # an hour late: kept
+                              doc(BASE + 3600, [person("a")])])                  # already committed: dropped
+    run(start_presence_ingest(spark, landing, root, str(tmp_path / "ck"), lateness="1 minute"))
+    pr = committed_presence(spark, root, poll_interval_s=P)
+    assert sorted(r["ts"] for r in rows(pr.snapshots)) == [BASE, BASE + 3600, BASE + 3600 + P]
+    assert sorted(r["client_uid"] for r in rows(pr.clients)) == ["a", "a", "late"]
+
+
+def test_replayed_batch_rewrites_its_own_output(spark, tmp_path):
+    from rollcall.streaming.ingest import _write_batch
+
+    root = str(tmp_path / "tables")
+    batch = spark.createDataFrame([(BASE, json.dumps(doc(BASE, [person("a"), person("b")])["payload"]))],
+                                  "poll_ts long, payload string")
+    _write_batch(batch, 7, root, False)
+    _write_batch(batch, 7, root, False)           # the same batch again after a failure
+    pr = committed_presence(spark, root, poll_interval_s=P)
+    assert pr.clients.count() == 2 and [r["total_clients"] for r in rows(pr.snapshots)] == [2]
+    _write_batch(batch, 8, root, False)           # a later batch repeating the poll adds nothing
+    pr = committed_presence(spark, root, poll_interval_s=P)
+    assert pr.clients.count() == 2 and pr.snapshots.count() == 1
