@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.operators import maintenance, rollup
+from rollcall.operators import ltv, maintenance, rollup
 from rollcall.sources.parquet import load_presence, write_presence
 from rollcall.streaming.ingest import committed_first_seen, committed_presence
 from rollcall.tables import DEFAULT_POLL_INTERVAL_S
@@ -39,3 +39,10 @@ def compact_ingested(spark: SparkSession, ingest_root: str, out_root: str,
     """Rewrite the committed, streamed tables (many small per-batch files) into the
     clustered layout of :func:`write_presence` at ``out_root`` (a new version)."""
     write_presence(committed_presence(spark, ingest_root, channels, poll_interval_s), out_root)
+
+
+def materialize_score_summary(spark: SparkSession, table_root: str, out_path: str,
+                              poll_interval_s: int = DEFAULT_POLL_INTERVAL_S) -> None:
+    """Write the all-time engagement summary (one row) for the gauges to read."""
+    pr = load_presence(spark, table_root, poll_interval_s)
+    ltv.ltv_summary(pr, None).write.mode("overwrite").parquet(out_path)

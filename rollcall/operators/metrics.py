@@ -42,12 +42,17 @@ def _gauges(one_row: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
                     F.col("g.value").alias("value")))
 
 
-def metrics_snapshot(pr: Presence, days: int = 7, as_of: int | None = None) -> DataFrame:
-    """Every gauge: 7-day summary, online now, all-time scores, channel popularity."""
+def metrics_snapshot(pr: Presence, days: int = 7, as_of: int | None = None,
+                     score_summary: DataFrame | None = None) -> DataFrame:
+    """Every gauge: 7-day summary, online now, all-time scores, channel popularity.
+
+    ``score_summary`` (the one-row result of :func:`ltv_summary`, e.g. a table a
+    daily job materializes) replaces recomputing the all-time scores here.
+    """
     rng = pr.time_range(days, as_of)
     summ = summary(pr, days, rng.t1)
     now = active_now(pr)
-    ltv = ltv_summary(pr, None, as_of=rng.t1)
+    ltv = score_summary if score_summary is not None else ltv_summary(pr, None, as_of=rng.t1)
     chans = channel_stats(pr, days, rng.t1)
     parts = [
         _gauges(summ, [(USERS_TOTAL, "unique_users"), (AVG_USERS_ONLINE, "avg_users_online"),

@@ -239,3 +239,19 @@ def test_rollup_compat_inclusive_day_and_all_time_mode(spark):
     assert plain[d0]["total_samples"] == 1 and plain[d0]["most_visited_channel_id"] == 2
     only = rows(rollup.daily_user_rollup(pr, [d0], compat=True))
     assert [x["total_samples"] for x in only] == [2]
+
+
+def test_gauges_with_materialized_score_summary(spark, tmp_path):
+    from rollcall import jobs
+    from rollcall.sources.parquet import write_presence
+
+    r = [client(i, BASE + (i % 9) * P, uid=f"u{i % 4}", talk=i % 3 == 0) for i in range(72)]
+    root, out = str(tmp_path / "t"), str(tmp_path / "scores")
+    write_presence(presence(spark, r), root)
+    jobs.materialize_score_summary(spark, root, out, P)
+    from rollcall.sources.parquet import load_presence
+    pr = load_presence(spark, root, P)
+    direct = sorted((x["name"], x["value"]) for x in rows(metrics.metrics_snapshot(pr, 7)))
+    stored = sorted((x["name"], x["value"]) for x in rows(
+        metrics.metrics_snapshot(pr, 7, score_summary=spark.read.parquet(out))))
+    assert direct == stored
