@@ -98,14 +98,6 @@ def poll_counts(payloads: DataFrame, include_query_clients: bool = False) -> Dat
     return parsed.select("poll_ts", *extra, F.size(body).cast("long").alias("total_clients"))
 
 
-def snapshots_from_rows(rows: DataFrame) -> DataFrame:
-    """One snapshot per accepted poll, also when it had no clients."""
-    return (rows.groupBy("poll_ts")
-            .agg(F.count("c").alias("total_clients"))
-            .select(F.col("poll_ts").alias("snapshot_id"), F.col("poll_ts").alias("ts"),
-                    F.col("total_clients").cast("long"), utc_date("poll_ts").alias("event_date")))
-
-
 def clients_from_rows(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Client rows with the stored defaults (uid ``unknown``, nickname ``Unknown`` ...)."""
     c = F.col
