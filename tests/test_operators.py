@@ -127,6 +127,7 @@ def test_online_now_latest_poll_fields(spark):
          client(3, BASE + P, uid="a", nickname="amy", idle=90000, groups="", conn=None)]
     pr = presence(spark, r, channels=[(1, "Lobby", 0, 0, 0, 0)])
     out = rows(status.online_now(pr))
+    assert status.latest_snapshot_id(pr) == BASE + P
     assert [x["nickname"] for x in out] == ["amy", "bob"]
     amy, bob = out
     assert amy["idle_minutes"] == 1.5 and amy["server_groups"] == [] and amy["connected_hours"] == 0.0

@@ -195,3 +195,14 @@ def test_replayed_batch_rewrites_its_own_output(spark, tmp_path):
     _write_batch(batch, 8, root, False)           # a later batch repeating the poll adds nothing
     pr = committed_presence(spark, root, poll_interval_s=P)
     assert pr.clients.count() == 2 and pr.snapshots.count() == 1
+
+
+def test_batch_read_of_landing_files(spark, tmp_path):
+    from rollcall.sources.payloads import ingest_client_payloads, read_payload_text
+
+    landing = str(tmp_path / "landing")
+    land(landing, "f1.json", [doc(BASE, [person("a"), person("b")]), doc(BASE + P, [])])
+    land(landing, "f2.json", [doc(BASE, [person("a"), person("b")])])          # a copy of the first poll
+    sn, cs = ingest_client_payloads(read_payload_text(spark, landing))
+    assert sorted((r["ts"], r["total_clients"]) for r in rows(sn)) == [(BASE, 2), (BASE + P, 0)]
+    assert cs.count() == 2
