@@ -70,15 +70,17 @@ def _committed_snapshot_ids(spark: SparkSession, root: str, dates: DataFrame, ex
 def _write_batch(batch: DataFrame, batch_id: int, root: str, include_query_clients: bool,
                  dedupe: str = "committed") -> None:
     batch = batch.select("poll_ts", "payload").persist()
+    docs = batch
     try:
         tag = f"{batch_id:09d}"
-        docs = batch
         if dedupe == "committed":
-            # one document per poll in this batch, minus polls another batch already committed
-            docs = payloads.one_document_per_poll(batch)
-            days = docs.select(utc_date("poll_ts").alias("event_date")).distinct()
+            # one document per poll in this batch, minus polls another batch already committed;
+            # kept for the three writes below so the dedupe runs once
+            one_each = payloads.one_document_per_poll(batch)
+            days = one_each.select(utc_date("poll_ts").alias("event_date")).distinct()
             seen = _committed_snapshot_ids(batch.sparkSession, root, days, tag)
-            docs = docs.join(seen.withColumnRenamed("snapshot_id", "poll_ts"), "poll_ts", "left_anti")
+            docs = (one_each.join(seen.withColumnRenamed("snapshot_id", "poll_ts"), "poll_ts", "left_anti")
+                    .persist())
         snaps, clients = payloads.ingest_client_payloads(docs, include_query_clients, dedupe=False)
         clients.write.mode("overwrite").partitionBy("event_date").parquet(
             os.path.join(root, "clients", f"batch={tag}"))
@@ -89,6 +91,8 @@ def _write_batch(batch: DataFrame, batch_id: int, root: str, include_query_clien
         snaps.write.mode("overwrite").partitionBy("event_date").parquet(
             os.path.join(root, "snapshots", f"batch={tag}"))
     finally:
+        if docs is not batch:
+            docs.unpersist()
         batch.unpersist()
 
 
