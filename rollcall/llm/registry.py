@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import (bpe, decontaminate, html_density, licenses, line_dedup, linkgraph, quality, simhash)
+from rollcall.llm import (bpe, debruijn, decontaminate, html_density, licenses, line_dedup, linkgraph, ngram_lm, quality,
+                          simhash)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +39,11 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.url_verdicts(_table(spark, sf_dir, "pages"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts, unigram base score and trie model score of each document."""
+    return ngram_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text without repeated chunks of lines."""
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
@@ -60,10 +66,19 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(_table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed as repeated spans of earlier documents, and a digest of the kept ones."""
+    return substring_digests(debruijn.substring_dedup(_table(spark, sf_dir, "documents")))
+
+
+def substring_digests(deduplicated: DataFrame) -> DataFrame:
+    return deduplicated.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_quality_rules, op2_decontamination, op3_simhash, op4_url_filters, op6_line_dedup, op7_license_scan,
-        op8_html_extraction, op9_bpe)}
+        op1_quality_rules, op2_decontamination, op3_simhash, op4_url_filters, op5_lm_scoring, op6_line_dedup,
+        op7_license_scan, op8_html_extraction, op9_bpe, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

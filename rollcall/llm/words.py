@@ -48,7 +48,9 @@ def _power(n: int) -> np.ndarray:
     global _powers
     if len(_powers) < n:
         m = max(64, 2 * n)
-        _powers = np.cumprod(np.concatenate([[1], np.full(m - 1, _BASE)]).astype(np.uint64), dtype=np.uint64)
+        factors = np.full(m, _BASE, np.uint64)
+        factors[0] = 1
+        _powers = np.cumprod(factors, dtype=np.uint64)
     return _powers
 
 
