@@ -153,11 +153,8 @@ def _count_words(table: pa.Table, shard: int, shards: int) -> Iterator[tuple[int
     yield -1, int(total.sum()).to_bytes(8, "little"), int((total > 0).sum()).to_bytes(8, "little")
 
 
-def build_trie(contexts: np.ndarray, successors: np.ndarray, counts: np.ndarray) -> Trie:
-    """The trie of pairs with training counts (any order, pairs may repeat)."""
-    key = (contexts.astype(np.uint64) << np.uint64(32)) | successors.astype(np.uint64)
-    pair, at = np.unique(key, return_inverse=True)
-    count = np.bincount(at, counts, len(pair))
+def build_trie(pair: np.ndarray, count: np.ndarray) -> Trie:
+    """The trie of ascending distinct pairs (context << 32 | successor); pairs without training count are left out."""
     pair, count = pair[count > 0], count[count > 0]
     context = (pair >> np.uint64(32)).astype(np.int64)
     starts = np.concatenate([[0], np.flatnonzero(np.diff(context)) + 1]) if len(pair) else np.zeros(0, np.int64)
@@ -168,25 +165,33 @@ def build_trie(contexts: np.ndarray, successors: np.ndarray, counts: np.ndarray)
                 quantise((count - DISCOUNT) / np.repeat(total, sizes) if len(pair) else count))
 
 
+def query_trie(trie: Trie, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the context's interpolation weight and of the discounted probability of ascending distinct pairs."""
+    context = pair >> np.uint64(32)
+    heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    at = np.repeat(trie.context(context[heads]), np.diff(np.concatenate([heads, [len(pair)]])))
+    weight, prob = np.zeros(len(at), "<u2"), np.full(len(at), ZERO, "<u2")
+    seen = np.flatnonzero(at >= 0)
+    if len(seen):
+        weight[seen] = trie.context_codes[at[seen]]
+        found = trie.successor(at[seen], pair[seen] & np.uint64(0xFFFFFFFF))
+        hit = found >= 0
+        prob[seen[hit]] = trie.successor_codes[found[hit]]
+    return weight, prob
+
+
 def _answer_pairs(table: pa.Table) -> Iterator[tuple[int, bytes, bytes]]:
     """Per chunk: codes of the interpolation weight and of the discounted probability of each of its pairs."""
     chunks = table.column("chunk").to_pylist()
     lengths = [unplanes(x) for x in table.column("b").to_pylist()]
-    contexts = [np.repeat(unplanes(x), n) for x, n in zip(table.column("a").to_pylist(), lengths)]
-    successors = [unplanes(x) for x in table.column("c").to_pylist()]
-    counts = [unplanes(x) for x in table.column("d").to_pylist()]
-    trie = build_trie(np.concatenate(contexts), np.concatenate(successors), np.concatenate(counts))
-    for c, context, successor, n in zip(chunks, contexts, successors, lengths):
-        heads = trie.context(context[np.cumsum(n) - n])
-        at = np.repeat(heads, n)
-        weight, prob = np.zeros(len(at), "<u2"), np.full(len(at), ZERO, "<u2")
-        seen = np.flatnonzero(at >= 0)
-        weight[seen] = trie.context_codes[at[seen]]
-        if len(seen):
-            found = trie.successor(at[seen], successor[seen])
-            hit = found >= 0
-            prob[seen[hit]] = trie.successor_codes[found[hit]]
-        yield c, weight.tobytes(), prob.tobytes()
+    context = np.concatenate([np.repeat(unplanes(x), n) for x, n in zip(table.column("a").to_pylist(), lengths)])
+    successor = np.concatenate([unplanes(x) for x in table.column("c").to_pylist()])
+    counts = np.concatenate([unplanes(x) for x in table.column("d").to_pylist()])
+    pair, at = np.unique((context.astype(np.uint64) << np.uint64(32)) | successor.astype(np.uint64), return_inverse=True)
+    weight, prob = query_trie(build_trie(pair, np.bincount(at, counts, len(pair))), pair)
+    ends = np.cumsum([int(n.sum()) for n in lengths])
+    for c, a, b in zip(chunks, np.concatenate([[0], ends[:-1]]), ends):
+        yield c, weight[at[a:b]].tobytes(), prob[at[a:b]].tobytes()
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1,
