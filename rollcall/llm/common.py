@@ -54,6 +54,12 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], ddl: str)
     return map_slices(df, per_slice, ddl)
 
 
+def pieces(df: DataFrame, text_col: str, piece_bytes: int) -> int:
+    """How many pieces of about ``piece_bytes`` the texts make (one pass that returns a number)."""
+    total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(1, -(-int(total) // piece_bytes))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, every other character unchanged."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

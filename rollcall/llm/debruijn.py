@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from rollcall.llm.common import schema_of
+from rollcall.llm.common import pieces, schema_of
 from rollcall.llm.words import SPACED, hashed, windows
 
 WINDOW = 13
-CHUNKS_PER_PARTITION = 4
+CHUNK_BYTES = 4 << 20       # text of a chunk
+CHUNKS_PER_SHARD = 16       # at least; more while shards are few
 LEAST_SHARDS = 256      # so that hash div shards fits 7 bytes
 _REPLY = "chunk long, shard int, bits binary, sources binary"
 _SPAN = "chunk long, src long, words binary"
@@ -92,22 +93,26 @@ class Chunk:
         for a, b in zip(hit[starts].tolist(), hit[ends].tolist()):
             yield int(source[a]), self.words.text(int(self.at[a]), int(self.at[b]) + self.window)
 
-    def wrong_edges(self, span: bytes) -> np.ndarray:
-        """Hashes of the span's edges whose words do not stand at their source position here."""
-        theirs = hashed([span], SPACED)
+    def wrong_edges(self, spans: list[bytes]) -> dict[int, np.ndarray]:
+        """Span number to hashes of its edges whose words do not stand at their source position here."""
+        theirs = hashed(spans, SPACED)
         at, h = windows(theirs, self.window)
-        where = np.minimum(np.searchsorted(self.edges, h), max(0, len(self.edges) - 1))
-        known = self.edges[where] == h if len(self.edges) else np.zeros(len(h), bool)
-        place = np.where(known, self.at[self.first[where]] if len(self.edges) else 0, -2 * len(h) - 2 * np.arange(len(h)))
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(place) != 1) + 1]).tolist()
+        if not len(self.edges):
+            known, place = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+        else:
+            where = np.minimum(np.searchsorted(self.edges, h), len(self.edges) - 1)
+            known, place = self.edges[where] == h, self.at[self.first[where]]
+        span, w = theirs.doc[at], self.window
+        new = (np.diff(place) != 1) | (np.diff(at) != 1) | (np.diff(span) != 0) | ~known[1:] | ~known[:-1]
+        starts = np.concatenate([[0], np.flatnonzero(new) + 1]).tolist()
         bad = ~known
         for a, b in zip(starts, [*starts[1:], len(h)]):
             if known[a]:
-                p, w = int(place[a]), self.window
-                if self.words.text(p, p + b - a - 1 + w) != theirs.text(a, b - 1 + w):
-                    for i in range(a, b):
-                        bad[i] = self.words.text(p + i - a, p + i - a + w) != theirs.text(i, i + w)
-        return h[bad]
+                p, q = int(place[a]), int(at[a])
+                if self.words.text(p, p + b - a - 1 + w) != theirs.text(q, q + b - a - 1 + w):
+                    for i in range(b - a):
+                        bad[a + i] = self.words.text(p + i, p + i + w) != theirs.text(q + i, q + i + w)
+        return {s: h[bad & (span == s)] for s in set(span[bad].tolist())}
 
 
 def _answer(table: pa.Table, kind: str) -> Iterator[tuple[int, bytes, bytes]]:
@@ -138,19 +143,17 @@ def chunk_bounds(docs: DataFrame, id_col: str, chunks: int) -> list[int]:
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-                    partitions: int | None = None) -> DataFrame:
+                    chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text of the kept words, joined by one space) of every document row.
 
     A word goes if a window covering it also starts in a document with a
     smaller id; windows are judged on the input.  ``id_col`` is an integer.
     Null and empty texts have no words; documents without an id are neither
     removed from nor sources; rows that share an id are not sources of each
-    other.  ``partitions`` (default spark.sql.shuffle.partitions) sizes chunks
-    and shards; it changes no result.
+    other.  ``chunk_bytes`` (text per chunk, held by one task) changes no result.
     """
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks, shards = CHUNKS_PER_PARTITION * n, max(LEAST_SHARDS, n)
+    chunks = pieces(docs, text_col, chunk_bytes)
+    shards = max(LEAST_SHARDS, chunks // CHUNKS_PER_SHARD)
     kind = "<u2" if chunks < 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bounds = np.array(chunk_bounds(rows, "doc_id", chunks), np.int64)
@@ -190,10 +193,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out = []
         if spans.num_rows and table.num_rows:
             chunk = Chunk(table, window, shards)
-            for words, users in zip(spans.column("words").to_pylist(), spans.column("users").to_pylist()):
-                wrong = chunk.wrong_edges(words)
-                if len(wrong):
-                    out += [(c, -1, wrong.astype("<u8").tobytes(), b"") for c in users]
+            users = spans.column("users")
+            for i, wrong in chunk.wrong_edges(spans.column("words").to_pylist()).items():
+                out += [(c, -1, wrong.astype("<u8").tobytes(), b"") for c in users[i].as_py()]
         return batch(out, _REPLY)
 
     def remove(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:

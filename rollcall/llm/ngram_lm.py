@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from rollcall.llm.common import schema_of
+from rollcall.llm.common import pieces, schema_of
 from rollcall.llm.elias_fano import Trie
 from rollcall.llm.words import LOWER_SPACED, hashed
 
 DISCOUNT = 0.75
-CHUNKS_PER_PARTITION = 4
+CHUNK_BYTES = 4 << 20       # text of a chunk
+CHUNKS_PER_SHARD = 16       # at least; more while shards are few
 LEAST_SHARDS = 256          # so that a word hash div shards fits 7 bytes
 END = np.uint64(0x656E64)   # stands for the end token in word hashes
 START, UNKNOWN = 0, (1 << 32) - 1   # context number of a text's start; number of words without training count
@@ -195,7 +196,7 @@ def _answer_pairs(table: pa.Table) -> Iterator[tuple[int, bytes, bytes]]:
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1,
-                    partitions: int | None = None) -> DataFrame:
+                    chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document row.
 
     The model learns from the documents whose crc32(id as text) mod ``folds`` is
@@ -203,11 +204,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lower-cased words and one end per text, so null and empty texts have one
     token.  ``score`` is the model's log10 probability of the text, ``base_score``
     that of an add-half unigram model.  Repeated rows count and are scored each.
-    Without training documents every word is unknown.
+    Without training documents every word is unknown.  ``chunk_bytes`` (text
+    per chunk, held by one task) changes no result.
     """
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks, shards = CHUNKS_PER_PARTITION * n, max(LEAST_SHARDS, n)
+    chunks = pieces(docs, text_col, chunk_bytes)
+    shards = max(LEAST_SHARDS, chunks // CHUNKS_PER_SHARD)
     kind = dict(docs.dtypes)[id_col]
     result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_sum double, vocabulary long, score double"
     arrow = {ddl: to_arrow_schema(schema_of(ddl)) for ddl in (_SENT, _REPLY, result)}
