@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import cut
+from rollcall.llm.common import stored
 
 
 def _to_least(pairs: DataFrame) -> DataFrame:
@@ -22,11 +22,11 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataF
     """(node, component): every node of the links with the least node it is connected to.
 
     Alternates large-star and small-star steps until the links no longer
-    change; each round is checkpointed.  Rounds grow with the logarithm of the
+    change; each round is written to the checkpoint folder.  Rounds grow with the logarithm of the
     number of nodes, whatever the shape of a component.  Links with a null end
     and links of a node to itself join nothing.
     """
-    edges = cut(links.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y"))
+    edges = stored(links.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y"))
                 .filter(F.col("x") > F.col("y")).distinct())
     state = None
     for _ in range(max_rounds):
@@ -34,7 +34,7 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataF
             edges.select(F.col("y").alias("u"), F.col("x").alias("v")))
         large = _to_least(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("x"), F.col("m").alias("y"))
         small = _to_least(large.distinct().select(F.col("x").alias("u"), F.col("y").alias("v")))
-        edges = cut(small.select(F.explode(F.array(
+        edges = stored(small.select(F.explode(F.array(
             F.struct(F.col("v").alias("x"), F.col("m").alias("y")),
             F.struct(F.col("u").alias("x"), F.col("m").alias("y")))).alias("e"))
             .select("e.*").filter(F.col("x") > F.col("y")).distinct())

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import cut, lower_ascii
+from rollcall.llm.common import cut, lower_ascii, stored
 
 # fixed: (host, path prefix, verdict); a rule holds for its host and all subdomains
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -63,15 +63,15 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tole
     """(host, trust, distrust) from seeds (host, trust, distrust in 0..1) over links (src, dst, weight).
 
     One join and one aggregation per round serve both directions; each round is
-    checkpointed.  A host without links passes nothing on.
+    written to the checkpoint folder.  A host without links passes nothing on.
     """
     directed = links.select("src", "dst", "weight", F.lit(True).alias("forward")).union(
         links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit(False).alias("forward")))
     totals = directed.groupBy("src", "forward").agg(F.sum("weight").alias("total"))
-    steps = cut(directed.join(totals, ["src", "forward"]).select("src", "dst", "forward", (F.col("weight") / F.col("total")).alias("share")))
+    steps = stored(directed.join(totals, ["src", "forward"]).select("src", "dst", "forward", (F.col("weight") / F.col("total")).alias("share")))
     nodes = seeds.select("host", "trust", "distrust").union(
         steps.select(F.col("dst").alias("host"), F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust")))
-    base = cut(nodes.groupBy("host").agg((F.max("trust") * (1 - damping)).alias("base_t"),
+    base = stored(nodes.groupBy("host").agg((F.max("trust") * (1 - damping)).alias("base_t"),
                                          (F.max("distrust") * (1 - damping)).alias("base_d")))
     state = base.select("host", F.col("base_t").alias("trust"), F.col("base_d").alias("distrust"))
     for _ in range(max_rounds):
@@ -79,7 +79,7 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tole
                 .agg(F.sum(F.when(F.col("forward"), F.col("share") * F.col("trust")).otherwise(0.0)).alias("in_t"),
                      F.sum(F.when(~F.col("forward"), F.col("share") * F.col("distrust")).otherwise(0.0)).alias("in_d")))
         old = state.select(F.col("host").alias("old"), F.col("trust").alias("old_t"), F.col("distrust").alias("old_d"))
-        new = cut(base.join(sent, base.host == sent.dst, "left").join(old, base.host == F.col("old")).select(
+        new = stored(base.join(sent, base.host == sent.dst, "left").join(old, base.host == F.col("old")).select(
             "host", (F.col("base_t") + damping * F.coalesce("in_t", F.lit(0.0))).alias("trust"),
             (F.col("base_d") + damping * F.coalesce("in_d", F.lit(0.0))).alias("distrust"), "old_t", "old_d"))
         moved = new.agg(F.max(F.greatest(F.abs(F.col("trust") - F.col("old_t")), F.abs(F.col("distrust") - F.col("old_d"))))).first()[0]

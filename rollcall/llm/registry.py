@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import (bpe, debruijn, decontaminate, html_density, licenses, line_dedup, linkgraph, ngram_lm, quality,
-                          simhash)
+from rollcall.llm import (bpe, debruijn, decontaminate, html_density, licenses, line_dedup, linkgraph, ngram_lm, oracle,
+                          quality, simhash)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,4 +82,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
