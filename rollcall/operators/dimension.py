@@ -1,4 +1,4 @@
-"""Joining channel names onto results, with a checked broadcast."""
+"""Joining channel names onto results."""
 
 from __future__ import annotations
 
@@ -8,25 +8,13 @@ from pyspark.sql import functions as F
 from rollcall.functions.columns import channel_label
 from rollcall.tables import Presence
 
-# A voice server's channel list is small; above this many rows the join is left
-# to the planner (shuffle join / AQE) instead of being forced to broadcast.
-MAX_BROADCAST_ROWS = 200_000
-
-
 def channel_names(channels: DataFrame) -> DataFrame:
     return channels.select("channel_id", F.col("channel_name").alias("_raw_name"))
 
 
 def channel_side(pr: Presence) -> DataFrame:
-    """Name side of the join, broadcast when the size check passes.
-
-    The check counts at most ``MAX_BROADCAST_ROWS + 1`` rows of the dimension,
-    once per table set; above the bound the planner (and AQE) pick the join.
-    """
-    small = pr.memo("channels_small",
-                    lambda: pr.channels.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS)
-    names = channel_names(pr.channels)
-    return F.broadcast(names) if small else names
+    """Name side of the join; the planner and AQE choose the join by measured bytes."""
+    return channel_names(pr.channels)
 
 
 def with_channel_names(df: DataFrame, pr: Presence, label: bool = True) -> DataFrame:

@@ -12,7 +12,6 @@ regular, the rest casual.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,17 +55,14 @@ def ltv_scores(pr: Presence, days: int | None = None, slice_polls: int = SLICE_P
                as_of: int | None = None) -> DataFrame:
     """All scored users (``n > 5``) with every derived column; unordered.
 
-    The per-(user, slice) summaries are persisted so the fact is read once;
-    identical calls (same range) share that cache, and
-    :func:`release_cached_summaries` (or ``spark.catalog.clearCache()``) frees it.
+    Nothing is cached: every call reads the tables as they are.  The shuffle of
+    the per-(user, slice) summaries is one plan node that its three consumers
+    (totals, distinct channels, normalizers) share where Spark reuses exchanges.
     """
     p = pr.poll_interval_s
     rng = pr.time_range(days, as_of)
     cs = pr.clients_in(rng)
-    # One pass over the fact: per (user, slice) summaries, kept for the three
-    # consumers below (totals, distinct channels, normalizers).  Its size is
-    # users x slices; MEMORY_AND_DISK spills, and a lost block is recomputed.
-    stitched = _slice_summaries(cs, p, slice_polls).persist(StorageLevel.MEMORY_AND_DISK)
+    stitched = _slice_summaries(cs, p, slice_polls)
     base = user_totals(stitched, [F.max("_nick").alias("nickname"),
                                   F.sum("_talk").cast("long").alias("talking_samples"),
                                   F.sum("_idle_sum").alias("_idle_sum"),
@@ -112,13 +108,6 @@ def ltv_scores(pr: Presence, days: int | None = None, slice_polls: int = SLICE_P
         "first_seen", "last_seen")
 
 
-def release_cached_summaries(pr: Presence, days: int | None = None, slice_polls: int = SLICE_POLLS,
-                             as_of: int | None = None) -> None:
-    """Unpersist the slice summaries cached by :func:`ltv_scores` for this range."""
-    rng = pr.time_range(days, as_of)
-    _slice_summaries(pr.clients_in(rng), pr.poll_interval_s, slice_polls).unpersist()
-
-
 def lifetime_value(pr: Presence, days: int | None = None, limit: int = 50,
                    slice_polls: int = SLICE_POLLS, as_of: int | None = None) -> DataFrame:
     """Top ``limit`` users by score (ties by user id)."""

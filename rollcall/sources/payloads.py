@@ -25,10 +25,16 @@ DEFAULT_NICKNAME = "Unknown"
 DEFAULT_CHANNEL_NAME = "Unknown Channel"
 
 
+def poll_time(text: Column) -> Column:
+    """Poll time text to whole seconds (fractions are floored, garbage is NULL, never an error)."""
+    t = F.trim(text)
+    return F.coalesce(t.try_cast("long"), F.floor(t.try_cast("double")).cast("long"))
+
+
 def read_payload_text(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines ``{"poll_ts": ..., "payload": {...}}`` as ``poll_ts, payload`` text."""
     raw = spark.read.text(path)
-    return raw.select(F.get_json_object("value", "$.poll_ts").cast("long").alias("poll_ts"),
+    return raw.select(poll_time(F.get_json_object("value", "$.poll_ts")).alias("poll_ts"),
                       F.get_json_object("value", "$.payload").alias("payload"))
 
 
@@ -45,7 +51,7 @@ def _parse(payloads: DataFrame, record) -> DataFrame:
     # text that is not a JSON object is rejected like an error status
     is_object = F.json_object_keys("payload").isNotNull()
     return parsed.withColumn("_accepted", F.coalesce(
-        is_object & (F.col("doc.status").isNull() | (F.trim(code).try_cast("long") == 0)), F.lit(False)))
+        is_object & F.col("poll_ts").isNotNull() & (F.col("doc.status").isNull() | (F.trim(code).try_cast("long") == 0)), F.lit(False)))
 
 
 def rejected_polls(payloads: DataFrame) -> DataFrame:
@@ -62,12 +68,14 @@ def _text_long(c: Column) -> Column:
 
 
 def one_document_per_poll(payloads: DataFrame) -> DataFrame:
-    """One document per ``poll_ts``: copies collapse, and if two producers sent
-    different documents for one poll the longest text wins (ties: the larger
-    text).  The choice is deterministic, so a recomputed task picks the same
-    document."""
-    rank = F.struct(F.length("payload"), F.col("payload"))
-    return payloads.groupBy("poll_ts").agg(F.max_by("payload", rank).alias("payload"))
+    """One document per ``poll_ts``: copies collapse, an accepted document goes
+    before a rejected one, and if two producers sent different accepted
+    documents for one poll the longest text wins (ties: the larger text).  The
+    choice is deterministic, so a recomputed task picks the same document."""
+    rank = F.struct("_accepted", F.length("payload"), F.col("payload"))
+    parsed = payloads.withColumn("_text", F.col("payload"))
+    return _parse(parsed, schemas.CLIENT_RECORD).select("poll_ts", F.col("_text").alias("payload"), "_accepted") \
+        .groupBy("poll_ts").agg(F.max_by("payload", rank).alias("payload"))
 
 
 def client_list_rows(payloads: DataFrame, include_query_clients: bool = False,

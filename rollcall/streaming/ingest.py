@@ -40,7 +40,7 @@ def poll_stream(spark: SparkSession, landing_dir: str, lateness: str = DEFAULT_L
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     raw = reader.load(landing_dir)
-    docs = raw.select(F.get_json_object("value", "$.poll_ts").cast("long").alias("poll_ts"),
+    docs = raw.select(payloads.poll_time(F.get_json_object("value", "$.poll_ts")).alias("poll_ts"),
                       F.get_json_object("value", "$.payload").alias("payload"))
     docs = (docs.filter(F.col("poll_ts").isNotNull())
             .withColumn("poll_time", F.timestamp_seconds("poll_ts"))

@@ -2,6 +2,7 @@
 
 from frames import BASE, client, col, one, presence, rows
 
+from rollcall.sources import payloads
 from rollcall.operators import channels, load, ltv, status, users
 from rollcall.tables import TimeRange
 
@@ -251,3 +252,15 @@ def test_user_stats_nested(spark):
     assert [(c["channel_id"], c["channel_name"], c["visits"]) for c in out["favorite_channels"]] == \
         [(1, "Lobby", 3), (2, "Channel 2", 2)]
     assert out["activity_by_day_of_week"] == {1: 5}          # 2024-01-01 was a Monday
+
+
+def test_rejected_document_never_displaces_a_valid_one(spark, tmp_path):
+    valid = '{"status":{"code":0},"body":[{"client_unique_identifier":"a","cid":1}]}'
+    error = '{"status":{"code":5,"message":"' + "x" * 300 + '"}}'
+    lines = [f'{{"poll_ts": 1704067230.5, "payload": {p}}}' for p in (valid, error)] + ['{"poll_ts": "soon", "payload": ' + valid + "}"]
+    (tmp_path / "polls.json").write_text("\n".join(lines))
+    docs = payloads.read_payload_text(spark, str(tmp_path))
+    snapshots, clients = payloads.ingest_client_payloads(docs)
+    assert [(r.snapshot_id, r.total_clients) for r in snapshots.collect()] == [(1704067230, 1)]
+    assert [r.client_uid for r in clients.collect()] == ["a"]
+    assert payloads.rejected_polls(docs).count() == 2

@@ -135,12 +135,12 @@ def test_ltv_score_by_hand_and_no_talkers(spark):
     assert [x["client_uid"] for x in top] == ["a"]
 
 
-def test_ltv_cache_release(spark):
+def test_ltv_keeps_no_cache(spark):
     r = [client(i, BASE + i * P, uid=f"u{i % 2}", talk=i % 3 == 0) for i in range(40)]
     pr = presence(spark, r, p=P)
-    before = ltv.ltv_summary(pr).first()["total_users"]
-    ltv.release_cached_summaries(pr)
-    assert ltv.ltv_summary(pr).first()["total_users"] == before == 2
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert ltv.ltv_summary(pr).first()["total_users"] == 2
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
 
 
 def test_one_sample_per_user(spark):
