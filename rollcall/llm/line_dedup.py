@@ -64,6 +64,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     it only if no row with an id has it).  Null texts stay null, empty texts
     empty; chunks with fewer than two non-blank lines are never removed.
     """
+    names = docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])   # no name of the caller's can clash with ours
+    id_col, text_col = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     repeated = cut(repeated_chunks(docs, id_col, text_col, spacing))
     key = [F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text")]
     places = (with_chunks(docs.select(*key, F.col(text_col).alias("text")), F.col("text"), spacing)
@@ -79,7 +82,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = seen.withColumn("__kept", F.filter("__chunks", lambda c, i: F.col("__gone").isNull() | ~F.array_contains("__gone", i)))
     n_kept = F.aggregate("__kept", F.lit(0), lambda acc, c: acc + c["n"])
     new = F.array_join(F.flatten(F.transform("__kept", lambda c: F.slice("__lines", c["first"], c["n"]))), "\n")
-    columns = [F.when(F.col(c).isNotNull(), new).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    columns = [(F.when(F.col(c).isNotNull(), new) if c == text_col else F.col(c)).alias(name)
+               for c, name in zip(docs.columns, names)]
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__lines"))
     return kept.select(*columns, n_lines.cast("long").alias("__n_lines"),
                        F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__lines") - n_kept).cast("long").alias("__n_removed"))
