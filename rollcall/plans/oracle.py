@@ -20,10 +20,11 @@ ev AS (
 ),
 cs AS (
   SELECT event_id AS id, tick AS snapshot_id, tick * {P} AS ts,
-         'u' || CAST(user_id AS VARCHAR) AS client_uid,
+         CASE WHEN k >= (user_id % 10) * 10 AND tick - 118338 >= (user_id % 30) * 6
+              THEN 'u' || CAST(user_id AS VARCHAR) ELSE 'guest' || CAST(user_id % 3 AS VARCHAR) END AS client_uid,
          user_id AS client_database_id,
          'nick' || CAST(user_id AS VARCHAR) || '_' || CAST(k % 3 AS VARCHAR) AS nickname,
-         k % 12 + 1 AS channel_id,
+         k % 27 + 1 AS channel_id,
          CASE WHEN k % 7 = 0 THEN NULL ELSE CAST(floor(value * 10000) AS BIGINT) END AS idle_ms,
          event_type = 'view' AS is_away,
          CASE WHEN event_type = 'view' OR k % 10 = 0 THEN 'brb' || CAST(k % 5 AS VARCHAR) ELSE '' END AS away_message,
@@ -35,7 +36,6 @@ cs AS (
               ELSE CAST(user_id % 3 + 6 AS VARCHAR) || ', ' || CAST(k % 2 + 9 AS VARCHAR) END AS server_groups,
          CAST(floor(value * 60) AS BIGINT) AS connected_time
   FROM ev
-  WHERE k >= (user_id % 10) * 10 AND tick - 118338 >= (user_id % 30) * 6
 ),
 sn AS (
   SELECT g.snapshot_id, g.snapshot_id * {P} AS ts, CAST(COALESCE(c.n, 0) AS BIGINT) AS total_clients
@@ -49,7 +49,7 @@ ch AS (
          CAST(n_nationkey AS BIGINT) AS channel_order,
          CAST(0 AS BIGINT) AS total_clients,
          CAST(0 AS BIGINT) AS last_updated
-  FROM nation WHERE n_nationkey < 10
+  FROM nation
 ),
 prm AS (SELECT max(ts) AS as_of FROM sn)
 """
@@ -432,8 +432,8 @@ def channel_upsert():
 FROM (SELECT channel_id, channel_name, parent_channel_id, channel_order, total_clients, last_updated,
              0 AS src, CAST(0 AS BIGINT) AS seq FROM ch
       UNION ALL
-      SELECT k % 12 + 1, 'room ' || CAST(k % 12 + 1 AS VARCHAR) || '/' || CAST(user_id % 4 AS VARCHAR),
-             k % 3, k % 12, user_id % 7, tick * {P}, 1, event_id FROM ev) a
+      SELECT k % 27 + 1, 'room ' || CAST(k % 27 + 1 AS VARCHAR) || '/' || CAST(user_id % 4 AS VARCHAR),
+             k % 3, k % 27, user_id % 7, tick * {P}, 1, event_id FROM ev) a
 GROUP BY channel_id"""
 
 
@@ -457,9 +457,9 @@ def ingest_snapshots():
 
 
 def ingest_channel_updates():
-    return f"""SELECT k % 12 + 1 AS channel_id,
-  'room ' || CAST(k % 12 + 1 AS VARCHAR) || '/' || CAST(user_id % 4 AS VARCHAR) AS channel_name,
-  k % 3 AS parent_channel_id, k % 12 AS channel_order, user_id % 7 AS total_clients,
+    return f"""SELECT k % 27 + 1 AS channel_id,
+  'room ' || CAST(k % 27 + 1 AS VARCHAR) || '/' || CAST(user_id % 4 AS VARCHAR) AS channel_name,
+  k % 3 AS parent_channel_id, k % 27 AS channel_order, user_id % 7 AS total_clients,
   tick * {P} AS last_updated,
   tick * {P} * 1048576 + row_number() OVER (PARTITION BY tick ORDER BY event_id) - 1 AS list_seq
 FROM ev"""

@@ -17,8 +17,8 @@ from rollcall.tables import Presence
 # Fixed values of the adapter (test-data description).
 ADAPTER_POLL_INTERVAL_S = 14400        # 4 h polls
 ONBOARDING_ORIGIN_TICK = 118338        # first poll of 2024-01-01 at 4 h polls
-CHANNEL_COUNT = 12                     # channel ids 1..12
-DIMENSION_NATIONS = 10                 # nations 0..9 become channels 1..10
+CHANNEL_COUNT = 27                     # channel ids 1..27; nations 0..24 become channels 1..25
+SHARED_IDENTITIES = 3                  # heavy identities that many users' events share
 BLANK_NAME_NATION = 3                  # this nation's channel gets an empty name
 TICK_CHUNK = 10_000                    # poll ticks generated per grid row
 
@@ -28,13 +28,13 @@ def _k() -> F.Column:
 
 
 def client_rows(events: DataFrame, poll_interval_s: int = ADAPTER_POLL_INTERVAL_S) -> DataFrame:
-    """One fact row per kept event.
+    """One fact row per event.
 
-    The row filter is part of the fixture's input definition, not a sample:
-    ``k >= (user_id % 10) * 10`` makes activity uneven across users, and
-    ``tick - origin >= (user_id % 30) * 6`` staggers when users first appear
-    (so new versus returning users are meaningful).  Every question then runs
-    over all rows this produces.
+    Events with ``k >= (user_id % 10) * 10`` and ``tick - origin >= (user_id %
+    30) * 6`` belong to identity ``u<user_id>``: activity is uneven across
+    users, and users first appear at different times (so new versus returning
+    users are meaningful).  All other events belong to a few shared identities
+    ``guest<user_id % 3>``, which hold most of the rows (hot keys).
     """
     p = int(poll_interval_s)
     k = F.col("k")
@@ -44,14 +44,14 @@ def client_rows(events: DataFrame, poll_interval_s: int = ADAPTER_POLL_INTERVAL_
             .select("event_id", "user_id", "event_type", "value",
                     F.unix_timestamp(F.col("ts")).alias("epoch"), _k().alias("k"))
             .withColumn("snapshot_id", F.floor(F.col("epoch") / p).cast("long")))
-    kept = base.filter((k >= (uid % 10) * 10)
-                       & ((F.col("snapshot_id") - ONBOARDING_ORIGIN_TICK) >= (uid % 30) * 6))
+    own = (k >= (uid % 10) * 10) & ((F.col("snapshot_id") - ONBOARDING_ORIGIN_TICK) >= (uid % 30) * 6)
     away = etype == "view"
-    rows = kept.select(
+    rows = base.select(
         F.col("event_id").alias("id"),
         "snapshot_id",
         (F.col("snapshot_id") * p).alias("ts"),
-        F.concat(F.lit("u"), uid.cast("string")).alias("client_uid"),
+        F.when(own, F.concat(F.lit("u"), uid.cast("string")))
+         .otherwise(F.concat(F.lit("guest"), (uid % SHARED_IDENTITIES).cast("string"))).alias("client_uid"),
         uid.alias("client_database_id"),
         F.concat(F.lit("nick"), uid.cast("string"), F.lit("_"), (k % 3).cast("string")).alias("nickname"),
         (k % CHANNEL_COUNT + 1).alias("channel_id"),
@@ -102,7 +102,7 @@ def snapshot_rows(events: DataFrame, clients: DataFrame,
 
 def channel_rows(nation: DataFrame) -> DataFrame:
     key = F.col("n_nationkey").cast("long")
-    return (nation.filter(F.col("n_nationkey") < DIMENSION_NATIONS)
+    return (nation
             .select((key + 1).alias("channel_id"),
                     F.when(key == BLANK_NAME_NATION, F.lit("")).otherwise(F.col("n_name")).alias("channel_name"),
                     F.col("n_regionkey").cast("long").alias("parent_channel_id"),
@@ -131,8 +131,8 @@ def load_adapter(spark, sf_dir: str, poll_interval_s: int = ADAPTER_POLL_INTERVA
 def channel_observations(events: DataFrame, poll_interval_s: int = ADAPTER_POLL_INTERVAL_S) -> DataFrame:
     """Stand-in channel-list rows: one observation per event, stamped with its poll.
 
-    Rule: channel ``k % 12 + 1`` named ``room <id>/<user_id % 4>``, parent
-    ``k % 3``, order ``k % 12``, ``user_id % 7`` clients; ``_seq`` is the event id
+    Rule: channel ``k % 27 + 1`` named ``room <id>/<user_id % 4>``, parent
+    ``k % 3``, order ``k % 27``, ``user_id % 7`` clients; ``_seq`` is the event id
     (the position in the reported list).
     """
     p = int(poll_interval_s)
