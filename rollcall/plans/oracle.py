@@ -446,7 +446,7 @@ def retention_report(days=7):
 
 
 def ingest_clients():
-    return f"""SELECT ts * 1048576 + pos AS id, ts AS snapshot_id, ts, client_uid, client_database_id, nickname,
+    return f"""SELECT ts * 2147483648 + pos AS id, ts AS snapshot_id, ts, client_uid, client_database_id, nickname,
   channel_id, idle_ms, is_away, COALESCE(away_message, '') AS away_message, is_talking, input_muted,
   output_muted, is_recording, COALESCE(server_groups, '') AS server_groups, connected_time
 FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY id) - 1 AS pos FROM cs) x"""
@@ -461,7 +461,7 @@ def ingest_channel_updates():
   'room ' || CAST(k % 27 + 1 AS VARCHAR) || '/' || CAST(user_id % 4 AS VARCHAR) AS channel_name,
   k % 3 AS parent_channel_id, k % 27 AS channel_order, user_id % 7 AS total_clients,
   tick * {P} AS last_updated,
-  tick * {P} * 1048576 + row_number() OVER (PARTITION BY tick ORDER BY event_id) - 1 AS list_seq
+  tick * {P} * 2147483648 + row_number() OVER (PARTITION BY tick ORDER BY event_id) - 1 AS list_seq
 FROM ev"""
 
 

@@ -2,22 +2,23 @@
 
 A payload is one JSON document per poll with the poll time ``poll_ts``:
 ``{status: {code, message}, body: [record, ...]}``.  A non-zero status code
-rejects the whole poll; a document without ``status`` is accepted as is, and
+rejects the document; a document without ``status`` is accepted as is, and
 a bare list of records is taken as the body.
 Every scalar is read as text and cast on use.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollcall import schemas
 from rollcall.functions.columns import flag_value
 from rollcall.functions.time import utc_date
 
-# Row ids: poll time in the high bits, position in the client list below.
-POSITION_BITS = 20
+# Row ids: poll time in the high bits, position in the poll's client list below.
+POSITION_BITS = 31
+LATEST_POLL_TS = (1 << 32) - 1     # later times (milliseconds, say) are rejected
 
 # Stored defaults for fields missing from a poll record.
 DEFAULT_UID = "unknown"
@@ -51,11 +52,12 @@ def _parse(payloads: DataFrame, record) -> DataFrame:
     # text that is not a JSON object is rejected like an error status
     is_object = F.json_object_keys("payload").isNotNull()
     return parsed.withColumn("_accepted", F.coalesce(
-        is_object & F.col("poll_ts").isNotNull() & (F.col("doc.status").isNull() | (F.trim(code).try_cast("long") == 0)), F.lit(False)))
+        is_object & F.col("poll_ts").between(0, LATEST_POLL_TS)
+        & (F.col("doc.status").isNull() | (F.trim(code).try_cast("long") == 0)), F.lit(False)))
 
 
 def rejected_polls(payloads: DataFrame) -> DataFrame:
-    """Polls whose status is an error (or whose text is not JSON)."""
+    """Documents whose status is an error, whose text is not JSON or whose poll time is no time."""
     parsed = _parse(payloads, schemas.CLIENT_RECORD)
     return parsed.filter(~F.col("_accepted")).select(
         "poll_ts", F.col("doc.status.code").alias("code"), F.col("doc.status.message").alias("message"))
@@ -67,33 +69,56 @@ def _text_long(c: Column) -> Column:
     return F.coalesce(t.try_cast("long"), t.try_cast("double").cast("long"))
 
 
-def one_document_per_poll(payloads: DataFrame) -> DataFrame:
-    """One document per ``poll_ts``: copies collapse, an accepted document goes
-    before a rejected one, and if two producers sent different accepted
-    documents for one poll the longest text wins (ties: the larger text).  The
-    choice is deterministic, so a recomputed task picks the same document."""
-    rank = F.struct("_accepted", F.length("payload"), F.col("payload"))
-    parsed = payloads.withColumn("_text", F.col("payload"))
-    return _parse(parsed, schemas.CLIENT_RECORD).select("poll_ts", F.col("_text").alias("payload"), "_accepted") \
-        .groupBy("poll_ts").agg(F.max_by("payload", rank).alias("payload"))
+def only_accepted(payloads: DataFrame) -> DataFrame:
+    """The accepted documents, text unchanged."""
+    parsed = _parse(payloads.withColumn("_text", F.col("payload")), schemas.CLIENT_RECORD).filter("_accepted")
+    return parsed.select(*[c for c in payloads.columns if c != "payload"], F.col("_text").alias("payload"))
 
 
-def client_list_rows(payloads: DataFrame, include_query_clients: bool = False,
-                     dedupe: bool = True) -> DataFrame:
-    """Accepted polls exploded to one row per client (NULL client for an empty poll).
+def accepted_documents(payloads: DataFrame) -> DataFrame:
+    """Accepted documents, exact copies collapsed; a rejected document displaces nothing."""
+    return only_accepted(payloads).dropDuplicates(["poll_ts", "payload"])
 
-    With ``dedupe`` a poll document delivered twice counts once: whole
-    documents (one per poll) are deduplicated before they are exploded.
-    Streams deduplicate within a watermark instead.
+
+def _is_listed_client(include_query_clients: bool) -> Column:
+    """A record is there and is not a service client."""
+    listed = F.col("c").isNotNull()
+    if not include_query_clients:
+        listed = listed & (F.coalesce(F.trim(F.col("c.client_type")), F.lit("0")) == "0")
+    return listed
+
+
+def united_client_rows(docs: DataFrame, include_query_clients: bool = False) -> DataFrame:
+    """The client lists of each poll's distinct accepted documents as one list: ``poll_ts, pos, c, kept``.
+
+    Documents of a poll follow each other in text order, so positions (and row
+    ids) are unique in the poll and the same on every run.  A connection
+    (``clid``) that several documents of the poll list under one identity is
+    kept once, at its first position; records without ``clid`` are all kept.
+    Empty polls give one row without a record.
+    """
+    earlier = Window.partitionBy("poll_ts").orderBy("payload").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.size(F.coalesce(F.col("doc.body"), F.array())).cast("long")
+    placed = _parse(docs, schemas.CLIENT_RECORD).filter("_accepted") \
+        .select("poll_ts", "doc.body", F.coalesce(F.sum(size).over(earlier), F.lit(0)).alias("offset"))
+    rows = (placed.select("poll_ts", "offset", F.posexplode_outer("body").alias("at", "c"))
+            .select("poll_ts", (F.col("offset") + F.col("at")).alias("pos"), "c",
+                    F.coalesce(_is_listed_client(include_query_clients), F.lit(False)).alias("listed")))
+    clid = F.col("c.clid")
+    same = Window.partitionBy("poll_ts", "c.client_unique_identifier", clid, "listed",
+                              F.when(clid.isNull(), F.col("pos"))).orderBy("pos")
+    return rows.withColumn("kept", F.col("listed") & (F.row_number().over(same) == 1)).drop("listed")
+
+
+def client_list_rows(payloads: DataFrame, include_query_clients: bool = False) -> DataFrame:
+    """Accepted documents exploded to one row per client (NULL client for an empty poll).
+
+    For streams, which deduplicate polls within a watermark before.
     """
-    docs = one_document_per_poll(payloads) if dedupe else payloads
-    parsed = _parse(docs, schemas.CLIENT_RECORD).filter("_accepted")
+    parsed = _parse(payloads, schemas.CLIENT_RECORD).filter("_accepted")
     extra = [c for c in payloads.columns if c not in ("poll_ts", "payload")]
     rows = parsed.select("poll_ts", *extra, F.posexplode_outer("doc.body").alias("pos", "c"))
-    if not include_query_clients:
-        ctype = F.coalesce(F.trim(F.col("c.client_type")), F.lit("0"))
-        rows = rows.filter(F.col("c").isNull() | (ctype == "0"))
-    return rows
+    return rows.filter(F.col("c").isNull() | _is_listed_client(include_query_clients))
 
 
 def poll_counts(payloads: DataFrame, include_query_clients: bool = False) -> DataFrame:
@@ -148,12 +173,18 @@ def ingest_client_payloads(payloads: DataFrame, include_query_clients: bool = Fa
                            dedupe: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(snapshots, clients)`` from client-list payloads.
 
-    The snapshot row of a poll is computed from its document alone (client
-    count without exploding), so only the client rows are exploded and
-    nothing is regrouped by poll.
+    All accepted documents of a poll count, see :func:`united_client_rows`;
+    ``total_clients`` is the number of client rows kept.  With ``dedupe`` False
+    the caller has one accepted document per poll already, and the poll rows
+    are computed without exploding it.
     """
-    docs = one_document_per_poll(payloads) if dedupe else payloads
-    counts = poll_counts(docs, include_query_clients)
+    if dedupe:
+        rows = united_client_rows(accepted_documents(payloads), include_query_clients)
+        counts = rows.groupBy("poll_ts").agg(F.sum(F.col("kept").cast("long")).alias("total_clients"))
+        clients = clients_from_rows(rows.filter("kept"))
+    else:
+        counts = poll_counts(payloads, include_query_clients)
+        clients = clients_from_rows(client_list_rows(payloads, include_query_clients))
     snapshots = counts.select(F.col("poll_ts").alias("snapshot_id"), F.col("poll_ts").alias("ts"),
                               "total_clients", utc_date("poll_ts").alias("event_date"))
-    return snapshots, clients_from_rows(client_list_rows(docs, include_query_clients, dedupe=False))
+    return snapshots, clients

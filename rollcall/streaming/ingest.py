@@ -42,7 +42,8 @@ def poll_stream(spark: SparkSession, landing_dir: str, lateness: str = DEFAULT_L
     raw = reader.load(landing_dir)
     docs = raw.select(payloads.poll_time(F.get_json_object("value", "$.poll_ts")).alias("poll_ts"),
                       F.get_json_object("value", "$.payload").alias("payload"))
-    docs = (docs.filter(F.col("poll_ts").isNotNull())
+    # validated before repeats are dropped: a rejected document never suppresses the retry
+    docs = (payloads.only_accepted(docs)
             .withColumn("poll_time", F.timestamp_seconds("poll_ts"))
             .withWatermark("poll_time", lateness))
     return docs.dropDuplicatesWithinWatermark(["poll_ts"]) if dedupe else docs
@@ -50,8 +51,7 @@ def poll_stream(spark: SparkSession, landing_dir: str, lateness: str = DEFAULT_L
 
 def client_stream(polls: DataFrame, include_query_clients: bool = False) -> DataFrame:
     """Client rows of a poll stream (no snapshots), keeping the event time ``poll_time``."""
-    rows = payloads.client_list_rows(polls.select("poll_ts", "payload", "poll_time"), include_query_clients,
-                                     dedupe=False)
+    rows = payloads.client_list_rows(polls.select("poll_ts", "payload", "poll_time"), include_query_clients)
     return payloads.clients_from_rows(rows, keep=("poll_time",))
 
 
@@ -74,14 +74,14 @@ def _write_batch(batch: DataFrame, batch_id: int, root: str, include_query_clien
     try:
         tag = f"{batch_id:09d}"
         if dedupe == "committed":
-            # one document per poll in this batch, minus polls another batch already committed;
-            # kept for the three writes below so the dedupe runs once
-            one_each = payloads.one_document_per_poll(batch)
-            days = one_each.select(utc_date("poll_ts").alias("event_date")).distinct()
+            # distinct accepted documents of this batch, minus polls another batch already committed;
+            # kept for the three writes below
+            accepted = payloads.accepted_documents(batch)
+            days = accepted.select(utc_date("poll_ts").alias("event_date")).distinct()
             seen = _committed_snapshot_ids(batch.sparkSession, root, days, tag)
-            docs = (one_each.join(seen.withColumnRenamed("snapshot_id", "poll_ts"), "poll_ts", "left_anti")
+            docs = (accepted.join(seen.withColumnRenamed("snapshot_id", "poll_ts"), "poll_ts", "left_anti")
                     .persist())
-        snaps, clients = payloads.ingest_client_payloads(docs, include_query_clients, dedupe=False)
+        snaps, clients = payloads.ingest_client_payloads(docs, include_query_clients, dedupe=(dedupe == "committed"))
         clients.write.mode("overwrite").partitionBy("event_date").parquet(
             os.path.join(root, "clients", f"batch={tag}"))
         # per-user first sample of this batch: growth reads this small table, not the history
@@ -102,8 +102,8 @@ def start_presence_ingest(spark: SparkSession, landing_dir: str, table_root: str
                           lateness: str = DEFAULT_LATENESS, dedupe: str = "committed") -> StreamingQuery:
     """Start the ingest query (``availableNow`` drains what has landed, then stops).
 
-    ``dedupe="committed"`` (default) keeps late polls: each micro-batch keeps
-    one document per poll and drops polls whose snapshot another batch already
+    ``dedupe="committed"`` (default) keeps late polls: each micro-batch unites
+    the accepted documents of a poll and drops polls whose snapshot another batch already
     committed (a pruned read of those days' poll ids), so no streaming state
     is kept.  ``dedupe="watermark"`` uses ``dropDuplicatesWithinWatermark``
     instead, which also drops polls later than ``lateness``.

@@ -264,3 +264,25 @@ def test_rejected_document_never_displaces_a_valid_one(spark, tmp_path):
     assert [(r.snapshot_id, r.total_clients) for r in snapshots.collect()] == [(1704067230, 1)]
     assert [r.client_uid for r in clients.collect()] == ["a"]
     assert payloads.rejected_polls(docs).count() == 2
+
+
+def test_documents_of_one_poll_are_united(spark):
+    """Different accepted documents of a poll all count; copies, repeated connections and rejected ones add nothing."""
+    import json
+
+    def doc(code, *people):
+        return json.dumps({"status": {"code": code}, "body": [
+            {k: v for k, v in zip(("client_unique_identifier", "clid", "client_type"), p) if v is not None} for p in people]})
+    t = 1704067200
+    docs = [(t, doc(0, ("a", "1", "0"), ("b", "2", "0"))), (t, doc(0, ("a", "1", "0"), ("b", "2", "0"))),
+            (t, doc(0, ("c", "3", "0"), ("b", "2", "0"), ("bot", "9", "1"))),
+            (t, doc(7, *[("x" * 50, str(i), "0") for i in range(20)])),
+            (t + 60, doc(0, ("a", None, "0"), ("a", None, "0"))), (t + 120, doc(0, ("bot", "9", "1"))),
+            (t + 180, doc(0)), (t * 1000, doc(0, ("late", "1", "0"))), (None, doc(0, ("none", "1", "0")))]
+    frame = spark.createDataFrame(docs, "poll_ts long, payload string")
+    snapshots, clients = payloads.ingest_client_payloads(frame)
+    assert {(r.ts, r.total_clients) for r in snapshots.collect()} == {(t, 3), (t + 60, 2), (t + 120, 0), (t + 180, 0)}
+    got = clients.collect()
+    assert sorted((r.ts, r.client_uid) for r in got) == [(t, "a"), (t, "b"), (t, "c"), (t + 60, "a"), (t + 60, "a")]
+    assert len({r.id for r in got}) == len(got)
+    assert payloads.rejected_polls(frame).count() == 3
