@@ -28,7 +28,7 @@ CHANNEL_VISITS = "ts_channel_visits"
 CHANNEL_UNIQUE_USERS = "ts_channel_unique_users"
 SNAPSHOTS_TOTAL = "ts_snapshots_total"
 
-# Fixed value: per-channel gauges cover this many most visited channels.
+# Fixed value: per-channel gauges cover this many most visited channels by default.
 TOP_CHANNELS = 20
 
 
@@ -43,11 +43,13 @@ def _gauges(one_row: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def metrics_snapshot(pr: Presence, days: int = 7, as_of: int | None = None,
-                     score_summary: DataFrame | None = None) -> DataFrame:
+                     score_summary: DataFrame | None = None, top_channels: int | None = TOP_CHANNELS) -> DataFrame:
     """Every gauge: 7-day summary, online now, all-time scores, channel popularity.
 
     ``score_summary`` (the one-row result of :func:`ltv_summary`, e.g. a table a
     daily job materializes) replaces recomputing the all-time scores here.
+    Per-channel gauges cover the ``top_channels`` most visited channels, or
+    every channel with ``None``.
     """
     rng = pr.time_range(days, as_of)
     summ = summary(pr, days, rng.t1)
@@ -62,7 +64,8 @@ def metrics_snapshot(pr: Presence, days: int = 7, as_of: int | None = None,
                       (LTV_CASUAL, "casual_users"), (LTV_AVG, "avg_ltv_score")]),
         _gauges(chans.agg(F.count(F.lit(1)).alias("n")), [(CHANNELS_TOTAL, "n")]),
     ]
-    top = chans.limit(TOP_CHANNELS)  # already ordered by visits: a top-k, not a global sort
+    # channel_stats is ordered by visits, so the limit is a top-k, not a global sort
+    top = chans if top_channels is None else chans.limit(top_channels)
     labels = F.create_map(F.lit("channel_id"), F.col("channel_id").cast("string"),
                           F.lit("channel_name"), F.col("channel_name"))
     for name, col in ((CHANNEL_VISITS, "total_visits"), (CHANNEL_UNIQUE_USERS, "unique_users")):

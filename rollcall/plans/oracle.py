@@ -390,9 +390,9 @@ def metrics_snapshot(days=7):
   UNION ALL SELECT 'ts_ltv_avg_score', NULL, NULL, CAST(avg_ltv_score AS DOUBLE) FROM ({ltv_summary()}) l
   UNION ALL SELECT 'ts_channels_total', NULL, NULL, CAST(count(*) AS DOUBLE) FROM ({channel_stats(days)}) c
   UNION ALL SELECT 'ts_channel_visits', CAST(channel_id AS VARCHAR), channel_name, CAST(total_visits AS DOUBLE)
-    FROM (SELECT * FROM ({channel_stats(days)}) c ORDER BY total_visits DESC, channel_id LIMIT 20) t
+    FROM ({channel_stats(days)}) t
   UNION ALL SELECT 'ts_channel_unique_users', CAST(channel_id AS VARCHAR), channel_name, CAST(unique_users AS DOUBLE)
-    FROM (SELECT * FROM ({channel_stats(days)}) c ORDER BY total_visits DESC, channel_id LIMIT 20) t
+    FROM ({channel_stats(days)}) t
 ) m"""
 
 

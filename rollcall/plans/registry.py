@@ -40,7 +40,7 @@ def _online_now_flat(pr: Presence) -> DataFrame:
 
 
 def _metrics_flat(pr: Presence) -> DataFrame:
-    m = metrics.metrics_snapshot(pr, SHORT_DAYS)
+    m = metrics.metrics_snapshot(pr, SHORT_DAYS, top_channels=None)
     return m.select("name", F.col("labels")["channel_id"].alias("label_channel_id"),
                     F.col("labels")["channel_name"].alias("label_channel_name"), "value")
 

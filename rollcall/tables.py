@@ -103,9 +103,8 @@ class Presence:
         return self.memo("latest_poll", compute)
 
     def latest_ts(self) -> int | None:
-        """Largest snapshot time (``as_of`` default)."""
-        ts, _, _ = self.latest_poll()
-        return ts
+        """Largest snapshot time (``as_of`` default), also where ids do not follow the time."""
+        return self.memo("latest_ts", lambda: self.snapshots.agg(F.max("ts")).first()[0])
 
     def time_range(self, days: int | None, as_of: int | None = None) -> TimeRange:
         if as_of is None:
