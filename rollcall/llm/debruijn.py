@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,12 +157,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bounds = np.array(chunk_bounds(rows, "doc_id", chunks), np.int64)
 
-    @F.pandas_udf("long")
-    def chunk_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64)))
+    dealt_schema = to_arrow_schema(schema_of("doc_id long, text string, chunk long"))
 
-    dealt = rows.withColumn("chunk", F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(chunks)))
-                            .otherwise(chunk_of(F.coalesce("doc_id", F.lit(0)))))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, text, spread in (b.columns for b in batches):
+            known = np.searchsorted(bounds, ids.fill_null(0).to_numpy())
+            chunk = np.where(ids.is_null().to_numpy(zero_copy_only=False), -1 - spread.to_numpy(), known)
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip((ids, text, pa.array(chunk)), dealt_schema)],
+                                             schema=dealt_schema)
+
+    dealt = (rows.withColumn("spread", F.pmod(F.xxhash64("text"), F.lit(chunks)).cast("long"))   # chunk of rows without an id
+             .mapInArrow(deal, "doc_id long, text string, chunk long"))
     by_chunk = dealt.groupBy("chunk")
 
     edges_ddl, result_ddl = "shard int, chunk long, edges binary", "doc_id long, n_words long, n_removed long, kept string"
