@@ -1,7 +1,7 @@
 """Command line: run one question over presence tables and print or write the result.
 
     python -m rollcall.cli TABLE_ROOT QUESTION [--days N] [--limit N] [--as-of EPOCH]
-                           [--poll-interval S] [--uid UID] [--out PATH --format json|parquet|csv]
+                           [--poll-interval S] [--uid UID] [--date YYYY-MM-DD] [--out PATH --format json|parquet|csv]
 
 ``TABLE_ROOT`` holds ``snapshots/``, ``clients/`` and ``channels/`` as written by
 :func:`rollcall.sources.parquet.write_presence`.  Without ``--out`` the first
@@ -60,7 +60,7 @@ QUESTIONS = {
     "ltv": lambda pr, a: ltv.lifetime_value(pr, _d(a, None), _l(a, 50), as_of=a.as_of),
     "ltv-summary": lambda pr, a: ltv.ltv_summary(pr, _d(a, None), as_of=a.as_of),
     "channels": lambda pr, a: channels.list_channels(pr),
-    "daily-rollup": lambda pr, a: rollup.rollup_previous_day(pr, a.as_of),
+    "daily-rollup": lambda pr, a: rollup.rollup_of_day(pr, a.date) if a.date else rollup.rollup_previous_day(pr, a.as_of),
     "retention": lambda pr, a: maintenance.retention_report(pr, _d(a, 30), a.as_of),
     "metrics": lambda pr, a: metrics.metrics_snapshot(pr, _d(a, 7), a.as_of),
 }
@@ -79,6 +79,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--as-of", type=int, dest="as_of", help="end of the range (epoch s); default: last poll")
     p.add_argument("--poll-interval", type=int, default=DEFAULT_POLL_INTERVAL_S, dest="poll_interval")
     p.add_argument("--uid")
+    p.add_argument("--date", help="day of the rollup, YYYY-MM-DD; default: the day before the last poll")
     p.add_argument("--exact", action="store_true", help="server groups: count each member once")
     p.add_argument("--out")
     p.add_argument("--format", default="json", choices=("json", "parquet", "csv"))

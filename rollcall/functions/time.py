@@ -6,6 +6,8 @@ seconds, so they do not depend on the session time zone.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,29 @@ def utc_date(ts: str | Column = "ts") -> Column:
     return F.date_from_unix_date(_days(ts).cast("int"))
 
 
+def utc_day(ts: int) -> _dt.date:
+    """The UTC day of epoch seconds."""
+    return _dt.datetime.fromtimestamp(int(ts), _dt.timezone.utc).date()
+
+
+def day_bounds(date: str) -> tuple[int, int]:
+    """``YYYY-MM-DD`` to the epoch seconds of its midnight (UTC) and of the next one."""
+    day = _dt.datetime.strptime(date, "%Y-%m-%d").replace(tzinfo=_dt.timezone.utc)
+    start = int(day.timestamp())
+    return start, start + DAY_S
+
+
+def midnight_of(date: str | Column) -> Column:
+    """Date text ``YYYY-MM-DD`` to the epoch seconds of its midnight (UTC); other text to NULL."""
+    text = F.when(_c(date).rlike(r"^\d{4}-\d{2}-\d{2}$"), _c(date))
+    return F.unix_date(text.try_cast("date")).cast("long") * DAY_S
+
+
+def next_midnight_of(date: str | Column) -> Column:
+    """Date text ``YYYY-MM-DD`` to the epoch seconds of the next day's midnight (UTC)."""
+    return midnight_of(date) + DAY_S
+
+
 def day_name(dow: str | Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in DAY_NAMES]), _c(dow) + 1)
 

@@ -16,12 +16,13 @@ from rollcall.tables import DEFAULT_POLL_INTERVAL_S
 
 def daily_maintenance(spark: SparkSession, table_root: str, rollup_path: str,
                       poll_interval_s: int = DEFAULT_POLL_INTERVAL_S, as_of: int | None = None,
-                      retention_days: int | None = None, retained_root: str | None = None) -> DataFrame | None:
-    """Upsert the previous day's rollup; with ``retention_days``, write the retained tables to
+                      retention_days: int | None = None, retained_root: str | None = None,
+                      date: str | None = None) -> DataFrame | None:
+    """Upsert the rollup of ``date`` (YYYY-MM-DD; default: the previous day); with ``retention_days``, write the retained tables to
     ``retained_root`` (a new version) and return the removed counts."""
     pr = load_presence(spark, table_root, poll_interval_s)
     as_of = pr.latest_ts() if as_of is None else as_of
-    rollup.write_user_daily(rollup.rollup_previous_day(pr, as_of), rollup_path)
+    rollup.write_user_daily(rollup.rollup_of_day(pr, date) if date else rollup.rollup_previous_day(pr, as_of), rollup_path)
     if retention_days is None:
         return None
     if not retained_root:

@@ -47,7 +47,7 @@ def _slice_summaries(cs: DataFrame, p: int, slice_polls: int) -> DataFrame:
                           F.count_if(F.col("is_talking")).alias("_talk"),
                           F.sum("idle_ms").alias("_idle_sum"),
                           F.count("idle_ms").alias("_idle_n"),
-                          F.collect_set("channel_id").alias("_channels")],
+                          F.sort_array(F.collect_set("channel_id")).alias("_channels")],
         extra_cols=("nickname", "is_talking", "idle_ms"))
 
 
@@ -55,9 +55,8 @@ def ltv_scores(pr: Presence, days: int | None = None, slice_polls: int = SLICE_P
                as_of: int | None = None) -> DataFrame:
     """All scored users (``n > 5``) with every derived column; unordered.
 
-    Nothing is cached: every call reads the tables as they are.  The shuffle of
-    the per-(user, slice) summaries is one plan node that its three consumers
-    (totals, distinct channels, normalizers) share where Spark reuses exchanges.
+    Nothing is cached: every call reads the tables as they are, once for the
+    users' rows and once (fewer columns) for the normalizers.
     """
     p = pr.poll_interval_s
     rng = pr.time_range(days, as_of)
@@ -67,11 +66,10 @@ def ltv_scores(pr: Presence, days: int | None = None, slice_polls: int = SLICE_P
                                   F.sum("_talk").cast("long").alias("talking_samples"),
                                   F.sum("_idle_sum").alias("_idle_sum"),
                                   F.sum("_idle_n").alias("_idle_n"),
-                                  F.countDistinct("_day").alias("days_active")])
-    # distinct channels: the per-slice sets (each bounded by one slice's rows), deduplicated per user
-    channels = (stitched.select("client_uid", F.explode("_channels").alias("_ch")).distinct()
-                .groupBy("client_uid").agg(F.count(F.lit(1)).alias("channels_visited")))
-    users = base.join(channels, "client_uid")
+                                  F.countDistinct("_day").alias("days_active"),
+                                  # the distinct per-slice sets: at most one per slice, each of distinct channels
+                                  F.collect_set("_channels").alias("_sets")])
+    users = base.withColumn("channels_visited", F.size(F.array_distinct(F.flatten("_sets"))).cast("long")).drop("_sets")
     # normalizers: one scalar subquery over the per-user rows (maxima before the
     # n > 5 filter), attached once as a column so it is evaluated once
     norms = users.agg(F.struct(F.max("total_samples").alias("mn"), F.max("days_active").alias("md"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.functions.time import utc_day
 from rollcall.tables import DAY_S, Presence
 
 _CHANNEL_COLS = ("channel_id", "channel_name", "parent_channel_id", "channel_order",
@@ -43,26 +44,33 @@ def retain(pr: Presence, as_of: int, days: int) -> tuple[Presence, DataFrame]:
     """Keep polls with ``ts >= as_of - days*86400`` in both tables.
 
     Returns the kept tables and a one-row frame with the removed counts.
-    Older date partitions are skipped whole by the pushed date predicate.
+    The predicates on ``event_date`` let either side skip the other's date
+    partitions whole; only the cutoff's day is read by both.
     """
     cutoff = retention_cutoff(as_of, days)
-    keep_sn = pr.snapshots.filter(F.col("ts") >= F.lit(cutoff))
-    keep_cs = pr.clients.filter(F.col("ts") >= F.lit(cutoff))
-    removed_rows = pr.clients.filter(F.col("ts") < F.lit(cutoff)).agg(F.count(F.lit(1))).scalar()
-    removed = (pr.snapshots.filter(F.col("ts") < F.lit(cutoff)).agg(F.count(F.lit(1)).alias("removed_snapshots"))
+    day = F.lit(utc_day(cutoff))
+    stays = (F.col("event_date") >= day) & (F.col("ts") >= F.lit(cutoff))
+    goes = (F.col("event_date") <= day) & (F.col("ts") < F.lit(cutoff))
+    keep_sn, keep_cs = pr.snapshots.filter(stays), pr.clients.filter(stays)
+    removed_rows = pr.clients.filter(goes).agg(F.count(F.lit(1))).scalar()
+    removed = (pr.snapshots.filter(goes).agg(F.count(F.lit(1)).alias("removed_snapshots"))
                .withColumn("removed_client_rows", removed_rows))
     kept = Presence(keep_sn, keep_cs, pr.channels, pr.poll_interval_s)
     return kept, removed
 
 
 def retention_report(pr: Presence, days: int, as_of: int | None = None) -> DataFrame:
-    """Removed and kept counts for a retention of ``days`` days; one row."""
+    """Removed and kept counts for a retention of ``days`` days; one row, one scan of the times per table."""
     as_of = pr.latest_ts() if as_of is None else as_of
-    kept, removed = retain(pr, as_of or 0, days)
-    kept_snaps = kept.snapshots.agg(F.count(F.lit(1))).scalar()
-    kept_rows = kept.clients.agg(F.count(F.lit(1))).scalar()
-    return removed.select("removed_snapshots", "removed_client_rows",
-                          kept_snaps.alias("kept_snapshots"), kept_rows.alias("kept_client_rows"))
+    cutoff = F.lit(retention_cutoff(as_of or 0, days))
+
+    def counts(table: DataFrame) -> DataFrame:
+        return table.agg(F.struct(F.count_if(F.col("ts") < cutoff).alias("removed"),
+                                  F.count_if(F.col("ts") >= cutoff).alias("kept")).alias("n"))
+
+    return (counts(pr.snapshots).withColumn("rows", counts(pr.clients).scalar())
+            .select(F.col("n.removed").alias("removed_snapshots"), F.col("rows.removed").alias("removed_client_rows"),
+                    F.col("n.kept").alias("kept_snapshots"), F.col("rows.kept").alias("kept_client_rows")))
 
 
 def write_retained(pr: Presence, as_of: int, days: int, new_root: str) -> DataFrame:

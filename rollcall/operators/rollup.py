@@ -12,7 +12,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.functions.time import utc_date
+from rollcall.functions.time import day_bounds, utc_date, utc_day
 from rollcall.tables import Presence
 
 _FLAGS = ("is_away", "is_talking", "input_muted", "output_muted", "is_recording")
@@ -35,6 +35,8 @@ def daily_user_rollup(pr: Presence, dates: list[_dt.date] | None = None, compat:
     p = pr.poll_interval_s
     cs = pr.clients
     if compat:
+        if dates is not None:   # the days themselves, and the next days for their first second
+            cs = cs.filter(F.col("event_date").isin(sorted({d + _dt.timedelta(days=k) for d in dates for k in (0, 1)})))
         # a sample at midnight also belongs to the day before
         day = utc_date("ts")
         at_midnight = F.pmod(F.col("ts"), F.lit(86400)) == 0
@@ -79,15 +81,20 @@ def daily_user_rollup(pr: Presence, dates: list[_dt.date] | None = None, compat:
 
 
 def write_user_daily(rollup: DataFrame, path: str) -> None:
-    """Upsert by day: only the days present in ``rollup`` are replaced."""
-    (rollup.write.mode("overwrite")
+    """Upsert by day: only the days present in ``rollup`` are replaced; files hold runs of users of few days."""
+    (rollup.repartitionByRange("date", "client_uid").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
      .partitionBy("date").parquet(path))
 
 
 def previous_day(as_of: int) -> _dt.date:
     """The UTC day before ``as_of``: the day a periodic rollup job (re)computes."""
-    return (_dt.datetime.fromtimestamp(int(as_of), _dt.timezone.utc) - _dt.timedelta(days=1)).date()
+    return utc_day(as_of) - _dt.timedelta(days=1)
+
+
+def rollup_of_day(pr: Presence, date: str, compat: bool = False) -> DataFrame:
+    """Rollup rows of one UTC day given as ``YYYY-MM-DD``."""
+    return daily_user_rollup(pr, [utc_day(day_bounds(date)[0])], compat)
 
 
 def rollup_previous_day(pr: Presence, as_of: int | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcall import schemas
+from rollcall.operators.maintenance import upsert_channels
 from rollcall.tables import DEFAULT_POLL_INTERVAL_S, Presence
 
 TABLES = ("snapshots", "clients", "channels", "first_seen")
@@ -21,20 +22,29 @@ FIRST_SEEN = T.StructType([T.StructField("client_uid", T.StringType(), False),
                            T.StructField("first_ts", T.LongType(), False)])
 
 
+def is_missing(error: AnalysisException) -> bool:
+    """The path does not exist (yet); any other analysis error is a real one."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def load_presence(spark: SparkSession, root: str,
                   poll_interval_s: int = DEFAULT_POLL_INTERVAL_S) -> Presence:
+    """The stored tables.  ``channels`` and ``first_seen`` may hold rows of several appends: they are folded to
+    one row per channel (the one updated last) and per user (the earliest sample)."""
     def read(name, schema):
         return spark.read.schema(schema).parquet(os.path.join(root, name))
 
     try:
-        first_seen = read("first_seen", FIRST_SEEN)
-        first_seen.schema  # resolves the path now: a table set written without it has none
-    except AnalysisException:
+        first_seen = read("first_seen", FIRST_SEEN).groupBy("client_uid").agg(F.min("first_ts").alias("first_ts"))
+    except AnalysisException as e:  # a table set written without it
+        if not is_missing(e):
+            raise
         first_seen = None
+    stored_channels = read("channels", schemas.CHANNELS)
     return Presence(
         snapshots=read("snapshots", schemas.SNAPSHOTS),
         clients=read("clients", schemas.CLIENTS),
-        channels=read("channels", schemas.CHANNELS),
+        channels=upsert_channels(stored_channels.limit(0), stored_channels),
         poll_interval_s=poll_interval_s,
         first_seen=first_seen,
     )
@@ -42,7 +52,8 @@ def load_presence(spark: SparkSession, root: str,
 
 def write_presence(pr: Presence, root: str, mode: str = "overwrite",
                    sort_within: bool = True) -> None:
-    """Write the three tables; facts partitioned by date.
+    """Write the tables; facts partitioned by date.  ``mode="append"`` adds polls, channel versions and first
+    samples to what is stored; :func:`load_presence` folds the latter two.
 
     Client rows are range-partitioned on ``(event_date, client_uid, ts)``: a
     day is spread over many write tasks (a day never lands in one task, and
@@ -56,8 +67,9 @@ def write_presence(pr: Presence, root: str, mode: str = "overwrite",
     clients.write.mode(mode).partitionBy("event_date").parquet(os.path.join(root, "clients"))
     (pr.snapshots.repartition("event_date")
      .write.mode(mode).partitionBy("event_date").parquet(os.path.join(root, "snapshots")))
-    pr.channels.coalesce(1).write.mode(mode).parquet(os.path.join(root, "channels"))
-    # all-time first sample per user: a partial aggregate, one row per user
-    first = pr.first_seen if pr.first_seen is not None else (
-        pr.clients.groupBy("client_uid").agg(F.min("ts").alias("first_ts")))
+    pr.channels.write.mode(mode).parquet(os.path.join(root, "channels"))
+    # all-time first sample per user: a partial aggregate, one row per user, over the rows as written where
+    # these are all there is (two columns instead of the input's lineage)
+    rows = pr.clients if mode == "append" else pr.spark.read.schema(schemas.CLIENTS).parquet(os.path.join(root, "clients"))
+    first = pr.first_seen if pr.first_seen is not None else rows.groupBy("client_uid").agg(F.min("ts").alias("first_ts"))
     first.write.mode(mode).parquet(os.path.join(root, "first_seen"))

@@ -2,14 +2,17 @@
 
 Landing files hold JSON lines ``{"poll_ts": <epoch s>, "payload": {...}}``.
 Each micro-batch writes its client rows and then its snapshot rows into
-directories named by the batch id (``batch=<id>``), overwriting them, so a
-batch replayed after a failure replaces its own partial output; readers take
-client rows only where the snapshot row exists (:func:`committed_presence`).
+directories named by the query and batch ids (``batch=<query>-<id>``),
+overwriting them, so a batch replayed after a failure replaces its own partial
+output and no other query's; readers take client rows only where the snapshot
+row exists (:func:`committed_presence`).
 """
 
 from __future__ import annotations
 
+import json
 import os
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +25,7 @@ from rollcall.operators.maintenance import upsert_channels
 from rollcall.session import checkpoint_dir
 from rollcall.functions.time import utc_date
 from rollcall.sources import payloads
+from rollcall.sources.parquet import is_missing
 from rollcall.tables import DEFAULT_POLL_INTERVAL_S, Presence
 
 # Polls may land out of order; a poll more than this late is dropped by the
@@ -55,24 +59,47 @@ def client_stream(polls: DataFrame, include_query_clients: bool = False) -> Data
     return payloads.clients_from_rows(rows, keep=("poll_time",))
 
 
+def _tagged(write: Callable[[DataFrame, str], None], spark: SparkSession, checkpoint: str) -> Callable[[DataFrame, int], None]:
+    """``write(batch, tag)`` as a foreachBatch function.
+
+    The tag joins the id of the query, which Spark keeps in the checkpoint, and
+    the batch id: the same for a replay, another for a new checkpoint.
+    """
+    ids: list[str] = []
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        if not ids:
+            ids.append(json.loads(spark.read.text(os.path.join(checkpoint, "metadata")).first()[0])["id"])
+        write(batch, batch_tag(batch_id, ids[0]))
+    return run
+
+
+def batch_tag(batch_id: int, query_id: str = "") -> str:
+    return f"{query_id}-{batch_id:09d}" if query_id else f"{batch_id:09d}"
+
+
 def _committed_snapshot_ids(spark: SparkSession, root: str, dates: DataFrame, exclude_tag: str) -> DataFrame:
-    """Snapshot ids written by other batches on the given dates (a pruned read of the poll table)."""
+    """Snapshot ids written by other batches on the given dates (one row per poll, joined by day)."""
     snap_schema = T.StructType(schemas.SNAPSHOTS.fields + [T.StructField("batch", T.StringType(), True)])
     try:
         snaps = spark.read.schema(snap_schema).parquet(os.path.join(root, "snapshots"))
-    except AnalysisException:  # first batch: nothing committed yet
+    except AnalysisException as e:  # first batch: nothing committed yet
+        if not is_missing(e):
+            raise
         return spark.createDataFrame([], "snapshot_id long")
-    day_list = [r["event_date"] for r in dates.collect()]  # at most the days one micro-batch spans
-    return (snaps.filter(F.col("event_date").isin(day_list) & (F.col("batch") != exclude_tag))
+    return (snaps.filter(F.col("batch") != exclude_tag).join(dates, "event_date", "left_semi")
             .select("snapshot_id").distinct())
 
 
 def _write_batch(batch: DataFrame, batch_id: int, root: str, include_query_clients: bool,
-                 dedupe: str = "committed") -> None:
+                 dedupe: str = "committed", query_id: str = "") -> None:
+    _write_tagged(batch, batch_tag(batch_id, query_id), root, include_query_clients, dedupe)
+
+
+def _write_tagged(batch: DataFrame, tag: str, root: str, include_query_clients: bool, dedupe: str) -> None:
     batch = batch.select("poll_ts", "payload").persist()
     docs = batch
     try:
-        tag = f"{batch_id:09d}"
         if dedupe == "committed":
             # distinct accepted documents of this batch, minus polls another batch already committed;
             # kept for the three writes below
@@ -99,9 +126,13 @@ def _write_batch(batch: DataFrame, batch_id: int, root: str, include_query_clien
 def start_presence_ingest(spark: SparkSession, landing_dir: str, table_root: str,
                           checkpoint: str | None = None, available_now: bool = True,
                           include_query_clients: bool = False,
-                          lateness: str = DEFAULT_LATENESS, dedupe: str = "committed") -> StreamingQuery:
+                          lateness: str = DEFAULT_LATENESS, dedupe: str = "committed",
+                          max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Start the ingest query (``availableNow`` drains what has landed, then stops).
 
+    ``max_files_per_trigger`` bounds a micro-batch, so that a backlog is read
+    in several; unset, a batch holds all that has landed.
+
     ``dedupe="committed"`` (default) keeps late polls: each micro-batch unites
     the accepted documents of a poll and drops polls whose snapshot another batch already
     committed (a pruned read of those days' poll ids), so no streaming state
@@ -111,9 +142,10 @@ def start_presence_ingest(spark: SparkSession, landing_dir: str, table_root: str
     if dedupe not in ("committed", "watermark"):
         raise ValueError("dedupe must be 'committed' or 'watermark'")
     checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), "presence-ingest")
-    polls = poll_stream(spark, landing_dir, lateness, dedupe=(dedupe == "watermark"))
-    writer = (polls.writeStream
-              .foreachBatch(lambda df, bid: _write_batch(df, bid, table_root, include_query_clients, dedupe))
+    polls = poll_stream(spark, landing_dir, lateness, dedupe=(dedupe == "watermark"),
+                        max_files_per_trigger=max_files_per_trigger)
+    write = _tagged(lambda df, tag: _write_tagged(df, tag, table_root, include_query_clients, dedupe), spark, checkpoint)
+    writer = (polls.writeStream.foreachBatch(write)
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
@@ -134,7 +166,9 @@ def committed_presence(spark: SparkSession, table_root: str, channels: DataFrame
     cs = cs.join(sn.select("snapshot_id"), "snapshot_id", "left_semi").select(*[f.name for f in schemas.CLIENTS.fields])
     try:
         first_seen = committed_first_seen(spark, table_root)
-    except AnalysisException:  # tables written without the side table
+    except AnalysisException as e:  # tables written without the side table
+        if not is_missing(e):
+            raise
         first_seen = None
     return Presence(sn, cs, channels, poll_interval_s, first_seen=first_seen)
 
@@ -154,61 +188,103 @@ def committed_first_seen(spark: SparkSession, table_root: str) -> DataFrame:
             .groupBy("client_uid").agg(F.min("first_ts").alias("first_ts")))
 
 
-def _write_current(batch: DataFrame, batch_id: int, path: str) -> None:
-    """Keep the rows of the newest poll seen so far (a one-poll table)."""
-    batch = batch.persist()
+def _current_versions(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored polls (partition ``v``: poll time), client columns null in the row of an empty poll."""
+    fields = [T.StructField(f.name, f.dataType, True) for f in schemas.CLIENTS.fields]
+    schema = T.StructType(fields + [T.StructField("written_by", T.StringType()), T.StructField("v", T.LongType())])
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:  # nothing stored yet
+        if not is_missing(e):
+            raise
+        return None
+
+
+def current_presence(spark: SparkSession, path: str) -> DataFrame:
+    """Client rows of the newest poll stored by :func:`start_current_presence`; none if that poll was empty."""
+    versions = _current_versions(spark, path)
+    if versions is None:
+        return spark.createDataFrame([], schemas.CLIENTS)
+    newest = versions.agg(F.max("v")).scalar()
+    return versions.filter((F.col("v") == newest) & F.col("client_uid").isNotNull()).drop("v", "written_by")
+
+
+def _write_current(batch: DataFrame, tag: str, path: str, include_query_clients: bool = False) -> None:
+    """Write the newest poll of the batch as a version of its own, unless a poll as new is stored.
+
+    An empty poll is a version, too (one row without a client).  A batch that
+    is replayed after a failure writes its version again.
+    """
+    spark = batch.sparkSession
+    batch = batch.select("poll_ts", "payload").persist()
     try:
-        newest = batch.agg(F.max("snapshot_id").alias("m")).first()["m"]
+        newest = batch.agg(F.max("poll_ts")).first()[0]
         if newest is None:
             return
-        try:
-            stored = batch.sparkSession.read.parquet(path).agg(F.max("snapshot_id").alias("m")).first()["m"]
-        except AnalysisException:  # first batch: nothing stored yet
-            stored = None
-        if stored is not None and stored >= newest:
-            return
-        (batch.filter(F.col("snapshot_id") == F.lit(newest)).drop("poll_time")
-         .write.mode("overwrite").parquet(path))
+        versions = _current_versions(spark, path)
+        if versions is not None:
+            stored = versions.agg(F.max(F.struct("v", "written_by")).alias("m")).first()["m"]
+            if stored is not None and (stored["v"] > newest or stored["v"] == newest and stored["written_by"] != tag):
+                return
+        snaps, clients = payloads.ingest_client_payloads(batch.filter(F.col("poll_ts") == F.lit(newest)), include_query_clients)
+        rows = (snaps.select("snapshot_id", "ts", "event_date")
+                .join(clients.drop("ts", "event_date"), "snapshot_id", "left")
+                .select(*[f.name for f in schemas.CLIENTS.fields], F.lit(tag).alias("written_by")))
+        rows.write.mode("overwrite").parquet(os.path.join(path, f"v={newest}"))
     finally:
         batch.unpersist()
 
 
 def start_current_presence(spark: SparkSession, landing_dir: str, current_path: str,
-                           checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
-    """Maintain the "online now" table: the client rows of the newest poll."""
+                           checkpoint: str | None = None, available_now: bool = True,
+                           include_query_clients: bool = False) -> StreamingQuery:
+    """Keep the newest poll for :func:`current_presence`; late polls change nothing, empty ones empty the answer."""
     checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), "current-presence")
-    writer = (client_stream(poll_stream(spark, landing_dir)).writeStream
-              .foreachBatch(lambda df, bid: _write_current(df, bid, current_path))
+    write = _tagged(lambda df, tag: _write_current(df, tag, current_path, include_query_clients), spark, checkpoint)
+    writer = (poll_stream(spark, landing_dir, dedupe=False).writeStream.foreachBatch(write)
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
 
 
-def latest_channels(spark: SparkSession, root: str) -> DataFrame:
-    """The newest version of the channel dimension written by :func:`start_channel_upkeep`.
+def _channel_versions(spark: SparkSession, root: str) -> DataFrame | None:
+    schema = T.StructType(schemas.CHANNELS.fields + [T.StructField("written_by", T.StringType(), True),
+                                                     T.StructField("v", T.LongType(), True)])
+    try:
+        return spark.read.schema(schema).parquet(root)
+    except AnalysisException as e:  # nothing written yet
+        if not is_missing(e):
+            raise
+        return None
+
+
+def latest_channels(spark: SparkSession, root: str, not_by: str | None = None) -> DataFrame:
+    """The newest version of the channel dimension written by :func:`start_channel_upkeep`
+    (with ``not_by``: the newest that this batch did not write).
 
-    Versions are ``v=<batch id>`` directories found by Spark's partition
+    Versions are ``v=<number>`` directories found by Spark's partition
     discovery, so any file system Spark reads (HDFS, object stores) works.
     """
-    with_version = T.StructType(schemas.CHANNELS.fields + [T.StructField("v", T.LongType(), True)])
-    try:
-        versions = spark.read.schema(with_version).parquet(root)
-        newest = versions.agg(F.max("v").alias("m")).first()["m"]
-    except AnalysisException:  # nothing written yet
-        newest = None
-    if newest is None:
+    versions = _channel_versions(spark, root)
+    if versions is None:
         return spark.createDataFrame([], schemas.CHANNELS)
-    return versions.filter(F.col("v") == F.lit(newest)).drop("v")
+    if not_by is not None:
+        versions = versions.filter(~F.col("written_by").eqNullSafe(not_by))
+    newest = versions.agg(F.max("v")).first()[0]
+    return versions.filter(F.col("v") == F.lit(newest)).drop("v", "written_by")
 
 
-def _upkeep_batch(batch: DataFrame, batch_id: int, root: str) -> None:
+def _upkeep_batch(batch: DataFrame, tag: str, root: str) -> None:
+    """Write the version after the newest; a replayed batch writes its own version again."""
     spark = batch.sparkSession
-    current = latest_channels(spark, root)
+    versions = _channel_versions(spark, root)
+    newest = None if versions is None else versions.filter(~F.col("written_by").eqNullSafe(tag)).agg(F.max("v")).first()[0]
+    current = latest_channels(spark, root, not_by=tag)
     updates = payloads.channel_updates(batch.select("poll_ts", "payload"))
-    merged = upsert_channels(current, updates, seq_col="_seq")
+    merged = upsert_channels(current, updates, seq_col="_seq").withColumn("written_by", F.lit(tag))
     # the read above listed the existing versions when it was created, so
-    # writing a new version directory next to them does not change its input
-    merged.coalesce(1).write.mode("overwrite").parquet(os.path.join(root, f"v={batch_id}"))
+    # writing a version directory next to them does not change its input
+    merged.write.mode("overwrite").parquet(os.path.join(root, f"v={0 if newest is None else newest + 1}"))
 
 
 def start_channel_upkeep(spark: SparkSession, landing_dir: str, dimension_root: str,
@@ -216,10 +292,11 @@ def start_channel_upkeep(spark: SparkSession, landing_dir: str, dimension_root:
     """Upsert channel-list polls into a new version of the dimension per micro-batch.
 
     Every version is a fresh directory; the one being read is never rewritten.
+    Late polls are kept: the upsert itself lets the later update win.
     """
     checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), "channel-upkeep")
-    writer = (poll_stream(spark, landing_dir).writeStream
-              .foreachBatch(lambda df, bid: _upkeep_batch(df, bid, dimension_root))
+    write = _tagged(lambda df, tag: _upkeep_batch(df, tag, dimension_root), spark, checkpoint)
+    writer = (poll_stream(spark, landing_dir, dedupe=False).writeStream.foreachBatch(write)
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 hour")
     return writer.start()

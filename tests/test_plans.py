@@ -6,7 +6,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from rollcall.operators import channels, load, ltv, sequence, status, users
+from rollcall.operators import channels, load, ltv, maintenance, rollup, sequence, status, users
 from rollcall.sources.events_adapter import ADAPTER_POLL_INTERVAL_S, load_adapter
 from rollcall.sources.parquet import load_presence, write_presence
 
@@ -70,12 +70,22 @@ def test_sequence_plan_shuffles_twice(stored):
     assert ("client_uid", "_slice") in keys and ("client_uid",) in keys
 
 
-def test_ltv_reads_the_fact_once(stored):
-    df = ltv.lifetime_value(stored, None, 50)
-    df.collect()
-    text = plan_text(df)
-    assert len(re.findall(r"Location: InMemoryFileIndex [^\n]*clients", text)) == 1
-    assert "InMemoryTableScan" in text
+def test_ltv_keeps_no_cache_and_reads_the_fact_twice(stored):
+    """Once for the users' rows, once (fewer columns) for the normalizers; nothing stays persisted."""
+    before = stored.spark.sparkContext._jsc.getPersistentRDDs().size()
+    text = plan_text(ltv.lifetime_value(stored, None, 50))
+    scans = re.findall(r"Location: InMemoryFileIndex [^\n]*clients", text)
+    assert len(scans) == 2 and "InMemoryTableScan" not in text
+    assert stored.spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_retention_and_compatible_rollup_prune_days(stored):
+    day = stored.latest_poll()[2]
+    assert re.search(r"PartitionFilters: \[[^\]]*event_date[^\]]* IN ", plan_text(rollup.daily_user_rollup(stored, [day])) +
+                     plan_text(rollup.daily_user_rollup(stored, [day], compat=True)))
+    kept, removed = maintenance.retain(stored, stored.latest_ts(), 1)
+    for df, side in ((kept.clients, ">="), (kept.snapshots, ">="), (removed, "<=")):
+        assert re.search(r"PartitionFilters: \[[^\]]*event_date#\d+ " + side, plan_text(df))
 
 
 def test_growth_reads_first_seen_table_not_history(stored):

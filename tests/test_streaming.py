@@ -8,7 +8,7 @@ from frames import BASE, rows
 from rollcall.operators import sequence, users
 from rollcall.sources import payloads
 from rollcall.streaming import (
-    client_stream, committed_first_seen, committed_presence, hourly_concurrency, latest_channels, poll_stream,
+    client_stream, committed_first_seen, committed_presence, current_presence, hourly_concurrency, latest_channels, poll_stream,
     session_stream,
     start_channel_upkeep, start_current_presence, start_presence_ingest,
 )
@@ -206,3 +206,43 @@ def test_batch_read_of_landing_files(spark, tmp_path):
     sn, cs = ingest_client_payloads(read_payload_text(spark, landing))
     assert sorted((r["ts"], r["total_clients"]) for r in rows(sn)) == [(BASE, 2), (BASE + P, 0)]
     assert cs.count() == 2
+
+
+def test_second_query_keeps_the_first_ones_rows(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    for k in range(2):      # each with a landing folder and a checkpoint of its own, both at batch 0
+        landing = str(tmp_path / f"landing{k}")
+        land(landing, "f.json", [doc(BASE + k * P, [person(f"u{k}")])])
+        run(start_presence_ingest(spark, landing, root, str(tmp_path / f"ck{k}"), max_files_per_trigger=1))
+    pr = committed_presence(spark, root, poll_interval_s=P)
+    assert sorted(r["client_uid"] for r in rows(pr.clients)) == ["u0", "u1"] and pr.snapshots.count() == 2
+
+
+def test_current_presence_after_an_empty_poll(spark, tmp_path):
+    landing, cur, ck = str(tmp_path / "landing"), str(tmp_path / "current"), str(tmp_path / "ck")
+    assert current_presence(spark, cur).count() == 0
+    land(landing, "f1.json", [doc(BASE, [person("a"), person("b")])])
+    run(start_current_presence(spark, landing, cur, ck))
+    assert sorted(r["client_uid"] for r in rows(current_presence(spark, cur))) == ["a", "b"]
+    land(landing, "f2.json", [doc(BASE + P, []), doc(BASE + 2 * P, [person("x")], code=5)])     # empty; rejected
+    run(start_current_presence(spark, landing, cur, ck))
+    assert current_presence(spark, cur).count() == 0
+    land(landing, "f3.json", [doc(BASE - P, [person("late")])])
+    run(start_current_presence(spark, landing, cur, ck))
+    assert current_presence(spark, cur).count() == 0
+
+
+def test_channel_versions_go_on_after_a_new_checkpoint(spark, tmp_path):
+    from rollcall.streaming.ingest import _upkeep_batch
+
+    dim = str(tmp_path / "dim")
+    for k, name in enumerate(("A", "B", "C")):
+        landing = str(tmp_path / f"chl{k}")
+        land(landing, "c.json", [{"poll_ts": BASE + k, "payload": {"body": [{"cid": 1, "channel_name": name}]}}])
+        run(start_channel_upkeep(spark, landing, dim, str(tmp_path / f"ck{k}")))
+        assert [r["channel_name"] for r in rows(latest_channels(spark, dim))] == [name]
+    batch = spark.createDataFrame([(BASE + 9, json.dumps({"body": [{"cid": 2, "channel_name": "D"}]}))], "poll_ts long, payload string")
+    for _ in range(2):      # a replay writes the same version again
+        _upkeep_batch(batch, "q-5", dim)
+        assert sorted(r["channel_name"] for r in rows(latest_channels(spark, dim))) == ["C", "D"]
+    assert sorted(p for p in os.listdir(dim) if p.startswith("v=")) == ["v=0", "v=1", "v=2", "v=3"]

@@ -255,3 +255,33 @@ def test_gauges_with_materialized_score_summary(spark, tmp_path):
     stored = sorted((x["name"], x["value"]) for x in rows(
         metrics.metrics_snapshot(pr, 7, score_summary=spark.read.parquet(out))))
     assert direct == stored
+
+
+def test_append_folds_channels_and_first_samples(spark, tmp_path):
+    from rollcall.operators import channels, load
+    from rollcall.sources.parquet import load_presence, write_presence
+
+    root = str(tmp_path / "tables")
+    for k, name in enumerate(("Lobby", "Hall")):
+        pr = presence(spark, [client(k + 1, BASE + k * 9 * DAY, uid="a", channel=1)])
+        pr = pr.__class__(pr.snapshots, pr.clients, spark.createDataFrame([(1, name, 0, 0, 1, BASE + k)], schemas.CHANNELS), P)
+        write_presence(pr, root, mode="append" if k else "overwrite")
+    pr = load_presence(spark, root, P)
+    assert [(r["channel_id"], r["channel_name"]) for r in rows(pr.channels)] == [(1, "Hall")]
+    assert [tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in rows(pr.first_seen)] == [("a", BASE)]
+    assert pr.clients.count() == 2 and len(rows(channels.channel_stats(pr, None))) == 1
+    assert one(load.dataset_stats(pr)) == one(load.dataset_stats(pr.__class__(pr.snapshots, pr.clients, pr.channels, P)))
+    growth = one(users.growth_metrics(pr, 1, BASE + 9 * DAY))
+    assert growth == one(users.growth_metrics(pr.__class__(pr.snapshots, pr.clients, pr.channels, P), 1, BASE + 9 * DAY))
+
+
+def test_rollup_of_a_chosen_day(spark):
+    from rollcall.functions.time import day_bounds, midnight_of, next_midnight_of
+
+    pr = presence(spark, [client(1, BASE, uid="a"), client(2, BASE + DAY, uid="b"), client(3, BASE + 2 * DAY, uid="c")])
+    assert [r["client_uid"] for r in rows(rollup.rollup_of_day(pr, "2024-01-02"))] == ["b"]
+    lo, hi = day_bounds("2024-01-02")
+    assert hi - lo == DAY and lo % DAY == 0
+    texts = spark.createDataFrame([("2024-01-02",), ("2024-02-30",), ("yesterday",), (None,)], "t string")
+    got = texts.select(midnight_of("t").alias("a"), next_midnight_of("t").alias("b")).collect()
+    assert [tuple(r) for r in got] == [(lo, hi), (None, None), (None, None), (None, None)]
