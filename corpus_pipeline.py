@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without repeated chunks of lines; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).select(*docs.columns)
+    """All documents, without repeated passages of lines; n_chars follows the text."""
+    out = line_dedup.dedup_passages(docs).select(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -5,6 +5,11 @@ ends, so chunk boundaries move with the content and shared passages are cut
 alike wherever they stand.  Chunks of several lines that occur more than once
 in the corpus are found by grouping on their bytes; every occurrence but the
 first is removed.
+
+Chunks leave the ends of a shared passage, which are cut differently in other
+surroundings.  ``dedup_passages`` therefore looks up, outside the removed chunks,
+every pair of neighbouring non-blank lines (with the blank lines between), too:
+every repeated run of two or more non-blank lines is a run of such pairs.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import cut
+from rollcall.llm.common import cut, stored
 
 SPACING = 3      # a chunk ends after a line with this probability's inverse
 
@@ -87,3 +92,74 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__lines"))
     return kept.select(*columns, n_lines.cast("long").alias("__n_lines"),
                        F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__lines") - n_kept).cast("long").alias("__n_removed"))
+
+
+def line_pairs(chunked: DataFrame) -> DataFrame:
+    """Adds __pairs to rows of :func:`with_chunks`: array of (first, last, chunk, digest) per pair of neighbouring non-blank lines.
+
+    chunk is the first line of the chunk that holds the whole pair, null at a
+    chunk's end; the digest is the SHA-256 of the bytes from first to last.
+    """
+    numbered = (chunked.withColumn("__chunk_of", F.expr("flatten(transform(__chunks, c -> array_repeat(c.first, c.n)))"))
+                .withColumn("__at", F.expr("filter(transform(__lines, (x, i) -> if(trim(x) != '', i + 1, null)), i -> i is not null)")))
+
+    def pair(first: Column, last: Column) -> Column:
+        a, b = F.element_at("__chunk_of", first), F.element_at("__chunk_of", last)
+        content = F.array_join(F.slice("__lines", first, last - first + 1), "\n")
+        return F.struct(first.alias("first"), last.alias("last"), F.when(a == b, a).alias("chunk"),
+                        F.unhex(F.sha2(content, 256)).alias("digest"))
+
+    fewer = "greatest(size(__at) - 1, 0)"
+    return numbered.withColumn("__pairs", F.zip_with(F.expr(f"slice(__at, 1, {fewer})"), F.expr(f"slice(__at, 2, {fewer})"), pair)
+                               ).drop("__chunk_of", "__at")
+
+
+def _later_places(places: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(__id, __text, first, lines): all but the first place of repeated digests, and their line numbers.
+
+    Lines that belong to the first place, too (a line repeated over and over), are left out.
+    """
+    here = (places.join(repeated, "digest").groupBy("__id", "__text", "digest", "first_id")
+            .agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("at")))
+    is_first = F.coalesce(F.col("__id").eqNullSafe(F.col("first_id")), F.lit(False))
+    kept = F.when(is_first, F.col("at")[0])
+    later = here.select("__id", "__text", kept.alias("kept"), F.explode(F.when(is_first, F.expr("slice(at, 2, size(at))")).otherwise(F.col("at"))).alias("p"))
+    return later.select("__id", "__text", F.col("p.first").alias("first"), F.expr(
+        "filter(sequence(p.first, p.last), i -> kept is null or i < kept.first or i > kept.last)").alias("lines"))
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spacing: int = SPACING) -> DataFrame:
+    """``docs`` (all columns) without any repeated run of two or more non-blank lines, plus __n_lines and __n_removed.
+
+    A repeated passage stays where :func:`dedup_lines` keeps a repeated chunk: in
+    the document with the smallest id, there at its first place (rows that share
+    the id all keep it; rows without an id only if no row with an id has it).
+    A pair inside a removed chunk stands in the chunk's kept copy, so only the
+    other pairs are looked up.  Null texts stay null.
+    """
+    names = docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])   # no name of the caller's can clash with ours
+    id_col, text_col = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    chunked = with_chunks(docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text"), F.col(text_col).alias("text")),
+                          F.col("text"), spacing)
+    chunks = (chunked.select("__id", "__text", F.inline(F.filter("__chunks", lambda c: c["multi"])))
+              .select("__id", "__text", "digest", "first", (F.col("first") + F.col("n") - 1).alias("last")))
+    whole = cut(_later_places(chunks, cut(repeated_chunks(docs, id_col, text_col, spacing))))
+    # the outer form: no filter on the array's size is inferred, which would be pushed down and compute it per element
+    pairs = line_pairs(chunked).select("__id", "__text", F.inline_outer("__pairs")).filter("digest is not null")
+    removed = whole.select(F.col("__id").alias("of_id"), F.col("__text").alias("of_text"), F.col("first").alias("of_chunk")).distinct()
+    inside = F.col("__id").eqNullSafe(F.col("of_id")) & (F.col("__text") == F.col("of_text")) & (F.col("chunk") == F.col("of_chunk"))
+    rest = stored(pairs.join(removed, inside, "left_anti").drop("chunk"))
+    repeated = (rest.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first_id"))
+                .filter("n > 1").select("digest", "first_id"))
+    gone = (whole.union(_later_places(rest, cut(repeated))).groupBy("__id", "__text")
+            .agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("__gone")))
+    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__text")), "left")
+    kept = (joined.withColumn("__lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
+            .withColumn("__kept", F.expr("array_except(sequence(1, size(__lines)), coalesce(__gone, cast(array() as array<int>)))")))
+    new = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(
+        F.array_join(F.transform("__kept", lambda i: F.element_at("__lines", i)), "\n"))
+    columns = [(F.when(F.col(c).isNotNull(), new) if c == text_col else F.col(c)).alias(name)
+               for c, name in zip(docs.columns, names)]
+    return kept.select(*columns, F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("__n_lines"),
+                       (F.size("__lines") - F.size("__kept")).cast("long").alias("__n_removed"))

@@ -45,8 +45,8 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's text without repeated chunks of lines."""
-    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    """Each document's text without repeated passages of lines."""
+    return line_dedup.dedup_passages(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
 
 
