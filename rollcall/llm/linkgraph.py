@@ -17,7 +17,7 @@ from rollcall.llm.common import cut, lower_ascii, stored
 # fixed: (host, path prefix, verdict); a rule holds for its host and all subdomains
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 DAMPING = 0.85
-THRESHOLD = 0.5      # of the score of a host all of whose pages are seeds and that no one links to
+THRESHOLD = 0.5      # of the score of a host all of whose pages are seeds
 TOLERANCE = 1e-6     # rounds end when no score moves more
 MAX_ROUNDS = 100
 
@@ -59,43 +59,67 @@ def parent_links(hosts: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE,
-              max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(host, trust, distrust) from seeds (host, trust, distrust in 0..1) over links (src, dst, weight).
-
-    One join and one aggregation per round serve both directions; each round is
-    written to the checkpoint folder.  A host without links passes nothing on.
+              max_rounds: int = MAX_ROUNDS, columns: dict[str, bool] | None = None, averaged: bool = False) -> DataFrame:
+    """(host, *columns) from seeds (host, *columns in 0..1) over links (src, dst, weight).
+
+    ``columns`` (trust and distrust) says what runs along the links and what
+    against them.  A host's score is split over its neighbours, or, ``averaged``,
+    a host gets the weighted mean of its neighbours' scores, however many others
+    get it, too.  One join and one aggregation per round serve both directions;
+    each round is written to the checkpoint folder.  A host without links passes
+    nothing on.
     """
+    columns = {"trust": True, "distrust": False} if columns is None else columns
     directed = links.select("src", "dst", "weight", F.lit(True).alias("forward")).union(
         links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit(False).alias("forward")))
-    totals = directed.groupBy("src", "forward").agg(F.sum("weight").alias("total"))
-    steps = stored(directed.join(totals, ["src", "forward"]).select("src", "dst", "forward", (F.col("weight") / F.col("total")).alias("share")))
-    nodes = seeds.select("host", "trust", "distrust").union(
-        steps.select(F.col("dst").alias("host"), F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust")))
-    base = stored(nodes.groupBy("host").agg((F.max("trust") * (1 - damping)).alias("base_t"),
-                                         (F.max("distrust") * (1 - damping)).alias("base_d")))
-    state = base.select("host", F.col("base_t").alias("trust"), F.col("base_d").alias("distrust"))
+    side = ["dst" if averaged else "src", "forward"]
+    totals = directed.groupBy(*side).agg(F.sum("weight").alias("total"))
+    steps = stored(directed.join(totals, side).select("src", "dst", "forward", (F.col("weight") / F.col("total")).alias("share")))
+    nodes = seeds.select("host", *columns).union(steps.select(F.col("dst").alias("host"), *[F.lit(0.0).alias(c) for c in columns]))
+    base = stored(nodes.groupBy("host").agg(*[(F.max(c) * (1 - damping)).alias(f"base_{c}") for c in columns]))
+    state = base.select("host", *[F.col(f"base_{c}").alias(c) for c in columns])
     for _ in range(max_rounds):
-        sent = (steps.join(state.filter("trust > 0 or distrust > 0"), F.col("src") == F.col("host")).groupBy("dst")
-                .agg(F.sum(F.when(F.col("forward"), F.col("share") * F.col("trust")).otherwise(0.0)).alias("in_t"),
-                     F.sum(F.when(~F.col("forward"), F.col("share") * F.col("distrust")).otherwise(0.0)).alias("in_d")))
-        old = state.select(F.col("host").alias("old"), F.col("trust").alias("old_t"), F.col("distrust").alias("old_d"))
+        sent = (steps.join(state.filter(" or ".join(f"{c} > 0" for c in columns)), F.col("src") == F.col("host")).groupBy("dst")
+                .agg(*[F.sum(F.when(F.col("forward") == along, F.col("share") * F.col(c)).otherwise(0.0)).alias(f"in_{c}")
+                       for c, along in columns.items()]))
+        old = state.select(F.col("host").alias("old"), *[F.col(c).alias(f"old_{c}") for c in columns])
         new = stored(base.join(sent, base.host == sent.dst, "left").join(old, base.host == F.col("old")).select(
-            "host", (F.col("base_t") + damping * F.coalesce("in_t", F.lit(0.0))).alias("trust"),
-            (F.col("base_d") + damping * F.coalesce("in_d", F.lit(0.0))).alias("distrust"), "old_t", "old_d"))
-        moved = new.agg(F.max(F.greatest(F.abs(F.col("trust") - F.col("old_t")), F.abs(F.col("distrust") - F.col("old_d"))))).first()[0]
-        state = new.select("host", "trust", "distrust")
+            "host", *[(F.col(f"base_{c}") + damping * F.coalesce(f"in_{c}", F.lit(0.0))).alias(c) for c in columns],
+            *[f"old_{c}" for c in columns]))
+        moved = new.agg(F.max(F.greatest(*[F.abs(F.col(c) - F.col(f"old_{c}")) for c in columns]))).first()[0]
+        state = new.select("host", *columns)
         if moved is None or moved <= tolerance:
             break
     return state
 
 
+def shares(seeds: DataFrame, links: DataFrame, damping: float = DAMPING) -> DataFrame:
+    """(host, trust, distrust) in 0..1 from seeds (host, trust, distrust, mass) over links (src, dst, weight).
+
+    Each score is the larger of the host's own share and the damped share of
+    the mass its neighbours pass to it that comes from trusted (blocked) hosts.
+    Both are relative, so they do not shrink with the number of neighbours.
+    """
+    given = seeds.select("host", "trust", "distrust", F.col("mass").alias("mass_t"), F.col("mass").alias("mass_d"))
+    scores = propagate(given, links, damping, columns={"trust": True, "mass_t": True, "distrust": False, "mass_d": False}, averaged=True)
+    own = seeds.select(F.col("host").alias("of"), F.col("trust").alias("own_t"), F.col("distrust").alias("own_d"), "mass")
+
+    def share(score: str, mass: str, own_score: str) -> Column:
+        mine = F.coalesce(F.col(own_score), F.lit(0.0))
+        got, of = F.col(score) - (1 - damping) * mine, F.col(mass) - (1 - damping) * F.coalesce("mass", F.lit(0.0))
+        return F.greatest(mine, F.when(of > 1e-12, damping * got / of).otherwise(0.0))
+
+    return scores.join(own, F.col("host") == F.col("of"), "left").select(
+        "host", share("trust", "mass_t", "own_t").alias("trust"), share("distrust", "mass_d", "own_d").alias("distrust"))
+
+
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, id_col: str = "page_id",
                  url_col: str = "url", html_col: str = "html", damping: float = DAMPING,
                  threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every page row.
 
     The longest fitting rule decides; pages without one are blocked if their
-    host's distrust exceeds its trust by ``threshold * (1 - damping)``.  Seeds
+    host's distrust exceeds its trust by ``threshold`` (see :func:`shares`).  Seeds
     are the shares of a host's pages that rules allow or block.  Null urls and
     urls without :// have empty host and path, no rule and are allowed;
     null or empty html links nowhere; repeated rows count each.
@@ -107,12 +131,12 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] | None = No
     verdict = F.col("judged.verdict")
     seeds = cut(judged.filter("host != ''").groupBy("host").agg(
         F.avg(F.when(verdict == "allow", 1.0).otherwise(0.0)).alias("trust"),
-        F.avg(F.when(verdict == "block", 1.0).otherwise(0.0)).alias("distrust")))
+        F.avg(F.when(verdict == "block", 1.0).otherwise(0.0)).alias("distrust"), F.lit(1.0).alias("mass")))
     links = (host_links(parsed, F.col("html")).union(parent_links(seeds.select("host")))
              .groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-    scores = propagate(seeds, links, damping).select(F.col("host").alias("of_host"), "trust", "distrust")
+    scores = shares(seeds, links, damping).select(F.col("host").alias("of_host"), "trust", "distrust")
     slim = judged.select("page_id", "host", "path", "judged")
-    bad = F.coalesce(F.col("distrust") - F.col("trust") >= threshold * (1 - damping), F.lit(False))
+    bad = F.coalesce(F.col("distrust") - F.col("trust") >= threshold, F.lit(False))
     return (slim.join(scores, slim.host == scores.of_host, "left")
             .select("page_id", "host", "path", F.col("judged.rule").alias("rule"),
                     F.coalesce("judged.verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"),

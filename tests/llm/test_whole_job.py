@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from rollcall.llm import line_dedup
+from rollcall.llm import line_dedup, linkgraph
 
 
 def _passages_removed(rows):
@@ -63,3 +63,15 @@ def test_a_passage_of_two_lines_is_removed_in_all_surroundings(spark, tmp_path,
     out = (registry.op6_line_dedup(spark, str(tmp_path)) if name.startswith("op6")
            else corpus_pipeline.line_deduplication(spark, df, str(tmp_path))).collect()
     assert {r.doc_id: r.text for r in out} == dict(rows[:1]) | {i: f"before {i}\nafter {i}" for i in range(1, 30)}
+
+
+PAGES = "page_id long, url string, html string"
+
+
+@pytest.mark.parametrize("linkers", [1, 2, 300])
+def test_linkers_of_a_blocked_host_are_blocked_however_many(spark, linkers):
+    link = "<a href='http://bad.net/x'>x</a>"
+    rows = [(0, "http://bad.net/a", ""), (1, "http://fine.info/", ""), (2, "http://some.info/", link + "<a href='http://fine.info/'>y</a>" * 9)]
+    rows += [(10 + i, f"http://linker{i}.info/", link) for i in range(linkers)]
+    got = {r.page_id: r.verdict for r in linkgraph.url_verdicts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {0: "block", 1: "allow", 2: "allow"} | {10 + i: "block" for i in range(linkers)}
