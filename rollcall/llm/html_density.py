@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 The page is read into a tree (tolerating unclosed and stray tags); boilerplate
-elements (navigation, adverts, forms, scripts, ...) are left out.  Each block
+elements (navigation, adverts, forms, scripts, ...) are left out, by tag or by a
+marking class, id or role unless they hold the densest part.  Each block
 element and link gets a composite density: characters per tag, damped by the
 share of link text (inline formatting belongs to the text of its block).  Nodes
 at least as dense as the sparsest node on the path from body to the densest
@@ -35,30 +36,33 @@ ENDS = ({b: ({"p"}, {"table", "td", "th"}) for b in BLOCKS - {"body", "html", "t
            "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
            "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"}),
            "tbody": ({"tbody", "thead", "tr"}, {"table"}), "tfoot": ({"tbody", "thead", "tr"}, {"table"})})
-# elements that are never main text, and words in class, id or role that mark such elements
+# elements that are never main text, and class, id or role tokens made of words that mark such elements
 SKIPPED = frozenset("script style noscript template iframe nav footer aside form button select textarea input svg canvas "
                     "object embed head title dialog menu map audio video".split())
-MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|"
-                   r"footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|"
-                   r"related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|complementary|"
-                   r"contentinfo|search)(?:$|[\s_-])", re.I)
+_WORD = (r"(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|"
+         r"footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|"
+         r"related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|complementary|"
+         r"contentinfo|search)")
+MARKS = re.compile(rf"(?:^|\s){_WORD}(?:[_-]+{_WORD})*(?:$|\s)", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parts", "skipped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parts", "skipped", "marked", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, skipped: bool):
-        self.tag, self.skipped = tag, skipped
+    def __init__(self, tag: str, skipped: bool, marked: bool = False):
+        self.tag, self.skipped, self.marked = tag, skipped, marked
         self.parts: list[Node | str] = []
 
 
-def _is_skipped(tag: str, attrs: str, inside: list[Node]) -> bool:
-    if tag in SKIPPED:
-        return True
+def _is_skipped(tag: str, inside: list[Node]) -> bool:
     if tag == "header":   # an article's own header holds its headings
         return not any(n.tag in ("article", "main") for n in inside)
+    return tag in SKIPPED
+
+
+def _is_marked(tag: str, attrs: str) -> bool:
     if tag in ("html", "body", "article", "main") or "=" not in attrs:
         return False
     return any(MARKS.search(a or b or c) for _, a, b, c in _ATTR.findall(attrs))
@@ -95,7 +99,7 @@ def parse(page: str) -> Node:
                 if stack[i].tag in ended:
                     del stack[i:]
                     break
-        node = Node(tag, _is_skipped(tag, attrs, stack))
+        node = Node(tag, _is_skipped(tag, stack), _is_marked(tag, attrs))
         stack[-1].parts.append(node)
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
             continue
@@ -147,8 +151,39 @@ def densities(root: Node) -> list[Node]:
     return nodes
 
 
+def leave_out_marked(root: Node) -> None:
+    """Skip marked nodes, but none that holds the page's articles (or main) or the densest block of these or of the page.
+
+    Articles inside marked nodes (comments) count only if there are no others.
+    """
+    nodes = _preorder(root)
+    if not any(n.marked for n in nodes):
+        return
+    densities(root)
+    parent = {id(p): n for n in nodes for p in n.parts if isinstance(p, Node)}
+    marked = {}      # whether a node or one around it is
+    for n in nodes:
+        marked[id(n)] = n.marked or marked.get(id(parent.get(id(n))), False)
+    articles = [n for n in nodes if n.tag in ("article", "main") and n.chars]
+    held = [n for n in articles if not marked[id(n)]] or articles
+    outer = {id(n) for n in held}
+    inside = {}
+    for n in nodes:
+        inside[id(n)] = id(n) in outer or inside.get(id(parent.get(id(n))), False)
+    region = [n for n in nodes if inside[id(n)]] or nodes
+    densest = max((n for n in region if n.tag in BLOCKS), key=lambda n: n.density)
+    keep = set()
+    for n in [densest, *held]:
+        while n is not None and id(n) not in keep:
+            keep.add(id(n))
+            n = parent.get(id(n))
+    for n in nodes:
+        n.skipped = n.marked and id(n) not in keep
+
+
 def main_node(root: Node) -> Node:
     """The subtree with the largest density sum among nodes at least as dense as the body path's sparsest."""
+    leave_out_marked(root)
     nodes = densities(root)
     parent = {id(p): n for n in nodes for p in n.parts if isinstance(p, Node)}
 

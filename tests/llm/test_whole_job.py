@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from rollcall.llm import line_dedup, linkgraph
+from rollcall.llm import html_density, line_dedup, linkgraph
 
 
 def _passages_removed(rows):
@@ -75,3 +75,20 @@ def test_linkers_of_a_blocked_host_are_blocked_however_many(spark, linkers):
     rows += [(10 + i, f"http://linker{i}.info/", link) for i in range(linkers)]
     got = {r.page_id: r.verdict for r in linkgraph.url_verdicts(spark.createDataFrame(rows, PAGES)).collect()}
     assert got == {0: "block", 1: "allow", 2: "allow"} | {10 + i: "block" for i in range(linkers)}
+
+
+BODY = "<p>The first paragraph of the main text.</p><p>The second paragraph of the main text.</p>"
+TEXT = "The first paragraph of the main text. The second paragraph of the main text."
+AROUND = ["<div class='content has-sidebar'>%s</div>", "<div id='search-results'>%s</div>", "<section class='post with-comments'>%s</section>",
+          "<div class='widget'>%s</div>", "<div class='widget'><article>%s</article></div>", "<div class='menu'><main><div id=banner>%s</div></main></div>"]
+
+
+@pytest.mark.parametrize("around", AROUND)
+def test_marked_wrappers_do_not_empty_the_page(around):
+    page = "<body><div class='ad'>Buy now</div>" + around % BODY + "<div class='comments'><p>Nice.</p></div></body>"
+    assert html_density.extract(page) == TEXT
+
+
+def test_marked_nodes_beside_an_article_are_left_out():
+    page = "<body><article>%s</article><div id=comments><article><p>%s</p></article></div></body>" % (BODY, "A long comment. " * 20)
+    assert html_density.extract(page) == TEXT
