@@ -1,7 +1,7 @@
 """URL filters: host and path rules, and trust propagated over the link graph for the rest.
 
-Hosts link to the hosts their pages point to, and to their nearest parent
-domain that has pages.  Personalised PageRank carries trust from allowed hosts
+Hosts link to the hosts their pages point to, crawled or not, and to and from
+their parent domain, up to the last one of two labels.  Personalised PageRank carries trust from allowed hosts
 along the links; distrust runs from blocked hosts against them (who links to a
 blocked host).  A host whose distrust exceeds its trust by the threshold is
 blocked.  DataFrame functions only.
@@ -40,22 +40,29 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return chosen if chosen is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def host_links(pages: DataFrame, html: Column) -> DataFrame:
-    """(src, dst, weight): pages' links between different hosts, counted."""
-    targets = F.regexp_extract_all(html, F.lit(r"(?i)\bhref\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"), F.lit(1))
-    return (pages.filter(F.col("host") != "").select(F.col("host").alias("src"), F.explode(targets).alias("dst"))
-            .select("src", lower_ascii(F.col("dst")).alias("dst")).filter("src != dst and dst != ''")
-            .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")))
+def linked_urls(pages: DataFrame, html: Column) -> DataFrame:
+    """(src, dst, path): every link of a page to another host; an empty path is /."""
+    targets = F.regexp_extract_all(html, F.lit(r"(?i)\bhref\s*=\s*[\"']?\s*(?:https?:)?(//[^/?#\"'\s>][^\"'\s>]*)"), F.lit(1))
+    url = F.concat(F.lit(":"), F.col("url"))
+    return (pages.filter(F.col("host") != "").select(F.col("host").alias("src"), F.explode(targets).alias("url"))
+            .select("src", host_of(url).alias("dst"), F.when(path_of(url) == "", "/").otherwise(path_of(url)).alias("path"))
+            .filter("src != dst and dst != ''"))
 
 
 def parent_links(hosts: DataFrame) -> DataFrame:
-    """(src, dst, weight 1): each host to the longest proper domain suffix that is a host itself."""
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.expr("sequence(2, greatest(size(split(host, '\\\\.')), 2))"),
-                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    up = hosts.select(F.col("host").alias("src"), F.explode(suffixes).alias("dst")).filter("dst != '' and dst != src")
-    found = up.join(hosts.select(F.col("host").alias("dst")), "dst")
-    return found.groupBy("src").agg(F.max_by("dst", F.length("dst")).alias("dst")).withColumn("weight", F.lit(1).cast("long"))
+    """(src, dst, weight 1): each host and its parent domains in a chain, both ways, whether they have pages or not.
+
+    A parent of one label (a top-level domain) belongs to nobody and is left out
+    unless it is among ``hosts``; numeric addresses have no parents.
+    """
+    named = hosts.filter(~F.col("host").rlike(r"^[0-9.]+(:[0-9]+)?$"))
+    steps = named.select(F.explode(F.expr(
+        "transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'))"
+        )).alias("src")).distinct().select("src", F.expr("substring(src, instr(src, '.') + 1)").alias("dst"))
+    steps = steps.filter("src != dst and src != '' and dst != '' and src not like '.%'")
+    top = hosts.filter("host not like '%.%'").select(F.col("host").alias("dst")).distinct()
+    up = steps.filter("dst like '%.%'").union(steps.join(top, "dst", "left_semi").select("src", "dst").filter("dst not like '%.%'"))
+    return up.union(up.select("dst", "src")).withColumn("weight", F.lit(1).cast("long"))
 
 
 def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE,
@@ -120,7 +127,8 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] | None = No
 
     The longest fitting rule decides; pages without one are blocked if their
     host's distrust exceeds its trust by ``threshold`` (see :func:`shares`).  Seeds
-    are the shares of a host's pages that rules allow or block.  Null urls and
+    are the shares of a host's pages that rules allow or block; for hosts without
+    pages, of the links to them.  Null urls and
     urls without :// have empty host and path, no rule and are allowed;
     null or empty html links nowhere; repeated rows count each.
     """
@@ -129,10 +137,20 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] | None = No
                           path_of(F.col(url_col)).alias("path"), F.col(html_col).alias("html"))
     judged = parsed.withColumn("judged", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.col("judged.verdict")
-    seeds = cut(judged.filter("host != ''").groupBy("host").agg(
+    crawled = cut(judged.filter("host != ''").groupBy("host").agg(
         F.avg(F.when(verdict == "allow", 1.0).otherwise(0.0)).alias("trust"),
         F.avg(F.when(verdict == "block", 1.0).otherwise(0.0)).alias("distrust"), F.lit(1.0).alias("mass")))
-    links = (host_links(parsed, F.col("html")).union(parent_links(seeds.select("host")))
+    targets = linked_urls(parsed, F.col("html"))
+    judged_targets = stored(targets.withColumn("judged", rule_of(F.col("dst"), F.col("path"), rules))
+                            .groupBy("src", F.col("dst").alias("host"), F.col("judged.verdict").alias("verdict"))
+                            .agg(F.count(F.lit(1)).alias("weight")))
+    n = F.sum("weight")
+    linked = (judged_targets.groupBy("host").agg(
+        (F.coalesce(F.sum(F.when(F.col("verdict") == "allow", F.col("weight"))), F.lit(0)) / n).alias("trust"),
+        (F.coalesce(F.sum(F.when(F.col("verdict") == "block", F.col("weight"))), F.lit(0)) / n).alias("distrust"), F.lit(1.0).alias("mass"))
+        .join(crawled.select("host"), "host", "left_anti"))
+    seeds = stored(crawled.union(linked))
+    links = (judged_targets.select("src", F.col("host").alias("dst"), "weight").union(parent_links(seeds.select("host")))
              .groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     scores = shares(seeds, links, damping).select(F.col("host").alias("of_host"), "trust", "distrust")
     slim = judged.select("page_id", "host", "path", "judged")

@@ -92,3 +92,18 @@ def test_marked_wrappers_do_not_empty_the_page(around):
 def test_marked_nodes_beside_an_article_are_left_out():
     page = "<body><article>%s</article><div id=comments><article><p>%s</p></article></div></body>" % (BODY, "A long comment. " * 20)
     assert html_density.extract(page) == TEXT
+
+
+def test_siblings_and_hosts_without_pages_count(spark):
+    rules = [(f"s{i}.shop.example", "/", "block") for i in range(4)] + [("dark.example.net", "/x/", "block"), ("friend.info", "/", "allow")]
+    rows = [(i, f"http://s{i}.shop.example/", "") for i in range(5)]                  # s4 has no rule, shop.example no page
+    rows += [(10, "http://linker.info/", "<a href=//Dark.Example.net/x/1>x</a>"),    # a blocked url that was not crawled
+             (11, "http://other.info/", "<a href=//dark.example.org/y>y</a>"),
+             (12, "http://10.0.0.1/", ""), (13, "http://10.0.0.2/", "")]
+    out = {r.page_id: r for r in linkgraph.url_verdicts(spark.createDataFrame(rows, PAGES), rules).collect()}
+    assert {i: r.verdict for i, r in out.items()} == {0: "block", 1: "block", 2: "block", 3: "block", 4: "block", 10: "block",
+                                                      11: "allow", 12: "allow", 13: "allow"}
+    assert out[4].rule is None and 0.5 < out[4].distrust < 1
+    edges = {(r.src, r.dst) for r in linkgraph.parent_links(spark.createDataFrame([("a.b.c.d",), ("x.d",), ("1.2.3.4",)], "host string")).collect()}
+    up = {("a.b.c.d", "b.c.d"), ("b.c.d", "c.d")}
+    assert edges == up | {(b, a) for a, b in up}
