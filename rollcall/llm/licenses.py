@@ -86,10 +86,13 @@ class Scanner:
         for n, spans in near.items():
             label, _, _, pattern = self.notices[n]
             for a, b in spans:
-                at = a
-                while (m := pattern.search(text, at, b)) is not None:
-                    found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    at = max(m.end(), at + 1)
+                todo = [(a, b)]      # the best match of a stretch need not be its first
+                while todo:
+                    lo, hi = todo.pop()
+                    m = pattern.search(text, lo, hi) if lo < hi else None
+                    if m is not None:
+                        found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                        todo += [(lo, min(m.start(), hi - 1)), (max(m.end(), lo + 1), hi)]
         kept: list[tuple[str, int, int, int]] = []
         for m in sorted(found, key=lambda x: (x[3], x[1] - x[2], x[1], x[0])):
             at = bisect.bisect_left(kept, m[1], key=lambda x: x[1])

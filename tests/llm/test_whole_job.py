@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from rollcall.llm import html_density, line_dedup, linkgraph
+from rollcall.llm import html_density, licenses, line_dedup, linkgraph
 
 
 def _passages_removed(rows):
@@ -107,3 +107,9 @@ def test_siblings_and_hosts_without_pages_count(spark):
     edges = {(r.src, r.dst) for r in linkgraph.parent_links(spark.createDataFrame([("a.b.c.d",), ("x.d",), ("1.2.3.4",)], "host string")).collect()}
     up = {("a.b.c.d", "b.c.d"), ("b.c.d", "c.d")}
     assert edges == up | {(b, a) for a, b in up}
+
+
+def test_earlier_worse_matches_are_found_too():
+    scanner = licenses.Scanner(licenses.NOTICES, licenses.ERROR_SHARE)
+    found = scanner.find("released under teh mit license released under the mit license")
+    assert [(label, a, edits) for label, a, _, edits in found] == [("mit", 0, 2), ("mit", 31, 0)]
