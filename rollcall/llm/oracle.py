@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rollcall.llm import quality
+from rollcall.llm.best_position import K
 from rollcall.llm.decontaminate import WINDOW
 from rollcall.llm.debruijn import WINDOW as SPAN
 
@@ -42,6 +43,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (r)"""
 
 
+SEARCH = f"""
+WITH d AS (SELECT * FROM (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS w FROM documents) WHERE len(w) > 0),
+c AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY ALL),
+v AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_ALNUM}) AS t FROM benchmark WHERE item_id IS NOT NULL) GROUP BY ALL),
+f AS (SELECT item_id, t, times * CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS f FROM q JOIN v USING (t), c),
+m AS (SELECT r, doc_id, 75 + (25 * len(w) * docs) // words AS m FROM d, c),
+s AS (SELECT item_id, r, doc_id, CAST(sum(f * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM f JOIN p USING (t) JOIN m USING (r) WHERE doc_id IS NOT NULL GROUP BY ALL)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= {K}"""
+
+
 def _quality() -> str:
     share = "coalesce(1000 * {} // nullif({}, 0), 0)"
     signals = {"word_len": share.format("word_chars", "n_words"), "symbols": share.format("n_symbols", "n_words"),
@@ -88,4 +103,5 @@ FROM c LEFT JOIN own ON c.lang IS NOT DISTINCT FROM own.lang AND c.source IS NOT
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _quality(), "op2_decontamination": DECONTAMINATION, "op10_substring_dedup": SUBSTRINGS}
+    return {"op1_quality_rules": _quality(), "op2_decontamination": DECONTAMINATION, "op10_substring_dedup": SUBSTRINGS,
+            "op11_ranked_search": SEARCH}

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import (bpe, debruijn, decontaminate, html_density, language_mixture, licenses, line_dedup, linkgraph,
-                          ngram_lm, oracle, quality, simhash)
+from rollcall.llm import (best_position, bpe, debruijn, decontaminate, html_density, language_mixture, licenses,
+                          line_dedup, linkgraph, ngram_lm, oracle, quality, simhash)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,11 @@ def substring_digests(deduplicated: DataFrame) -> DataFrame:
     return deduplicated.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents of highest score for each benchmark item."""
+    return best_position.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likeliest language of each document and its share of the document."""
     return language_mixture.identify_languages(_table(spark, sf_dir, "documents")).withColumn("mixture", F.to_json("mixture"))
@@ -84,7 +89,7 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_quality_rules, op2_decontamination, op3_simhash, op4_url_filters, op5_lm_scoring, op6_line_dedup,
         op7_license_scan, op8_html_extraction, op9_bpe, op10_substring_dedup,
-        op13_language_id)}
+        op11_ranked_search, op13_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
