@@ -6,6 +6,7 @@ from rollcall.llm import quality
 from rollcall.llm.best_position import K
 from rollcall.llm.decontaminate import WINDOW
 from rollcall.llm.debruijn import WINDOW as SPAN
+from rollcall.llm.hard_negatives import K as POSITIVES
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -57,6 +58,21 @@ SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= {K}"""
 
 
+HARD_NEGATIVES = f"""
+WITH e AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor, e.id AS other, a.label = e.label AS same, CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score
+  FROM e AS a, e WHERE a.id % 100 = 0 AND a.id <> e.id),
+p AS (SELECT anchor, other AS positive, score AS reached FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= {POSITIVES}),
+n AS (SELECT anchor, positive, reached, other, score, row_number() OVER (PARTITION BY anchor, positive ORDER BY score DESC, other) AS r
+  FROM p JOIN s USING (anchor) WHERE NOT same AND 80 * reached <= 100 * score AND 100 * score <= 100 * reached)
+SELECT anchor AS anchor_id, positive AS positive_id, CAST(r AS INT) AS rank, other AS negative_id, reached AS positive_score,
+  score AS negative_score FROM n WHERE r <= {POSITIVES}"""
+
+
 def _quality() -> str:
     share = "coalesce(1000 * {} // nullif({}, 0), 0)"
     signals = {"word_len": share.format("word_chars", "n_words"), "symbols": share.format("n_symbols", "n_words"),
@@ -104,4 +120,4 @@ FROM c LEFT JOIN own ON c.lang IS NOT DISTINCT FROM own.lang AND c.source IS NOT
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_quality_rules": _quality(), "op2_decontamination": DECONTAMINATION, "op10_substring_dedup": SUBSTRINGS,
-            "op11_ranked_search": SEARCH}
+            "op11_ranked_search": SEARCH, "op12_hard_negatives": HARD_NEGATIVES}

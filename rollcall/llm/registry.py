@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import (best_position, bpe, debruijn, decontaminate, html_density, language_mixture, licenses,
+from rollcall.llm import (best_position, bpe, debruijn, decontaminate, hard_negatives, html_density, language_mixture, licenses,
                           line_dedup, linkgraph, ngram_lm, oracle, quality, simhash)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,11 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_position.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each anchor and positive of the embeddings."""
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likeliest language of each document and its share of the document."""
     return language_mixture.identify_languages(_table(spark, sf_dir, "documents")).withColumn("mixture", F.to_json("mixture"))
@@ -89,7 +94,7 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_quality_rules, op2_decontamination, op3_simhash, op4_url_filters, op5_lm_scoring, op6_line_dedup,
         op7_license_scan, op8_html_extraction, op9_bpe, op10_substring_dedup,
-        op11_ranked_search, op13_language_id)}
+        op11_ranked_search, op12_hard_negatives, op13_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
