@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -27,10 +28,11 @@ from rollcall.llm.common import schema_of, stored
 from rollcall.llm.words import ALNUM
 
 K = 20
-SHARD_BYTES = 16 << 20     # text of a shard
+SHARD_BYTES = 4 << 20      # text of a shard
 PIECE = 1 << 20            # bytes of a text split at a time
 SLICE_TERMS = 1 << 18      # item terms that are looked up in a shard together
 SHARDS_PER_SALT = 64       # shards that one copy of a slice of items is joined to
+SIEVE_BITS = 1 << 20       # size of the bit set of item terms
 FIRST_DEPTH = 32           # positions read from each list in the first step; doubled in every further one
 
 _INDEX = "shard long, n_docs long, n_terms long, doc_ids binary, lengths binary, terms binary, starts binary, docs binary, tfs binary"
@@ -51,10 +53,32 @@ def term_counts(text: str | None) -> Counter:
     return out
 
 
+def sieve_of(terms: DataFrame) -> bytes:
+    """A bit set of fixed size that holds the hash of every ``term``; it thins postings and never decides a match."""
+    bits = np.zeros(SIEVE_BITS, np.uint8)
+    bits[[r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(SIEVE_BITS))).distinct().collect()]] = 1
+    return np.packbits(bits).tobytes()
+
+
+class Sieve(dict):
+    """Which terms the bit set lets through, looked up once per term."""
+
+    def __init__(self, packed: bytes):
+        super().__init__()
+        self.bits = np.unpackbits(np.frombuffer(packed, np.uint8))
+
+    def __missing__(self, term: bytes) -> bool:
+        if len(self) >= SIEVE_BITS:
+            self.clear()
+        out = self[term] = bool(self.bits[xxhash.xxh64_intdigest(term, 42) % SIEVE_BITS])
+        return out
+
+
 class Shard:
-    """Postings of some documents, sorted by term, then document."""
+    """Postings of some documents, sorted by term, then document; only of terms that pass the sieve."""
 
-    def __init__(self):
+    def __init__(self, sieve: Sieve):
+        self.sieve = sieve
         self.ids, self.lengths, self.bytes = [], [], 0
         self.vocabulary: dict[bytes, int] = {}
         self.term, self.doc, self.tf = [], [], []
@@ -63,29 +87,31 @@ class Shard:
         found = term_counts(text)
         if not found:
             return
-        number = self.vocabulary
-        terms = np.fromiter((number.setdefault(t, len(number)) for t in found), np.int32, len(found))
-        self.term.append(terms)
-        self.doc.append(np.full(len(found), len(self.ids), np.int32))
-        self.tf.append(np.fromiter(found.values(), np.int64, len(found)))
+        number, sieve = self.vocabulary, self.sieve
+        kept = [(number.setdefault(t, len(number)), n) for t, n in found.items() if sieve[t]]
+        term, tf = np.array(kept, np.int32).reshape(-1, 2).T
+        self.term.append(term)
+        self.doc.append(np.full(len(term), len(self.ids), np.int32))
+        self.tf.append(tf)
         self.ids.append(doc_id)
-        self.lengths.append(int(self.tf[-1].sum()))
+        self.lengths.append(sum(found.values()))
         self.bytes += len(text)
 
     def row(self, number: int) -> tuple:
         words = sorted(self.vocabulary)
         rank = np.empty(len(words), np.int32)
-        rank[[self.vocabulary[w] for w in words]] = np.arange(len(words), dtype=np.int32)
+        rank[np.array([self.vocabulary[w] for w in words], np.int64)] = np.arange(len(words), dtype=np.int32)
         term, doc, tf = rank[np.concatenate(self.term)], np.concatenate(self.doc), np.concatenate(self.tf)
         order = np.argsort(term, kind="stable")
         starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(words)))])
         return (number, len(self.ids), sum(self.lengths), np.array(self.ids, "<i8").tobytes(),
                 np.array(self.lengths, "<i8").tobytes(), b" ".join(words), starts.astype("<i8").tobytes(),
-                doc[order].astype("<i4").tobytes(), tf[order].astype("<i8").tobytes())
+                doc[order].astype("<i4").tobytes(), tf[order].astype("<i4").tobytes())
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The index shards, written to the shared folder.
+def build_index(docs: DataFrame, sieve: bytes, id_col: str = "doc_id", text_col: str = "text",
+                shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The index shards of the terms that pass the sieve, written to the shared folder.
 
     Documents without a term are in none; those without an id are in shards
     with a negative number, which count in the statistics and are not searched.
@@ -95,7 +121,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         arrow, first, made = to_arrow_schema(schema), TaskContext.get().partitionId() << 32, 0
-        named, nameless = Shard(), Shard()
+        passing = Sieve(sieve)
+        named, nameless = Shard(passing), Shard(passing)
 
         def closed(shard: Shard) -> pa.RecordBatch:
             row = shard.row(first + made if shard is named else -1 - first - made)
@@ -110,7 +137,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if max(named.bytes, nameless.bytes) >= shard_bytes:
                     full = named if named.bytes >= shard_bytes else nameless
                     yield closed(full)
-                    named, nameless, made = (Shard(), nameless, made + 1) if full is named else (named, Shard(), made + 1)
+                    named, nameless, made = (
+                        (Shard(passing), nameless, made + 1) if full is named else (named, Shard(passing), made + 1))
         for shard in (named, nameless):
             if shard.ids:
                 yield closed(shard)
@@ -126,8 +154,9 @@ def document_frequencies(index: DataFrame) -> DataFrame:
         arrow = to_arrow_schema(schema)
         for batch in batches:
             for terms, starts in zip(*(batch.column(i).to_pylist() for i in range(2))):
-                yield pa.RecordBatch.from_arrays([pa.array(terms.split(b" "), pa.binary()),
-                                                  pa.array(np.diff(np.frombuffer(starts, "<i8")), pa.int64())], schema=arrow)
+                if terms:
+                    yield pa.RecordBatch.from_arrays([pa.array(terms.split(b" "), pa.binary()),
+                                                      pa.array(np.diff(np.frombuffer(starts, "<i8")), pa.int64())], schema=arrow)
 
     return index.select("terms", "starts").mapInArrow(run, schema).groupBy("term").agg(F.sum("n").alias("df"))
 
@@ -214,7 +243,7 @@ def _answers(k: int, n: int, total: int):
             lengths = np.frombuffer(row["lengths"], "<i8")
             m = 75 + np.array([25 * x * n // total for x in lengths.tolist()], np.int64)
             starts, docs = np.frombuffer(row["starts"], "<i8"), np.frombuffer(row["docs"], "<i4")
-            tfs, ids = np.frombuffer(row["tfs"], "<i8"), np.frombuffer(row["doc_ids"], "<i8")
+            tfs, ids = np.frombuffer(row["tfs"], "<i4").astype(np.int64), np.frombuffer(row["doc_ids"], "<i8")
             number = {t: i for i, t in enumerate(row["terms"].split(b" "))}
             made: dict[bytes, ImpactList | None] = {}
 
@@ -257,9 +286,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, id_col: str = "doc_id"
     Items are looked up in slices of about ``SLICE_TERMS`` terms, each sent to every shard, so neither
     table is ever whole in one task or on the driver.  Only the named columns are read.
     """
-    index = build_index(docs, id_col, text_col, shard_bytes)
-    n, total, shards = index.agg(F.sum("n_docs"), F.sum("n_terms"), F.count(F.lit(1))).first()
     wanted = stored(item_terms(items, item_col, item_text_col))
+    index = build_index(docs, sieve_of(wanted), id_col, text_col, shard_bytes)
+    n, total, shards = index.agg(F.sum("n_docs"), F.sum("n_terms"), F.count(F.lit(1))).first()
     slices = max(1, -(-wanted.count() // SLICE_TERMS))
     if not shards:
         n = total = 1
