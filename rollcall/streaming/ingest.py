@@ -1,11 +1,18 @@
 """Streaming ingest of poll documents into the presence tables.
 
 Landing files hold JSON lines ``{"poll_ts": <epoch s>, "payload": {...}}``.
-Each micro-batch writes its client rows and then its snapshot rows into
-directories named by the query and batch ids (``batch=<query>-<id>``),
+Each micro-batch writes its documents, its client rows and then its snapshot
+rows into directories named by the query and batch ids (``batch=<query>-<id>``),
 overwriting them, so a batch replayed after a failure replaces its own partial
 output and no other query's; readers take client rows only where the snapshot
 row exists (:func:`committed_presence`).
+
+A poll's documents may arrive in several micro-batches.  Accepted documents are
+kept by poll and content; when further ones of a known poll arrive, the batch
+unites them with the kept ones and writes that poll's rows again as a new
+version.  A version is the number of documents it unites, so readers take the
+largest, and the answer does not depend on how the documents were batched.
+One query at a time is expected to ingest into a table set.
 """
 
 from __future__ import annotations
@@ -37,8 +44,9 @@ def poll_stream(spark: SparkSession, landing_dir: str, lateness: str = DEFAULT_L
                 dedupe: bool = True, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming ``poll_ts, payload, poll_time`` with a watermark on ``poll_time``.
 
-    The watermark (``lateness``) is the stream's only one: duplicate polls are
-    dropped within it, and the windowed operators downstream close on it.
+    The watermark (``lateness``) is the stream's only one: copies of a poll's
+    document are dropped within it (different documents of one poll all stay), and the
+    windowed operators downstream close on it.
     """
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
@@ -50,12 +58,22 @@ def poll_stream(spark: SparkSession, landing_dir: str, lateness: str = DEFAULT_L
     docs = (payloads.only_accepted(docs)
             .withColumn("poll_time", F.timestamp_seconds("poll_ts"))
             .withWatermark("poll_time", lateness))
-    return docs.dropDuplicatesWithinWatermark(["poll_ts"]) if dedupe else docs
+    return docs.dropDuplicatesWithinWatermark(["poll_ts", "payload"]) if dedupe else docs
+
 
+def client_stream(polls: DataFrame, include_query_clients: bool = False, dedupe: bool = True) -> DataFrame:
+    """Client rows of a poll stream (no snapshots), keeping the event time ``poll_time``.
 
-def client_stream(polls: DataFrame, include_query_clients: bool = False) -> DataFrame:
-    """Client rows of a poll stream (no snapshots), keeping the event time ``poll_time``."""
-    rows = payloads.client_list_rows(polls.select("poll_ts", "payload", "poll_time"), include_query_clients)
+    With ``dedupe``, a connection (``clid``) that several documents of a poll list under one identity is
+    kept once within the watermark; records without ``clid`` are all kept.
+    """
+    rows = payloads.client_list_rows(polls.select("poll_ts", "payload", "poll_time", F.sha2("payload", 256).alias("_doc")),
+                                     include_query_clients)
+    if dedupe:
+        clid = F.col("c.clid")
+        rows = (rows.withColumn("_uid", F.col("c.client_unique_identifier"))
+                .withColumn("_connection", F.coalesce(F.concat(F.lit("c"), clid), F.concat_ws("/", F.lit("d"), "_doc", "pos")))
+                .dropDuplicatesWithinWatermark(["poll_ts", "_uid", "_connection"]))
     return payloads.clients_from_rows(rows, keep=("poll_time",))
 
 
@@ -78,49 +96,78 @@ def batch_tag(batch_id: int, query_id: str = "") -> str:
     return f"{query_id}-{batch_id:09d}" if query_id else f"{batch_id:09d}"
 
 
-def _committed_snapshot_ids(spark: SparkSession, root: str, dates: DataFrame, exclude_tag: str) -> DataFrame:
-    """Snapshot ids written by other batches on the given dates (one row per poll, joined by day)."""
-    snap_schema = T.StructType(schemas.SNAPSHOTS.fields + [T.StructField("batch", T.StringType(), True)])
+# What a table set keeps besides the rows: poll versions, and the accepted documents by poll and content.
+_VERSIONED = T.StructType(schemas.SNAPSHOTS.fields + [T.StructField("version", T.LongType(), True),
+                                                      T.StructField("batch", T.StringType(), True)])
+_DOCUMENTS = T.StructType([T.StructField("poll_ts", T.LongType()), T.StructField("doc", T.StringType()),
+                           T.StructField("payload", T.StringType()), T.StructField("event_date", T.DateType()),
+                           T.StructField("batch", T.StringType())])
+_POLL = ["event_date", "snapshot_id"]
+
+
+def _read_or_none(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
     try:
-        snaps = spark.read.schema(snap_schema).parquet(os.path.join(root, "snapshots"))
-    except AnalysisException as e:  # first batch: nothing committed yet
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:  # nothing written yet
         if not is_missing(e):
             raise
-        return spark.createDataFrame([], "snapshot_id long")
-    return (snaps.filter(F.col("batch") != exclude_tag).join(dates, "event_date", "left_semi")
-            .select("snapshot_id").distinct())
+        return None
+
+
+def _newest_polls(snapshots: DataFrame) -> DataFrame:
+    """One row per poll: its newest version (rows written before versions were kept count as the first)."""
+    version = F.coalesce("version", F.lit(1)).cast("long")
+    newest = F.max(F.struct(version.alias("version"), "batch", "ts", "total_clients"))
+    return snapshots.groupBy(*_POLL).agg(newest.alias("r")).select(*_POLL, "r.*")
+
+
+def _kept_documents(spark: SparkSession, root: str, polls: DataFrame, not_by: str) -> DataFrame | None:
+    """The documents of the given polls (event_date, poll_ts) that other, committed batches have kept."""
+    docs = _read_or_none(spark, os.path.join(root, "documents"), _DOCUMENTS)
+    snapshots = _read_or_none(spark, os.path.join(root, "snapshots"), _VERSIONED)
+    if docs is None or snapshots is None:
+        return None
+    others = F.col("batch") != not_by
+    committed = snapshots.filter(others).select("batch").distinct()
+    return (docs.filter(others).join(polls, ["event_date", "poll_ts"], "left_semi")
+            .join(committed, "batch", "left_semi").drop("batch").dropDuplicates(["poll_ts", "doc"]))
 
 
 def _write_batch(batch: DataFrame, batch_id: int, root: str, include_query_clients: bool,
-                 dedupe: str = "committed", query_id: str = "") -> None:
-    _write_tagged(batch, batch_tag(batch_id, query_id), root, include_query_clients, dedupe)
+                 query_id: str = "") -> None:
+    _write_tagged(batch, batch_tag(batch_id, query_id), root, include_query_clients)
 
 
-def _write_tagged(batch: DataFrame, tag: str, root: str, include_query_clients: bool, dedupe: str) -> None:
-    batch = batch.select("poll_ts", "payload").persist()
-    docs = batch
+def _write_tagged(batch: DataFrame, tag: str, root: str, include_query_clients: bool) -> None:
+    """Documents, clients, first samples, snapshots of the polls that this batch brings something new for."""
+    spark = batch.sparkSession
+    accepted = (payloads.accepted_documents(batch.select("poll_ts", "payload"))
+                .select("poll_ts", F.sha2("payload", 256).alias("doc"), "payload", utc_date("poll_ts").alias("event_date"))
+                .persist())
+    fresh = united = accepted
     try:
-        if dedupe == "committed":
-            # distinct accepted documents of this batch, minus polls another batch already committed;
-            # kept for the three writes below
-            accepted = payloads.accepted_documents(batch)
-            days = accepted.select(utc_date("poll_ts").alias("event_date")).distinct()
-            seen = _committed_snapshot_ids(batch.sparkSession, root, days, tag)
-            docs = (accepted.join(seen.withColumnRenamed("snapshot_id", "poll_ts"), "poll_ts", "left_anti")
-                    .persist())
-        snaps, clients = payloads.ingest_client_payloads(docs, include_query_clients, dedupe=(dedupe == "committed"))
-        clients.write.mode("overwrite").partitionBy("event_date").parquet(
-            os.path.join(root, "clients", f"batch={tag}"))
+        kept = _kept_documents(spark, root, accepted.select("event_date", "poll_ts").distinct(), tag)
+        if kept is not None:
+            fresh = accepted.join(kept.select("poll_ts", "doc"), ["poll_ts", "doc"], "left_anti").persist()
+            # documents of this batch and those kept of the same polls, if this batch adds any
+            known = kept.join(fresh.select("poll_ts").distinct(), "poll_ts", "left_semi")
+            united = fresh.unionByName(known).persist()
+        snaps, clients = payloads.ingest_client_payloads(united.select("poll_ts", "payload"), include_query_clients)
+        versions = united.groupBy("poll_ts").agg(F.count(F.lit(1)).alias("version")).withColumnRenamed("poll_ts", "snapshot_id")
+
+        def write(df: DataFrame, table: str, by_day: bool = True) -> None:
+            writer = df.write.mode("overwrite")
+            (writer.partitionBy("event_date") if by_day else writer).parquet(os.path.join(root, table, f"batch={tag}"))
+
+        write(fresh, "documents")
+        write(clients, "clients")
         # per-user first sample of this batch: growth reads this small table, not the history
-        (clients.groupBy("client_uid").agg(F.min("ts").alias("first_ts"))
-         .write.mode("overwrite").parquet(os.path.join(root, "first_seen", f"batch={tag}")))
+        write(clients.groupBy("client_uid").agg(F.min("ts").alias("first_ts")), "first_seen", by_day=False)
         # snapshots last: their presence marks the batch as committed
-        snaps.write.mode("overwrite").partitionBy("event_date").parquet(
-            os.path.join(root, "snapshots", f"batch={tag}"))
+        write(snaps.join(versions, "snapshot_id"), "snapshots")
     finally:
-        if docs is not batch:
-            docs.unpersist()
-        batch.unpersist()
+        for df in {id(d): d for d in (accepted, fresh, united)}.values():
+            df.unpersist()
 
 
 def start_presence_ingest(spark: SparkSession, landing_dir: str, table_root: str,
@@ -133,18 +180,18 @@ def start_presence_ingest(spark: SparkSession, landing_dir: str, table_root: str
     ``max_files_per_trigger`` bounds a micro-batch, so that a backlog is read
     in several; unset, a batch holds all that has landed.
 
-    ``dedupe="committed"`` (default) keeps late polls: each micro-batch unites
-    the accepted documents of a poll and drops polls whose snapshot another batch already
-    committed (a pruned read of those days' poll ids), so no streaming state
-    is kept.  ``dedupe="watermark"`` uses ``dropDuplicatesWithinWatermark``
-    instead, which also drops polls later than ``lateness``.
+    Each micro-batch unites the accepted documents of a poll with those that earlier
+    batches kept (a read of the touched days' documents), so the tables are the same for any batch size.
+    ``dedupe="committed"`` (default) needs no streaming state and keeps late polls.
+    ``dedupe="watermark"`` also drops copies of documents in the stream with
+    ``dropDuplicatesWithinWatermark``, and with them polls later than ``lateness``.
     """
     if dedupe not in ("committed", "watermark"):
         raise ValueError("dedupe must be 'committed' or 'watermark'")
     checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), "presence-ingest")
     polls = poll_stream(spark, landing_dir, lateness, dedupe=(dedupe == "watermark"),
                         max_files_per_trigger=max_files_per_trigger)
-    write = _tagged(lambda df, tag: _write_tagged(df, tag, table_root, include_query_clients, dedupe), spark, checkpoint)
+    write = _tagged(lambda df, tag: _write_tagged(df, tag, table_root, include_query_clients), spark, checkpoint)
     writer = (polls.writeStream.foreachBatch(write)
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
@@ -153,17 +200,14 @@ def start_presence_ingest(spark: SparkSession, landing_dir: str, table_root: str
 
 def committed_presence(spark: SparkSession, table_root: str, channels: DataFrame | None = None,
                        poll_interval_s: int = DEFAULT_POLL_INTERVAL_S) -> Presence:
-    """The ingested tables, client rows limited to polls whose snapshot was written."""
-    def read(name, schema):
-        with_batch = T.StructType(schema.fields + [T.StructField("batch", T.StringType(), True)])
-        return spark.read.schema(with_batch).parquet(os.path.join(table_root, name)).drop("batch")
-
-    sn = read("snapshots", schemas.SNAPSHOTS)
-    cs = read("clients", schemas.CLIENTS)
+    """The ingested tables: the newest version of each poll, client rows limited to it."""
+    with_batch = T.StructType(schemas.CLIENTS.fields + [T.StructField("batch", T.StringType(), True)])
+    newest = _newest_polls(spark.read.schema(_VERSIONED).parquet(os.path.join(table_root, "snapshots")))
+    cs = spark.read.schema(with_batch).parquet(os.path.join(table_root, "clients"))
     if channels is None:
         channels = spark.createDataFrame([], schemas.CHANNELS)
-    sn = sn.select(*[f.name for f in schemas.SNAPSHOTS.fields])
-    cs = cs.join(sn.select("snapshot_id"), "snapshot_id", "left_semi").select(*[f.name for f in schemas.CLIENTS.fields])
+    sn = newest.select(*[f.name for f in schemas.SNAPSHOTS.fields])
+    cs = cs.join(newest, [*_POLL, "batch"], "left_semi").select(*[f.name for f in schemas.CLIENTS.fields])
     try:
         first_seen = committed_first_seen(spark, table_root)
     except AnalysisException as e:  # tables written without the side table
@@ -180,57 +224,65 @@ def committed_first_seen(spark: SparkSession, table_root: str) -> DataFrame:
     """
     schema = T.StructType([T.StructField("client_uid", T.StringType()), T.StructField("first_ts", T.LongType()),
                            T.StructField("batch", T.StringType())])
-    snap_schema = T.StructType(schemas.SNAPSHOTS.fields + [T.StructField("batch", T.StringType(), True)])
     fs = spark.read.schema(schema).parquet(os.path.join(table_root, "first_seen"))
-    committed = (spark.read.schema(snap_schema).parquet(os.path.join(table_root, "snapshots"))
+    committed = (spark.read.schema(_VERSIONED).parquet(os.path.join(table_root, "snapshots"))
                  .select("batch").distinct())
     return (fs.join(committed, "batch", "left_semi")
             .groupBy("client_uid").agg(F.min("first_ts").alias("first_ts")))
 
 
-def _current_versions(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored polls (partition ``v``: poll time), client columns null in the row of an empty poll."""
-    fields = [T.StructField(f.name, f.dataType, True) for f in schemas.CLIENTS.fields]
-    schema = T.StructType(fields + [T.StructField("written_by", T.StringType()), T.StructField("v", T.LongType())])
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:  # nothing stored yet
-        if not is_missing(e):
-            raise
-        return None
+_CURRENT = T.StructType([T.StructField(f.name, f.dataType, True) for f in schemas.CLIENTS.fields]
+                        + [T.StructField("written_by", T.StringType()), T.StructField("v", T.LongType()),
+                           T.StructField("docs", T.LongType())])
+_CURRENT_DOCUMENTS = T.StructType([T.StructField("payload", T.StringType()), T.StructField("v", T.LongType()),
+                                   T.StructField("batch", T.StringType())])
 
 
 def current_presence(spark: SparkSession, path: str) -> DataFrame:
     """Client rows of the newest poll stored by :func:`start_current_presence`; none if that poll was empty."""
-    versions = _current_versions(spark, path)
+    versions = _read_or_none(spark, path, _CURRENT)
     if versions is None:
         return spark.createDataFrame([], schemas.CLIENTS)
-    newest = versions.agg(F.max("v")).scalar()
-    return versions.filter((F.col("v") == newest) & F.col("client_uid").isNotNull()).drop("v", "written_by")
+    newest = versions.agg(F.max(F.struct("v", "docs"))).scalar()
+    return (versions.filter((F.struct("v", "docs") == newest) & F.col("client_uid").isNotNull())
+            .drop("written_by", "v", "docs"))
 
 
 def _write_current(batch: DataFrame, tag: str, path: str, include_query_clients: bool = False) -> None:
-    """Write the newest poll of the batch as a version of its own, unless a poll as new is stored.
+    """Write the newest poll of the batch, unless a newer one is stored.
 
-    An empty poll is a version, too (one row without a client).  A batch that
-    is replayed after a failure writes its version again.
+    Documents of that poll that other batches brought are kept next to the
+    rows and united with the batch's; each number of documents is a version
+    (``v=<poll>/docs=<number>``) of its own.  An empty poll is a version, too (one row without
+    a client).  A batch that is replayed after a failure writes its version again.
     """
     spark = batch.sparkSession
-    batch = batch.select("poll_ts", "payload").persist()
+    batch = payloads.accepted_documents(batch.select("poll_ts", "payload")).persist()
     try:
         newest = batch.agg(F.max("poll_ts")).first()[0]
         if newest is None:
             return
-        versions = _current_versions(spark, path)
-        if versions is not None:
-            stored = versions.agg(F.max(F.struct("v", "written_by")).alias("m")).first()["m"]
-            if stored is not None and (stored["v"] > newest or stored["v"] == newest and stored["written_by"] != tag):
+        kept_path = os.path.join(path, "_documents")      # not listed by readers of the rows
+        stored = _read_or_none(spark, kept_path, _CURRENT_DOCUMENTS)
+        docs = batch.filter(F.col("poll_ts") == F.lit(newest)).select("payload")
+        if stored is not None:
+            others = stored.filter(F.col("batch") != tag)
+            newer = others.agg(F.max("v")).first()[0]
+            if newer is not None and newer > newest:
                 return
-        snaps, clients = payloads.ingest_client_payloads(batch.filter(F.col("poll_ts") == F.lit(newest)), include_query_clients)
-        rows = (snaps.select("snapshot_id", "ts", "event_date")
-                .join(clients.drop("ts", "event_date"), "snapshot_id", "left")
-                .select(*[f.name for f in schemas.CLIENTS.fields], F.lit(tag).alias("written_by")))
-        rows.write.mode("overwrite").parquet(os.path.join(path, f"v={newest}"))
+            docs = docs.union(others.filter(F.col("v") == F.lit(newest)).select("payload")).distinct()
+        docs = docs.select(F.lit(newest).cast("long").alias("poll_ts"), "payload").persist()
+        try:
+            number = docs.count()
+            snaps, clients = payloads.ingest_client_payloads(docs, include_query_clients)
+            rows = (snaps.select("snapshot_id", "ts", "event_date")
+                    .join(clients.drop("ts", "event_date"), "snapshot_id", "left")
+                    .select(*[f.name for f in schemas.CLIENTS.fields], F.lit(tag).alias("written_by")))
+            (batch.filter(F.col("poll_ts") == F.lit(newest)).select("payload")
+             .write.mode("overwrite").parquet(os.path.join(kept_path, f"v={newest}", f"batch={tag}")))
+            rows.write.mode("overwrite").parquet(os.path.join(path, f"v={newest}", f"docs={number}"))
+        finally:
+            docs.unpersist()
     finally:
         batch.unpersist()
 
@@ -238,7 +290,8 @@ def _write_current(batch: DataFrame, tag: str, path: str, include_query_clients:
 def start_current_presence(spark: SparkSession, landing_dir: str, current_path: str,
                            checkpoint: str | None = None, available_now: bool = True,
                            include_query_clients: bool = False) -> StreamingQuery:
-    """Keep the newest poll for :func:`current_presence`; late polls change nothing, empty ones empty the answer."""
+    """Keep the newest poll for :func:`current_presence`, all its documents united whatever batches they come in;
+    late polls change nothing, empty ones empty the answer."""
     checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), "current-presence")
     write = _tagged(lambda df, tag: _write_current(df, tag, current_path, include_query_clients), spark, checkpoint)
     writer = (poll_stream(spark, landing_dir, dedupe=False).writeStream.foreachBatch(write)

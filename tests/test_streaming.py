@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from frames import BASE, rows
 
 from rollcall.operators import sequence, users
@@ -246,3 +247,53 @@ def test_channel_versions_go_on_after_a_new_checkpoint(spark, tmp_path):
         _upkeep_batch(batch, "q-5", dim)
         assert sorted(r["channel_name"] for r in rows(latest_channels(spark, dim))) == ["C", "D"]
     assert sorted(p for p in os.listdir(dim) if p.startswith("v=")) == ["v=0", "v=1", "v=2", "v=3"]
+
+
+SPLIT = [doc(BASE, [person("a", clid=1), person("b", clid=2)]), doc(BASE, [person("c", clid=3), person("a", clid=1)]),
+         doc(BASE, [person("x")], code=7), doc(BASE + P, [person("a", clid=1)]), doc(BASE, [person("a", clid=1), person("b", clid=2)]),
+         doc(BASE + P, []), doc(BASE + P, [person("d", clid=9)])]
+
+
+@pytest.mark.parametrize("dedupe", ["committed", "watermark"])
+@pytest.mark.parametrize("files", [None, 1, 2, 3])
+def test_documents_of_a_poll_are_united_for_any_batch_size(spark, tmp_path, dedupe, files):
+    landing, root, current = (str(tmp_path / n) for n in ("landing", "tables", "current"))
+    for k, d in enumerate(SPLIT):
+        land(landing, f"f{k}.json", [d])
+        os.utime(os.path.join(landing, f"f{k}.json"), (1_000_000 + k, 1_000_000 + k))
+    run(start_presence_ingest(spark, landing, root, str(tmp_path / "ck"), dedupe=dedupe, max_files_per_trigger=files))
+    pr = committed_presence(spark, root, poll_interval_s=P)
+    texts = spark.createDataFrame([(d["poll_ts"], json.dumps(d["payload"])) for d in SPLIT], "poll_ts long, payload string")
+    sn, cs = payloads.ingest_client_payloads(texts)
+    assert sorted(map(tuple, pr.snapshots.collect())) == sorted(map(tuple, sn.collect()))
+    assert sorted(map(str, pr.clients.collect())) == sorted(map(str, cs.collect()))
+    assert {r["ts"]: r["total_clients"] for r in rows(pr.snapshots)} == {BASE: 3, BASE + P: 2}
+    assert sorted(r["client_uid"] for r in rows(pr.clients)) == ["a", "a", "b", "c", "d"]
+    if dedupe == "committed":
+        run(start_current_presence(spark, landing, current, str(tmp_path / "ck2")))
+        assert sorted(r["client_uid"] for r in rows(current_presence(spark, current))) == ["a", "d"]
+
+
+def test_current_presence_unites_documents_of_several_batches(spark, tmp_path):
+    from rollcall.streaming.ingest import _write_current
+
+    cur = str(tmp_path / "current")
+    texts = [spark.createDataFrame([(d["poll_ts"], json.dumps(d["payload"]))], "poll_ts long, payload string")
+             for d in (SPLIT[0], SPLIT[1], doc(BASE - P, [person("old")]))]
+    for k, want in ((0, "ab"), (1, "abc"), (1, "abc"), (2, "abc"), (0, "abc")):      # a replay, a late poll, a replay
+        _write_current(texts[k], f"q-{k}", cur)
+        assert "".join(sorted(r["client_uid"] for r in rows(current_presence(spark, cur)))) == want
+
+
+def test_streamed_sessions_count_a_connection_once(spark, tmp_path):
+    landing = str(tmp_path / "landing")
+    docs = [doc(BASE, [person("a", clid=1)]), doc(BASE, [person("b", clid=2), person("a", clid=1)]), doc(BASE, [person("a", clid=1)]),
+            doc(BASE + P, [person("a", clid=1)]), doc(BASE + 100 * P, [])]
+    land(landing, "f.json", docs)
+    land(landing, "g.json", [doc(BASE + 200 * P, [person("z", clid=1)])])
+    q = (session_stream(client_stream(poll_stream(spark, landing, "0 seconds")), P)
+         .writeStream.outputMode("append").format("memory").queryName("united_sessions")
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    run(q)
+    got = {r["client_uid"]: r["samples"] for r in rows(spark.table("united_sessions"))}
+    assert got == {"a": 2, "b": 1}
