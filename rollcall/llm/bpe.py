@@ -2,8 +2,9 @@
 
 A BPE result is the one segmentation whose neighbouring tokens are compatible:
 merging the two tokens' bytes on their own gives the same two tokens back.  So
-every prefix of a piece has one last token, which follows from the last tokens
-of the shorter prefixes, and the last tokens of the prefixes that end within
+every prefix of a piece has one last token: of the tokens that end there (an
+Aho-Corasick automaton lists them) the one that is compatible with the last
+token of the prefix before it.  And the last tokens of the prefixes that end within
 one longest token of the read position (the merge list's lookahead) are all
 that the future can depend on.  Tokens on which all of those agree are emitted
 at once and forgotten; memory does not grow with the text.
@@ -16,9 +17,12 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import heapq
 import json
+import struct
 from collections.abc import Callable, Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
@@ -31,6 +35,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 CACHE_PIECES = 1 << 19    # pieces remembered per worker
 CACHE_BYTES = 64          # longer pieces are not remembered
 TEXT_BLOCK = 1 << 16      # characters, or decoded tokens, per block
+_NONE, _NOTHING = -1, -2  # no last token known (yet); no token before the position
 _BLOCK_END = regex.compile(r" [a-z]")
 
 
@@ -94,19 +99,29 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self._proper: dict[bytes, bool] = {}
-        self.lookahead = self.sufficient_lookahead()
         self._pieces = regex.compile(PIECES)
         self._special = (regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
                          if self.special else None)
-        self._compatible: dict[tuple[bytes, bytes], bool] = {}
+        self._compatible: dict[int, bool] = {}     # by the two tokens' ids
         self._cuts = regex.compile(r" (?=\S)")
         self._after_space = Remembered(lambda segment: self.encode_segment(" " + segment))
-        self.prefixes = {t[:i] for t in self.ids for i in range(1, len(t) + 1)}
         self.whole = {t for t in self.ids if self.proper(t)}
+        self.single = {t: self.ids[t] for t in self.whole}
+        self.sizes = {self.ids[t]: len(t) for t in self.whole}
+        self.automaton = ahocorasick.Automaton()
+        for t in self.whole:
+            self.automaton.add_word(t.decode("latin-1"), self.ids[t])
+        self.automaton.make_automaton()
+        self.lookahead = self.sufficient_lookahead()
 
     def sufficient_lookahead(self) -> int:
-        """Bytes beyond a position that can still change the tokens before it: the longest merge result."""
-        return max([1, *(len(a) + len(b) for a, b in self.ranks)])
+        """Bytes beyond a position that can still change the tokens before it.
+
+        A token that reaches beyond the read position began at most the longest token before it, so
+        only the last tokens of the prefixes ending that close matter: the length of the longest token that the
+        merge list really makes (a listed one whose own bytes merge differently never occurs).
+        """
+        return max(map(len, self.whole))
 
     def proper(self, token: bytes) -> bool:
         """Whether the merges of the token's own bytes give the token (then its halves are so made, too)."""
@@ -137,124 +152,94 @@ class Codec:
         merges go left to right), and look at each moment at the two parts that
         touch: they must not have a merge of their own that would come earlier.
         """
-        known = self._compatible.get((left, right)) if before == 1 << 60 else None
-        if known is not None:
-            return known
         a, b, until = left, right, before
         while True:
             if self.ranks.get((a, b), 1 << 61) < until:
-                known = False
-                break
+                return False
             made_a, made_b = self.made.get(a, -1), self.made.get(b, -1)
             if made_a < 0 and made_b < 0:
-                known = True
-                break
+                return True
             if made_a > made_b:
                 a, until = self.halves[a][1], made_a
             else:
                 b, until = self.halves[b][0], made_b + 1
+
+    def _pair(self, key: int) -> bool:
+        """Whether two tokens, by their ids, are compatible; remembered."""
         if len(self._compatible) >= 4 * CACHE_PIECES:
             self._compatible.clear()
-        if before == 1 << 60:
-            self._compatible[left, right] = known
+        known = self._compatible[key] = self.compatible(self.bytes_of[key >> 32], self.bytes_of[key & 0xFFFFFFFF])
         return known
 
     def transduce(self, data: Iterable[bytes]) -> Iterator[int]:
         """Token ids of one piece that arrives in blocks of bytes, each emitted once it is stable.
 
-        Live state: the bytes since the last stable cut (a few times ``lookahead``)
-        and, per position, the length of the last token of the prefix that ends there.
+        Live state: the state of the automaton and, per position since the last
+        stable cut (a few times ``lookahead``), the last token of the prefix that ends there.
         """
-        ids, ahead, whole, compatible = self.ids, self.lookahead, self.whole, self.compatible
-        buf, last = b"", [0]          # last[i]: length of the last token of the prefix buf[:i]; 0 where none is known
-        before = b""                  # the token emitted last: what follows must be compatible with it
-
-        def back(to: int) -> list[int]:
-            cuts = []
-            while to > 0:
-                cuts.append(to)
-                to -= last[to]
-            return cuts[::-1]
-
-        prefixes = self.prefixes
-        open_at: list[int] = []       # starts from which some token may still reach the read position
+        size, pairs, pair, ahead = self.sizes, self._compatible, self._pair, self.lookahead
+        last, base, found = [_NOTHING], 0, None     # last[i]: of the prefix that ends at base + i
         for block in data:
-            buf += block
-            for end in range(len(last), len(buf) + 1):
-                found, going = 0, []
-                if last[end - 1] or end == 1:
-                    open_at.append(end - 1)
-                for start in open_at:
-                    token = buf[start:end]
-                    if token in prefixes:
-                        going.append(start)
-                        if not found and token in whole:
-                            left = buf[start - last[start]:start] if start else before
-                            if not left or compatible(left, token):
-                                found = end - start
-                last.append(found)
-                open_at = going
-            while len(buf) >= 4 * ahead:   # emit what all live prefixes agree on
-                end = len(buf)
-                live = [back(p) for p in range(end - ahead + 1, end + 1) if last[p]]
-                stable = 0
-                while all(len(x) > stable for x in live) and len({x[stable] for x in live}) == 1:
-                    stable += 1
-                cuts = [c for c in live[0][:stable] if c <= end - ahead]
-                if not cuts:
-                    break
-                for at, c in zip([0, *cuts], cuts):
-                    before = buf[at:c]
-                    yield ids[before]
-                done = cuts[-1]
-                buf, last, open_at = buf[done:], [0, *last[done + 1:]], [x - done for x in open_at if x >= done]
-        cuts = back(len(buf))
-        for at, c in zip([0, *cuts], cuts):
-            yield ids[buf[at:c]]
-
-    def all_in_view(self, raw: bytes) -> list[int]:
-        """Token ids of a piece whose end is within the lookahead: the same segmentation, longest tokens tried first."""
-        prefixes, whole, compatible, n = self.prefixes, self.whole, self.compatible, len(raw)
-
-        def ends(start: int) -> list[int]:
-            out = []
-            for end in range(start + 1, n + 1):
-                token = raw[start:end]
-                if token not in prefixes:
-                    break
-                if token in whole:
-                    out.append(end)
-            return out
-
-        cuts, left, todo, dead = [0], [], [ends(0)], set()
-        while cuts[-1] < n:
-            if not todo[-1]:
-                todo.pop()
-                dead.add((cuts[-2], cuts[-1]))
-                cuts.pop()
-                left.pop()
-                continue
-            start, end = cuts[-1], todo[-1].pop()
-            token = raw[start:end]
-            if (start, end) in dead or left and not compatible(left[-1], token):
-                continue
-            cuts.append(end)
-            left.append(token)
-            todo.append(ends(end))
-        return [self.ids[t] for t in left]
+            text = block.decode("latin-1")
+            found = self.automaton.iter(text) if found is None else found.set(text, False) or found
+            last += [_NONE] * len(text)
+            for end, token in found:
+                end += 1 - base
+                if last[end] != _NONE:
+                    continue
+                left = last[end - size[token]]
+                if left >= 0:
+                    key = left << 32 | token
+                    fits = pairs.get(key)
+                    if fits is None:
+                        fits = pair(key)
+                    if fits:
+                        last[end] = token
+                elif left == _NOTHING:
+                    last[end] = token
+            if len(last) > 4 * ahead:
+                stable = self._agreed(last, len(last) - ahead)
+                if stable:
+                    yield from self._back(last, stable)
+                    last, base = last[stable:], base + stable
+        yield from self._back(last, len(last) - 1)
+
+    def _back(self, last: list[int], end: int) -> list[int]:
+        """The tokens up to a position."""
+        out = []
+        while end > 0:
+            token = last[end]
+            out.append(token)
+            end -= self.sizes[token]
+        return out[::-1]
+
+    def _agreed(self, last: list[int], first: int) -> int:
+        """The last cut that the segmentations of all prefixes ending at ``first`` or later share."""
+        live = set(range(first, len(last)))
+        order = [-p for p in live]
+        heapq.heapify(order)
+        while len(live) > 1:
+            p = -heapq.heappop(order)
+            live.remove(p)
+            p -= self.sizes[last[p]]
+            if p not in live:
+                live.add(p)
+                heapq.heappush(order, -p)
+        return live.pop()
 
     def encode_segment(self, segment: str) -> bytes:
         """Ids of a stretch of pieces as little-endian unsigned 32-bit integers."""
-        out = []
-        for found in self._pieces.finditer(segment):
-            raw = found[0].encode()
-            if raw in self.whole:
-                out.append(self.ids[raw])
+        out, step, single = [], 2 * self.lookahead, self.single
+        for piece in self._pieces.findall(segment):
+            raw = piece.encode()
+            token = single.get(raw)
+            if token is not None:
+                out.append(token)
+            elif len(raw) <= step:
+                out.extend(self.transduce((raw,)))
             else:
-                step = 2 * self.lookahead
-                out.extend(self.all_in_view(raw) if len(raw) <= self.lookahead else
-                           self.transduce(raw[i:i + step] for i in range(0, len(raw), step)))
-        return np.array(out, "<u4").tobytes()
+                out.extend(self.transduce(raw[i:i + step] for i in range(0, len(raw), step)))
+        return struct.pack(f"<{len(out)}I", *out)
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Ids of a text as little-endian unsigned 32-bit integers, in blocks; listed special strings are one id.

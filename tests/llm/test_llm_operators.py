@@ -406,3 +406,38 @@ def test_wrong_edges_are_found():
     wrong = chunk.wrong_edges([good, bad])
     assert set(wrong) == {1} and len(wrong[1]) == 8
 
+
+
+def test_bpe_every_piece_of_several_tokens_goes_through_the_transducer(monkeypatch):
+    codec = bpe.Codec(VOCABULARY)
+    reference = Tokenizer.from_str(VOCABULARY)
+    reference.no_truncation()
+    reference.no_padding()
+    calls = []
+    real = codec.transduce
+    monkeypatch.setattr(codec, "transduce", lambda data: calls.append(1) or real(data))
+    texts = [t for t in _texts() if t] + ["qzxv" * 3000, "é漢" * 500 + "zq", "a" * 1000, "\n" * 300 + "=" * 777, "0" * 129 + "-" * 200]
+    for text in texts:
+        want = reference.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(codec.encode(text)), "<u4").tolist() == want
+    assert len(calls) > len(texts)
+
+
+def test_bpe_memory_of_a_long_piece_is_bounded():
+    codec = bpe.Codec(VOCABULARY)
+    rnd = random.Random(3)
+    raw = bytes(rnd.choice(b"abcdefgz") for _ in range(200_000))
+    held, done = [], 0
+    step = 2 * codec.lookahead
+    fed = 0
+
+    def blocks():
+        nonlocal fed
+        for i in range(0, len(raw), step):
+            fed = i + step
+            yield raw[i:i + step]
+
+    for token in codec.transduce(blocks()):
+        done += codec.sizes[token]
+        held.append(fed - done)
+    assert done == len(raw) and max(held) < 8 * codec.lookahead
