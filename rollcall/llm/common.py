@@ -22,12 +22,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a new table in the shared checkpoint folder and read it back.
+def stored(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Write ``df`` to a new table in the shared checkpoint folder (at most ``files`` files) and read it back.
 
     For loops: unlike a checkpoint, the table's size is known as it is, where
     estimates multiplied from round to round would grow without bound.
     """
+    if files is not None:
+        df = df.coalesce(files)
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,14 +1,18 @@
 """URL filters: host and path rules, and trust propagated over the link graph for the rest.
 
 Hosts link to the hosts their pages point to, crawled or not, and to and from
-their parent domain, up to the last one of two labels.  Personalised PageRank carries trust from allowed hosts
+their parent domain, up to the one that a registrar gave to somebody.  Personalised PageRank carries trust from allowed hosts
 along the links; distrust runs from blocked hosts against them (who links to a
-blocked host).  A host whose distrust exceeds its trust by the threshold is
-blocked.  DataFrame functions only.
+blocked host).  Every host splits its score over its links, so scores shrink with
+the number of neighbours; they are compared as shares of the PageRank that all
+seeds, allowed, blocked or neither, send to the host the same way.  A host whose distrust
+exceeds its trust by the threshold is blocked.  DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +22,12 @@ from rollcall.llm.common import cut, lower_ascii, stored
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 DAMPING = 0.85
 THRESHOLD = 0.5      # of the score of a host all of whose pages are seeds
-TOLERANCE = 1e-6     # rounds end when no score moves more
-MAX_ROUNDS = 100
+TOLERANCE = 1e-3     # share of all score that paths longer than the rounds could still carry
+ROUNDS_PER_TABLE = 4
+ROWS_PER_FILE = 1 << 20
+# fixed: labels below a country's domain that stand for everybody there (co.uk), and domains that lend names to the public
+PUBLIC_LABELS = ["ac", "co", "com", "edu", "gov", "go", "mil", "ne", "net", "or", "org"]
+SHARED_DOMAINS = ["blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "vercel.app", "web.app", "wordpress.com"]
 
 
 def host_of(url: Column) -> Column:
@@ -49,54 +57,53 @@ def linked_urls(pages: DataFrame, html: Column) -> DataFrame:
             .filter("src != dst and dst != ''"))
 
 
+def is_public(host: Column) -> Column:
+    """A domain under which unrelated owners have names: a listed one, or a public label below a two-letter country."""
+    return host.isin(SHARED_DOMAINS) | host.rlike(rf"^({'|'.join(PUBLIC_LABELS)})\.[a-z]{{2}}$")
+
+
 def parent_links(hosts: DataFrame) -> DataFrame:
     """(src, dst, weight 1): each host and its parent domains in a chain, both ways, whether they have pages or not.
 
     A parent of one label (a top-level domain) belongs to nobody and is left out
-    unless it is among ``hosts``; numeric addresses have no parents.
+    unless it is among ``hosts``, and a public one (:func:`is_public`) always; numeric addresses have no parents.
     """
     named = hosts.filter(~F.col("host").rlike(r"^[0-9.]+(:[0-9]+)?$"))
     steps = named.select(F.explode(F.expr(
         "transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'))"
         )).alias("src")).distinct().select("src", F.expr("substring(src, instr(src, '.') + 1)").alias("dst"))
-    steps = steps.filter("src != dst and src != '' and dst != '' and src not like '.%'")
+    steps = steps.filter("src != dst and src != '' and dst != '' and src not like '.%'").filter(~is_public(F.col("dst")))
     top = hosts.filter("host not like '%.%'").select(F.col("host").alias("dst")).distinct()
     up = steps.filter("dst like '%.%'").union(steps.join(top, "dst", "left_semi").select("src", "dst").filter("dst not like '%.%'"))
     return up.union(up.select("dst", "src")).withColumn("weight", F.lit(1).cast("long"))
 
 
 def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE,
-              max_rounds: int = MAX_ROUNDS, columns: dict[str, bool] | None = None, averaged: bool = False) -> DataFrame:
-    """(host, *columns) from seeds (host, *columns in 0..1) over links (src, dst, weight).
-
-    ``columns`` (trust and distrust) says what runs along the links and what
-    against them.  A host's score is split over its neighbours, or, ``averaged``,
-    a host gets the weighted mean of its neighbours' scores, however many others
-    get it, too.  One join and one aggregation per round serve both directions;
-    each round is written to the checkpoint folder.  A host without links passes
-    nothing on.
+              columns: dict[str, bool] | None = None) -> DataFrame:
+    """(host, *columns): personalised PageRank of seeds (host, *columns in 0..1) over links (src, dst, weight).
+
+    ``columns`` (trust and distrust) says what runs along the links and what against them.  A host's score is split
+    over its links by weight; a host without links passes nothing on.  Every round serves all columns with one join and one
+    aggregation.  What paths of more than k links carry is at most damping ** k of all score, so the number of rounds follows
+    from ``tolerance``.  Every few rounds are written to the checkpoint folder, in files by the number of rows.
     """
     columns = {"trust": True, "distrust": False} if columns is None else columns
     directed = links.select("src", "dst", "weight", F.lit(True).alias("forward")).union(
         links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit(False).alias("forward")))
-    side = ["dst" if averaged else "src", "forward"]
-    totals = directed.groupBy(*side).agg(F.sum("weight").alias("total"))
-    steps = stored(directed.join(totals, side).select("src", "dst", "forward", (F.col("weight") / F.col("total")).alias("share")))
-    nodes = seeds.select("host", *columns).union(steps.select(F.col("dst").alias("host"), *[F.lit(0.0).alias(c) for c in columns]))
-    base = stored(nodes.groupBy("host").agg(*[(F.max(c) * (1 - damping)).alias(f"base_{c}") for c in columns]))
-    state = base.select("host", *[F.col(f"base_{c}").alias(c) for c in columns])
-    for _ in range(max_rounds):
-        sent = (steps.join(state.filter(" or ".join(f"{c} > 0" for c in columns)), F.col("src") == F.col("host")).groupBy("dst")
-                .agg(*[F.sum(F.when(F.col("forward") == along, F.col("share") * F.col(c)).otherwise(0.0)).alias(f"in_{c}")
-                       for c, along in columns.items()]))
-        old = state.select(F.col("host").alias("old"), *[F.col(c).alias(f"old_{c}") for c in columns])
-        new = stored(base.join(sent, base.host == sent.dst, "left").join(old, base.host == F.col("old")).select(
-            "host", *[(F.col(f"base_{c}") + damping * F.coalesce(f"in_{c}", F.lit(0.0))).alias(c) for c in columns],
-            *[f"old_{c}" for c in columns]))
-        moved = new.agg(F.max(F.greatest(*[F.abs(F.col(c) - F.col(f"old_{c}")) for c in columns]))).first()[0]
-        state = new.select("host", *columns)
-        if moved is None or moved <= tolerance:
-            break
+    totals = directed.groupBy("src", "forward").agg(F.sum("weight").alias("total"))
+    files = 1 + links.count() // ROWS_PER_FILE
+    steps = stored(directed.join(totals, ["src", "forward"]).select(
+        "src", F.col("dst").alias("host"), "forward", (F.col("weight") / F.col("total")).alias("share")), files)
+    base = stored(seeds.groupBy("host").agg(*[(F.max(c) * (1 - damping)).alias(c) for c in columns]), files)
+    state = base
+    rounds = max(1, math.ceil(math.log(tolerance) / math.log(damping)))
+    for k in range(rounds):
+        sent = steps.join(state.withColumnRenamed("host", "src"), "src").select(
+            "host", *[F.when(F.col("forward") == along, damping * F.col("share") * F.col(c)).otherwise(0.0).alias(c)
+                      for c, along in columns.items()])
+        state = base.union(sent).groupBy("host").agg(*[F.sum(c).alias(c) for c in columns])
+        if k % ROUNDS_PER_TABLE == ROUNDS_PER_TABLE - 1 or k == rounds - 1:
+            state = stored(state, files)
     return state
 
 
@@ -104,17 +111,17 @@ def shares(seeds: DataFrame, links: DataFrame, damping: float = DAMPING) -> Data
     """(host, trust, distrust) in 0..1 from seeds (host, trust, distrust, mass) over links (src, dst, weight).
 
     Each score is the larger of the host's own share and the damped share of
-    the mass its neighbours pass to it that comes from trusted (blocked) hosts.
-    Both are relative, so they do not shrink with the number of neighbours.
+    the PageRank its neighbours pass to it that comes from trusted (blocked) hosts.
+    Both are relative to what all seeds send the same way, so they do not shrink with the number of neighbours.
     """
     given = seeds.select("host", "trust", "distrust", F.col("mass").alias("mass_t"), F.col("mass").alias("mass_d"))
-    scores = propagate(given, links, damping, columns={"trust": True, "mass_t": True, "distrust": False, "mass_d": False}, averaged=True)
+    scores = propagate(given, links, damping, columns={"trust": True, "mass_t": True, "distrust": False, "mass_d": False})
     own = seeds.select(F.col("host").alias("of"), F.col("trust").alias("own_t"), F.col("distrust").alias("own_d"), "mass")
 
     def share(score: str, mass: str, own_score: str) -> Column:
         mine = F.coalesce(F.col(own_score), F.lit(0.0))
         got, of = F.col(score) - (1 - damping) * mine, F.col(mass) - (1 - damping) * F.coalesce("mass", F.lit(0.0))
-        return F.greatest(mine, F.when(of > 1e-12, damping * got / of).otherwise(0.0))
+        return F.greatest(mine, F.when(of > 1e-15, damping * got / of).otherwise(0.0))
 
     return scores.join(own, F.col("host") == F.col("of"), "left").select(
         "host", share("trust", "mass_t", "own_t").alias("trust"), share("distrust", "mass_d", "own_d").alias("distrust"))
