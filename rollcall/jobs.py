@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.operators import ltv, maintenance, rollup
+from rollcall.operators import ltv, maintenance, rollup, summaries
 from rollcall.sources.parquet import load_presence, write_presence
 from rollcall.streaming.ingest import committed_first_seen, committed_presence
 from rollcall.tables import DEFAULT_POLL_INTERVAL_S
@@ -30,6 +30,11 @@ def daily_maintenance(spark: SparkSession, table_root: str, rollup_path: str,
     return maintenance.write_retained(pr, as_of or 0, retention_days, retained_root)
 
 
+def refresh_summaries(spark: SparkSession, table_root: str, poll_interval_s: int = DEFAULT_POLL_INTERVAL_S) -> list:
+    """Summarize the days that have none or whose polls have changed since; only these are read and written."""
+    return summaries.refresh(load_presence(spark, table_root, poll_interval_s), table_root)
+
+
 def compact_first_seen(spark: SparkSession, ingest_root: str, out_path: str) -> None:
     """Fold the per-batch first-seen rows of a streamed table set into one table."""
     committed_first_seen(spark, ingest_root).write.mode("overwrite").parquet(out_path)

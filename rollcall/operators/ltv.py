@@ -12,11 +12,12 @@ regular, the rest casual.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions.columns import pct, round2, safe_div
-from rollcall.operators.sequence import SLICE_POLLS, stitched_slices, user_totals
+from rollcall.operators import summaries
+from rollcall.operators.sequence import Kept, SLICE_POLLS, day_runs, slice_polls_for, user_totals
 from rollcall.tables import Presence, check_limit
 
 # Fixed values of the engagement score: term weights (samples, active days,
@@ -40,15 +41,52 @@ def _category(score, field: int) -> F.Column:
     return expr.otherwise(CATEGORIES[-1][field])
 
 
-def _slice_summaries(cs: DataFrame, p: int, slice_polls: int) -> DataFrame:
-    return stitched_slices(
-        cs, p, slice_polls,
-        extra_slice_aggs=[F.max("nickname").alias("_nick"),
-                          F.count_if(F.col("is_talking")).alias("_talk"),
-                          F.sum("idle_ms").alias("_idle_sum"),
-                          F.count("idle_ms").alias("_idle_n"),
-                          F.sort_array(F.collect_set("channel_id")).alias("_channels")],
-        extra_cols=("nickname", "is_talking", "idle_ms"))
+_CHANNELS = Kept("_channels", "channel_id", "set", "set")    # at most one entry per sample of the slice or day
+
+
+def _users(pr: Presence, days: int | None, slice_polls: int, as_of: int | None) -> DataFrame:
+    """Per-user totals over the range.
+
+    Days with summaries contribute their runs and their (user, channel) rows,
+    the others the facts, read once: a day's run carries its channels, and the first of
+    them carries the day's totals, so that one grouping by (user, channel) and one by user give both,
+    without a set that grows with a user's history.
+    """
+    p, rng = pr.poll_interval_s, pr.time_range(days, as_of)
+    kept_days, facts = summaries.split(pr, rng)
+    totals = tuple(k for k in summaries.TOTALS if k.name in ("_nick_max", "_talk", "_idle_sum", "_idle_n"))
+    names = [k.name for k in totals]
+    runs = None
+    if facts is not None:
+        runs = day_runs(facts, p, slice_polls_for(pr, slice_polls), (*totals, _CHANNELS)).select(
+            *summaries.RUN_COLUMNS, *names, "_channels")
+    if kept_days:
+        stored = summaries.stored_runs(pr, kept_days).select(*summaries.RUN_COLUMNS, *names,
+                                                             F.array().cast("array<long>").alias("_channels"))
+        runs = stored if runs is None else stored.unionByName(runs)
+    w = Window.partitionBy("client_uid").orderBy("_day")
+    gap = F.coalesce((F.col("_first_ts") - F.lag("_last_ts").over(w)) > 2 * p, F.lit(True)).cast("long")   # a user's first sample starts a session
+    entries = (runs.withColumn("_sessions", F.col("_starts") + gap)
+               .select("client_uid", "_n", "_sessions", "_first_ts", "_last_ts", *names, F.posexplode_outer("_channels").alias("_at", "channel_id")))
+    head = F.coalesce(F.col("_at") == 0, F.lit(True))       # one entry per day carries its totals
+    sums = {"_n": "_n", "_sessions": "_sessions", "_talk": "_talk", "_idle_sum": "_idle_sum", "_idle_n": "_idle_n"}
+    per_channel = entries.groupBy("client_uid", "channel_id").agg(
+        *[F.sum(F.when(head, F.col(c))).alias(c) for c in sums], F.count_if(head).alias("_days"),
+        F.min("_first_ts").alias("_first_ts"), F.max("_last_ts").alias("_last_ts"), F.max("_nick_max").alias("_nick_max"))
+    if kept_days:
+        # (user, channel) rows of the kept days join in as entries without totals
+        more = summaries.stored_channels(pr, kept_days).select("client_uid", "channel_id").distinct()
+        more = more.select("client_uid", "channel_id", *[F.lit(None).cast(per_channel.schema[c].dataType).alias(c)
+                                                         for c in per_channel.columns if c not in ("client_uid", "channel_id")])
+        per_channel = per_channel.unionByName(more)
+        channels = F.countDistinct("channel_id")
+    else:
+        channels = F.count("channel_id")
+    return per_channel.groupBy("client_uid").agg(
+        F.sum("_n").cast("long").alias("total_samples"), F.sum("_sessions").cast("long").alias("session_count"),
+        F.sum("_days").cast("long").alias("days_active"), F.min("_first_ts").alias("first_seen"), F.max("_last_ts").alias("last_seen"),
+        F.max("_nick_max").alias("nickname"), F.sum("_talk").cast("long").alias("talking_samples"),
+        F.sum("_idle_sum").alias("_idle_sum"), F.sum("_idle_n").alias("_idle_n"), channels.cast("long").alias("channels_visited"))
 
 
 def ltv_scores(pr: Presence, days: int | None = None, slice_polls: int = SLICE_POLLS,
@@ -56,20 +94,11 @@ def ltv_scores(pr: Presence, days: int | None = None, slice_polls: int = SLICE_P
     """All scored users (``n > 5``) with every derived column; unordered.
 
     Nothing is cached: every call reads the tables as they are, once for the
-    users' rows and once (fewer columns) for the normalizers.
+    users' rows and once (fewer columns) for the normalizers; days with
+    summaries are read from these.
     """
     p = pr.poll_interval_s
-    rng = pr.time_range(days, as_of)
-    cs = pr.clients_in(rng)
-    stitched = _slice_summaries(cs, p, slice_polls)
-    base = user_totals(stitched, [F.max("_nick").alias("nickname"),
-                                  F.sum("_talk").cast("long").alias("talking_samples"),
-                                  F.sum("_idle_sum").alias("_idle_sum"),
-                                  F.sum("_idle_n").alias("_idle_n"),
-                                  F.countDistinct("_day").alias("days_active"),
-                                  # the distinct per-slice sets: at most one per slice, each of distinct channels
-                                  F.collect_set("_channels").alias("_sets")])
-    users = base.withColumn("channels_visited", F.size(F.array_distinct(F.flatten("_sets"))).cast("long")).drop("_sets")
+    users = _users(pr, days, slice_polls, as_of)
     # normalizers: one scalar subquery over the per-user rows (maxima before the
     # n > 5 filter), attached once as a column so it is evaluated once
     norms = users.agg(F.struct(F.max("total_samples").alias("mn"), F.max("days_active").alias("md"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcall import schemas
+from rollcall.operators import summaries
 from rollcall.operators.maintenance import upsert_channels
 from rollcall.tables import DEFAULT_POLL_INTERVAL_S, Presence
 
@@ -47,6 +48,7 @@ def load_presence(spark: SparkSession, root: str,
         channels=upsert_channels(stored_channels.limit(0), stored_channels),
         poll_interval_s=poll_interval_s,
         first_seen=first_seen,
+        summaries=summaries.load(spark, root),
     )
 
 

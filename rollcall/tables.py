@@ -60,6 +60,8 @@ class Presence:
     ``first_seen`` (``client_uid, first_ts``), when given, is the all-time
     first sample per user kept next to the facts, so questions about all
     history (growth, distinct users) read it instead of every client row.
+    ``summaries`` (:class:`rollcall.operators.summaries.Summaries`), when given,
+    holds finished days in summarized form for the per-user questions.
     """
 
     snapshots: DataFrame
@@ -67,6 +69,7 @@ class Presence:
     channels: DataFrame
     poll_interval_s: int = DEFAULT_POLL_INTERVAL_S
     first_seen: DataFrame | None = None
+    summaries: object | None = None
     _memo: dict = field(init=False, repr=False, compare=False, default=None)
 
     def __post_init__(self):
