@@ -19,7 +19,6 @@ import codecs
 import hashlib
 import heapq
 import json
-import struct
 from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
@@ -104,10 +103,13 @@ class Codec:
                          if self.special else None)
         self._compatible: dict[int, bool] = {}     # by the two tokens' ids
         self._cuts = regex.compile(r" (?=\S)")
+        self._known_pieces = Remembered(self.encode_piece)
         self._after_space = Remembered(lambda segment: self.encode_segment(" " + segment))
         self.whole = {t for t in self.ids if self.proper(t)}
-        self.single = {t: self.ids[t] for t in self.whole}
+        self.single = {t: self.ids[t].to_bytes(4, "little") for t in self.whole}   # pieces of one token
         self.sizes = {self.ids[t]: len(t) for t in self.whole}
+        self._packed = {i: i.to_bytes(4, "little") for i in self.sizes}
+        self._size = [self.sizes.get(i, 0) for i in range(max(self.sizes) + 1)]
         self.automaton = ahocorasick.Automaton()
         for t in self.whole:
             self.automaton.add_word(t.decode("latin-1"), self.ids[t])
@@ -177,26 +179,23 @@ class Codec:
         Live state: the state of the automaton and, per position since the last
         stable cut (a few times ``lookahead``), the last token of the prefix that ends there.
         """
-        size, pairs, pair, ahead = self.sizes, self._compatible, self._pair, self.lookahead
+        size, known, pair, ahead, none = self._size, self._compatible.get, self._pair, self.lookahead, _NONE
         last, base, found = [_NOTHING], 0, None     # last[i]: of the prefix that ends at base + i
         for block in data:
             text = block.decode("latin-1")
             found = self.automaton.iter(text) if found is None else found.set(text, False) or found
-            last += [_NONE] * len(text)
+            last += [none] * len(text)
+            shift = 1 - base
             for end, token in found:
-                end += 1 - base
-                if last[end] != _NONE:
-                    continue
-                left = last[end - size[token]]
-                if left >= 0:
-                    key = left << 32 | token
-                    fits = pairs.get(key)
-                    if fits is None:
-                        fits = pair(key)
-                    if fits:
+                end += shift
+                if last[end] == none:
+                    left = last[end - size[token]]
+                    if left >= 0:
+                        fits = known(left << 32 | token)
+                        if fits or fits is None and pair(left << 32 | token):
+                            last[end] = token
+                    elif left == _NOTHING:
                         last[end] = token
-                elif left == _NOTHING:
-                    last[end] = token
             if len(last) > 4 * ahead:
                 stable = self._agreed(last, len(last) - ahead)
                 if stable:
@@ -206,12 +205,13 @@ class Codec:
 
     def _back(self, last: list[int], end: int) -> list[int]:
         """The tokens up to a position."""
-        out = []
+        out, size = [], self._size
         while end > 0:
             token = last[end]
             out.append(token)
-            end -= self.sizes[token]
-        return out[::-1]
+            end -= size[token]
+        out.reverse()
+        return out
 
     def _agreed(self, last: list[int], first: int) -> int:
         """The last cut that the segmentations of all prefixes ending at ``first`` or later share."""
@@ -227,19 +227,18 @@ class Codec:
                 heapq.heappush(order, -p)
         return live.pop()
 
+    def encode_piece(self, piece: str) -> bytes:
+        """Ids of a piece as little-endian unsigned 32-bit integers: one token, or through the transducer in blocks."""
+        raw, step = piece.encode(), 2 * self.lookahead
+        token = self.single.get(raw)
+        if token is not None:
+            return token
+        blocks = (raw,) if len(raw) <= step else (raw[i:i + step] for i in range(0, len(raw), step))
+        return b"".join(map(self._packed.__getitem__, self.transduce(blocks)))
+
     def encode_segment(self, segment: str) -> bytes:
-        """Ids of a stretch of pieces as little-endian unsigned 32-bit integers."""
-        out, step, single = [], 2 * self.lookahead, self.single
-        for piece in self._pieces.findall(segment):
-            raw = piece.encode()
-            token = single.get(raw)
-            if token is not None:
-                out.append(token)
-            elif len(raw) <= step:
-                out.extend(self.transduce((raw,)))
-            else:
-                out.extend(self.transduce(raw[i:i + step] for i in range(0, len(raw), step)))
-        return struct.pack(f"<{len(out)}I", *out)
+        """Ids of a stretch of pieces."""
+        return b"".join(map(self._known_pieces.__getitem__, self._pieces.findall(segment)))
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Ids of a text as little-endian unsigned 32-bit integers, in blocks; listed special strings are one id.
