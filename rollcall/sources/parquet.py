@@ -28,6 +28,16 @@ def is_missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
 
+def read_or_none(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """The parquet table at ``path``, or None where nothing has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
+        return None
+
+
 def load_presence(spark: SparkSession, root: str,
                   poll_interval_s: int = DEFAULT_POLL_INTERVAL_S) -> Presence:
     """The stored tables.  ``channels`` and ``first_seen`` may hold rows of several appends: they are folded to

@@ -32,7 +32,8 @@ from rollcall.operators.maintenance import upsert_channels
 from rollcall.session import checkpoint_dir
 from rollcall.functions.time import utc_date
 from rollcall.sources import payloads
-from rollcall.sources.parquet import is_missing
+from rollcall.sources.parquet import is_missing, read_or_none
+from rollcall.streaming import views
 from rollcall.tables import DEFAULT_POLL_INTERVAL_S, Presence
 
 # Polls may land out of order; a poll more than this late is dropped by the
@@ -97,7 +98,7 @@ def batch_tag(batch_id: int, query_id: str = "") -> str:
 
 
 # What a table set keeps besides the rows: poll versions, and the accepted documents by poll and content.
-_VERSIONED = T.StructType(schemas.SNAPSHOTS.fields + [T.StructField("version", T.LongType(), True),
+VERSIONED = T.StructType(schemas.SNAPSHOTS.fields + [T.StructField("version", T.LongType(), True),
                                                       T.StructField("batch", T.StringType(), True)])
 _DOCUMENTS = T.StructType([T.StructField("poll_ts", T.LongType()), T.StructField("doc", T.StringType()),
                            T.StructField("payload", T.StringType()), T.StructField("event_date", T.DateType()),
@@ -105,15 +106,6 @@ _DOCUMENTS = T.StructType([T.StructField("poll_ts", T.LongType()), T.StructField
 _POLL = ["event_date", "snapshot_id"]
 
 
-def _read_or_none(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:  # nothing written yet
-        if not is_missing(e):
-            raise
-        return None
-
-
 def _newest_polls(snapshots: DataFrame) -> DataFrame:
     """One row per poll: its newest version (rows written before versions were kept count as the first)."""
     version = F.coalesce("version", F.lit(1)).cast("long")
@@ -121,32 +113,38 @@ def _newest_polls(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy(*_POLL).agg(newest.alias("r")).select(*_POLL, "r.*")
 
 
-def _kept_documents(spark: SparkSession, root: str, polls: DataFrame, not_by: str) -> DataFrame | None:
-    """The documents of the given polls (event_date, poll_ts) that other, committed batches have kept."""
-    docs = _read_or_none(spark, os.path.join(root, "documents"), _DOCUMENTS)
-    snapshots = _read_or_none(spark, os.path.join(root, "snapshots"), _VERSIONED)
-    if docs is None or snapshots is None:
+def _kept_documents(spark: SparkSession, root: str, polls: DataFrame, committed: DataFrame | None) -> DataFrame | None:
+    """The documents of the given polls (event_date, poll_ts) that the committed batches have kept."""
+    docs = read_or_none(spark, os.path.join(root, "documents"), _DOCUMENTS)
+    if docs is None or committed is None:
         return None
-    others = F.col("batch") != not_by
-    committed = snapshots.filter(others).select("batch").distinct()
-    return (docs.filter(others).join(polls, ["event_date", "poll_ts"], "left_semi")
+    return (docs.join(polls, ["event_date", "poll_ts"], "left_semi")
             .join(committed, "batch", "left_semi").drop("batch").dropDuplicates(["poll_ts", "doc"]))
 
 
+def _client_rows(spark: SparkSession, root: str) -> DataFrame:
+    """The client rows of all batches, with the batch that wrote them."""
+    with_batch = T.StructType(schemas.CLIENTS.fields + [T.StructField("batch", T.StringType(), True)])
+    return spark.read.schema(with_batch).parquet(os.path.join(root, "clients"))
+
+
 def _write_batch(batch: DataFrame, batch_id: int, root: str, include_query_clients: bool,
                  query_id: str = "") -> None:
     _write_tagged(batch, batch_tag(batch_id, query_id), root, include_query_clients)
 
 
-def _write_tagged(batch: DataFrame, tag: str, root: str, include_query_clients: bool) -> None:
-    """Documents, clients, first samples, snapshots of the polls that this batch brings something new for."""
+def _write_tagged(batch: DataFrame, tag: str, root: str, include_query_clients: bool, views_interval_s: int | None = None) -> None:
+    """Documents, clients, first samples, views and snapshots of the polls that this batch brings something new for."""
     spark = batch.sparkSession
+    others = read_or_none(spark, os.path.join(root, "snapshots"), VERSIONED)
+    others = None if others is None else others.filter(F.col("batch") != tag)
+    committed = None if others is None else others.select("batch").distinct()
     accepted = (payloads.accepted_documents(batch.select("poll_ts", "payload"))
                 .select("poll_ts", F.sha2("payload", 256).alias("doc"), "payload", utc_date("poll_ts").alias("event_date"))
                 .persist())
     fresh = united = accepted
     try:
-        kept = _kept_documents(spark, root, accepted.select("event_date", "poll_ts").distinct(), tag)
+        kept = _kept_documents(spark, root, accepted.select("event_date", "poll_ts").distinct(), committed)
         if kept is not None:
             fresh = accepted.join(kept.select("poll_ts", "doc"), ["poll_ts", "doc"], "left_anti").persist()
             # documents of this batch and those kept of the same polls, if this batch adds any
@@ -163,8 +161,16 @@ def _write_tagged(batch: DataFrame, tag: str, root: str, include_query_clients:
         write(clients, "clients")
         # per-user first sample of this batch: growth reads this small table, not the history
         write(clients.groupBy("client_uid").agg(F.min("ts").alias("first_ts")), "first_seen", by_day=False)
+        snaps = snaps.join(versions, "snapshot_id")
+        if views_interval_s is not None:
+            known_polls = None if others is None else _newest_polls(others)
+            old = None
+            if known_polls is not None:     # the rows that earlier versions of this batch's polls have
+                earlier = known_polls.join(snaps, _POLL, "left_semi")
+                old = _client_rows(spark, root).join(earlier, [*_POLL, "batch"], "left_semi")
+            views.write_views(spark, root, tag, snaps, clients, int(views_interval_s), known_polls, old, committed)
         # snapshots last: their presence marks the batch as committed
-        write(snaps.join(versions, "snapshot_id"), "snapshots")
+        write(snaps, "snapshots")
     finally:
         for df in {id(d): d for d in (accepted, fresh, united)}.values():
             df.unpersist()
@@ -174,7 +180,7 @@ def start_presence_ingest(spark: SparkSession, landing_dir: str, table_root: str
                           checkpoint: str | None = None, available_now: bool = True,
                           include_query_clients: bool = False,
                           lateness: str = DEFAULT_LATENESS, dedupe: str = "committed",
-                          max_files_per_trigger: int | None = None) -> StreamingQuery:
+                          max_files_per_trigger: int | None = None, views_interval_s: int | None = None) -> StreamingQuery:
     """Start the ingest query (``availableNow`` drains what has landed, then stops).
 
     ``max_files_per_trigger`` bounds a micro-batch, so that a backlog is read
@@ -185,13 +191,17 @@ def start_presence_ingest(spark: SparkSession, landing_dir: str, table_root: str
     ``dedupe="committed"`` (default) needs no streaming state and keeps late polls.
     ``dedupe="watermark"`` also drops copies of documents in the stream with
     ``dropDuplicatesWithinWatermark``, and with them polls later than ``lateness``.
+
+    With ``views_interval_s`` (the poll interval) each batch also maintains hours and sessions,
+    late polls included; read them with :func:`rollcall.streaming.maintained_hours` and ``maintained_sessions``.
     """
     if dedupe not in ("committed", "watermark"):
         raise ValueError("dedupe must be 'committed' or 'watermark'")
     checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), "presence-ingest")
     polls = poll_stream(spark, landing_dir, lateness, dedupe=(dedupe == "watermark"),
                         max_files_per_trigger=max_files_per_trigger)
-    write = _tagged(lambda df, tag: _write_tagged(df, tag, table_root, include_query_clients), spark, checkpoint)
+    write = _tagged(lambda df, tag: _write_tagged(df, tag, table_root, include_query_clients, views_interval_s),
+                    spark, checkpoint)
     writer = (polls.writeStream.foreachBatch(write)
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
@@ -201,9 +211,8 @@ def start_presence_ingest(spark: SparkSession, landing_dir: str, table_root: str
 def committed_presence(spark: SparkSession, table_root: str, channels: DataFrame | None = None,
                        poll_interval_s: int = DEFAULT_POLL_INTERVAL_S) -> Presence:
     """The ingested tables: the newest version of each poll, client rows limited to it."""
-    with_batch = T.StructType(schemas.CLIENTS.fields + [T.StructField("batch", T.StringType(), True)])
-    newest = _newest_polls(spark.read.schema(_VERSIONED).parquet(os.path.join(table_root, "snapshots")))
-    cs = spark.read.schema(with_batch).parquet(os.path.join(table_root, "clients"))
+    newest = _newest_polls(spark.read.schema(VERSIONED).parquet(os.path.join(table_root, "snapshots")))
+    cs = _client_rows(spark, table_root)
     if channels is None:
         channels = spark.createDataFrame([], schemas.CHANNELS)
     sn = newest.select(*[f.name for f in schemas.SNAPSHOTS.fields])
@@ -225,7 +234,7 @@ def committed_first_seen(spark: SparkSession, table_root: str) -> DataFrame:
     schema = T.StructType([T.StructField("client_uid", T.StringType()), T.StructField("first_ts", T.LongType()),
                            T.StructField("batch", T.StringType())])
     fs = spark.read.schema(schema).parquet(os.path.join(table_root, "first_seen"))
-    committed = (spark.read.schema(_VERSIONED).parquet(os.path.join(table_root, "snapshots"))
+    committed = (spark.read.schema(VERSIONED).parquet(os.path.join(table_root, "snapshots"))
                  .select("batch").distinct())
     return (fs.join(committed, "batch", "left_semi")
             .groupBy("client_uid").agg(F.min("first_ts").alias("first_ts")))
@@ -240,7 +249,7 @@ _CURRENT_DOCUMENTS = T.StructType([T.StructField("payload", T.StringType()), T.S
 
 def current_presence(spark: SparkSession, path: str) -> DataFrame:
     """Client rows of the newest poll stored by :func:`start_current_presence`; none if that poll was empty."""
-    versions = _read_or_none(spark, path, _CURRENT)
+    versions = read_or_none(spark, path, _CURRENT)
     if versions is None:
         return spark.createDataFrame([], schemas.CLIENTS)
     newest = versions.agg(F.max(F.struct("v", "docs"))).scalar()
@@ -263,7 +272,7 @@ def _write_current(batch: DataFrame, tag: str, path: str, include_query_clients:
         if newest is None:
             return
         kept_path = os.path.join(path, "_documents")      # not listed by readers of the rows
-        stored = _read_or_none(spark, kept_path, _CURRENT_DOCUMENTS)
+        stored = read_or_none(spark, kept_path, _CURRENT_DOCUMENTS)
         docs = batch.filter(F.col("poll_ts") == F.lit(newest)).select("payload")
         if stored is not None:
             others = stored.filter(F.col("batch") != tag)
