@@ -1,11 +1,13 @@
 """Command line: run one question over presence tables and print or write the result.
 
     python -m rollcall.cli TABLE_ROOT QUESTION [--days N] [--limit N] [--as-of EPOCH]
-                           [--poll-interval S] [--uid UID] [--date YYYY-MM-DD] [--out PATH --format json|parquet|csv]
+                           [--poll-interval S [--any-interval]] [--uid UID] [--date YYYY-MM-DD]
+                           [--out PATH --format json|parquet|csv]
 
 ``TABLE_ROOT`` holds ``snapshots/``, ``clients/`` and ``channels/`` as written by
-:func:`rollcall.sources.parquet.write_presence`.  Without ``--out`` the first
-rows are shown.
+:func:`rollcall.sources.parquet.write_presence`.  Without ``--out`` every
+row is printed as a line of JSON.  Questions of several parts (``overview``, ``away-stats``, ``user-report`` ...) print
+or write each part under its name.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import sys
 
 from pyspark.sql import DataFrame
 
-from rollcall.operators import channels, load, ltv, maintenance, metrics, rollup, sequence, status, users
+from rollcall.operators import channels, load, ltv, maintenance, metrics, reports, rollup, sequence, status, users
 from rollcall.session import build_session
 from rollcall.sources.parquet import load_presence
 from rollcall.tables import DEFAULT_POLL_INTERVAL_S, Presence
@@ -66,6 +68,36 @@ QUESTIONS = {
 }
 
 
+# question -> builder(presence, args) of several named frames
+REPORTS = {
+    "away-stats": lambda pr, a: reports.away_stats(pr, _d(a, 7), _l(a, 10), a.as_of),
+    "mute-stats": lambda pr, a: reports.mute_stats(pr, _d(a, 7), _l(a, 10), a.as_of),
+    "connection-patterns": lambda pr, a: reports.connection_patterns(pr, _d(a, 7), _l(a, 10), a.as_of),
+    "user-report": lambda pr, a: reports.user_report(pr, a.uid, _d(a, 30), a.as_of),
+    "overview": lambda pr, a: reports.overview(pr, _d(a, 7), a.as_of),
+    "growth-report": lambda pr, a: reports.growth(pr, _d(a, 7), a.as_of),
+    "engagement": lambda pr, a: reports.engagement(pr, _d(a, None), _l(a, 50), a.as_of),
+}
+# fixed: what the interface accepts; the library itself takes any limit and interval
+LIMIT, SCORE_LIMIT, INTERVALS = 100, 500, (10, 3600)
+SCORE_QUESTIONS = ("ltv", "engagement")
+ROLLUP_INTERVAL_S = 60      # of the daily rollup, where no interval is given
+
+
+def checked(args: argparse.Namespace) -> argparse.Namespace:
+    """Bounds of the parameters; fills in the interval."""
+    most = SCORE_LIMIT if args.question in SCORE_QUESTIONS else LIMIT
+    if args.limit is not None and not 1 <= args.limit <= most:
+        raise ValueError(f"limit must be within 1..{most}")
+    if args.poll_interval is None:
+        args.poll_interval = ROLLUP_INTERVAL_S if args.question == "daily-rollup" else DEFAULT_POLL_INTERVAL_S
+    elif not INTERVALS[0] <= args.poll_interval <= INTERVALS[1] and not args.any_interval:
+        raise ValueError(f"the poll interval must be within {INTERVALS[0]}..{INTERVALS[1]} s (see --any-interval)")
+    if args.question in ("user-stats", "user-report") and not args.uid:
+        raise ValueError(f"{args.question} needs --uid")
+    return args
+
+
 def _days(text: str):
     return None if text.lower() in ("all", "none") else int(text)
 
@@ -73,11 +105,12 @@ def _days(text: str):
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="rollcall", description=__doc__.splitlines()[0])
     p.add_argument("tables")
-    p.add_argument("question", choices=sorted(QUESTIONS))
+    p.add_argument("question", choices=sorted({*QUESTIONS, *REPORTS}))
     p.add_argument("--days", type=_days, default=UNSET, help="look-back days, or 'all'")
     p.add_argument("--limit", type=int)
     p.add_argument("--as-of", type=int, dest="as_of", help="end of the range (epoch s); default: last poll")
-    p.add_argument("--poll-interval", type=int, default=DEFAULT_POLL_INTERVAL_S, dest="poll_interval")
+    p.add_argument("--poll-interval", type=int, dest="poll_interval", help="seconds, 10 to 3600; default 30 (daily rollup 60)")
+    p.add_argument("--any-interval", action="store_true", dest="any_interval", help="accept intervals outside these bounds")
     p.add_argument("--uid")
     p.add_argument("--date", help="day of the rollup, YYYY-MM-DD; default: the day before the last poll")
     p.add_argument("--exact", action="store_true", help="server groups: count each member once")
@@ -95,15 +128,30 @@ def write_result(df: DataFrame, path: str, fmt: str = "json") -> None:
     getattr(writer, fmt)(path)
 
 
-def run(argv: list[str]) -> DataFrame:
-    args = parser().parse_args(argv)
+def print_result(df: DataFrame) -> None:
+    """Every row as a line of JSON, fetched partition by partition."""
+    for row in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator():
+        print(row[0])
+
+
+def run(argv: list[str]) -> DataFrame | dict[str, DataFrame]:
+    args = checked(parser().parse_args(argv))
     spark = build_session(args.master, app=f"rollcall {args.question}")
     pr: Presence = load_presence(spark, args.tables, args.poll_interval)
+    if args.question in REPORTS:
+        parts = REPORTS[args.question](pr, args)
+        for name, part in parts.items():
+            if args.out:
+                write_result(part, f"{args.out}/{name}", args.format)
+            else:
+                print(f"# {name}")
+                print_result(part)
+        return parts
     df = QUESTIONS[args.question](pr, args)
     if args.out:
         write_result(df, args.out, args.format)
     else:
-        df.show(50, truncate=False)
+        print_result(df)
     return df
 
 

@@ -30,6 +30,14 @@ def daily_maintenance(spark: SparkSession, table_root: str, rollup_path: str,
     return maintenance.write_retained(pr, as_of or 0, retention_days, retained_root)
 
 
+def expire_days(spark: SparkSession, table_root: str, days: int, as_of: int | None = None,
+                poll_interval_s: int = DEFAULT_POLL_INTERVAL_S) -> tuple[int, int]:
+    """Retention of the stored tables by dropping whole days; returns the removed polls and client rows."""
+    pr = load_presence(spark, table_root, poll_interval_s)
+    as_of = pr.latest_ts() if as_of is None else as_of
+    return maintenance.expire(pr, table_root, as_of or 0, days)
+
+
 def refresh_summaries(spark: SparkSession, table_root: str, poll_interval_s: int = DEFAULT_POLL_INTERVAL_S) -> list:
     """Summarize the days that have none or whose polls have changed since; only these are read and written."""
     return summaries.refresh(load_presence(spark, table_root, poll_interval_s), table_root)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.functions.columns import trim_groups
+from rollcall.functions.columns import safe_div, trim_groups
 from rollcall.operators.dimension import with_channel_names
+from rollcall.operators.summaries import user_channel_rows, users_in
 from rollcall.tables import Presence
 
 
@@ -14,18 +15,32 @@ def channel_stats(pr: Presence, days: int | None = 7, as_of: int | None = None)
     """Samples, distinct users and mean idle per channel, most visited first.
 
     Aggregated before the name join, so the join sees one row per channel.
+    Kept days come from their (user, channel) summaries.
     """
-    rng = pr.time_range(days, as_of)
-    per_channel = (pr.clients_in(rng).groupBy("channel_id")
-                   .agg(F.count(F.lit(1)).alias("total_visits"),
+    per_channel = (user_channel_rows(pr, pr.time_range(days, as_of)).groupBy("channel_id")
+                   .agg(F.sum("n").cast("long").alias("total_visits"),
                         F.countDistinct("client_uid").alias("unique_users"),
-                        F.avg("idle_ms").alias("_avg_idle")))
+                        safe_div(F.sum("idle_sum"), F.sum("idle_n")).alias("_avg_idle")))
     return (with_channel_names(per_channel, pr)
             .select("channel_id", "channel_name", "total_visits", "unique_users",
                     F.coalesce(F.col("_avg_idle"), F.lit(0.0)).cast("long").alias("avg_idle_ms"))
             .orderBy(F.desc("total_visits"), F.asc("channel_id")))
 
 
+def channel_users_estimate(pr: Presence, days: int | None = 7, as_of: int | None = None) -> DataFrame:
+    """Samples and estimated distinct users per channel from mergeable sketches, most visited first.
+
+    The approximate form of :func:`channel_stats` (a standard error of 0.8 %): neither users nor facts of kept days are
+    read, whatever the range.
+    """
+    per_channel = (users_in(pr, pr.time_range(days, as_of)).groupBy("channel_id")
+                   .agg(F.sum("n").cast("long").alias("total_visits"),
+                        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("unique_users_estimate")))
+    return (with_channel_names(per_channel, pr)
+            .select("channel_id", "channel_name", "total_visits", "unique_users_estimate")
+            .orderBy(F.desc("total_visits"), F.asc("channel_id")))
+
+
 def server_group_stats(pr: Presence, days: int | None = 7, exact: bool = False,
                        as_of: int | None = None) -> DataFrame:
     """Members and samples per server group id.

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.columns import round2
 from rollcall.functions.time import day_name, hour_utc, iso_datetime, weekday_sun0
-from rollcall.tables import Presence, check_limit
+from rollcall.operators.summaries import user_rows, users_in
+from rollcall.tables import Presence, TimeRange, check_limit
 
 # Fixed value: width of the relative-load bar.
 BAR_WIDTH = 30
@@ -58,17 +59,29 @@ def peak_times(pr: Presence, days: int | None = 7, limit: int = 10,
             .limit(limit))
 
 
-def summary(pr: Presence, days: int | None = 7, as_of: int | None = None) -> DataFrame:
-    """Poll count, mean and peak concurrency, distinct users; always one row."""
-    rng = pr.time_range(days, as_of)
-    polls = pr.snapshots_in(rng).agg(
+def poll_summary(pr: Presence, rng: TimeRange) -> DataFrame:
+    """Poll count, mean and peak concurrency; always one row."""
+    return pr.snapshots_in(rng).agg(
         F.count(F.lit(1)).alias("total_snapshots"),
         round2(F.coalesce(F.avg("total_clients"), F.lit(0.0))).alias("avg_users_online"),
         F.coalesce(F.max("total_clients"), F.lit(0)).cast("long").alias("max_users_online"))
-    users = pr.clients_in(rng).select("client_uid").distinct().agg(F.count(F.lit(1))).scalar()
+
+
+def summary(pr: Presence, days: int | None = 7, as_of: int | None = None) -> DataFrame:
+    """Poll count, mean and peak concurrency, distinct users; always one row."""
+    rng = pr.time_range(days, as_of)
+    polls = poll_summary(pr, rng)
+    users = user_rows(pr, rng).select("client_uid").distinct().agg(F.count(F.lit(1))).scalar()
     return polls.withColumn("unique_users", users)
 
 
+def unique_users_estimate(pr: Presence, days: int | None = 7, as_of: int | None = None) -> DataFrame:
+    """Samples and estimated distinct users of a range from mergeable sketches; one row, zeros on an empty range."""
+    return users_in(pr, pr.time_range(days, as_of)).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_samples"),
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).cast("long").alias("unique_users_estimate"))
+
+
 def dataset_stats(pr: Presence) -> DataFrame:
     """Whole-table counts and the first/last poll time (no time range)."""
     polls = pr.snapshots.agg(F.count(F.lit(1)).alias("snapshot_count"),

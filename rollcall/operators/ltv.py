@@ -138,7 +138,7 @@ def ltv_scores(pr: Presence, days: int | None = None, slice_polls: int = SLICE_P
 def lifetime_value(pr: Presence, days: int | None = None, limit: int = 50,
                    slice_polls: int = SLICE_POLLS, as_of: int | None = None) -> DataFrame:
     """Top ``limit`` users by score (ties by user id)."""
-    check_limit(limit, 500)
+    check_limit(limit)
     return (ltv_scores(pr, days, slice_polls, as_of)
             .orderBy(F.desc("ltv_score"), F.asc("client_uid"))
             .limit(limit))

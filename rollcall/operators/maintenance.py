@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as _dt
+import os
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollcall.functions.time import utc_day
 from rollcall.tables import DAY_S, Presence
@@ -80,3 +84,49 @@ def write_retained(pr: Presence, as_of: int, days: int, new_root: str) -> DataFr
     kept, removed = retain(pr, as_of, days)
     write_presence(kept, new_root)
     return removed
+
+
+RETENTION = "retention"      # folder of the recorded cutoffs, one small file each
+
+
+def recorded_cutoff(spark: SparkSession, root: str) -> int | None:
+    """The latest cutoff that :func:`expire` recorded for the tables at ``root``."""
+    from rollcall.sources.parquet import read_or_none
+
+    cutoffs = read_or_none(spark, os.path.join(root, RETENTION), T.StructType([T.StructField("cutoff", T.LongType())]))
+    return None if cutoffs is None else cutoffs.agg(F.max("cutoff")).first()[0]
+
+
+def expire(pr: Presence, root: str, as_of: int, days: int) -> tuple[int, int]:
+    """Apply retention to the stored tables at ``root``; returns the removed polls and client rows.
+
+    The cutoff is recorded first: from then on the tables are loaded without
+    older rows.  Then the day partitions that lie wholly before the cutoff are dropped,
+    so no kept day is read or written; what the cutoff's own day still holds goes with that day.  The
+    first samples are folded again over the kept rows (one row per user).  Repeating it after a failure goes on where it stopped.
+    """
+    spark = pr.spark
+    cutoff = retention_cutoff(as_of, days)
+    day = utc_day(cutoff)
+    gone = pr.snapshots.filter((F.col("event_date") <= F.lit(day)) & (F.col("ts") < F.lit(cutoff))).agg(
+        F.count(F.lit(1)), F.coalesce(F.sum("total_clients"), F.lit(0))).first()
+    spark.createDataFrame([(cutoff,)], "cutoff long").coalesce(1).write.mode("append").parquet(os.path.join(root, RETENTION))
+    for table in ("clients", "snapshots", *(os.path.join("summaries", n) for n in ("runs", "channels", "pieces", "users", "days"))):
+        _drop_days_before(spark, os.path.join(root, table), day)
+    spark.catalog.refreshByPath(root)
+    kept = retain(pr, as_of, days)[0].clients.filter(F.col("event_date") >= F.lit(day))
+    kept.groupBy("client_uid").agg(F.min("ts").alias("first_ts")).write.mode("overwrite").parquet(os.path.join(root, "first_seen"))
+    return int(gone[0]), int(gone[1])
+
+
+def _drop_days_before(spark: SparkSession, path: str, day: _dt.date) -> None:
+    """Delete the ``event_date=`` folders before a day, through the file system that Spark uses for the path."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(folder):
+        return
+    for entry in fs.listStatus(folder):
+        name = entry.getPath().getName()
+        if name.startswith("event_date=") and name[len("event_date="):] < day.isoformat():
+            fs.delete(entry.getPath(), True)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.operators.channels import channel_stats
-from rollcall.operators.load import summary
+from rollcall.operators.dimension import with_channel_names
+from rollcall.operators.load import poll_summary
 from rollcall.operators.ltv import ltv_summary
 from rollcall.operators.status import active_now
-from rollcall.tables import Presence
+from rollcall.operators.summaries import user_channel_rows
+from rollcall.tables import Presence, TimeRange
 
 # Gauge names of the monitoring endpoint.
 USERS_TOTAL = "ts_users_total"
@@ -42,6 +43,35 @@ def _gauges(one_row: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
                     F.col("g.value").alias("value")))
 
 
+def _user_gauges(pr: Presence, rng: TimeRange, top_channels: int | None) -> DataFrame:
+    """Users in all and per channel, visits and the number of channels, from one read of the range.
+
+    (user, channel) counts are grouped once per channel and once in all; the row
+    in all sorts first, so that one top-k serves both.
+    """
+    pairs = user_channel_rows(pr, rng)
+    rows = (pairs.groupingSets([("channel_id",), ()], "channel_id")
+            .agg(F.grouping("channel_id").alias("all"), F.sum("n").alias("visits"), F.countDistinct("client_uid").alias("users"),
+                 F.countDistinct(F.col("channel_id")).alias("channels")))
+    if top_channels is not None:
+        rows = rows.orderBy(F.desc("all"), F.desc("visits"), F.asc("channel_id")).limit(top_channels + 1)
+
+    def gauge(name: str, value: str) -> Column:
+        return F.struct(F.lit(name).alias("name"), F.col(value).cast("double").alias("value"))
+
+    named = with_channel_names(rows, pr)
+    found = named.select("channel_id", "channel_name", "all", F.explode(
+        F.when(F.col("all") == 1, F.array(gauge(USERS_TOTAL, "users"), gauge(CHANNELS_TOTAL, "channels")))
+        .otherwise(F.array(gauge(CHANNEL_VISITS, "visits"), gauge(CHANNEL_UNIQUE_USERS, "users")))).alias("g"))
+    labels = F.create_map(F.lit("channel_id"), F.col("channel_id").cast("string"), F.lit("channel_name"), F.col("channel_name"))
+    gauges = found.select(F.col("g.name").alias("name"),
+                          F.when(F.col("all") == 1, F.create_map().cast("map<string,string>")).otherwise(labels).alias("labels"),
+                          F.col("g.value").alias("value"))
+    # an empty range has no row in all: zeros instead
+    none = pr.clients_in(rng).limit(1).agg(F.count(F.lit(1)).alias("zero")).filter("zero = 0")
+    return gauges.unionByName(_gauges(none, [(USERS_TOTAL, "zero"), (CHANNELS_TOTAL, "zero")]))
+
+
 def metrics_snapshot(pr: Presence, days: int = 7, as_of: int | None = None,
                      score_summary: DataFrame | None = None, top_channels: int | None = TOP_CHANNELS) -> DataFrame:
     """Every gauge: 7-day summary, online now, all-time scores, channel popularity.
@@ -52,23 +82,13 @@ def metrics_snapshot(pr: Presence, days: int = 7, as_of: int | None = None,
     every channel with ``None``.
     """
     rng = pr.time_range(days, as_of)
-    summ = summary(pr, days, rng.t1)
-    now = active_now(pr)
     ltv = score_summary if score_summary is not None else ltv_summary(pr, None, as_of=rng.t1)
-    chans = channel_stats(pr, days, rng.t1)
     parts = [
-        _gauges(summ, [(USERS_TOTAL, "unique_users"), (AVG_USERS_ONLINE, "avg_users_online"),
-                       (PEAK_USERS, "max_users_online"), (SNAPSHOTS_TOTAL, "total_snapshots")]),
-        _gauges(now, [(USERS_ONLINE, "online_users"), (USERS_ONLINE_ACTIVE, "active_users")]),
+        _gauges(poll_summary(pr, rng), [(AVG_USERS_ONLINE, "avg_users_online"), (PEAK_USERS, "max_users_online"),
+                                        (SNAPSHOTS_TOTAL, "total_snapshots")]),
+        _gauges(active_now(pr), [(USERS_ONLINE, "online_users"), (USERS_ONLINE_ACTIVE, "active_users")]),
         _gauges(ltv, [(LTV_POWER, "power_users"), (LTV_REGULAR, "regular_users"),
                       (LTV_CASUAL, "casual_users"), (LTV_AVG, "avg_ltv_score")]),
-        _gauges(chans.agg(F.count(F.lit(1)).alias("n")), [(CHANNELS_TOTAL, "n")]),
+        _user_gauges(pr, rng, top_channels),
     ]
-    # channel_stats is ordered by visits, so the limit is a top-k, not a global sort
-    top = chans if top_channels is None else chans.limit(top_channels)
-    labels = F.create_map(F.lit("channel_id"), F.col("channel_id").cast("string"),
-                          F.lit("channel_name"), F.col("channel_name"))
-    for name, col in ((CHANNEL_VISITS, "total_visits"), (CHANNEL_UNIQUE_USERS, "unique_users")):
-        parts.append(top.select(F.lit(name).alias("name"), labels.alias("labels"),
-                                F.col(col).cast("double").alias("value")))
     return reduce(DataFrame.unionByName, parts)

@@ -177,14 +177,14 @@ def sequence_metrics(cs: DataFrame, p: int, slice_polls: int = SLICE_POLLS) -> D
     return user_totals(day_runs(cs, p, slice_polls), p)
 
 
-def with_latest(winners: DataFrame, rows: DataFrame, column: str, seen: str = "last_seen") -> DataFrame:
-    """Adds ``column`` of each user's latest row by ``(ts, snapshot_id, id)``.
+def with_latest(winners: DataFrame, rows: DataFrame, *columns: str, seen: str = "last_seen") -> DataFrame:
+    """Adds ``columns`` of each user's latest row by ``(ts, snapshot_id, id)``.
 
     The rows were ranked with fixed-width values; only the winners' rows at
     their last time are read for the text.
     """
     at = winners.select("client_uid", F.col(seen).alias("ts"))
-    last = rows.join(at, ["client_uid", "ts"]).groupBy("client_uid").agg(latest(column).alias(column))
+    last = rows.join(at, ["client_uid", "ts"]).groupBy("client_uid").agg(*[latest(c).alias(c) for c in columns])
     return winners.join(last, "client_uid")
 
 
@@ -227,9 +227,10 @@ LAST_NICKNAME = Kept("_nick_last", "nickname", "last", "last")
 
 def connection_summary(pr: Presence, days: int | None = 7, as_of: int | None = None) -> DataFrame:
     """Distinct users and their mean online hours; one row."""
+    from rollcall.operators import summaries
+
     p = pr.poll_interval_s
-    rng = pr.time_range(days, as_of)
-    per_user = pr.clients_in(rng).groupBy("client_uid").agg(F.count(F.lit(1)).alias("n"))
+    per_user = summaries.user_rows(pr, pr.time_range(days, as_of)).groupBy("client_uid").agg(F.sum("n").alias("n"))
     return per_user.agg(
         F.count(F.lit(1)).alias("total_users"),
         F.coalesce(round2(F.avg("n") * p / 3600.0), F.lit(0.0)).alias("avg_online_time_hours"))

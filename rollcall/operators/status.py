@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.functions.columns import latest, pct, round2, split_groups
+from rollcall.functions.columns import pct, round2, split_groups
 from rollcall.operators.dimension import with_channel_names
+from rollcall.operators.sequence import with_latest
 from rollcall.tables import Presence, check_limit
 
 # Fixed value: an online user counts as active below this many (rounded) idle minutes.
@@ -31,7 +32,10 @@ def online_now(pr: Presence, snapshot_id: int | None = None) -> DataFrame:
         cs = cs.limit(0)
     else:
         cs = cs.filter(F.col("snapshot_id") == F.lit(sid))
-        if sid == latest_id and latest_date is not None and "event_date" in cs.columns:
+        if sid != latest_id:    # the poll table knows the day of any other poll (one row, by its id)
+            found = pr.snapshots.filter(F.col("snapshot_id") == F.lit(sid)).select("event_date").first()
+            latest_date = None if found is None else found[0]
+        if latest_date is not None and "event_date" in cs.columns:
             cs = cs.filter(F.col("event_date") == F.lit(latest_date))
     idle = F.col("idle_ms")
     conn = F.col("connected_time")
@@ -79,19 +83,18 @@ def top_away_users(pr: Presence, days: int | None = 7, limit: int = 10, min_samp
     """
     check_limit(limit)
     rng = pr.time_range(days, as_of)
-    per_user = (pr.clients_in(rng)
-                .filter(F.col("away_message").isNotNull() & (F.col("away_message") != ""))
-                .groupBy("client_uid")
-                .agg(latest("nickname").alias("nickname"),
-                     F.count(F.lit(1)).alias("total_samples"),
-                     F.count_if(F.col("is_away")).alias("away_count"),
-                     latest("away_message").alias("last_away_message"))
-                .filter(F.col("total_samples") > min_samples))
-    return (per_user.select("client_uid", "nickname", "total_samples", "away_count",
-                            pct("away_count", "total_samples").alias("away_percentage"),
-                            "last_away_message")
-            .orderBy(F.desc("away_count"), F.asc("client_uid"))
-            .limit(limit))
+    cs = pr.clients_in(rng).filter(F.col("away_message").isNotNull() & (F.col("away_message") != ""))
+    order = F.desc("away_count"), F.asc("client_uid")
+    top = (cs.groupBy("client_uid")
+           .agg(F.count(F.lit(1)).alias("total_samples"),
+                F.count_if(F.col("is_away")).alias("away_count"), F.max("ts").alias("last_seen"))
+           .filter(F.col("total_samples") > min_samples)
+           .orderBy(*order).limit(limit))
+    return (with_latest(top, cs, "nickname", "away_message")
+            .select("client_uid", "nickname", "total_samples", "away_count",
+                    pct("away_count", "total_samples").alias("away_percentage"),
+                    F.col("away_message").alias("last_away_message"))
+            .orderBy(*order))
 
 
 def mute_summary(pr: Presence, days: int | None = 7, as_of: int | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Day summaries: what per-user questions need of a finished day, kept as tables.
 
-For every UTC day three small tables hold one row per user (its run, see
-:mod:`rollcall.operators.sequence`, and sums), one per user and channel, and
-one per stretch of samples.  All are mergeable: rows of several days combine to
+For every UTC day small tables hold one row per user (its run, see
+:mod:`rollcall.operators.sequence`, and sums), one per user and channel, one
+per stretch of samples, and a sketch of the users of each channel.  All are mergeable: rows of several days combine to
 what the facts of these days would give, so a question over a range
 reads summaries for its whole days and facts only for the rest.
 
@@ -44,6 +44,7 @@ SCHEMAS = {
                     _nick_last=_S, _nick_max=_S, _talk=_L, _recording=_L, _idle_sum=_L, _idle_n=_L, event_date=T.DateType()),
     "channels": _schema(client_uid=_S, channel_id=_L, n=_L, idle_sum=_L, idle_n=_L, event_date=T.DateType()),
     "pieces": _schema(client_uid=_S, _day=_L, start_ts=_L, end_ts=_L, n=_L, event_date=T.DateType()),
+    "users": _schema(channel_id=_L, n=_L, sketch=T.BinaryType(), event_date=T.DateType()),
     "days": _schema(polls=_L, rows=_L, first_ts=_L, last_ts=_L, times=_L, poll_interval_s=_L, event_date=T.DateType()),
 }
 
@@ -54,6 +55,7 @@ class Summaries:
     runs: DataFrame
     channels: DataFrame
     pieces: DataFrame
+    users: DataFrame
     days: DataFrame
 
 
@@ -63,6 +65,26 @@ def day_channels(cs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("idle_ms").alias("idle_sum"), F.count("idle_ms").alias("idle_n"))
 
 
+SKETCH_LG_K = 14     # 2**14 registers: a standard error of 0.8 %, 16 KB at most
+
+
+def day_users(cs: DataFrame) -> DataFrame:
+    """(event_date, channel_id, n, sketch): the samples and a HyperLogLog sketch of the users of each channel."""
+    return cs.groupBy("event_date", "channel_id").agg(
+        F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("client_uid", F.lit(SKETCH_LG_K)).alias("sketch"))
+
+
+def users_in(pr: Presence, rng: TimeRange) -> DataFrame:
+    """(channel_id, n, sketch) rows of a range: sketches of the kept days, and of the facts of the others."""
+    days, facts = split(pr, rng)
+    columns = ["channel_id", "n", "sketch"]
+    fresh = None if facts is None else day_users(facts).select(columns)
+    if not days:
+        return fresh
+    stored = _of(pr.summaries.users, days).select(columns)
+    return stored if fresh is None else stored.unionByName(fresh)
+
+
 def _polls_of_days(pr: Presence) -> DataFrame:
     """What the poll table says about each day; ``times`` tells polls at other times apart."""
     return pr.snapshots.groupBy("event_date").agg(
@@ -109,6 +131,28 @@ def stored_channels(pr: Presence, days: list[_dt.date]) -> DataFrame:
     return _of(pr.summaries.channels, days)
 
 
+def user_channel_rows(pr: Presence, rng: TimeRange) -> DataFrame:
+    """(client_uid, channel_id, n, idle_sum, idle_n) rows that add up to the range, one or more per user and channel."""
+    columns = ["client_uid", "channel_id", "n", "idle_sum", "idle_n"]
+    days, facts = split(pr, rng)
+    fresh = None if facts is None else (facts.groupBy("client_uid", "channel_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("idle_ms").alias("idle_sum"), F.count("idle_ms").alias("idle_n")))
+    if not days:
+        return fresh
+    stored = stored_channels(pr, days).select(columns)
+    return stored if fresh is None else stored.unionByName(fresh)
+
+
+def user_rows(pr: Presence, rng: TimeRange) -> DataFrame:
+    """(client_uid, n) rows that add up to the range, one or more per user."""
+    days, facts = split(pr, rng)
+    fresh = None if facts is None else facts.groupBy("client_uid").agg(F.count(F.lit(1)).alias("n"))
+    if not days:
+        return fresh
+    stored = stored_runs(pr, days).select("client_uid", F.col("_n").alias("n"))
+    return stored if fresh is None else stored.unionByName(fresh)
+
+
 def load(spark: SparkSession, root: str) -> Summaries | None:
     """The summaries stored beside the tables at ``root``; None if there are none."""
     try:
@@ -144,6 +188,7 @@ def refresh(pr: Presence, root: str, slice_polls: int = SLICE_POLLS) -> list[_dt
 
     write(day_runs(cs, p, n, TOTALS).withColumn("event_date", date), "runs")
     write(day_channels(cs), "channels")
+    write(day_users(cs), "users")
     write(day_pieces(cs, p, n).withColumn("event_date", date), "pieces")
     write(_polls_of_days(pr).filter(F.col("event_date").isin(todo)).withColumn("poll_interval_s", F.lit(p)), "days")
     return todo

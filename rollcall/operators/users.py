@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollcall.functions.columns import latest, pct, round2
+from rollcall.functions.columns import pct, round2
 from rollcall.functions.time import weekday_sun0
 from rollcall.operators.dimension import with_channel_names
+from rollcall.operators.sequence import with_latest
+from rollcall.operators.summaries import user_channel_rows, user_rows
 from rollcall.tables import Presence, check_limit
 
 
@@ -18,21 +20,19 @@ def top_users(pr: Presence, days: int | None = 7, limit: int = 10,
     check_limit(limit)
     p = pr.poll_interval_s
     rng = pr.time_range(days, as_of)
-    per_user = (pr.clients_in(rng).groupBy("client_uid")
-                .agg(latest("nickname").alias("nickname"),
-                     F.count(F.lit(1)).alias("sample_count"),
-                     F.min("ts").alias("first_seen"),
-                     F.max("ts").alias("last_seen")))
+    cs = pr.clients_in(rng)
+    order = F.desc("sample_count"), F.asc("client_uid")
+    top = (cs.groupBy("client_uid")
+           .agg(F.count(F.lit(1)).alias("sample_count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+           .orderBy(*order).limit(limit))
     secs = F.col("sample_count") * p
     minutes = secs / 60.0
-    return (per_user.select(
+    return with_latest(top, cs, "nickname").select(
         "client_uid", "nickname", "sample_count",
         secs.cast("long").alias("online_seconds"),
         round2(minutes).alias("online_minutes"),
         round2(minutes / 60.0).alias("online_hours"),
-        "first_seen", "last_seen")
-        .orderBy(F.desc("sample_count"), F.asc("client_uid"))
-        .limit(limit))
+        "first_seen", "last_seen").orderBy(*order)
 
 
 def user_profile(pr: Presence, client_uid: str | None = None, days: int | None = 30,
@@ -44,13 +44,12 @@ def user_profile(pr: Presence, client_uid: str | None = None, days: int | None =
     if client_uid is not None:
         cs = cs.filter(F.col("client_uid") == client_uid)
     per_user = (cs.groupBy("client_uid")
-                .agg(latest("nickname").alias("nickname"),
-                     F.count(F.lit(1)).alias("sample_count"),
+                .agg(F.count(F.lit(1)).alias("sample_count"),
                      F.min("ts").alias("first_seen"),
                      F.max("ts").alias("last_seen"),
                      F.avg("idle_ms").alias("_avg_idle")))
     secs = F.col("sample_count") * p
-    return per_user.select(
+    return with_latest(per_user, cs, "nickname").select(
         "client_uid", "nickname", "sample_count",
         secs.cast("long").alias("online_seconds"),
         round2(secs / 3600.0).alias("online_hours"),
@@ -61,11 +60,10 @@ def user_profile(pr: Presence, client_uid: str | None = None, days: int | None =
 def favorite_channels(pr: Presence, client_uid: str | None = None, days: int | None = 30,
                       k: int = 5, as_of: int | None = None) -> DataFrame:
     """Top ``k`` channels per user by samples, with channel names."""
-    rng = pr.time_range(days, as_of)
-    cs = pr.clients_in(rng)
+    rows = user_channel_rows(pr, pr.time_range(days, as_of))
     if client_uid is not None:
-        cs = cs.filter(F.col("client_uid") == client_uid)
-    visits = cs.groupBy("client_uid", "channel_id").agg(F.count(F.lit(1)).alias("visits"))
+        rows = rows.filter(F.col("client_uid") == client_uid)
+    visits = rows.groupBy("client_uid", "channel_id").agg(F.sum("n").cast("long").alias("visits"))
     w = Window.partitionBy("client_uid").orderBy(F.desc("visits"), F.asc("channel_id"))
     top = visits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return with_channel_names(top, pr).select(
@@ -110,18 +108,18 @@ def top_idle_users(pr: Presence, days: int | None = 7, limit: int = 10, min_samp
     """Highest mean idle time among users with more than ``min_samples`` idle readings."""
     check_limit(limit)
     rng = pr.time_range(days, as_of)
-    per_user = (pr.clients_in(rng).filter(F.col("idle_ms").isNotNull())
-                .groupBy("client_uid")
-                .agg(latest("nickname").alias("nickname"),
-                     F.avg("idle_ms").alias("_avg"),
-                     F.count(F.lit(1)).alias("sample_count"))
-                .filter(F.col("sample_count") > min_samples))
-    return (per_user.select("client_uid", "nickname",
-                            F.col("_avg").cast("long").alias("avg_idle_ms"),
-                            round2(F.col("_avg") / 60000.0).alias("avg_idle_minutes"),
-                            "sample_count", "_avg")
-            .orderBy(F.desc("_avg"), F.asc("client_uid"))
-            .limit(limit).drop("_avg"))
+    cs = pr.clients_in(rng).filter(F.col("idle_ms").isNotNull())
+    order = F.desc("_avg"), F.asc("client_uid")
+    top = (cs.groupBy("client_uid")
+           .agg(F.avg("idle_ms").alias("_avg"), F.count(F.lit(1)).alias("sample_count"), F.max("ts").alias("last_seen"))
+           .filter(F.col("sample_count") > min_samples)
+           .orderBy(*order).limit(limit))
+    return (with_latest(top, cs, "nickname")
+            .select("client_uid", "nickname",
+                    F.col("_avg").cast("long").alias("avg_idle_ms"),
+                    round2(F.col("_avg") / 60000.0).alias("avg_idle_minutes"),
+                    "sample_count", "_avg")
+            .orderBy(*order).drop("_avg"))
 
 
 def top_recorders(pr: Presence, days: int | None = 7, limit: int = 10,
@@ -129,15 +127,17 @@ def top_recorders(pr: Presence, days: int | None = 7, limit: int = 10,
     """Users with recording samples, most first."""
     check_limit(limit)
     rng = pr.time_range(days, as_of)
-    per_user = (pr.clients_in(rng).groupBy("client_uid")
-                .agg(latest("nickname").alias("nickname"),
-                     F.count(F.lit(1)).alias("total_samples"),
-                     F.count_if(F.col("is_recording")).alias("recording_count"))
-                .filter(F.col("recording_count") > 0))
-    return (per_user.select("client_uid", "nickname", "recording_count",
-                            pct("recording_count", "total_samples").alias("recording_percentage"))
-            .orderBy(F.desc("recording_count"), F.asc("client_uid"))
-            .limit(limit))
+    cs = pr.clients_in(rng)
+    order = F.desc("recording_count"), F.asc("client_uid")
+    top = (cs.groupBy("client_uid")
+           .agg(F.count(F.lit(1)).alias("total_samples"), F.max("ts").alias("last_seen"),
+                F.count_if(F.col("is_recording")).alias("recording_count"))
+           .filter(F.col("recording_count") > 0)
+           .orderBy(*order).limit(limit))
+    return (with_latest(top, cs, "nickname")
+            .select("client_uid", "nickname", "recording_count",
+                    pct("recording_count", "total_samples").alias("recording_percentage"))
+            .orderBy(*order))
 
 
 def first_seen(pr: Presence) -> DataFrame:
@@ -167,7 +167,7 @@ def growth_metrics(pr: Presence, days: int = 7, as_of: int | None = None,
     if days is None or days < 1:
         raise ValueError("days must be >= 1")
     rng = pr.time_range(days, as_of)
-    active = (pr.clients_in(rng).select("client_uid").distinct()
+    active = (user_rows(pr, rng).select("client_uid").distinct()
               .agg(F.count(F.lit(1)).alias("total_unique_users")))
     fs = first_seen_table if first_seen_table is not None else (
         pr.first_seen if pr.first_seen is not None else first_seen(pr))

@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from rollcall import schemas
 from rollcall.operators import summaries
-from rollcall.operators.maintenance import upsert_channels
+from rollcall.functions.time import utc_day
+from rollcall.operators.maintenance import recorded_cutoff, upsert_channels
 from rollcall.tables import DEFAULT_POLL_INTERVAL_S, Presence
 
 TABLES = ("snapshots", "clients", "channels", "first_seen")
@@ -52,9 +53,14 @@ def load_presence(spark: SparkSession, root: str,
             raise
         first_seen = None
     stored_channels = read("channels", schemas.CHANNELS)
+    snapshots, clients = read("snapshots", schemas.SNAPSHOTS), read("clients", schemas.CLIENTS)
+    cutoff = recorded_cutoff(spark, root)
+    if cutoff is not None:      # retention: what its day still holds from before
+        stays = (F.col("event_date") >= F.lit(utc_day(cutoff))) & (F.col("ts") >= F.lit(cutoff))
+        snapshots, clients = snapshots.filter(stays), clients.filter(stays)
     return Presence(
-        snapshots=read("snapshots", schemas.SNAPSHOTS),
-        clients=read("clients", schemas.CLIENTS),
+        snapshots=snapshots,
+        clients=clients,
         channels=upsert_channels(stored_channels.limit(0), stored_channels),
         poll_interval_s=poll_interval_s,
         first_seen=first_seen,
