@@ -456,6 +456,79 @@ def ingest_snapshots():
     return "SELECT ts AS snapshot_id, ts, total_clients FROM sn"
 
 
+# the varied documents: rows with part and place, the accepted documents with the position of their first row
+VARIED = """r AS (SELECT *, id // 50 AS part, row_number() OVER (PARTITION BY snapshot_id, id // 50 ORDER BY id) - 1 AS place FROM cs),
+d AS (SELECT snapshot_id, part, count(*) AS size FROM r GROUP BY ALL),
+acc AS (SELECT *, 0 AS variant FROM d WHERE part % 9 <> 0
+  UNION ALL SELECT *, 1 FROM d WHERE part % 9 NOT IN (0, 1) AND part % 6 = 1),
+o AS (SELECT *, COALESCE(sum(size) OVER (PARTITION BY snapshot_id ORDER BY CASE WHEN part % 9 = 1 THEN 0 ELSE 1 END, part, variant
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM acc),
+kept AS (SELECT r.*, o.start + r.place AS pos FROM r JOIN o ON o.snapshot_id = r.snapshot_id AND o.part = r.part AND o.variant = 0
+  WHERE r.id % 11 <> 0)"""
+
+
+def ingest_rules_clients():
+    return f"""SELECT CAST(ts * 2147483648 + pos AS BIGINT) AS id, ts AS snapshot_id, ts,
+  CASE WHEN id % 13 = 0 THEN 'unknown' ELSE client_uid END AS client_uid, client_database_id,
+  CASE WHEN id % 17 = 0 THEN 'Unknown' ELSE nickname END AS nickname, CASE WHEN id % 19 = 0 THEN 0 ELSE channel_id END AS channel_id,
+  idle_ms, is_away AND id % 5 <> 0 AS is_away, CASE WHEN id % 7 = 0 THEN '' ELSE COALESCE(away_message, '') END AS away_message,
+  is_talking, input_muted, output_muted, is_recording, COALESCE(server_groups, '') AS server_groups, connected_time
+FROM (WITH {VARIED} SELECT * FROM kept) x"""
+
+
+def ingest_rules_snapshots():
+    return f"""SELECT s.ts AS snapshot_id, s.ts, CAST(COALESCE(k.n, 0) AS BIGINT) AS total_clients
+FROM sn s LEFT JOIN (WITH {VARIED} SELECT snapshot_id, count(*) AS n FROM kept GROUP BY snapshot_id) k ON k.snapshot_id = s.snapshot_id
+WHERE s.snapshot_id % 5 = 0 OR s.snapshot_id IN (SELECT snapshot_id FROM cs WHERE (id // 50) % 9 <> 0)"""
+
+
+def ingest_rejected():
+    return """SELECT poll_ts, '512' AS code, 'no such server' AS message
+FROM (SELECT DISTINCT ts AS poll_ts, id // 50 AS part FROM cs WHERE (id // 50) % 9 = 0) x,
+  unnest(CASE WHEN part % 4 = 0 AND part % 6 = 1 THEN [1, 2, 3] WHEN part % 4 = 0 OR part % 6 = 1 THEN [1, 2] ELSE [1] END) AS t(copy)"""
+
+
+def user_stats(uid="guest0", days=30):
+    mine = f"client_uid = '{uid}' AND {R(days)}"
+    return f"""SELECT client_uid, {LATEST.format(c='nickname')} AS nickname, count(*) AS sample_count, min(ts) AS first_seen, max(ts) AS last_seen,
+  CAST(floor(COALESCE(avg(idle_ms), 0)) AS BIGINT) AS avg_idle_ms,
+  (SELECT string_agg(label || '=' || CAST(n AS VARCHAR), ';' ORDER BY n DESC, channel_id) FROM (
+    SELECT f.channel_id, f.n, CASE WHEN ch.channel_name IS NULL OR ch.channel_name = '' THEN 'Channel ' || CAST(f.channel_id AS VARCHAR) ELSE ch.channel_name END AS label
+    FROM (SELECT channel_id, count(*) AS n FROM cs WHERE {mine} GROUP BY channel_id ORDER BY n DESC, channel_id LIMIT 5) f
+    LEFT JOIN ch ON ch.channel_id = f.channel_id) a) AS favorites,
+  (SELECT string_agg(CAST(w AS VARCHAR) || '=' || CAST(n AS VARCHAR), ';' ORDER BY w) FROM (
+    SELECT dayofweek({UTC}) AS w, count(*) AS n FROM cs WHERE {mine} GROUP BY 1) b) AS weekdays
+FROM cs WHERE {mine} GROUP BY client_uid"""
+
+
+def retained_clients(days=7):
+    return f"SELECT id, ts, client_uid FROM cs WHERE ts >= (SELECT as_of FROM prm) - {days * DAY}"
+
+
+def rollup_of_day(date="2024-01-15"):
+    return f"SELECT * FROM ({daily_user_rollup()}) x WHERE date = '{date}'"
+
+
+def session_windows():
+    return f"""SELECT client_uid, min(ts) AS session_start, max(ts) AS session_end, count(*) AS samples FROM (
+  SELECT client_uid, ts, sum(fresh) OVER (PARTITION BY client_uid ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS g FROM (
+    SELECT client_uid, ts, id, CASE WHEN ts - lag(ts) OVER (PARTITION BY client_uid ORDER BY ts, id) <= {GAP} THEN 0 ELSE 1 END AS fresh FROM cs) a) b
+GROUP BY client_uid, g"""
+
+
+def hourly_windows():
+    return """SELECT ts // 3600 * 3600 AS hour_start, avg(total_clients) AS avg_clients, max(total_clients) AS max_clients, count(*) AS polls
+FROM sn GROUP BY 1"""
+
+
+def unique_users(days=7):
+    return f"SELECT count(*) AS total_samples, count(DISTINCT client_uid) AS unique_users_estimate FROM cs WHERE {R(days)}"
+
+
+def channel_users(days=7):
+    return f"SELECT channel_id, channel_name, total_visits, unique_users AS unique_users_estimate FROM ({channel_stats(days)}) x"
+
+
 def ingest_channel_updates():
     return f"""SELECT k % 27 + 1 AS channel_id,
   'room ' || CAST(k % 27 + 1 AS VARCHAR) || '/' || CAST(user_id % 4 AS VARCHAR) AS channel_name,
@@ -527,4 +600,14 @@ def oracle_sql() -> dict[str, str]:
         "conform_layouts": wrap(conform_layouts(15)),
         "ingest_channel_updates": wrap(ingest_channel_updates()),
         "first_seen": wrap(first_seen()),
+        "ingest_rules_clients": wrap(ingest_rules_clients()),
+        "ingest_rules_snapshots": wrap(ingest_rules_snapshots()),
+        "ingest_rejected": wrap(ingest_rejected()),
+        "user_stats": wrap(user_stats()),
+        "retained_clients": wrap(retained_clients(7)),
+        "rollup_of_day": wrap(rollup_of_day()),
+        "session_windows": wrap(session_windows()),
+        "hourly_windows": wrap(hourly_windows()),
+        "unique_users_estimate": wrap(unique_users(7)),
+        "channel_users_estimate": wrap(channel_users(7)),
     }

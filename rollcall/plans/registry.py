@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 from rollcall.operators import channels, load, ltv, maintenance, metrics, rollup, sequence, status, users
 from rollcall.sources import events_adapter, payloads
 from rollcall.sources.conform import conform_clients
+from rollcall.streaming.windows import hourly_concurrency, session_stream
 from rollcall.tables import DAY_S, Presence
 
 SHORT_DAYS = 7
 LONG_DAYS = 30
 RETENTION_DAYS = 7
+ROLLUP_DATE = "2024-01-15"
+STATS_UID = "guest0"
 OLD_LAYOUT_DAYS = 15   # rows older than this many days are stored in the first layout
 
 
@@ -74,6 +77,45 @@ def _ingest_channel_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.channel_updates(events_adapter.channel_payloads(events)).withColumnRenamed("_seq", "list_seq")
 
 
+def _varied(spark: SparkSession, sf_dir: str):
+    return events_adapter.varied_payloads(_presence(spark, sf_dir))
+
+
+def _ingest_rules_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads.ingest_client_payloads(_varied(spark, sf_dir))[1].drop("event_date")
+
+
+def _ingest_rules_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads.ingest_client_payloads(_varied(spark, sf_dir))[0].drop("event_date")
+
+
+def _ingest_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads.rejected_polls(_varied(spark, sf_dir))
+
+
+def _user_stats_flat(pr: Presence) -> DataFrame:
+    """The nested answer about one user, lists and map as text."""
+    pairs = F.map_entries("activity_by_day_of_week")
+    return users.user_stats(pr, STATS_UID, LONG_DAYS).select(
+        "client_uid", "nickname", "sample_count", "first_seen", "last_seen", "avg_idle_ms",
+        F.array_join(F.transform("favorite_channels", lambda x: F.concat_ws("=", x["channel_name"], x["visits"].cast("string"))), ";")
+        .alias("favorites"),
+        F.array_join(F.transform(F.array_sort(pairs), lambda x: F.concat_ws("=", x["key"].cast("string"), x["value"].cast("string"))), ";")
+        .alias("weekdays"))
+
+
+def _session_windows(pr: Presence) -> DataFrame:
+    """The streaming session windows over the stored rows."""
+    timed = pr.clients.withColumn("poll_time", F.timestamp_seconds("ts"))
+    return session_stream(timed, pr.poll_interval_s).drop("session_window").select("client_uid", "session_start", "session_end", "samples")
+
+
+def _hourly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming hourly windows over the polls' documents."""
+    docs = events_adapter.client_payloads(_presence(spark, sf_dir)).withColumn("poll_time", F.timestamp_seconds("poll_ts"))
+    return hourly_concurrency(docs).select(F.unix_timestamp("hour.start").alias("hour_start"), "avg_clients", "max_clients", "polls")
+
+
 def _conform_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pr = _presence(spark, sf_dir)
     cutoff = pr.latest_ts() - OLD_LAYOUT_DAYS * DAY_S
@@ -128,4 +170,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "conform_layouts": _conform_layouts,
         "ingest_channel_updates": _ingest_channel_updates,
         "first_seen": _q(users.first_seen),
+        "ingest_rules_clients": _ingest_rules_clients,
+        "ingest_rules_snapshots": _ingest_rules_snapshots,
+        "ingest_rejected": _ingest_rejected,
+        "user_stats": _q(_user_stats_flat),
+        "retained_clients": _q(lambda pr: maintenance.retain(pr, pr.latest_ts(), RETENTION_DAYS)[0].clients.select("id", "ts", "client_uid")),
+        "rollup_of_day": _q(lambda pr: rollup.rollup_of_day(pr, ROLLUP_DATE).withColumn("date", F.date_format("date", "yyyy-MM-dd"))),
+        "session_windows": _q(_session_windows),
+        "hourly_windows": _hourly_windows,
+        "unique_users_estimate": _q(lambda pr: load.unique_users_estimate(pr, s)),
+        "channel_users_estimate": _q(lambda pr: channels.channel_users_estimate(pr, s)),
     }

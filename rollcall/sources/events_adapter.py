@@ -8,7 +8,7 @@ except the per-poll client count that a poller records with each snapshot.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.time import utc_date
@@ -176,6 +176,48 @@ def client_payloads(pr: Presence) -> DataFrame:
     return docs
 
 
+# varied documents: rows a document holds at most, and the rules for what is left out or unusual (by row id and part)
+PART_ROWS = 50
+
+
+def varied_payloads(pr: Presence) -> DataFrame:
+    """Stand-in poll documents that exercise the ingest rules; a poll comes in parts of at most PART_ROWS rows.
+
+    Part = id div 50.  Parts divisible by 9 are rejected (code 512), of remainder 1 bare lists, of
+    remainder 2 without status.  Every fourth part is sent twice; parts of remainder 1 by 6 (no bare lists) a
+    second time under another part name.  Polls with an id divisible by 5 also have an empty document.  By id: divisible by 11 is a
+    service client, remainder 1 has no type, divisible by 13 no uid, by 17 no nickname, by 19 no channel, by 7 no
+    away message, by 5 an away flag that is no number.
+    """
+    c, i = F.col, F.col("id")
+
+    def unless(n: int, value: Column) -> Column:
+        return F.when(i % n != 0, value)
+
+    record = F.struct(
+        F.lpad(i.cast("string"), 12, "0").alias("clid"), unless(19, c("channel_id")).alias("cid"), c("client_database_id"),
+        unless(17, c("nickname")).alias("client_nickname"), unless(13, c("client_uid")).alias("client_unique_identifier"),
+        c("idle_ms").cast("string").alias("client_idle_time"),
+        F.when(i % 11 == 0, F.lit("1")).when(i % 11 != 1, F.lit("0")).alias("client_type"),
+        F.when(i % 5 == 0, F.lit("yes")).otherwise(c("is_away").cast("int").cast("string")).alias("client_away"),
+        unless(7, c("away_message")).alias("client_away_message"), c("is_talking").cast("int").alias("client_is_talker"),
+        c("input_muted").alias("client_input_muted"), c("output_muted").cast("int").cast("double").alias("client_output_muted"),
+        c("is_recording").cast("int").alias("client_is_recording"), c("server_groups").alias("client_servergroups"),
+        c("connected_time").alias("connection_connected_time"))
+    part = F.floor(i / PART_ROWS).cast("long")
+    lists = (pr.clients.groupBy(c("ts").alias("poll_ts"), part.alias("part"))
+             .agg(F.array_sort(F.collect_list(record)).alias("body")))       # at most PART_ROWS
+    status = F.when(c("part") % 9 == 0, F.struct(F.lit("512").alias("code"), F.lit("no such server").alias("message"))) \
+        .when(c("part") % 9 != 2, F.struct(F.lit("0").alias("code"), F.lit("ok").alias("message")))
+    copies = F.concat(F.array(F.lit("")), F.when(c("part") % 4 == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")),
+                      F.when((c("part") % 6 == 1) & (c("part") % 9 != 1), F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")))
+    sent = lists.select("*", status.alias("status"), F.explode(copies).alias("copy"))
+    name = F.concat(F.lpad(c("part").cast("string"), 12, "0"), c("copy")).alias("part")
+    text = F.when(c("part") % 9 == 1, F.to_json("body")).otherwise(F.to_json(F.struct(name, "status", "body")))
+    none = pr.snapshots.filter(c("snapshot_id") % 5 == 0).select(c("ts").alias("poll_ts"), F.lit('{"status":{"code":0},"body":[]}').alias("payload"))
+    return sent.select("poll_ts", text.alias("payload")).unionByName(none)
+
+
 def channel_payloads(events: DataFrame, poll_interval_s: int = ADAPTER_POLL_INTERVAL_S) -> DataFrame:
     """Stand-in channel-list documents: each poll's observations as one JSON list (event-id order)."""
     obs = channel_observations(events, poll_interval_s)

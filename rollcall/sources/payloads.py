@@ -91,16 +91,21 @@ def _is_listed_client(include_query_clients: bool) -> Column:
 def united_client_rows(docs: DataFrame, include_query_clients: bool = False) -> DataFrame:
     """The client lists of each poll's distinct accepted documents as one list: ``poll_ts, pos, c, kept``.
 
-    Documents of a poll follow each other in text order, so positions (and row
-    ids) are unique in the poll and the same on every run.  A connection
+    Documents of a poll follow each other in text order (of their beginnings, then by digest), so positions (and row
+    ids) are unique in the poll and the same on every run.  The prefix sums of their sizes are the documents' first
+    positions; neither a window nor a task needs all documents of a poll.  A connection
     (``clid``) that several documents of the poll list under one identity is
     kept once, at its first position; records without ``clid`` are all kept.
     Empty polls give one row without a record.
     """
-    earlier = Window.partitionBy("poll_ts").orderBy("payload").rowsBetween(Window.unboundedPreceding, -1)
+    # documents are ordered by their text: by its beginning and a digest, so that no window holds whole documents
+    parsed = _parse(docs.withColumn("_digest", F.sha2("payload", 256)).withColumn("_begin", F.substring("payload", 1, 256)),
+                    schemas.CLIENT_RECORD).filter("_accepted")
     size = F.size(F.coalesce(F.col("doc.body"), F.array())).cast("long")
-    placed = _parse(docs, schemas.CLIENT_RECORD).filter("_accepted") \
-        .select("poll_ts", "doc.body", F.coalesce(F.sum(size).over(earlier), F.lit(0)).alias("offset"))
+    earlier = Window.partitionBy("poll_ts").orderBy("_begin", "_digest").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (parsed.select("poll_ts", "_begin", "_digest", size.alias("_size"))
+               .withColumn("offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).select("poll_ts", "_digest", "offset"))
+    placed = parsed.select("poll_ts", "_digest", F.col("doc.body").alias("body")).join(offsets, ["poll_ts", "_digest"])
     rows = (placed.select("poll_ts", "offset", F.posexplode_outer("body").alias("at", "c"))
             .select("poll_ts", (F.col("offset") + F.col("at")).alias("pos"), "c",
                     F.coalesce(_is_listed_client(include_query_clients), F.lit(False)).alias("listed")))
