@@ -11,6 +11,7 @@ neighbourhood and reports span and edits.
 from __future__ import annotations
 
 import bisect
+import heapq
 from collections.abc import Callable
 
 import ahocorasick
@@ -82,17 +83,7 @@ class Scanner:
                     else:
                         spans.append((a, b))
                 recent[n] = [(o, s) for o, s in before if s >= start - len(notice) - k] + [(offset, start)]
-        found = []
-        for n, spans in near.items():
-            label, _, _, pattern = self.notices[n]
-            for a, b in spans:
-                todo = [(a, b)]      # the best match of a stretch need not be its first
-                while todo:
-                    lo, hi = todo.pop()
-                    m = pattern.search(text, lo, hi) if lo < hi else None
-                    if m is not None:
-                        found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-                        todo += [(lo, min(m.start(), hi - 1)), (max(m.end(), lo + 1), hi)]
+        found = [m for n, spans in near.items() for a, b in spans for m in self.best_matches(n, text, a, b)]
         kept: list[tuple[str, int, int, int]] = []
         for m in sorted(found, key=lambda x: (x[3], x[1] - x[2], x[1], x[0])):
             at = bisect.bisect_left(kept, m[1], key=lambda x: x[1])
@@ -100,6 +91,46 @@ class Scanner:
                 kept.insert(at, m)
         return kept
 
+    def best_matches(self, n: int, text: str, a: int, b: int) -> list[tuple[str, int, int, int]]:
+        """Matches of notice n between a and b, the best first, then the best of what is left.
+
+        The best match of a long region is the best of overlapping stretches, each a few times
+        as long as the notice; a stretch is searched again only when a better match took a piece
+        of it, so the time grows with the region's length.
+        """
+        label, notice, k, pattern = self.notices[n]
+        step = len(notice) + 2 * k + 2
+        heap: list[tuple[int, int, int, int, int, int]] = []
+        taken: list[tuple[int, int]] = []
+
+        def search(lo: int, hi: int) -> None:
+            m = pattern.search(text, lo, hi) if lo < hi else None
+            if m is not None:
+                heapq.heappush(heap, (sum(m.fuzzy_counts), m.start() - m.end(), m.start(), m.end(), lo, hi))
+
+        for lo in range(a, b, step):
+            hi = lo + 2 * step
+            if hi < b:      # up to the end of the word there; a word longer than any match is left out
+                end = text.find(" ", hi, hi + 2 * step)
+                hi = end if end >= 0 else max(lo, text.rfind(" ", lo, hi))
+            search(lo, min(hi, b))
+        out = []
+        while heap:
+            edits, _, start, end, lo, hi = heapq.heappop(heap)
+            at = bisect.bisect_left(taken, (start, end))
+            near = [t for t in taken[max(0, at - 1):at + 1] if t[0] < end and t[1] > start]
+            if near:        # a better match overlaps: search what it leaves of the stretch
+                search(lo, min(near[0][0], hi))
+                search(max(near[-1][1], lo), hi)
+                if len(near) > 1:
+                    search(near[0][1], near[1][0])
+                continue
+            out.append((label, start, end, edits))
+            taken.insert(at, (start, end))
+            search(lo, min(start, hi - 1))
+            search(max(end, lo + 1), hi)
+        return list(dict.fromkeys(out))
+
 
 def exact_places(joined: str, phrase: str) -> list[int]:
     """Character positions in ' w w w ' where the phrase's words stand consecutively, overlapping ones included."""
@@ -139,11 +170,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     base.add(label)
                     starts += places
             labels, spans, score = set(base), [], 1.0 if base else 0.0
-            for label, a, b, edits in scanner.find(joined):
+            at = word = 0
+            for label, a, b, edits in scanner.find(joined):     # in text order
                 labels.add(label)
                 score = max(score, 1.0 - edits / max(1, b - a))
-                first = joined.count(" ", 0, a)
-                spans.append((label, first, first + joined.count(" ", a, b), edits))
+                word, at = word + joined.count(" ", at, a), a
+                spans.append((label, word, word + joined.count(" ", a, b), edits))
             return (doc_id, len(words), len(starts),
                     framed.count(" ", 0, min(starts)) if starts else None,
                     framed.count(" ", 0, max(starts)) if starts else None,

@@ -113,3 +113,14 @@ def test_earlier_worse_matches_are_found_too():
     scanner = licenses.Scanner(licenses.NOTICES, licenses.ERROR_SHARE)
     found = scanner.find("released under teh mit license released under the mit license")
     assert [(label, a, edits) for label, a, _, edits in found] == [("mit", 0, 2), ("mit", 31, 0)]
+
+
+@pytest.mark.parametrize("unit,per_unit", [("all rights reserv all rights xreserved foo", 1), ("released under the mit licens", 1), ("all rights ", 0)])
+def test_many_repeated_notices_take_linear_time(unit, per_unit):
+    import time
+    scanner = licenses.Scanner(licenses.NOTICES, licenses.ERROR_SHARE)
+    small, large = " ".join([unit] * 500), " ".join([unit] * 20_000)
+    assert len(scanner.find(small)) == 500 * per_unit
+    began = time.process_time()
+    assert len(scanner.find(large)) == 20_000 * per_unit
+    assert time.process_time() - began < 20      # about 1 MB; quadratic time would take minutes
