@@ -7,9 +7,12 @@ in the corpus are found by grouping on their bytes; every occurrence but the
 first is removed.
 
 Chunks leave the ends of a shared passage, which are cut differently in other
-surroundings.  ``dedup_passages`` therefore looks up, outside the removed chunks,
-every pair of neighbouring non-blank lines (with the blank lines between), too:
-every repeated run of two or more non-blank lines is a run of such pairs.
+surroundings.  ``dedup_passages`` therefore extends them line by line: outside the removed chunks it looks up
+every pair of neighbouring non-blank lines (with the blank lines between), too.
+Every repeated run of two or more non-blank lines is a run of such pairs, and a line goes
+only if no pair that is kept here for the other places holds it, so every repeated passage survives in one place.
+
+A line is blank if it has no character but blanks (U+0020, U+0009 to U+000D).
 """
 
 from __future__ import annotations
@@ -22,6 +25,13 @@ from rollcall.llm.common import cut, stored
 SPACING = 3      # a chunk ends after a line with this probability's inverse
 
 
+_BLANKS = " \t\n\x0b\x0c\r"
+
+
+def _has_text(line: Column) -> Column:
+    return F.btrim(line, F.lit(_BLANKS)) != ""
+
+
 def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
 
@@ -46,7 +56,7 @@ def with_chunks(docs: DataFrame, text: Column, spacing: int = SPACING, with_byte
         lines = F.slice("__lines", first, last - first + 1)
         content = F.array_join(lines, "\n")
         fields = [first.alias("first"), (last - first + 1).alias("n"), F.md5(content).alias("digest"),
-                  (F.size(F.filter(lines, lambda x: F.trim(x) != "")) > 1).alias("multi")]
+                  (F.size(F.filter(lines, _has_text)) > 1).alias("multi")]
         return F.struct(*fields, *([content.alias("bytes")] if with_bytes else []))
 
     return spans.withColumn("__chunks", F.zip_with("__first", "__last", chunk)).drop("__hash", "__cuts", "__last", "__first")
@@ -54,11 +64,13 @@ def with_chunks(docs: DataFrame, text: Column, spacing: int = SPACING, with_byte
 
 def repeated_chunks(docs: DataFrame, id_col: str, text_col: str, spacing: int = SPACING) -> DataFrame:
     """(digest, first_id): chunks of several lines that occur more than once, compared byte by byte."""
-    rows = (with_chunks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), F.col("text"), spacing, True)
-            .select("id", F.inline(F.filter("__chunks", lambda c: c["multi"]))))
-    same = rows.groupBy("digest", "bytes").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
-    return (same.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("n").alias("n"), F.min("first_id").alias("first_id"))
-            .filter("texts = 1 and n > 1").select("digest", "first_id"))   # a digest of two texts decides nothing
+    rows = (with_chunks(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("place"), F.col(text_col).alias("text")),
+                        F.col("text"), spacing, True)
+            .select("id", "place", F.inline(F.filter("__chunks", lambda c: c["multi"]))))
+    place = F.xxhash64("id", "place", "first")      # equal rows of one id are one place
+    same = rows.groupBy("digest", "bytes").agg((F.min(place) != F.max(place)).alias("several"), F.min("id").alias("first_id"))
+    return (same.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("several").alias("several"), F.min("first_id").alias("first_id"))
+            .filter("texts = 1 and several").select("digest", "first_id"))   # a digest of two texts decides nothing
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spacing: int = SPACING) -> DataFrame:
@@ -101,7 +113,7 @@ def line_pairs(chunked: DataFrame) -> DataFrame:
     chunk's end; the digest is the SHA-256 of the bytes from first to last.
     """
     numbered = (chunked.withColumn("__chunk_of", F.expr("flatten(transform(__chunks, c -> array_repeat(c.first, c.n)))"))
-                .withColumn("__at", F.expr("filter(transform(__lines, (x, i) -> if(trim(x) != '', i + 1, null)), i -> i is not null)")))
+                .withColumn("__at", F.filter(F.transform("__lines", lambda x, i: F.when(_has_text(x), i + 1)), lambda i: i.isNotNull())))
 
     def pair(first: Column, last: Column) -> Column:
         a, b = F.element_at("__chunk_of", first), F.element_at("__chunk_of", last)
@@ -114,28 +126,27 @@ def line_pairs(chunked: DataFrame) -> DataFrame:
                                ).drop("__chunk_of", "__at")
 
 
-def _later_places(places: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(__id, __text, first, lines): all but the first place of repeated digests, and their line numbers.
-
-    Lines that belong to the first place, too (a line repeated over and over), are left out.
-    """
+def _places(places: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(__id, __text, kept, later): of each repeated digest in a text, the place that stays (if it is this text's) and the others."""
     here = (places.join(repeated, "digest").groupBy("__id", "__text", "digest", "first_id")
             .agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("at")))
     is_first = F.coalesce(F.col("__id").eqNullSafe(F.col("first_id")), F.lit(False))
-    kept = F.when(is_first, F.col("at")[0])
-    later = here.select("__id", "__text", kept.alias("kept"), F.explode(F.when(is_first, F.expr("slice(at, 2, size(at))")).otherwise(F.col("at"))).alias("p"))
-    return later.select("__id", "__text", F.col("p.first").alias("first"), F.expr(
-        "filter(sequence(p.first, p.last), i -> kept is null or i < kept.first or i > kept.last)").alias("lines"))
+    return here.select("__id", "__text", F.when(is_first, F.col("at")[0]).alias("kept"),
+                       F.when(is_first, F.expr("slice(at, 2, size(at))")).otherwise(F.col("at")).alias("later"))
+
+
+def _lines_of(places: str) -> Column:
+    return F.expr(f"flatten(transform({places}, p -> sequence(p.first, p.last)))")
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spacing: int = SPACING) -> DataFrame:
     """``docs`` (all columns) without any repeated run of two or more non-blank lines, plus __n_lines and __n_removed.
 
-    A repeated passage stays where :func:`dedup_lines` keeps a repeated chunk: in
+    A repeated pair of lines stays where :func:`dedup_lines` keeps a repeated chunk: in
     the document with the smallest id, there at its first place (rows that share
-    the id all keep it; rows without an id only if no row with an id has it).
-    A pair inside a removed chunk stands in the chunk's kept copy, so only the
-    other pairs are looked up.  Null texts stay null.
+    the id all keep it; rows without an id only if no row with an id has it).  All other places of it
+    go, but no line of a pair that stays.  Chunks are compared byte by byte, pairs by the SHA-256 of their bytes.
+    Null texts stay null.
     """
     names = docs.columns
     docs = docs.toDF(*[f"c{i}" for i in range(len(names))])   # no name of the caller's can clash with ours
@@ -144,16 +155,26 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                           F.col("text"), spacing)
     chunks = (chunked.select("__id", "__text", F.inline(F.filter("__chunks", lambda c: c["multi"])))
               .select("__id", "__text", "digest", "first", (F.col("first") + F.col("n") - 1).alias("last")))
-    whole = cut(_later_places(chunks, cut(repeated_chunks(docs, id_col, text_col, spacing))))
+    whole = cut(_places(chunks, cut(repeated_chunks(docs, id_col, text_col, spacing))))
     # the outer form: no filter on the array's size is inferred, which would be pushed down and compute it per element
     pairs = line_pairs(chunked).select("__id", "__text", F.inline_outer("__pairs")).filter("digest is not null")
-    removed = whole.select(F.col("__id").alias("of_id"), F.col("__text").alias("of_text"), F.col("first").alias("of_chunk")).distinct()
+    of = [F.col("__id").alias("of_id"), F.col("__text").alias("of_text")]
+    marked = (whole.select(*of, F.explode("later.first").alias("of_chunk"), F.lit(True).alias("gone"))
+              .union(whole.filter("kept is not null").select(*of, "kept.first", F.lit(False))).distinct())
     inside = F.col("__id").eqNullSafe(F.col("of_id")) & (F.col("__text") == F.col("of_text")) & (F.col("chunk") == F.col("of_chunk"))
-    rest = stored(pairs.join(removed, inside, "left_anti").drop("chunk"))
-    repeated = (rest.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first_id"))
-                .filter("n > 1").select("digest", "first_id"))
-    gone = (whole.union(_later_places(rest, cut(repeated))).groupBy("__id", "__text")
-            .agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("__gone")))
+    # a pair in a removed chunk stands in the chunk's kept copy, too, so it is looked up there
+    rest = stored(pairs.join(marked, inside, "left").filter("gone is null or not gone")
+                  .select("__id", "__text", "first", "last", "digest", F.col("gone").isNotNull().alias("in_kept")))
+    place = F.xxhash64("__id", "__text", "first")
+    repeated = (rest.groupBy("digest").agg((F.min(place) != F.max(place)).alias("several"), F.max("in_kept").alias("in_kept"),
+                                           F.min("__id").alias("first_id"))
+                .filter("several or in_kept").select("digest", "first_id"))
+    nothing = F.array().cast("array<int>")
+    lines = whole.select("__id", "__text", _lines_of("later").alias("lines"), nothing.alias("stays")).union(
+        _places(rest, cut(repeated)).select("__id", "__text", _lines_of("later"), F.coalesce(
+            F.expr("sequence(kept.first, kept.last)"), nothing)))
+    gone = (lines.groupBy("__id", "__text").agg(F.array_except(F.flatten(F.collect_list("lines")), F.flatten(F.collect_list("stays"))).alias("__gone"))
+            .filter("size(__gone) > 0"))
     joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__text")), "left")
     kept = (joined.withColumn("__lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
             .withColumn("__kept", F.expr("array_except(sequence(1, size(__lines)), coalesce(__gone, cast(array() as array<int>)))")))

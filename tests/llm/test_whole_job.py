@@ -8,29 +8,37 @@ import pytest
 from rollcall.llm import html_density, licenses, line_dedup, linkgraph
 
 
+BLANKS = " \t\n\x0b\x0c\r"
+
+
 def _passages_removed(rows):
-    """Texts without repeated runs of two or more non-blank lines, all pairs of neighbouring lines compared."""
+    """Texts without repeated runs of two or more non-blank lines, all pairs of neighbouring lines compared.
+
+    A pair stays at its first place in the document with the smallest id; the lines of a pair that
+    stays for other places are never removed.
+    """
     def pairs(text):
         lines = (text or "").split("\n")
-        at = [i for i, x in enumerate(lines) if x.strip(" ")]
+        at = [i for i, x in enumerate(lines) if x.strip(BLANKS)]
         return lines, [(a, b, tuple(lines[a:b + 1])) for a, b in zip(at, at[1:])]
-    owner = {}
+    owner, places = {}, collections.defaultdict(set)
     for i, text in rows:
-        for _, _, p in pairs(text)[1]:
+        for a, _, p in pairs(text)[1]:
+            places[p].add((i, text, a))
             if i is not None:
                 owner[p] = min(owner.get(p, i), i)
     out = []
     for i, text in rows:
         lines, here = pairs(text)
-        first, gone = {}, set()
+        first, gone, stays = set(), set(), set()
         for a, b, p in here:
-            if owner.get(p) != i:
+            if owner.get(p) != i or p in first:
                 gone |= set(range(a, b + 1))
-            elif p in first:
-                gone |= set(range(a, b + 1)) - first[p]
             else:
-                first[p] = set(range(a, b + 1))
-        out.append((i, None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+                first.add(p)
+                if len(places[p]) > 1:
+                    stays |= set(range(a, b + 1))
+        out.append((i, None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in gone - stays)))
     return out
 
 
@@ -47,12 +55,36 @@ def test_every_repeated_run_of_lines_is_removed(spark):
             lines += block[a:] + [f"own {next(fresh)}" for _ in range(rnd.randint(0, 3))]
         rows.append((i * 7 % 61, "\n".join(lines)))
     rows += [rows[3], rows[3], (None, rows[5][1]), (None, "no\nid"), (None, "no\nid"), (70, "x\nx\nx\nx\nx"), (71, "a\nb\na\nb\na"),
-             (72, "q\nx\nx\nq"), (73, None), (74, ""), (75, " \n\n "), (76, "one")]
+             (72, "q\nx\nx\nq"), (80, "A\nB"), (81, "A\nB\nC"), (82, "x1\nB\nC\ny1"), (83, "l1\r\n\r\n\r\nl2"), (84, "m1\r\n\r\n\r\nm2\t\n\x0b"), (73, None), (74, ""), (75, " \n\n "), (76, "one")]
     out = line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert collections.Counter((r.doc_id, r.text) for r in out) == collections.Counter(_passages_removed(rows))
     assert all(r["__n_lines"] == (0 if t is None else t.count("\n") + 1) for r in out for t in [dict(rows)[r.doc_id]] if r.doc_id is not None)
 
 
+def test_a_passage_shared_with_a_shortened_copy_survives_once(spark):
+    rows = [(1, "A\nB"), (2, "A\nB\nC"), (3, "x\nB\nC\ny"), (4, "p\r\n\r\n\r\nq"), (5, "r\r\n\r\n\r\ns")]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: "A\nB", 2: "B\nC", 3: "x\ny", 4: rows[3][1], 5: rows[4][1]}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_every_repeated_run_survives_in_one_place(spark, seed):
+    """Over runs, not pairs: every run that stood in two places stands in exactly one document afterwards, or is cut by runs that do."""
+    rnd = random.Random(seed)
+    rows = [(i, "\n".join(rnd.choice("abcdefgh") + str(rnd.randint(0, 2)) for _ in range(rnd.randint(1, 12)))) for i in range(40)]
+
+    def runs(text):
+        lines = text.split("\n") if text else []
+        return {tuple(lines[a:b]) for a in range(len(lines)) for b in range(a + 2, len(lines) + 1)}
+    before = collections.Counter(r for _, t in rows for r in runs(t))
+    out = line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in out) == collections.Counter(_passages_removed(rows))
+    after = collections.Counter(r for o in out for r in runs(o.text))
+    for run, n in before.items():
+        if len(run) == 2 and n > 1:
+            assert after[run] >= 1, run          # no repeated passage is lost
+
+
 @pytest.mark.parametrize("name", ["op6_line_dedup", "pipeline"])
 def test_a_passage_of_two_lines_is_removed_in_all_surroundings(spark, tmp_path, name):
     import corpus_pipeline
