@@ -79,6 +79,16 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def set_aside_names(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns c0, c1, ..., the new name of a column, and what gives a frame of these its names back.
+
+    No name of the caller's, whatever it is, can then clash with those of a computation.
+    """
+    names = docs.columns
+    return (docs.toDF(*[f"c{i}" for i in range(len(names))]), lambda name: f"c{names.index(name)}",
+            lambda df: df.select(*[f"c{i}" for i in range(len(names))]).toDF(*names))
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Join condition: the key columns agree, nulls included."""
     cond = F.lit(True)

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import cut, map_slices
+from rollcall.llm.common import cut, map_slices, set_aside_names
 from rollcall.llm.words import ALNUM, Words, hashed, signed_hash, windows
 
 WINDOW = 10              # words of a window; an item of fewer words is one window
@@ -175,8 +175,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all columns) without a benchmark window."""
+    """The rows of ``docs`` (all columns, whatever their names and types) without a benchmark window."""
+    docs, name, named = set_aside_names(docs)
+    id_col, text_col = name(id_col), name(text_col)
     bad = (contamination(docs, items, id_col, text_col).filter("contaminated")
            .select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_text")).distinct())
     text_hash = F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad_id")) & (text_hash == F.col("__bad_text")), "left_anti")
+    return named(docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad_id")) & (text_hash == F.col("__bad_text")), "left_anti"))

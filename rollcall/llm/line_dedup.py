@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import cut, stored
+from rollcall.llm.common import cut, set_aside_names, stored
 
 SPACING = 3      # a chunk ends after a line with this probability's inverse
 
@@ -184,3 +184,14 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                for c, name in zip(docs.columns, names)]
     return kept.select(*columns, F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("__n_lines"),
                        (F.size("__lines") - F.size("__kept")).cast("long").alias("__n_removed"))
+
+
+def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None,
+                     spacing: int = SPACING) -> DataFrame:
+    """:func:`dedup_passages` with the columns of ``docs`` alone, whatever their names; ``length_col`` follows the text's length."""
+    docs, name, named = set_aside_names(docs)
+    out = dedup_passages(docs, name(id_col), name(text_col), spacing)
+    if length_col is not None:
+        length = name(length_col)
+        out = out.withColumn(length, F.char_length(name(text_col)).cast(dict(docs.dtypes)[length]))
+    return named(out)

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import cut, map_rows, null_safe
+from rollcall.llm.common import cut, map_rows, null_safe, set_aside_names
 from rollcall.llm.words import signed_hash
 
 SYMBOLS = "#*$%&|<>"
@@ -153,10 +153,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                    source_col: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
-    """The rows of ``docs`` (all columns) that the rules keep."""
+    """The rows of ``docs`` (all columns, whatever their names and types) that the rules keep."""
+    docs, name, named = set_aside_names(docs)
+    id_col, text_col, lang_col, source_col = map(name, (id_col, text_col, lang_col, source_col))
     bad = (quality_rules(docs, id_col, text_col, lang_col, source_col, min_group).filter(~F.col("kept"))
            .select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "lang", "source", "text_hash")]).distinct())
     text_hash = F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col))
     same = (F.col(id_col).eqNullSafe(F.col("__doc_id")) & text_hash.eqNullSafe(F.col("__text_hash"))
             & F.col(lang_col).eqNullSafe(F.col("__lang")) & F.col(source_col).eqNullSafe(F.col("__source")))
-    return docs.join(bad, same, "left_anti")
+    return named(docs.join(bad, same, "left_anti"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import cut, map_rows
+from rollcall.llm.common import cut, map_rows, set_aside_names
 from rollcall.llm.components import components
 from rollcall.llm.words import LOWER_SPACED
 
@@ -165,11 +165,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Of rows that repeat an id one stays (the least by text, then the other columns).
     Rows without an id cannot be told apart and stay.
     """
+    docs, name, named = set_aside_names(docs)
+    id_col, text_col = name(id_col), name(text_col)
     with_id = docs.filter(F.col(id_col).isNotNull())
     groups = simhash_groups(with_id, id_col, text_col, shingle, max_bits)
     stay = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__stay")).distinct()
-    named = with_id.join(stay, F.col(id_col) == F.col("__stay"), "left_semi")
+    here = with_id.join(stay, F.col(id_col) == F.col("__stay"), "left_semi")
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    one = named.groupBy(id_col).agg(F.min(F.struct(text_col, *rest)).alias("__row"))
-    return (one.select(id_col, "__row.*").select(*docs.columns)
-            .unionByName(docs.filter(F.col(id_col).isNull())))
+    kinds = dict(docs.dtypes)
+    # maps have no order: their JSON text has
+    order = F.struct(text_col, *[F.to_json(F.struct(c)).alias(c) if "map<" in kinds[c] or kinds[c] == "variant" else F.col(c) for c in rest])
+    one = here.groupBy(id_col).agg(F.min_by(F.struct(text_col, *rest), order).alias("__row"))
+    return named(one.select(id_col, "__row.*").select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull())))
