@@ -11,7 +11,6 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rollcall.llm import bpe, decontaminate, line_dedup, quality, simhash
 from rollcall.session import checkpoint_dir
@@ -26,8 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without repeated passages of lines; n_chars follows the text."""
-    out = line_dedup.dedup_passages(docs).select(*docs.columns)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+    return line_dedup.without_passages(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
