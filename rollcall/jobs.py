@@ -38,6 +38,11 @@ def expire_days(spark: SparkSession, table_root: str, days: int, as_of: int | No
     return maintenance.expire(pr, table_root, as_of or 0, days)
 
 
+def compact_appended(spark: SparkSession, table_root: str, out_root: str, poll_interval_s: int = DEFAULT_POLL_INTERVAL_S) -> None:
+    """Fold the channels and first samples that appends left, and write a new version of the tables at ``out_root``."""
+    write_presence(load_presence(spark, table_root, poll_interval_s), out_root)
+
+
 def refresh_summaries(spark: SparkSession, table_root: str, poll_interval_s: int = DEFAULT_POLL_INTERVAL_S) -> list:
     """Summarize the days that have none or whose polls have changed since; only these are read and written."""
     return summaries.refresh(load_presence(spark, table_root, poll_interval_s), table_root)

@@ -87,13 +87,14 @@ def write_retained(pr: Presence, as_of: int, days: int, new_root: str) -> DataFr
 
 
 RETENTION = "retention"      # folder of the recorded cutoffs, one small file each
+CUTOFFS = T.StructType([T.StructField("cutoff", T.LongType())])
 
 
 def recorded_cutoff(spark: SparkSession, root: str) -> int | None:
     """The latest cutoff that :func:`expire` recorded for the tables at ``root``."""
     from rollcall.sources.parquet import read_or_none
 
-    cutoffs = read_or_none(spark, os.path.join(root, RETENTION), T.StructType([T.StructField("cutoff", T.LongType())]))
+    cutoffs = read_or_none(spark, os.path.join(root, RETENTION), CUTOFFS)
     return None if cutoffs is None else cutoffs.agg(F.max("cutoff")).first()[0]
 
 

@@ -60,18 +60,8 @@ DOW_NAMES = "['Sunday', 'Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday',
 
 
 def rnd(x: str, digits: int = 2) -> str:
-    """Python-style rounding of the exact binary value (see the Spark helper)."""
-    sc = f"{float(10 ** digits)}"
-    v = f"CAST(({x}) AS DOUBLE)"
-    p = f"({v} * {sc})"
-    t = f"({v} * 134217729.0)"
-    hi = f"({t} - ({t} - {v}))"
-    lo = f"({v} - {hi})"
-    err = f"(({hi} * {sc} - {p}) + {lo} * {sc})"
-    k = f"floor({p})"
-    frac = f"({p} - {k})"
-    up = (f"({frac} > 0.5 OR ({frac} = 0.5 AND ({err} > 0 OR ({err} = 0 AND abs(fmod({k}, 2.0)) = 1.0))))")
-    return f"(({k} + CASE WHEN {up} THEN 1.0 ELSE 0.0 END) / {sc})"
+    """Rounding of the exact binary value, ties to even, through its decimal text (the operators compute it in arithmetic)."""
+    return f"CAST(format('{{:.{digits}f}}', CAST(({x}) AS DOUBLE)) AS DOUBLE)"
 
 
 def R(days: int | None, col: str = "ts") -> str:

@@ -158,3 +158,23 @@ def test_retention_drops_whole_days_and_hides_the_rest(spark, tmp_path):
     after = files(root)
     assert set(after) < set(before) and all(before[f] == m for f, m in after.items())        # nothing of a kept day was written
     assert jobs.expire_days(spark, root, 2, poll_interval_s=P) == (0, 0)
+
+
+def test_tables_written_anew_forget_what_was_kept_beside_the_old_ones(spark, tmp_path):
+    root = str(tmp_path / "t")
+    old = presence(spark, history(days=5), channels=[(1, "Old", 0, 0, 0, 5)], p=P)
+    write_presence(old, root)
+    write_presence(presence(spark, [client(5000, BASE - DAY, "early")], channels=[(1, "Newer", 0, 0, 0, 9)], p=P), root, mode="append")
+    jobs.refresh_summaries(spark, root, P)
+    now = load_presence(spark, root, P)
+    assert [r["channel_name"] for r in rows(now.channels)] == ["Newer"]
+    assert {r["client_uid"]: r["first_ts"] for r in rows(now.first_seen)}["early"] == BASE - DAY
+    jobs.compact_appended(spark, root, str(tmp_path / "c"), P)
+    again = load_presence(spark, str(tmp_path / "c"), P)
+    assert sorted(map(str, rows(again.first_seen))) == sorted(map(str, rows(now.first_seen))) and again.clients.count() == now.clients.count()
+    jobs.expire_days(spark, root, 1, poll_interval_s=P)
+    fresh = presence(spark, [client(1, BASE, "a")], channels=[(1, "First", 0, 0, 0, 1)], p=P)
+    write_presence(fresh, root)
+    now = load_presence(spark, root, P)
+    assert [r["channel_name"] for r in rows(now.channels)] == ["First"] and [r["client_uid"] for r in rows(now.first_seen)] == ["a"]
+    assert now.clients.count() == 1 and summaries.split(now, now.time_range(None))[0] == []
