@@ -183,9 +183,11 @@ def with_latest(winners: DataFrame, rows: DataFrame, *columns: str, seen: str =
     The rows were ranked with fixed-width values; only the winners' rows at
     their last time are read for the text.
     """
-    at = winners.select("client_uid", F.col(seen).alias("ts"))
-    last = rows.join(at, ["client_uid", "ts"]).groupBy("client_uid").agg(*[latest(c).alias(c) for c in columns])
-    return winners.join(last, "client_uid")
+    values = [c for c in winners.columns if c != "client_uid"]
+    texts = rows.select("client_uid", F.col("ts").alias("_ts"), "snapshot_id", "id", *columns)
+    found = texts.join(winners.withColumn("_ts", F.col(seen)), ["client_uid", "_ts"])
+    return found.groupBy("client_uid").agg(*[F.any_value(c).alias(c) for c in values],      # the same in all rows of a user
+                                           *[latest(c, ("_ts", "snapshot_id", "id")).alias(c) for c in columns])
 
 
 def channel_switches(pr: Presence, days: int | None = 7, limit: int = 10,
