@@ -31,7 +31,7 @@ from rollcall.functions.columns import latest, round2
 from rollcall.tables import Presence, TimeRange, check_limit
 
 SLICE_POLLS = 120          # 1 h at 30 s polls
-SLICE_ROWS = 1 << 20       # rows that a slice of one identity may hold
+SLICE_ROWS = 1 << 15       # rows that a slice of one identity may hold (one poll is never split)
 DAY_S = 86400
 _ORDER = ("ts", "snapshot_id", "id")
 

@@ -110,7 +110,7 @@ def test_late_poll_makes_its_day_open_until_the_next_refresh(spark, tmp_path):
 def test_slices_get_shorter_for_large_polls(spark):
     pr = presence(spark, [], polls=[(BASE, 5)], p=P)
     assert sequence.slice_polls_for(pr) == sequence.SLICE_POLLS
-    assert sequence.slice_polls_for(presence(spark, [], polls=[(BASE, 100_000)], p=P)) == 10
+    assert sequence.slice_polls_for(presence(spark, [], polls=[(BASE, 5_000)], p=P)) == 6
     assert sequence.slice_polls_for(presence(spark, [], polls=[(BASE, 1 << 30)], p=P)) == 1
 
 

@@ -1,11 +1,11 @@
 """Scale and skew experiment (not a registered question).
 
 Replicates the sf0.1 presence facts ``R`` times (distinct users per copy) and,
-with ``--hot``, gives one user a third of all rows (many rows per poll).  Runs
+with ``--hot``, gives one user a third (or N tenths) of all rows (many rows per poll).  Runs
 the per-user sequence questions and reports wall time and, from Spark's event
 log, the largest and median shuffle records read by one task per stage.
 
-    python -m tools.scale_check <scratch_dir> <R> [--hot]
+    python -m tools.scale_check <scratch_dir> <R> [--hot [--tenths N]]
 """
 
 from __future__ import annotations
@@ -58,6 +58,7 @@ def stage_skew(log_dir: str, since_stage: int):
 
 def main(argv):
     scratch, reps, hot = argv[1], int(argv[2]), "--hot" in argv
+    tenths = int(argv[argv.index("--tenths") + 1]) if "--tenths" in argv else None      # share of the hot identity, instead of a third
     log_dir = os.path.join(scratch, "eventlog")
     os.makedirs(log_dir, exist_ok=True)
     spark = build_session("local[8]", shuffle_partitions=32,
@@ -70,10 +71,12 @@ def main(argv):
     cs = base.clients.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     uid = F.concat(F.col("client_uid"), F.lit("_"), F.col("_copy").cast("string"))
     if hot:
-        uid = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(uid)
+        is_hot = F.col("id") % 3 == 0 if tenths is None else F.col("id") % 10 < tenths
+        uid = F.when(is_hot, F.lit("hot")).otherwise(uid)
     cs = cs.withColumn("client_uid", uid).withColumn("id", F.col("id") * reps + F.col("_copy")).drop("_copy")
     root = os.path.join(scratch, f"presence_x{reps}{'_hot' if hot else ''}")
-    write_presence(Presence(base.snapshots, cs, base.channels, ADAPTER_POLL_INTERVAL_S), root)
+    polls = base.snapshots.withColumn("total_clients", F.col("total_clients") * reps)
+    write_presence(Presence(polls, cs, base.channels, ADAPTER_POLL_INTERVAL_S), root)
     pr = load_presence(spark, root, ADAPTER_POLL_INTERVAL_S)
     rows = pr.clients.count()
     jobs = {
