@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.time import day_bounds, utc_date, utc_day
+from rollcall.operators.summaries import user_channel_rows
 from rollcall.tables import Presence
 
 _FLAGS = ("is_away", "is_talking", "input_muted", "output_muted", "is_recording")
@@ -66,8 +67,8 @@ def daily_user_rollup(pr: Presence, dates: list[_dt.date] | None = None, compat:
                     F.max_by("channel_id", mode_key).alias("most_visited_channel_id"),
                     *[F.sum(f"_{f}").cast("long").alias(f"{f}_count") for f in _FLAGS]))
     if compat:
-        # modal channel over each user's whole history (ties: the smaller id)
-        all_time = (pr.clients.groupBy("client_uid", "channel_id").agg(F.count(F.lit(1)).alias("_n"))
+        # modal channel over each user's whole history (ties: the smaller id); kept days by their counts per user and channel
+        all_time = (user_channel_rows(pr, pr.time_range(None)).groupBy("client_uid", "channel_id").agg(F.sum("n").alias("_n"))
                     .groupBy("client_uid")
                     .agg(F.max_by("channel_id", F.struct(F.col("_n"), (-F.col("channel_id")).alias("_neg")))
                          .alias("_mode")))

@@ -53,18 +53,16 @@ def read_sql_store(spark: SparkSession, url: str, properties: dict[str, str] | N
                    partitions: int = 64) -> Presence:
     """Read the three tables over JDBC (the driver jar must be on the classpath).
 
-    The client table is read in ``partitions`` parallel ranges of its ``id``.
+    Polls and clients are read in ``partitions`` parallel ranges of their ``id``.
     """
     props = dict(properties or {})
 
-    def bounds():
-        row = (spark.read.jdbc(url, "(SELECT min(id) AS lo, max(id) AS hi FROM client_snapshots) b",
-                               properties=props).first())
-        return int(row["lo"] or 0), int(row["hi"] or 0)
+    def ranges(table: str) -> DataFrame:
+        row = spark.read.jdbc(url, f"(SELECT min(id) AS lo, max(id) AS hi FROM {table}) b", properties=props).first()
+        lo, hi = int(row["lo"] or 0), int(row["hi"] or 0)
+        return spark.read.jdbc(url, table, column="id", lowerBound=lo, upperBound=hi + 1, numPartitions=partitions,
+                               properties=props)
 
-    lo, hi = bounds()
-    clients = spark.read.jdbc(url, "client_snapshots", column="id", lowerBound=lo, upperBound=hi + 1,
-                              numPartitions=partitions, properties=props)
-    snaps = spark.read.jdbc(url, "snapshots", properties=props)
+    clients, snaps = ranges("client_snapshots"), ranges("snapshots")
     chans = spark.read.jdbc(url, "channels", properties=props)
     return presence_from_sql_tables(snaps, clients, chans, poll_interval_s)
