@@ -32,6 +32,7 @@ WINDOW = 13
 CHUNK_BYTES = 4 << 20       # text of a chunk
 CHUNKS_PER_SHARD = 16       # at least; more while shards are few
 LEAST_SHARDS = 256      # so that hash div shards fits 7 bytes
+USERS = 1 << 16         # chunks that are answered together about a span
 _REPLY = "chunk long, shard int, bits binary, sources binary"
 _SPAN = "chunk long, src long, words binary"
 
@@ -227,6 +228,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     replies = by_chunk.applyInArrow(send, edges_ddl).groupBy("shard").applyInArrow(answer, _REPLY)
     spans = by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(compact, _SPAN)
-    distinct = spans.groupBy("src", "words").agg(F.collect_set("chunk").alias("users"))
+    # a span is verified once for each USERS chunks that have it, so that no row lists them all
+    some = F.floor(F.col("chunk") / USERS).alias("some")
+    distinct = spans.groupBy("src", "words", some).agg(F.collect_set("chunk").alias("users"))
     wrong = by_chunk.cogroup(distinct.select(F.col("src").alias("chunk"), "words", "users").groupBy("chunk")).applyInArrow(verify, _REPLY)
     return by_chunk.cogroup(replies.union(wrong).groupBy("chunk")).applyInArrow(remove, result_ddl)
