@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.columns import pct, round2, safe_div
 from rollcall.operators import summaries
-from rollcall.operators.sequence import Kept, SLICE_POLLS, day_runs, slice_polls_for, user_totals
+from rollcall.operators.sequence import Kept, SLICE_POLLS, day_runs, slice_polls_for
 from rollcall.tables import Presence, check_limit
 
 # Fixed values of the engagement score: term weights (samples, active days,

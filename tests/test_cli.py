@@ -1,9 +1,11 @@
 import json
 import os
 
+import pytest
 from frames import BASE, client, presence
 
 from rollcall import cli
+from rollcall.operators import users
 from rollcall.sources.parquet import write_presence
 
 P = 30
@@ -53,3 +55,31 @@ def test_written_facts_are_clustered_by_user(spark, tmp_path):
         assert keys == sorted(keys)                     # sorted runs of users inside each file
     pr = load_presence(spark, root)
     assert pr.clients.count() == 600 and pr.first_seen.count() == 23
+
+
+def test_reports_print_every_row_of_every_part(spark, tmp_path, capsys):
+    rs = [client(i, BASE + (i // 70) * P, uid=f"u{i % 70:02d}", rec=True) for i in range(140)]
+    root = str(tmp_path / "tables")
+    write_presence(presence(spark, rs), root)
+    cli.run([root, "user-profile"])
+    assert len(capsys.readouterr().out.splitlines()) == 70           # more than a screen, whole
+    for q in sorted(cli.REPORTS):
+        parts = cli.run([root, q, *(["--uid", "u01"] if q == "user-report" else []), *(["--out", str(tmp_path / q)] if q == "overview" else [])])
+        out = capsys.readouterr().out.splitlines()
+        if q == "overview":
+            assert all(os.path.isdir(tmp_path / q / name) for name in parts) and not out
+        else:
+            assert [x[2:] for x in out if x.startswith("# ")] == list(parts)
+            assert all(json.loads(x) for x in out if not x.startswith("# "))
+
+
+def test_bounds_are_the_command_lines(spark):
+    def checked(*argv):
+        return cli.checked(cli.parser().parse_args(["tables", *argv]))
+    assert checked("top-users").poll_interval == 30 and checked("daily-rollup").poll_interval == 60
+    assert checked("ltv", "--limit", "500").limit == 500 and checked("top-users", "--poll-interval", "14400", "--any-interval").poll_interval == 14400
+    for bad in (["top-users", "--limit", "101"], ["ltv", "--limit", "501"], ["top-users", "--limit", "0"], ["summary", "--poll-interval", "9"],
+                ["summary", "--poll-interval", "3601"], ["user-stats"]):
+        with pytest.raises(ValueError):
+            checked(*bad)
+    assert users.top_users(presence(spark, [client(i, BASE + i * P, f"u{i}") for i in range(150)]), None, 150).count() == 150
